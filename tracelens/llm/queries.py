@@ -6,10 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelens.llm import mixing, quality_rules, sharding
+from tracelens.llm import decontaminate, license_scan, mixing, pii, quality_classifier, quality_rules, sharding
 from tracelens.llm.common import read_table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_documents(read_table(spark, sf_dir, "documents"))
+    return found.drop("matches")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise_documents(read_table(spark, sf_dir, "documents"), key="tracelens")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(read_table(spark, sf_dir, "documents"))
 
@@ -23,7 +40,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules, op8_mixing, op9_sharding)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pii, op3_quality_classifier, op6_decontamination, op7_quality_rules, op8_mixing, op9_sharding)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
