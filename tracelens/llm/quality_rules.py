@@ -75,13 +75,13 @@ def rule_votes() -> dict[str, Column]:
     }
 
 
-def fit_rules(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, prior_good: float = 0.8) -> tuple[float, list[dict[int, float]]]:
+def fit_rules(patterns: list[tuple[tuple[int, ...], int]], rules: int = 0, rounds: int = 50, prior_good: float = 0.8) -> tuple[float, list[dict[int, float]]]:
     """(log odds of good, per rule {vote: log likelihood ratio}) by expectation-maximisation over pattern counts.
 
     Starts at the majority vote. Pseudo-counts tie each rule to being right more often than wrong, so that the two
     classes can't swap; an abstention says nothing.
     """
-    k = len(patterns[0][0]) if patterns else 0
+    k = len(patterns[0][0]) if patterns else rules
     post = [1 / (1 + math.exp(-2.0 * sum(votes))) for votes, _ in patterns]
     bias, weights = math.log(prior_good / (1 - prior_good)), [{-1: -1.0, 0: 0.0, 1: 1.0} for _ in range(k)]
     total = sum(n for _, n in patterns)
@@ -108,7 +108,7 @@ def fit_on(featured: DataFrame, **options) -> tuple[float, list[dict[int, float]
     """Fits the rules on all rows; what reaches the driver is at most 3 ** (number of rules) counts."""
     votes = rule_votes()
     counted = featured.select(*[v.alias(c) for c, v in votes.items()]).groupBy(*votes).count().collect()
-    return fit_rules(sorted((tuple(r[c] for c in votes), r["count"]) for r in counted), **options)
+    return fit_rules(sorted((tuple(r[c] for c in votes), r["count"]) for r in counted), len(votes), **options)
 
 
 def posterior_good(model: tuple[float, list[dict[int, float]]]) -> Column:
@@ -137,9 +137,11 @@ def judge_documents(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
-    """The documents that `judge_documents` keeps, with all their columns; the features are computed again rather than joined."""
-    good = posterior_good(fit_on(with_features(docs.select("text"))))
-    columns = [docs[c] for c in docs.columns]
-    featured = with_features(docs.select(F.struct(*columns).alias("row"), F.col("text").alias("text")))
-    kept = featured.where(~base_failed() & (good >= keep_at))
+    """The documents that `judge_documents` keeps, with all their columns.
+
+    Rows and features are written once: a filter over unwritten features would be pushed below them, which repeats them.
+    """
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text").alias("text"))
+    featured = materialise(with_features(rows).drop("text"), "kept")
+    kept = featured.where(~base_failed() & (posterior_good(fit_on(featured)) >= keep_at))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
