@@ -43,6 +43,7 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_symbols": F.regexp_count("_t", F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
             "n_repeat_words": F.coalesce(F.aggregate(reach, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long"),
+            "n_symbol_runs": F.regexp_count("_t", F.lit(f"{SYMBOLS}+")).cast("long"),
             "n_lines": F.size("_l").cast("long"),
             "n_upper": F.regexp_count("_t", F.lit("[A-Z]")).cast("long"),
             "n_digits": F.regexp_count("_t", F.lit("[0-9]")).cast("long"),
@@ -67,6 +68,7 @@ def rule_votes() -> dict[str, Column]:
         "vote_length": _vote(n < 15, n >= 40),
         "vote_word_length": _vote((length < 2.5) | (length > 12), (length >= 3) & (length <= 9)),
         "vote_symbols": _vote(per_word("n_symbols") > 0.2, per_word("n_symbols") < 0.02),
+        "vote_symbol_runs": _vote(per_word("n_symbol_runs") > 0.15, per_word("n_symbol_runs") < 0.02),
         "vote_dup_lines": _vote(dups > 0.3, (dups == 0) & (F.col("n_lines") >= 2)),
         "vote_repeats": _vote(per_word("n_repeat_words") > 0.2, per_word("n_repeat_words") < 0.02),
         "vote_upper": _vote(upper > 0.4, upper < 0.15),
@@ -75,15 +77,21 @@ def rule_votes() -> dict[str, Column]:
     }
 
 
+def _sigmoid(x: float) -> float:
+    return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
+
+
 def fit_rules(patterns: list[tuple[tuple[int, ...], int]], rules: int = 0, rounds: int = 50, prior_good: float = 0.8) -> tuple[float, list[dict[int, float]]]:
     """(log odds of good, per rule {vote: log likelihood ratio}) by expectation-maximisation over pattern counts.
 
-    Starts at the majority vote. Pseudo-counts tie each rule to being right more often than wrong, so that the two
+    Starts with a bad vote weighing more than a good one, as rules are set to be silent on clean texts. Pseudo-counts tie each rule to being right more often than wrong, so that the two
     classes can't swap; an abstention says nothing.
     """
     k = len(patterns[0][0]) if patterns else rules
-    post = [1 / (1 + math.exp(-2.0 * sum(votes))) for votes, _ in patterns]
-    bias, weights = math.log(prior_good / (1 - prior_good)), [{-1: -1.0, 0: 0.0, 1: 1.0} for _ in range(k)]
+    prior_good_odds = math.log(prior_good / (1 - prior_good))
+    first = lambda votes: prior_good_odds + 0.3 * votes.count(1) - 10.0 * votes.count(-1)
+    post = [_sigmoid(first(votes)) for votes, _ in patterns]
+    bias, weights = prior_good_odds, [{-1: -1.0, 0: 0.0, 1: 1.0} for _ in range(k)]
     total = sum(n for _, n in patterns)
     strong = 1 + total * 0.01
     for _ in range(rounds if total else 0):
@@ -100,7 +108,7 @@ def fit_rules(patterns: list[tuple[tuple[int, ...], int]], rules: int = 0, round
             right_good = (seen[1, 1] + 0.9 * strong) / (seen[1, 1] + seen[1, -1] + strong)
             right_bad = (seen[0, -1] + 0.7 * strong) / (seen[0, 1] + seen[0, -1] + strong)
             weights.append({1: math.log(right_good / (1 - right_bad)), 0: 0.0, -1: math.log((1 - right_good) / right_bad)})
-        post = [1 / (1 + math.exp(-max(-50.0, min(50.0, bias + sum(w[v] for w, v in zip(weights, votes, strict=True)))))) for votes, _ in patterns]
+        post = [_sigmoid(bias + sum(w[v] for w, v in zip(weights, votes, strict=True))) for votes, _ in patterns]
     return bias, weights
 
 
