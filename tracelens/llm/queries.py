@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelens.llm import decontaminate, license_scan, mixing, pii, quality_classifier, quality_rules, sharding
+from tracelens.llm import decontaminate, license_scan, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding
 from tracelens.llm.common import read_table
 
 
@@ -23,6 +23,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -40,7 +44,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_pii, op3_quality_classifier, op6_decontamination, op7_quality_rules, op8_mixing, op9_sharding)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pii, op3_quality_classifier, op5_ngram_join, op6_decontamination, op7_quality_rules, op8_mixing, op9_sharding)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
