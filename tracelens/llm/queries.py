@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelens.llm import decontaminate, license_scan, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, suffix_dedup
+from tracelens.llm import decontaminate, language_id, license_scan, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, suffix_dedup
 from tracelens.llm.common import read_table
 
 
@@ -23,6 +23,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_pii, op3_quality_classifier, op5_ngram_join, op6_decontamination, op7_quality_rules, op8_mixing, op9_sharding, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pii, op3_quality_classifier, op4_language_id, op5_ngram_join, op6_decontamination, op7_quality_rules, op8_mixing, op9_sharding, op10_suffix_dedup)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
