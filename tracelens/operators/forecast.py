@@ -106,7 +106,8 @@ def empirical_quantiles(df: DataFrame, horizon: int, levels: tuple[float, float,
     """(msname, h, q_lo, q50, q_hi): exact quantiles of h-step changes over train rows."""
     w = Window.partitionBy("msname").orderBy("pos")
     rows = df.where(train)
-    steps = rows.select("msname", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), (F.lead(value, h).over(w) - F.col(value)).alias("d")) for h in range(1, horizon + 1)])).alias("x"))
+    changes = rows.select("msname", F.array(*[F.struct(F.lit(h).alias("h"), (F.lead(value, h).over(w) - F.col(value)).alias("d")) for h in range(1, horizon + 1)]).alias("all"))
+    steps = changes.select("msname", F.explode("all").alias("x"))
     flat = steps.select("msname", "x.h", "x.d").where("d is not null")
     names = ("q_lo", "q50", "q_hi")
     return flat.groupBy("msname", "h").agg(*[F.percentile("d", F.lit(q)).alias(n) for n, q in zip(names, levels, strict=True)])

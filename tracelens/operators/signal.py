@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 #: Low-pass decomposition taps of the public Symlet-4 and Haar wavelets.
 TAPS = {
@@ -49,7 +50,7 @@ def decompose(windows: DataFrame, target: int = 0, level: int = 2, wavelet: str
     With `fallback` (inference) those get the raw values as approximation and zeros as details; without, drop the nulls.
     """
     ready = windows.withColumn("_raw", F.transform("x", lambda r: F.element_at(r, target + 1)))
-    schema = ready.schema.add("channels", "array<array<double>>")
+    schema = StructType([*ready.schema.fields, StructField("channels", ArrayType(ArrayType(DoubleType())))])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

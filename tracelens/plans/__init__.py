@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("profile_queries",)
+MODULES = ("profile_queries", "series_queries", "forecast_queries")
 
 
 def _load() -> None:
