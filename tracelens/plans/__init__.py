@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("profile_queries", "series_queries", "forecast_queries")
+MODULES = ("series_queries", "profile_queries", "forecast_queries", "workload_queries", "stream_queries")
 
 
 def _load() -> None:
