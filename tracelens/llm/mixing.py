@@ -115,6 +115,7 @@ def mix(docs: DataFrame, members: Column, size: Column, weight_of, *, key: str =
             sizes[s] = sizes.get(s, 0) + n
     ordered = sorted(sizes, key=lambda s: (s is None, s or ""))
     targets = source_targets({s: sizes[s] for s in ordered}, weight_of(ordered), share * sum(patterns.values()), repeat)
+    targets = {s: round(t, 6) for s, t in targets.items()}
     flows = route(patterns, {s: int(t) for s, t in targets.items()}, repeat)
 
     spark = docs.sparkSession

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracelens.llm import decontaminate, language_id, license_scan, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, suffix_dedup
 from tracelens.llm.common import read_table
+from tracelens.llm.oracle import llm_sql
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +57,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    return llm_sql()
