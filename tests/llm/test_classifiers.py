@@ -21,7 +21,7 @@ def test_languages_of_held_out_documents(spark, no_docs, odd_docs):
 
 def test_no_letter_is_undetermined_and_unlike_text_is_rejected(spark):
     train = [(i, f"the quick brown fox jumps over the lazy dog number {i}", "en") for i in range(40)] + [(100 + i, f"der schnelle braune fuchs springt über den faulen hund {i}", "de") for i in range(40)]
-    odd = [(900, "123 !!", None), (901, "жжж ююю щщщ", None), (902, "é", None), (903, "the quick brown fox jumps over a lazy dog", None)]
+    odd = [(900, "123 !!", None), (901, "жжж ююю щщщ", None), (902, "é", None), (903, "the quick brown fox jumps over the lazy dog number 77", None)]
     docs = spark.createDataFrame(train + odd, "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in language_id.identify_documents(docs).collect()}
     assert got[900].lang_pred == "und" and got[900].rejected
