@@ -11,18 +11,22 @@ from tracelens.llm.common import materialise
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) of all nodes in `links` (a, b): root is the smallest node that can be reached.
 
-    Each round takes the smallest root among the neighbours (summed map-side, so a hub is no bottleneck) and then the
-    root's own root, which halves the way; rounds grow with the logarithm of the longest path. The state is written to
-    the shared folder after each round.
+    Each round points every node at its smallest neighbour, or at itself if that is larger, and renames the links so;
+    links within a point vanish and equal ones fall together, so that later rounds hold few. Minima are summed before
+    the shuffle, so a hub is no bottleneck. The state is written to the shared folder in each round.
     """
-    both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    state = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
+    left = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    roots = None
     while True:
-        offered = both.join(state, both["b"] == state["node"]).groupBy("a").agg(F.min("root").alias("offer"))
-        lower = state.join(offered, state["node"] == offered["a"], "left").select("node", F.col("root").alias("was"), F.least("root", "offer").alias("root"))
-        up = state.select(F.col("node").alias("at"), F.col("root").alias("above"))
-        moved = lower.join(up, lower["root"] == up["at"], "left").select("node", "was", F.least("root", "above").alias("root"))
-        moved = materialise(moved, "roots")
-        if moved.where("root <> was").isEmpty():
-            return moved.select("node", "root")
-        state = moved.select("node", "root")
+        ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        moves = materialise(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")), "moves")
+        if roots is None:
+            roots = moves.select("node", F.col("to").alias("root"))
+        else:
+            roots = roots.join(moves.withColumnRenamed("node", "at"), F.col("root") == F.col("at"), "left").select("node", F.coalesce("to", "root").alias("root"))
+        roots = materialise(roots, "roots")
+        of_a, of_b = moves.select(F.col("node").alias("a"), F.col("to").alias("ta")), moves.select(F.col("node").alias("b"), F.col("to").alias("tb"))
+        renamed = left.join(of_a, "a").join(of_b, "b").where("ta <> tb")
+        left = materialise(renamed.select(F.greatest("ta", "tb").alias("a"), F.least("ta", "tb").alias("b")).distinct(), "links")
+        if left.isEmpty():
+            return roots
