@@ -53,7 +53,7 @@ def family(seed):
     return rows
 
 
-@pytest.mark.parametrize("most", [2000, 20])
+@pytest.mark.parametrize("most", [512, 20])
 def test_components_equal_brute_force(spark, documents, odd_docs, no_docs, monkeypatch, most):
     monkeypatch.setattr(ngram_join, "MOST", most)
     tables = [spark.createDataFrame(family(1), "doc_id long, text string")] + ([documents, odd_docs] if most > 20 else [])

@@ -29,7 +29,7 @@ from tracelens.llm.hashing import mix, prefix_hash, span_hash, word_spans
 
 WIDTH = 3
 #: Sets that one task holds of a group or block, and members of a group in the token-group matrix.
-MOST, MEMBERS = 2000, 32
+MOST, MEMBERS = 512, 32
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
