@@ -40,7 +40,7 @@ def with_prefix(windows: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
     else:
         counts = tokens.groupBy("word").count().join(vocabulary, "word", "left_semi")
     placed = windows.select("item_id", "window", "n", F.posexplode("window").alias("offset", "word"))
-    counted = placed.join(counts, "word")
+    counted = placed.join(F.broadcast(counts) if small else counts, "word")  # at most one row for each word of the windows
     best = counted.groupBy("item_id", "window", "n").agg(F.count(F.lit(1)).alias("seen"), F.min(F.struct("count", "word", "offset")).alias("best"))
     return best.where("seen = n").select("item_id", "window", "n", F.col("best.word").alias("prefix"), F.col("best.offset").alias("offset"))
 
