@@ -18,7 +18,7 @@ def split_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.assign_split(views.series_hourly(spark, sf_dir))
 
 
-@query("SELECT p.msname, p.pos, CAST(h AS INTEGER) AS h, R(p.cpu;R) AS pred, R(a.cpu;R) AS y FROM series_hourly p, range(1, 6) x(h) JOIN series_hourly a ON a.msname = p.msname AND a.pos = p.pos + x.h".replace("FROM series_hourly p, range(1, 6) x(h) JOIN", "FROM series_hourly p CROSS JOIN range(1, 6) x(h) JOIN"))
+@query("SELECT p.msname, p.pos, CAST(h AS INTEGER) AS h, R(p.cpu;R) AS pred, R(a.cpu;R) AS y FROM series_hourly p CROSS JOIN range(1, 6) x(h) JOIN series_hourly a ON a.msname = p.msname AND a.pos = p.pos + x.h")
 def m1_j7_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.series_hourly(spark, sf_dir)
     return forecast.match_horizon(forecast.persistence(rows, H), rows).select("msname", "pos", "h", "pred", "y")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelens.operators import profile, series, telemetry
+from tracelens.operators.rolling import active_services
 from tracelens.plans import views
 from tracelens.plans.registry import query
 
 
-@query("SELECT bin, count(x.bin2) AS n FROM range(20) b(bin) LEFT JOIN (SELECT CAST(least(floor(cpu * 20), 19) AS INTEGER) AS bin2 FROM (SELECT msname, ts, avg(cpu) AS cpu FROM trace_hourly WHERE cpu BETWEEN 0 AND 1 AND mem BETWEEN 0 AND 1 GROUP BY ALL)) x ON x.bin2 = bin GROUP BY bin".replace("SELECT bin,", "SELECT CAST(bin AS INTEGER) AS bin,").replace("GROUP BY bin", "GROUP BY b.bin"))
+@query("SELECT CAST(b.bin AS INTEGER) AS bin, count(x.bin2) AS n FROM range(20) b(bin) LEFT JOIN (SELECT CAST(least(floor(cpu * 20), 19) AS INTEGER) AS bin2 FROM (SELECT msname, ts, avg(cpu) AS cpu FROM trace_hourly WHERE cpu BETWEEN 0 AND 1 AND mem BETWEEN 0 AND 1 GROUP BY ALL)) x ON x.bin2 = b.bin GROUP BY b.bin")
 def p1_a6_a7_cpu_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid range, per-timestamp means, dense histogram."""
     return profile.histogram(profile.per_timestamp_means(series.valid_range(views.trace_hourly(spark, sf_dir))), "cpu", 20)
@@ -110,8 +111,6 @@ def a23_series_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH c AS (SELECT msname AS series, t AS ts, sum(load) OVER (PARTITION BY msname ORDER BY t) % 100000 AS value FROM load_hourly), d AS (SELECT series, ts, value, value - lag(value) OVER w AS g, ts - lag(ts) OVER w AS p FROM c WINDOW w AS (PARTITION BY series ORDER BY ts)) SELECT ts, series AS workload, R(sum(CASE WHEN g < 0 THEN value ELSE g END / p);R) AS rate FROM d WHERE g IS NOT NULL GROUP BY ALL")
 def a24_counter_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("msname").orderBy("t")
     counters = views.load_hourly(spark, sf_dir).select(F.col("msname").alias("series"), F.col("msname").alias("workload"), F.col("t").alias("ts"), (F.sum("load").over(w) % 100000).alias("value"))
     return profile.counter_rate(counters, "workload")
@@ -119,8 +118,6 @@ def a24_counter_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT t.msname, count(*) AS n FROM trace_hourly t WHERE msname IN (SELECT msname FROM load_hourly GROUP BY msname HAVING max(load) > 0) AND ts >= 1700000000 AND ts < 1900000000 GROUP BY ALL")
 def p2_p3_services_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tracelens.operators.rolling import active_services
-
     rows = series.between_times(views.trace_hourly(spark, sf_dir), 1_700_000_000, 1_900_000_000)
     return series.only_services(rows, active_services(views.load_hourly(spark, sf_dir))).groupBy("msname").agg(F.count(F.lit(1)).alias("n"))
 

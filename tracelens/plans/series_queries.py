@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelens.operators import dependence, rolling, series, windows
+from tracelens.operators import dependence, rolling, series, signal, windows
 from tracelens.plans import views
 from tracelens.plans.registry import query
 
@@ -35,7 +35,7 @@ def t2_ranked_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.rank_windows(rolling.oscillation(views.load_hourly(spark, sf_dir), 25), "mcr").select("msname", "win_start", "win_end", "score")
 
 
-@query(_ranked("oscillation * (avg_load - lo) / (hi - lo)", 20, ", e AS (SELECT min(avg_load) AS lo, max(avg_load) AS hi FROM c)").replace("FROM c ORDER", "FROM c, e ORDER").replace("oscillation * (avg_load - lo) / (hi - lo)", "(avg_load - lo) / (hi - lo) * oscillation"))
+@query(_ranked("(avg_load - lo) / (hi - lo) * oscillation", 20, ", e AS (SELECT min(avg_load) AS lo, max(avg_load) AS hi FROM c)").replace("FROM c ORDER", "FROM c, e ORDER"))
 def t2_ranked_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.rank_windows(rolling.oscillation(views.load_hourly(spark, sf_dir), 25), "both").select("msname", "win_start", "win_end", "score")
 
@@ -199,7 +199,14 @@ def g4_entropy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def g1_g2_wavelet_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tracelens.operators import signal
-
     made = signal.decompose(hourly_windows(spark, sf_dir).select("msname", "split", "win_start", "x"), level=2)
     return made.where("channels is not null").select("msname", "split", "win_start", F.flatten("channels").alias("channels"))
+
+
+HAAR = "0.7071067811865476::DOUBLE"
+
+
+@query(f"WITH {WINDOWS} SELECT msname, split, win_start, list_concat([round({HAAR} * xc[i] + {HAAR} * xc[i % {L} + 1], 7) for i in range(1, {L + 1})], [round({HAAR} * xc[i] - {HAAR} * xc[i % {L} + 1], 7) + 0.0::DOUBLE for i in range(1, {L + 1})]) AS channels FROM w WHERE list_stddev_pop(xc) >= 1e-12")
+def g1_haar_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = signal.decompose(hourly_windows(spark, sf_dir).select("msname", "split", "win_start", "x"), level=1, wavelet="haar")
+    return made.where("channels is not null").select("msname", "split", "win_start", F.transform(F.flatten("channels"), lambda v: F.round(v, 7) + F.lit(0.0)).alias("channels"))

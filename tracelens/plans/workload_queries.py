@@ -134,7 +134,7 @@ def f4_f5_f6_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", scalars.floor_ms_to_minute(ms).alias("minute"), scalars.floor_to(sec, "2h").alias("two_hours"), scalars.epoch_to_wall(sec, "Asia/Tehran").alias("wall"))
 
 
-@query("SELECT event_id, round_even(value, 0) AS even, sign(value - 100) AS sign, ceil(value / 7) AS up, value / nullif(user_id % 3, 0) AS safe FROM events".replace("round_even(value, 0)", "R(round_even(value, 0);R)").replace("sign(value - 100)", "CAST(sign(value - 100) AS DOUBLE)").replace("ceil(value / 7)", "CAST(ceil(value / 7) AS BIGINT)").replace("value / nullif(user_id % 3, 0)", "R(value / nullif(user_id % 3, 0);R)"))
+@query("SELECT event_id, R(round_even(value, 0);R) AS even, CAST(sign(value - 100) AS DOUBLE) AS sign, CAST(ceil(value / 7) AS BIGINT) AS up, R(value / nullif(user_id % 3, 0);R) AS safe FROM events")
 def f7_f8_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views.table(spark, sf_dir, "events")
     return e.select("event_id", F.bround("value", 0).alias("even"), F.signum(F.col("value") - 100).alias("sign"), F.ceil(F.col("value") / 7).alias("up"), F.try_divide("value", F.col("user_id") % 3).alias("safe"))
