@@ -49,7 +49,7 @@ def test_license_templates_accept_variants(spark):
     assert got[5].labels == "cc-by-nc-4.0,mit,mit-notice"
     assert got[6].labels == "gpl,gpl-3.0"
     assert got[7].labels == "gpl" and got[7].base_labels == "gpl"
-    assert [(m.label, m.start, m.end) for m in got[1].matches] == [("apache-2.0", 3, 10)]
+    assert [(m.label, m.start, m.end) for m in got[1].matches] == [("apache-2.0", 3, 11)]
 
 
 def brute_hits(docs, items):

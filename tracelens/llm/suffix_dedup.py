@@ -29,6 +29,8 @@ from tracelens.llm.hashing import prefix_hash, span_hash
 LENGTH, GRAM = 50, 16
 #: Bytes of text for which one bucket of runs is made, and runs whose bytes one task sorts.
 BUCKET_BYTES, SORT_RUNS = 4 << 20, 20_000
+#: Bytes of text hashed at once, some hundred times as many in work arrays, and runs packed together.
+CHUNK_BYTES, HELD_RUNS = 1 << 20, 500_000
 #: The key of documents whose id is null: after all others.
 LAST = (1 << 63) - 1
 _RUN = np.dtype([("anchor", "<u4"), ("run", "<u8"), ("key", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("size", "<u2")])
@@ -78,11 +80,26 @@ def runs_of(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: in
 
 
 def dealt_runs(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, done, runs): packed runs by bucket of their anchor. Runs that a smaller document in the same chunk has too are `done`."""
+    """(bucket, done, runs): packed runs by bucket of their anchor. Runs that a smaller document among those packed together has too are `done`."""
+
+    def dealt(parts: list[np.ndarray], buckets_of: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows, bucket = np.concatenate(parts), np.concatenate(buckets_of)
+        order = np.lexsort((rows["key"], rows["run"], rows["anchor"], bucket))
+        rows, bucket = rows[order], bucket[order]
+        same = np.zeros(len(rows), bool)
+        same[1:] = (bucket[1:] == bucket[:-1]) & (rows["anchor"][1:] == rows["anchor"][:-1]) & (rows["run"][1:] == rows["run"][:-1])
+        done = rows["key"] > rows["key"][np.maximum.accumulate(np.where(same, 0, np.arange(len(rows))))]
+        for flag in (False, True):
+            some, of = rows[done == flag], bucket[done == flag]
+            if len(of):
+                cut = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
+                packed = [_pack(some[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.record_batch([pa.array(of[cut[:-1]], pa.int64()), pa.array([flag] * len(packed), pa.bool_()), pa.array(packed, pa.binary())], names=["bucket", "done", "runs"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, buckets_of, held = [], [], 0
         for batch in batches:
-            for part, data, bounds in in_chunks(batch, "text"):
+            for part, data, bounds in in_chunks(batch, "text", CHUNK_BYTES):
                 text, start, size, anchor, run = runs_of(data, bounds)
                 if not len(text):
                     continue
@@ -90,18 +107,14 @@ def dealt_runs(docs: DataFrame, buckets: int) -> DataFrame:
                 rows["anchor"], rows["run"] = anchor.astype(np.uint32), run >> np.uint64(16)
                 rows["key"], rows["tag"] = part.column(0).to_numpy()[text], part.column(1).to_numpy()[text]
                 rows["start"], rows["size"] = start, size
-                bucket = ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((rows["key"], rows["run"], rows["anchor"], bucket))
-                rows, bucket = rows[order], bucket[order]
-                same = np.zeros(len(rows), bool)
-                same[1:] = (bucket[1:] == bucket[:-1]) & (rows["anchor"][1:] == rows["anchor"][:-1]) & (rows["run"][1:] == rows["run"][:-1])
-                least = rows["key"][np.maximum.accumulate(np.where(same, 0, np.arange(len(rows))))]
-                done = rows["key"] > least
-                for flag in (False, True):
-                    some, of = rows[done == flag], bucket[done == flag]
-                    cut = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]]) if len(of) else [0]
-                    packed = [_pack(some[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                    yield pa.record_batch([pa.array(of[cut[:-1]] if len(of) else [], pa.int64()), pa.array([flag] * len(packed), pa.bool_()), pa.array(packed, pa.binary())], names=["bucket", "done", "runs"])
+                parts.append(rows)
+                buckets_of.append(((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
+                held += len(rows)
+                if held >= HELD_RUNS:
+                    yield from dealt(parts, buckets_of)
+                    parts, buckets_of, held = [], [], 0
+        if held:
+            yield from dealt(parts, buckets_of)
 
     return docs.select("key", "tag", "text").mapInArrow(work, "bucket long, done boolean, runs binary")
 
