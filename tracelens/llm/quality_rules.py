@@ -84,8 +84,8 @@ def _sigmoid(x: float) -> float:
 def fit_rules(patterns: list[tuple[tuple[int, ...], int]], rules: int = 0, rounds: int = 50, prior_good: float = 0.8) -> tuple[float, list[dict[int, float]]]:
     """(log odds of good, per rule {vote: log likelihood ratio}) by expectation-maximisation over pattern counts.
 
-    Starts with a bad vote weighing more than a good one, as rules are set to be silent on clean texts. Pseudo-counts tie each rule to being right more often than wrong, so that the two
-    classes can't swap; an abstention says nothing.
+    Starts with a bad vote weighing more than a good one, as rules are set to be silent on clean texts. Pseudo-counts
+    tie each rule to being right more often than wrong, so that the two classes can't swap; an abstention says nothing.
     """
     k = len(patterns[0][0]) if patterns else rules
     prior_good_odds = math.log(prior_good / (1 - prior_good))
