@@ -42,6 +42,26 @@ flow AS (SELECT *, CAST(floor(target) AS BIGINT) AS f FROM target),
 placed AS (SELECT d.doc_id, d.size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE f // source_size END AS passes, CASE WHEN source_size = 0 THEN 0 ELSE f % source_size END AS rest, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY place, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM docs d JOIN flow ON flow.source IS NOT DISTINCT FROM d.source)
 SELECT doc_id, size, source_size, target, CAST((passes + CASE WHEN rest > 0 AND 2 * ahead + size <= 2 * rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM placed
 """
+#: CRC-32 is linear: each bit of each byte adds what it grows to over the bytes after it, which `step` gives by distance.
+SHARDING = """
+WITH RECURSIVE texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (SELECT r, len(h) // 2 - generate_subscripts(regexp_extract_all(h, '..'), 1) AS d, unnest(regexp_extract_all(h, '..')) AS x FROM texts),
+step(d, v) AS (
+  SELECT 0, list_append(list_transform(range(8), lambda k: list_reduce([CAST(1 << k AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384))), 4294967295)
+  UNION ALL
+  SELECT d + 1, list_transform(v, lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384))) FROM step WHERE d < (SELECT max(len(h) // 2) FROM texts)),
+codes AS (SELECT r, d, 16 * (strpos('0123456789ABCDEF', x[1]) - 1) + strpos('0123456789ABCDEF', x[2]) - 1 AS b FROM bytes),
+parts AS (SELECT r, bit_xor(xor(xor(xor((b & 1) * v[1], (b >> 1 & 1) * v[2]), xor((b >> 2 & 1) * v[3], (b >> 3 & 1) * v[4])), xor(xor((b >> 4 & 1) * v[5], (b >> 5 & 1) * v[6]), xor((b >> 6 & 1) * v[7], (b >> 7 & 1) * v[8])))) AS c FROM codes JOIN step USING (d) GROUP BY r),
+sums AS (SELECT r, doc_id, CAST(len(h) // 2 + 16 AS BIGINT) AS size, CAST(xor(xor(coalesce(c, 0), v[9]), 4294967295) AS BIGINT) AS text_crc32 FROM texts JOIN step ON d = len(h) // 2 LEFT JOIN parts USING (r)),
+walk(r, n, key, b, j) AS (
+  SELECT r, n, (CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE doc_id::HUGEINT END), -1::BIGINT, 0::BIGINT FROM texts, (VALUES (40), (41)) s(n)
+  UNION ALL
+  SELECT r, n, k, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / ((k // 8589934592)::DOUBLE + 1.0))) AS BIGINT) FROM (SELECT r, n, j, (key * 2862933555777941757 + 1) % 18446744073709551616 AS k FROM walk WHERE j < n)),
+landed AS (SELECT r, CAST(max(CASE WHEN n = 40 THEN b END) AS INTEGER) AS shard, CAST(max(CASE WHEN n = 41 THEN b END) AS INTEGER) AS grown_shard FROM walk WHERE j >= n GROUP BY r)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), doc_id, text_crc32, size) - 1 AS slot, grown_shard
+FROM sums JOIN landed USING (r)
+"""
+
 
 def llm_sql() -> dict[str, str]:
-    return {"op5_ngram_join": NGRAM_JOIN, "op6_decontamination": DECONTAMINATION, "op8_mixing": MIXING}
+    return {"op5_ngram_join": NGRAM_JOIN, "op6_decontamination": DECONTAMINATION, "op8_mixing": MIXING, "op9_sharding": SHARDING}
