@@ -1,10 +1,13 @@
 """N-gram Jaccard join with a token-group matrix; exact.
 
-1. A text becomes the set of its 3-word shingles; equal sets become one.
-2. Sets that may link are partitioned into groups of similar ones. Two sets at Jaccard 0.9 differ in at most
-   (n + m) / 19 shingles; if hash space is cut into one part more, at least one part is the same in both. Sets that
-   agree on a part meet there, at the part's smallest set, and whatever is connected so is one group. A part holds about
-   nine shingles, so unlike sets don't meet, however common their words, lines or passages are.
+1. A text becomes the set of its shingles, of as many words as the rule says; equal sets become one.
+2. Sets that may link are partitioned into groups of similar ones. Two sets at Jaccard t differ in at most
+   (n + m) (1 - t) / (1 + t) shingles; if hash space is cut into one part more, at least one part is the same in both.
+   Sets that agree on a part meet there, at the part's smallest set, and whatever is connected so is one group. At 0.9 a
+   part holds about nine shingles, so unlike sets don't meet, however common their words, lines or passages are. At 0.8 it
+   holds half as many, and parts of one or none are frequent; so some are spare: with e parts more, e + 1 parts are the
+   same, and a set with at most e such weak parts leaves them out. Unlike sets that still meet are told apart by sketches:
+   the parities of their shingles in up to `BITS` cells differ in no more cells than the sets do in shingles.
 3. Each group is taken up by one task; one of over `MOST` sets is cut into blocks, and each pair of blocks is a task.
    There the sets are ordered by likeness and cut into small groups of which a matrix holds the token unions. A query's
    overlap with a group's union bounds its overlap with each member; only qualifying groups are opened and counted.
@@ -15,6 +18,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -27,9 +31,26 @@ from tracelens.llm.common import in_chunks, materialise
 from tracelens.llm.components import connected_components
 from tracelens.llm.hashing import mix, prefix_hash, span_hash, word_spans
 
-WIDTH = 3
+
+@dataclass(frozen=True)
+class Rule:
+    """Sets of `width`-word shingles link at a Jaccard of `percent` / 100; one part in `spare` is spare, none if 0."""
+
+    width: int
+    percent: int
+    spare: int = 0
+
+    def differ(self, sizes: int) -> int:
+        """The most shingles by which linked sets with `sizes` shingles in all differ."""
+        return sizes * (100 - self.percent) // (100 + self.percent)
+
+
+#: The contract of op5, and the rule of near-copy stages.
+OP5, STAGE = Rule(3, 90), Rule(5, 80, 8)
 #: Sets that one task holds of a group or block, and members of a group in the token-group matrix.
 MOST, MEMBERS = 512, 32
+#: Cells of a sketch, rows of meeting sets in one task, and sets of a part that are compared each with each at once.
+BITS, MET_ROWS, FEW = 4096, 50_000, 32
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -38,15 +59,17 @@ _TO_LOWER[65:91] += 32
 _ONE, _TWO, _THREE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; fewer than WIDTH words: one shingle of all; none: empty."""
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int = OP5.width) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; fewer than `width` words: one shingle of all; none: empty."""
     start, end = word_spans(~_BLANK[data], bounds)
     words = span_hash(prefix_hash(_TO_LOWER[data]), start, end)
     cut = np.searchsorted(start, bounds)
-    third = mix(mix(mix(words[:-2] * _ONE) + words[1:-1] * _TWO) + words[2:] * _THREE) if len(words) >= WIDTH else words[:0]
+    whole = mix(words * _ONE)
+    for k in range(1, width):
+        whole = mix(whole[:-1] + words[k:] * (_TWO if k % 2 else _THREE))
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if b - a >= WIDTH:
-            yield np.unique(third[a : b - WIDTH + 1])
+        if b - a >= width:
+            yield np.unique(whole[a : b - width + 1])
         elif b > a:
             yield mix(mix(np.cumsum(words[a:b] * _ONE)[-1:] + words[a : a + 1] * _TWO) + np.uint64(b - a))
         else:
@@ -58,12 +81,12 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int(mix(mix(tokens).sum(keepdims=True) + np.uint64(len(tokens)))[0].astype(np.int64)) if len(tokens) else 0
 
 
-def size_classes(most: int) -> np.ndarray:
-    """Where size classes begin; sizes within a factor of 0.9 are in the same class or in neighbours."""
+def size_classes(most: int, rule: Rule = OP5) -> np.ndarray:
+    """Where size classes begin; sizes within a factor of the rule's Jaccard are in the same class or in neighbours."""
     starts = [1]
     while starts[-1] <= most:
-        starts.append(starts[-1] * 10 // 9 + 1)
-    return np.array([*starts, starts[-1] * 10 // 9 + 1, 2 * starts[-1] * 10 // 9], np.int64)
+        starts.append(starts[-1] * 100 // rule.percent + 1)
+    return np.array([*starts, starts[-1] * 100 // rule.percent + 1, 2 * starts[-1] * 100 // rule.percent], np.int64)
 
 
 @lru_cache(4096)
@@ -72,45 +95,59 @@ def _edges(parts: int) -> np.ndarray:
     return np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
 
 
-def part_hashes(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """A hash for each part of hash space, cut as the set's own size class and the one below it ask."""
+def part_hashes(tokens: np.ndarray, classes: np.ndarray, rule: Rule = OP5) -> np.ndarray:
+    """A hash for each part of hash space, cut as the set's own size class and the one below it ask.
+
+    Linked sets have one part more than the spare ones in common; so parts of under two shingles go if no more are spare.
+    """
     upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens ^ _TWO))])
     own = int(np.searchsorted(classes, len(tokens), side="right")) - 1
     out = []
     for c in (own, own - 1):
-        parts = (int(classes[c + 1]) - 1 + int(classes[c + 2]) - 1) // 19 + 1 if c >= 0 else 0
-        if parts:
+        if c >= 0:
+            apart = rule.differ(int(classes[c + 1]) - 1 + int(classes[c + 2]) - 1)
+            spare = apart // rule.spare if rule.spare else 0
+            parts = apart + spare + 1
             cut = np.concatenate([[0], np.searchsorted(tokens, _edges(parts)), [len(tokens)]])
-            out.append(mix(mix(upto[cut[1:]] - upto[cut[:-1]] + np.array([c], np.uint64) * _THREE) + np.arange(parts, dtype=np.uint64) * _ONE))
+            hashes = mix(mix(upto[cut[1:]] - upto[cut[:-1]] + np.array([c], np.uint64) * _THREE) + np.arange(parts, dtype=np.uint64) * _ONE)
+            strong = np.diff(cut) > 1
+            out.append(hashes[strong] if parts - np.count_nonzero(strong) <= spare else hashes)
     return np.concatenate(out)
 
 
-def set_table(docs: DataFrame) -> DataFrame:
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """The parity of the tokens in each of 2^k cells, as uint64 words: one cell a token or more, from 64 up to BITS."""
+    bits = min(BITS, max(64, 1 << (len(tokens) - 1).bit_length()))
+    odd = np.bincount((mix(tokens ^ _THREE) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def set_table(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
     """(doc_id, n, fp) of every document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, bounds in in_chunks(batch, "text"):
-                sets = [(len(s), fingerprint(s)) for s in shingle_sets(data, bounds)]
+                sets = [(len(s), fingerprint(s)) for s in shingle_sets(data, bounds, rule.width)]
                 yield pa.record_batch([part.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([f for _, f in sets], pa.int64())], names=["doc_id", "n", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n long, fp long")
 
 
-def part_table(docs: DataFrame) -> DataFrame:
+def part_table(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
     """(part, fp): where sets meet; a set seen before in the same task is left out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, classes = set(), size_classes(1 << 24)
+        seen, classes = set(), size_classes(1 << 24, rule)
         for batch in batches:
             for _, data, bounds in in_chunks(batch, "text"):
                 parts, fps = [], []
-                for s in shingle_sets(data, bounds):
+                for s in shingle_sets(data, bounds, rule.width):
                     if len(s) and (fp := fingerprint(s)) not in seen:
                         seen.add(fp)
                         if len(s) >= classes[-3]:
-                            classes = size_classes(2 * len(s))
-                        parts.append(part_hashes(s, classes))
+                            classes = size_classes(2 * len(s), rule)
+                        parts.append(part_hashes(s, classes, rule))
                         fps.append(np.full(len(parts[-1]), fp, np.int64))
                 if parts:
                     yield pa.record_batch([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(fps))], names=["part", "fp"])
@@ -118,7 +155,92 @@ def part_table(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(work, "part long, fp long")
 
 
-def token_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def sketch_table(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(fp, n, sketch) of every set with shingles."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, bounds in in_chunks(batch, "text"):
+                sets = [s for s in shingle_sets(data, bounds, rule.width) if len(s)]
+                columns = [[fingerprint(s) for s in sets], [len(s) for s in sets], [sketch(s).tobytes() for s in sets]]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["fp", "n", "sketch"])
+
+    return docs.select("text").mapInArrow(work, "fp long, n long, sketch binary").dropDuplicates(["fp"])
+
+
+def _may_link(sketches: dict[int, np.ndarray], bits: np.ndarray, row: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, rule: Rule) -> np.ndarray:
+    """Whether sets a and b (indexes of equal shape) may link by their sizes and sketches; the longer sketch is folded."""
+    out = 100 * np.minimum(n[a], n[b]) >= rule.percent * np.maximum(n[a], n[b])
+    for width in np.unique(np.minimum(bits[a], bits[b])):
+        at = np.flatnonzero(out & (np.minimum(bits[a], bits[b]) == width))
+        for cut in range(0, len(at), 1 << 16):
+            some = at[cut : cut + (1 << 16)]
+            ends = []
+            for side in (a[some], b[some]):
+                words = np.empty((len(side), width), np.uint64)
+                for w in np.unique(bits[side]):
+                    mine = bits[side] == w
+                    words[mine] = np.bitwise_xor.reduce(sketches[int(w)][row[side[mine]]].reshape(-1, w // width, width), axis=1)
+                ends.append(words)
+            apart = np.bitwise_count(ends[0] ^ ends[1]).sum(axis=1, dtype=np.int64)
+            out[some] = apart * (100 + rule.percent) <= (n[a[some]] + n[b[some]]) * (100 - rule.percent)
+    return out
+
+
+def likely_links(rows: pd.DataFrame, rule: Rule) -> pd.DataFrame:
+    """(a, b) of sets that meet in a part of `rows` (part, fp, n, sketch) and may link; of large parts, links that span these."""
+    once = rows.drop_duplicates("fp")
+    fps, n = once["fp"].to_numpy(), once["n"].to_numpy()
+    bits = once["sketch"].str.len().to_numpy() // 8
+    row, sketches = np.zeros(len(fps), np.int64), {}
+    for w in np.unique(bits):
+        mine = np.flatnonzero(bits == w)
+        row[mine] = np.arange(len(mine))
+        sketches[int(w)] = np.frombuffer(b"".join(once["sketch"].iloc[mine]), np.uint64).reshape(-1, w)
+    part, ids = rows["part"].to_numpy(), pd.Index(fps).get_indexer(rows["fp"].to_numpy())
+    order = np.lexsort((ids, part))
+    part, ids = part[order], ids[order]
+    head = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    size = np.diff(np.concatenate([head, [len(part)]]))
+    firsts, seconds = [], []
+    for k in np.unique(size[size <= FEW]):
+        i, j = np.triu_indices(k, 1)
+        begin = head[size == k][:, None]
+        firsts.append(ids[begin + i].ravel())
+        seconds.append(ids[begin + j].ravel())
+    found = []
+    if firsts:
+        pairs = np.unique(np.concatenate(firsts) * len(fps) + np.concatenate(seconds))
+        a, b = pairs // len(fps), pairs % len(fps)
+        good = _may_link(sketches, bits, row, n, a, b, rule)
+        found.append((a[good], b[good]))
+    for h, k in zip(head[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+        free = ids[h : h + k]
+        while len(free):
+            todo, free = [free[0]], free[1:]
+            while todo and len(free):
+                q = np.full(len(free), todo.pop())
+                good = _may_link(sketches, bits, row, n, q, free, rule)
+                found.append((q[good], free[good]))
+                todo += free[good].tolist()
+                free = free[~good]
+    a, b = (np.concatenate([f[side] for f in found]) if found else np.zeros(0, np.int64) for side in (0, 1))
+    return pd.DataFrame({"a": fps[a], "b": fps[b]}).drop_duplicates()
+
+
+def meeting_links(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): links that connect all sets which may link."""
+    meeting, parts = Window.partitionBy("part"), part_table(docs, rule)
+    if not rule.spare:
+        return parts.withColumn("b", F.min("fp").over(meeting)).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    ends = parts.withColumn("low", F.min("fp").over(meeting)).withColumn("high", F.max("fp").over(meeting))
+    met = materialise(ends.where("low <> high").select("part", "fp").distinct(), "met")
+    buckets = 1 + met.count() // MET_ROWS
+    rows = met.join(sketch_table(docs, rule), "fp").withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)))
+    return rows.groupBy("bucket").applyInPandas(lambda some: likely_links(some, rule), "a long, b long").distinct()
+
+
+def token_table(docs: DataFrame, wanted: DataFrame, rule: Rule = OP5) -> DataFrame:
     """The sets of `wanted` (doc_id, fp, more columns), with `tokens` as bytes."""
     columns = [c for c in wanted.columns if c != "doc_id"]
     joined = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(wanted.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("doc_id")))
@@ -127,7 +249,7 @@ def token_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, bounds in in_chunks(batch, "text"):
-                sets = list(shingle_sets(data, bounds))
+                sets = list(shingle_sets(data, bounds, rule.width))
                 same = [i for i, (s, fp) in enumerate(zip(sets, part.column("fp").to_pylist(), strict=True)) if fingerprint(s) == fp]
                 kept = part.take(pa.array(same, pa.int64()))
                 yield pa.record_batch([*[kept.column(c) for c in columns], pa.array([sets[i].tobytes() for i in same], pa.binary())], names=[*columns, "tokens"])
@@ -135,8 +257,8 @@ def token_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.select("text", *columns).mapInArrow(work, schema)
 
 
-def classes_of(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set the index of its class: sets at 100 * overlap >= 90 * union, and whatever these connect."""
+def classes_of(sets: list[np.ndarray], percent: int = OP5.percent) -> np.ndarray:
+    """For each set the index of its class: sets at 100 * overlap >= percent * union, and whatever these connect."""
     sizes = np.array([len(s) for s in sets])
     order = sorted(range(len(sets)), key=lambda i: (sets[i][0], sizes[i]))  # like sets mostly share their smallest token
     flat = np.concatenate([sets[i] for i in order])
@@ -158,13 +280,13 @@ def classes_of(sets: list[np.ndarray]) -> np.ndarray:
             label[q] = seed
             own, n = ids[at[q] : at[q + 1]], size[q]
             bound = union[:, own].sum(axis=1)
-            fits = (100 * bound >= 90 * (n + smallest - np.minimum(bound, smallest))) & (10 * largest >= 9 * n) & (10 * n >= 9 * smallest)
+            fits = (100 * bound >= percent * (n + smallest - np.minimum(bound, smallest))) & (100 * largest >= percent * n) & (100 * n >= percent * smallest)
             query[own] = True
             for g in np.flatnonzero(fits):
                 a, b = groups[g], min(groups[g] + MEMBERS, len(order))
                 if free[a:b].any():
                     both = np.add.reduceat(query[ids[at[a] : at[b]]].astype(np.int64), at[a:b] - at[a])
-                    linked = a + np.flatnonzero((100 * both >= 90 * (n + size[a:b] - both)) & free[a:b])
+                    linked = a + np.flatnonzero((100 * both >= percent * (n + size[a:b] - both)) & free[a:b])
                     free[linked] = False
                     todo += linked.tolist()
             query[own] = False
@@ -173,30 +295,28 @@ def classes_of(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _spanning_links(rows: pd.DataFrame) -> pd.DataFrame:
+def _spanning_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     rows = rows.drop_duplicates("fp")
     fps = rows["fp"].to_numpy()
-    to = classes_of([np.frombuffer(t, np.uint64) for t in rows["tokens"]])
+    to = classes_of([np.frombuffer(t, np.uint64) for t in rows["tokens"]], percent)
     apart = to != np.arange(len(fps))
     return pd.DataFrame({"a": fps[apart], "b": fps[to[apart]]})
 
 
-def link_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
+def link_sets(docs: DataFrame, sets: DataFrame, rule: Rule = OP5) -> DataFrame:
     """(a, b): links between set fingerprints that span all classes."""
-    meeting = Window.partitionBy("part")
-    met = part_table(docs).withColumn("b", F.min("fp").over(meeting)).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-    groups = materialise(connected_components(met), "groups")
+    groups = materialise(connected_components(meeting_links(docs, rule)), "groups")
     blocks = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / MOST).cast("int").alias("blocks"))
     keepers = sets.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     wanted = groups.join(blocks, "root").join(keepers, groups["node"] == keepers["fp"]).select("doc_id", "fp", "root", "blocks")
-    tokens = token_table(docs, wanted).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    tokens = token_table(docs, wanted, rule).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block")))
     placed = tokens.withColumn("other", F.explode(other))
     keyed = placed.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "tokens")
-    return keyed.groupBy("root", "i", "j").applyInPandas(_spanning_links, "a long, b long")
+    return keyed.groupBy("root", "i", "j").applyInPandas(lambda rows: _spanning_links(rows, rule.percent), "a long, b long")
 
 
-def ngram_components(docs: DataFrame) -> DataFrame:
+def ngram_components(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
     Null, empty or blank texts have no shingles and are their own component. Equal texts, and repeated rows, share one;
@@ -204,8 +324,8 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     An empty table gives no rows; other columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    sets = materialise(set_table(docs), "sets")
-    links = materialise(link_sets(docs, sets.where("n > 0")), "spans")
+    sets = materialise(set_table(docs, rule), "sets")
+    links = materialise(link_sets(docs, sets.where("n > 0"), rule), "spans")
     roots = connected_components(links)
     owners = sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"))
     owners = owners.join(roots, owners["fp"] == roots["node"], "left").withColumn("class", F.coalesce("root", "fp"))
@@ -215,12 +335,12 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
     """One document of each component, that with the smallest id, with all its columns; texts without words all stay.
 
     Rows that repeat the id of the document kept are told apart by a hash of the text, then one of equal rows stays.
     """
-    found = ngram_components(docs)
+    found = ngram_components(docs, rule)
     losers = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
     marked = docs.withColumn("_tag", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     kept = marked.join(losers, "doc_id", "left_anti")
