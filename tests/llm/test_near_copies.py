@@ -62,3 +62,26 @@ def test_parts_and_sketches_of_linked_sets_meet():
                 rows = pd.DataFrame({"part": [1, 1], "fp": [7, 8], "n": [len(a), len(b)], "sketch": [ngram_join.sketch(s).tobytes() for s in (a, b)]})
                 assert len(ngram_join.likely_links(rows, STAGE)) == 1
     assert linked > 100
+
+
+def test_each_row_is_judged_by_its_own_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [
+        (1, a),
+        (2, a + " end"),  # a copy of 1; the other text of id 2 is clean
+        (2, b),
+        (3, c),
+        (3, c + " end"),  # shares the id of the row kept, but is a near copy of it
+        (3, c),
+        (None, a + " tail"),  # a copy of a row with an id
+        (None, "only without ids " + c[: len(c) // 2]),
+        (None, "Only without ids " + c[: len(c) // 2]),  # an equal set, without an id too
+        (None, " "),
+        (None, " "),
+        (None, None),
+        (4, ""),
+        (4, ""),
+    ]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), STAGE).collect()
+    got = Counter((r.doc_id, (r.text or "").lower().removesuffix(" end")) for r in kept)
+    assert got == Counter([(1, a), (2, b), (3, c), (None, "only without ids " + c[: len(c) // 2]), (None, " "), (None, " "), (None, ""), (4, "")])

@@ -24,10 +24,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import in_chunks, materialise
+from tracelens.llm.common import BLANK_WORD, in_chunks, materialise
 from tracelens.llm.components import connected_components
 from tracelens.llm.hashing import mix, prefix_hash, span_hash, word_spans
 
@@ -122,16 +122,21 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def text_tag() -> Column:
+    """Tells texts apart where ids are equal or null."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def set_table(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
-    """(doc_id, n, fp) of every document."""
+    """(doc_id, tag, n, fp) of every document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, bounds in in_chunks(batch, "text"):
                 sets = [(len(s), fingerprint(s)) for s in shingle_sets(data, bounds, rule.width)]
-                yield pa.record_batch([part.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([f for _, f in sets], pa.int64())], names=["doc_id", "n", "fp"])
+                yield pa.record_batch([part.column(0), part.column(1), pa.array([n for n, _ in sets], pa.int64()), pa.array([f for _, f in sets], pa.int64())], names=["doc_id", "tag", "n", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_tag().alias("tag"), "text").mapInArrow(work, "doc_id long, tag long, n long, fp long")
 
 
 def part_table(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
@@ -241,9 +246,10 @@ def meeting_links(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def token_table(docs: DataFrame, wanted: DataFrame, rule: Rule = OP5) -> DataFrame:
-    """The sets of `wanted` (doc_id, fp, more columns), with `tokens` as bytes."""
-    columns = [c for c in wanted.columns if c != "doc_id"]
-    joined = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(wanted.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("doc_id")))
+    """The sets of `wanted` (doc_id, tag, fp, more columns), with `tokens` as bytes."""
+    columns = [c for c in wanted.columns if c not in ("doc_id", "tag")]
+    tagged = docs.select(F.col("doc_id").cast("long").alias("_id"), text_tag().alias("_tag"), "text")
+    joined = tagged.join(wanted.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tag") == F.col("tag")))
     schema = ", ".join(f"{c} {t}" for c, t in wanted.dtypes if c in columns) + ", tokens binary"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,8 +313,8 @@ def link_sets(docs: DataFrame, sets: DataFrame, rule: Rule = OP5) -> DataFrame:
     """(a, b): links between set fingerprints that span all classes."""
     groups = materialise(connected_components(meeting_links(docs, rule)), "groups")
     blocks = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / MOST).cast("int").alias("blocks"))
-    keepers = sets.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    wanted = groups.join(blocks, "root").join(keepers, groups["node"] == keepers["fp"]).select("doc_id", "fp", "root", "blocks")
+    keepers = sets.groupBy("fp").agg(F.min(F.struct("doc_id", "tag")).alias("k")).select("fp", "k.doc_id", "k.tag")
+    wanted = groups.join(blocks, "root").join(keepers, groups["node"] == keepers["fp"]).select("doc_id", "tag", "fp", "root", "blocks")
     tokens = token_table(docs, wanted, rule).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block")))
     placed = tokens.withColumn("other", F.explode(other))
@@ -316,6 +322,13 @@ def link_sets(docs: DataFrame, sets: DataFrame, rule: Rule = OP5) -> DataFrame:
     return keyed.groupBy("root", "i", "j").applyInPandas(lambda rows: _spanning_links(rows, rule.percent), "a long, b long")
 
 
+def set_classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """The set table, and (node, root) of sets that are linked."""
+    sets = materialise(set_table(docs, rule), "sets")
+    links = materialise(link_sets(docs, sets.where("n > 0"), rule), "spans")
+    return sets, connected_components(links)
+
+
 def ngram_components(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
@@ -324,9 +337,7 @@ def ngram_components(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
     An empty table gives no rows; other columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    sets = materialise(set_table(docs, rule), "sets")
-    links = materialise(link_sets(docs, sets.where("n > 0"), rule), "spans")
-    roots = connected_components(links)
+    sets, roots = set_classes(docs, rule)
     owners = sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"))
     owners = owners.join(roots, owners["fp"] == roots["node"], "left").withColumn("class", F.coalesce("root", "fp"))
     least = owners.groupBy("class").agg(F.min("first").alias("component_id"))
@@ -338,10 +349,16 @@ def ngram_components(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
 def keep_one(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
     """One document of each component, that with the smallest id, with all its columns; texts without words all stay.
 
-    Rows that repeat the id of the document kept are told apart by a hash of the text, then one of equal rows stays.
+    Each row goes or stays by its own text: ids that are null come after all others, equal ids are told apart by a hash of
+    the text, and of rows equal in both one stays. Rows without words are equal only if they have an id.
     """
-    found = ngram_components(docs, rule)
-    losers = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    marked = docs.withColumn("_tag", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    kept = marked.join(losers, "doc_id", "left_anti")
-    return kept.select(*docs.columns, "_tag").dropDuplicates(["doc_id", "_tag"]).select(*docs.columns)
+    sets, roots = set_classes(docs.select("doc_id", "text"), rule)
+    worded = sets.where("n > 0").join(roots, F.col("fp") == F.col("node"), "left").withColumn("class", F.coalesce("root", "fp"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
+    first = worded.groupBy("class").agg(F.min(place).alias("first"))
+    losers = worded.join(first, "class").where(place != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_of")).distinct()
+    marked = docs.withColumn("_tag", text_tag())
+    bare = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(BLANK_WORD)
+    judged = marked.where(~bare).join(losers, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_tag") == F.col("_of")), "left_anti")
+    kept = judged.dropDuplicates(["doc_id", "_tag"]).unionByName(marked.where(bare))
+    return kept.select(*docs.columns)
