@@ -31,14 +31,14 @@ def average_correlation(each: DataFrame, by: list[str]) -> DataFrame:
     return each.groupBy(*by).agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"), F.min("r").alias("min"), F.max("r").alias("max"), F.count("r").alias("n"))
 
 
-def distance_correlation(df: DataFrame, x: str, y: str, key: str = "msname", order: str = "pos", most: int = 512) -> DataFrame:
-    """(key, dcor) over the first `most` rows of each series: pairs of a series against itself, in blocks by row.
+def distance_correlation(df: DataFrame, x: str, y: str, key: str = "msname", order: str = "pos", most: int | None = None) -> DataFrame:
+    """(key, dcor) over all rows of each series, or the first `most`: pairs of a series against itself, in blocks by row.
 
     dCov2 = mean(a b) - 2 mean_i(a_i. b_i.) + a.. b.., so only row means are kept and no n x n matrix; 0 for fewer than
-    two rows or no variance. `most` is part of the statistic, as the cost is its square.
+    two rows or no variance. The cost is the square of the rows.
     """
-    rows = df.where(F.col(order) < most).select(key, F.col(order).alias("i"), F.col(x).alias("x"), F.col(y).alias("y"))
-    series = rows.groupBy(key).agg(F.collect_list(F.struct("x", "y")).alias("s"))  # at most `most` rows
+    rows = (df if most is None else df.where(F.col(order) < most)).select(key, F.col(order).alias("i"), F.col(x).alias("x"), F.col(y).alias("y"))
+    series = rows.groupBy(key).agg(F.collect_list(F.struct("x", "y")).alias("s"))
     each = rows.join(series, key).select(key, "i", F.transform("s", lambda r: F.abs(r["x"] - F.col("x"))).alias("a"), F.transform("s", lambda r: F.abs(r["y"] - F.col("y"))).alias("b"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
     dot = lambda c, d: total(F.zip_with(c, d, lambda u, v: u * v))
@@ -51,12 +51,12 @@ def distance_correlation(df: DataFrame, x: str, y: str, key: str = "msname", ord
     return m.select(key, F.when((F.col("n") < 2) | (spread < 1e-12), 0.0).otherwise(F.sqrt(cov / F.when(spread >= 1e-12, spread))).alias("dcor"))
 
 
-def sample_entropy(df: DataFrame, value: str, key: str = "msname", order: str = "pos", m: int = 2, r_frac: float = 0.2, most: int = 1000) -> DataFrame:
+def sample_entropy(df: DataFrame, value: str, key: str = "msname", order: str = "pos", m: int = 2, r_frac: float = 0.2, most: int | None = None) -> DataFrame:
     """(key, entropy): -ln(A / B), A and B the pairs of templates of m + 1 and m rows within r_frac of the std.
 
-    Over the first `most` rows, which is part of the statistic; null for short or flat series or without matches.
+    Over all rows, or the first `most`; null for short or flat series or without matches. The cost is the square of the rows.
     """
-    rows = df.where(F.col(order) < most)
+    rows = df if most is None else df.where(F.col(order) < most)
     series = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]).alias("v"), (F.stddev_samp(value) * r_frac).alias("r"))
     series = series.where((F.size("v") > m + 1) & (F.col("r") > 0))
     starts = series.select(key, "v", "r", F.posexplode(F.slice("v", 1, F.size("v") - m)).alias("i", "_first"))

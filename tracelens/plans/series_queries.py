@@ -183,7 +183,7 @@ def c4_average_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH s AS (SELECT msname, pos, cpu AS x, mem AS y FROM series_hourly WHERE abs(pos) < 512), p AS (SELECT u.msname, u.pos AS i, abs(u.x - v.x) AS da, abs(u.y - v.y) AS db FROM s u JOIN s v ON u.msname = v.msname), r AS (SELECT msname, i, avg(da) AS ra, avg(db) AS rb, avg(da * db) AS ab, avg(da * da) AS aa, avg(db * db) AS bb FROM p GROUP BY ALL), m AS (SELECT msname, avg(ra) AS mra, avg(rb) AS mrb, avg(ra * rb) AS rab, avg(ra * ra) AS raa, avg(rb * rb) AS rbb, avg(ab) AS mab, avg(aa) AS maa, avg(bb) AS mbb FROM r GROUP BY msname) SELECT msname, R(sqrt(greatest(mab - 2 * rab + mra * mrb, 0) / sqrt((maa - 2 * raa + mra * mra) * (mbb - 2 * rbb + mrb * mrb)));R) AS dcor FROM m", digits=6)
 def c3_j10_distance_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dependence.distance_correlation(views.series_hourly(spark, sf_dir), "cpu", "mem")
+    return dependence.distance_correlation(views.series_hourly(spark, sf_dir), "cpu", "mem", most=512)
 
 
 @query("WITH s AS (SELECT msname, pos, round(cpu, 9) AS v, lead(round(cpu, 9), 1) OVER w AS v1, lead(round(cpu, 9), 2) OVER w AS v2 FROM series_hourly WHERE pos < 300 WINDOW w AS (PARTITION BY msname ORDER BY pos)), r AS (SELECT msname, stddev_samp(v) * 0.2::DOUBLE AS r FROM s GROUP BY msname), p AS (SELECT a.msname, count(*) AS b, count(CASE WHEN abs(a.v2 - b.v2) <= r THEN 1 END) AS a FROM s a JOIN s b ON a.msname = b.msname AND a.pos < b.pos JOIN r ON r.msname = a.msname WHERE a.v2 IS NOT NULL AND b.v2 IS NOT NULL AND abs(a.v - b.v) <= r AND abs(a.v1 - b.v1) <= r GROUP BY ALL) SELECT msname, R(-ln(a / b);R) AS entropy FROM p")
@@ -194,7 +194,7 @@ def g3_sample_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def g4_entropy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = series.with_positions(views.load_hourly(spark, sf_dir))
-    return dependence.entropy_groups(rows, dependence.sample_entropy(rows, "load", most=300))
+    return dependence.entropy_groups(rows, dependence.sample_entropy(rows, "load"))
 
 
 @query()
