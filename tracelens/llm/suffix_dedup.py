@@ -1,21 +1,29 @@
-"""Suffix-array dedup: removes every byte under a 50-byte string that also starts in a document with a smaller id; exact.
+"""Suffix-array dedup: removes every byte under a 50-byte string that also starts in a document with a smaller doc_id.
 
 Suffixes need ordering only through their first 50 bytes, and only where they can be equal. So
 
 1. Every window of 50 bytes names an anchor, its smallest 16-byte gram by hash: equal windows name equal anchors. The
-   windows that share an anchor are a run; a text has about one run for 17 bytes. Runs are packed and dealt by anchor.
+   windows that share an anchor are a run; a text has about one run for 17 bytes. Where a text repeats itself at once (a
+   line of dashes) equal runs follow each other; these are one row with a count. Runs are packed and dealt by anchor.
 2. Runs whose anchors meet those of other documents are told apart by a hash of the whole run: a run that a smaller
    document has too is repeated as a whole. Of unlike runs with one anchor (where passages begin and end) the bytes are
    fetched.
 3. Their windows are radix sorted, most significant digit first, eight bytes a pass, and not beyond the 50th byte;
    windows alone in their group drop out after each pass. What is left in one group is equal.
 4. Each text gets its repeated places and loses them.
+
+Nothing hot is held by one task. Runs that a smaller document among those packed together has too need no partner and are
+dealt by document. A bucket of too many runs, and an anchor of too many unlike ones, goes on window by window: windows are
+dealt by their own bytes, and each task sends only those on that it hasn't seen in a smaller document.
+
+Exact but for step 2, where runs are equal if the 96 bits of their anchor and run hashes are.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,13 +35,25 @@ from tracelens.llm.common import in_chunks, materialise
 from tracelens.llm.hashing import prefix_hash, span_hash
 
 LENGTH, GRAM = 50, 16
-#: Bytes of text for which one bucket of runs is made, and runs whose bytes one task sorts.
-BUCKET_BYTES, SORT_RUNS = 4 << 20, 20_000
-#: Bytes of text hashed at once, some hundred times as many in work arrays, and runs packed together.
-CHUNK_BYTES, HELD_RUNS = 1 << 20, 500_000
+#: Bytes of text hashed at once, some hundred times as many in work arrays, runs packed together, windows remembered by a task.
+CHUNK_BYTES, HELD_RUNS, HELD_WINDOWS = 1 << 20, 500_000, 500_000
+#: Bytes of text in one partition where texts are shuffled.
+PARTITION_BYTES = 32 << 20
 #: The key of documents whose id is null: after all others.
 LAST = (1 << 63) - 1
-_RUN = np.dtype([("anchor", "<u4"), ("run", "<u8"), ("key", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("size", "<u2")])
+#: What `sort` says of a place: repeated as it is, its windows are sorted one by one; else with runs of equal `sort`.
+DONE, SINGLY = -1, -2
+_RUN = np.dtype([("anchor", "<u4"), ("run", "<u8"), ("key", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("times", "<u4"), ("size", "<u2")])
+PLACE = "key long, tag long, start long, size int, times long, sort long"
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Bytes of text for which one bucket of runs is made, its runs that are matched at once, and runs that one task sorts."""
+
+    bucket_bytes: int = 4 << 20
+    match_runs: int = 2_000_000
+    sort_runs: int = 20_000
 
 
 def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -45,11 +65,12 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, start, size, anchor, run) of every run: windows start..start+size-length name the same anchor place.
+    """(text, start, size, times, anchor, run) of every run: windows start..start+size-length name the same anchor place.
 
-    Of equal grams in a window the last one is its anchor, which is the same place in equal windows.
+    Of equal grams in a window the last one is its anchor, which is the same place in equal windows. Runs that follow
+    each other and are equal are one, `times` over; each begins where the windows of the one before end.
     """
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if len(data) < length:
         return empty
     prefix = prefix_hash(data)
@@ -75,8 +96,24 @@ def runs_of(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: in
     new[1:] = (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1) | (text[1:] != text[:-1])
     head = np.flatnonzero(new)
     tail = np.concatenate([head[1:], [len(window)]]) - 1
-    start, end = window[head], window[tail] + length
-    return text[head], start - bounds[text[head]], end - start, grams[place[head]], span_hash(prefix, start, end)
+    start, end, of, anchor = window[head], window[tail] + length, text[head], grams[place[head]]
+    run = span_hash(prefix, start, end)
+    new = np.ones(len(head), bool)
+    new[1:] = (of[1:] != of[:-1]) | (anchor[1:] != anchor[:-1]) | (run[1:] != run[:-1]) | (start[1:] != end[:-1] - length + 1)
+    first = np.flatnonzero(new)
+    times = np.diff(np.concatenate([first, [len(head)]]))
+    return of[first], start[first] - bounds[of[first]], (end - start)[first], times, anchor[first], run[first]
+
+
+def pieces_of(part: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """`runs_of` for a chunk; a long text is taken in pieces that overlap by one byte less than a window."""
+    if part.num_rows > 1 or len(data) <= 2 * CHUNK_BYTES:
+        yield runs_of(data, bounds)
+        return
+    for cut in range(0, len(data) - LENGTH + 1, CHUNK_BYTES):
+        piece = data[cut : cut + CHUNK_BYTES + LENGTH - 1]
+        text, start, *more = runs_of(piece, np.array([0, len(piece)]))
+        yield text, start + cut, *more
 
 
 def dealt_runs(docs: DataFrame, buckets: int) -> DataFrame:
@@ -84,35 +121,43 @@ def dealt_runs(docs: DataFrame, buckets: int) -> DataFrame:
 
     def dealt(parts: list[np.ndarray], buckets_of: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows, bucket = np.concatenate(parts), np.concatenate(buckets_of)
-        order = np.lexsort((rows["key"], rows["run"], rows["anchor"], bucket))
+        order = np.lexsort((rows["start"], rows["tag"], rows["key"], rows["run"], rows["anchor"], bucket))
         rows, bucket = rows[order], bucket[order]
         same = np.zeros(len(rows), bool)
         same[1:] = (bucket[1:] == bucket[:-1]) & (rows["anchor"][1:] == rows["anchor"][:-1]) & (rows["run"][1:] == rows["run"][:-1])
         done = rows["key"] > rows["key"][np.maximum.accumulate(np.where(same, 0, np.arange(len(rows))))]
+        again = same.copy()  # the same place of a row that repeats
+        again[1:] &= (rows["key"][1:] == rows["key"][:-1]) & (rows["tag"][1:] == rows["tag"][:-1]) & (rows["start"][1:] == rows["start"][:-1])
         for flag in (False, True):
-            some, of = rows[done == flag], bucket[done == flag]
+            some = np.flatnonzero((done == flag) & ~again)
+            if flag:
+                of = (int(rows["run"][0] % np.uint64(buckets)) + rows["key"][some] % 16) % buckets
+                order = np.argsort(of, kind="stable")
+                some, of = some[order], of[order]
+            else:
+                of = bucket[some]
             if len(of):
                 cut = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
-                packed = [_pack(some[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                packed = [_pack(rows[some[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.record_batch([pa.array(of[cut[:-1]], pa.int64()), pa.array([flag] * len(packed), pa.bool_()), pa.array(packed, pa.binary())], names=["bucket", "done", "runs"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, buckets_of, held = [], [], 0
         for batch in batches:
             for part, data, bounds in in_chunks(batch, "text", CHUNK_BYTES):
-                text, start, size, anchor, run = runs_of(data, bounds)
-                if not len(text):
-                    continue
-                rows = np.empty(len(text), _RUN)
-                rows["anchor"], rows["run"] = anchor.astype(np.uint32), run >> np.uint64(16)
-                rows["key"], rows["tag"] = part.column(0).to_numpy()[text], part.column(1).to_numpy()[text]
-                rows["start"], rows["size"] = start, size
-                parts.append(rows)
-                buckets_of.append(((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
-                held += len(rows)
-                if held >= HELD_RUNS:
-                    yield from dealt(parts, buckets_of)
-                    parts, buckets_of, held = [], [], 0
+                for text, start, size, times, anchor, run in pieces_of(part, data, bounds):
+                    if not len(text):
+                        continue
+                    rows = np.empty(len(text), _RUN)
+                    rows["anchor"], rows["run"] = anchor.astype(np.uint32), run
+                    rows["key"], rows["tag"] = part.column(0).to_numpy()[text], part.column(1).to_numpy()[text]
+                    rows["start"], rows["size"], rows["times"] = start, size, times
+                    parts.append(rows)
+                    buckets_of.append(((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
+                    held += len(rows)
+                    if held >= HELD_RUNS:
+                        yield from dealt(parts, buckets_of)
+                        parts, buckets_of, held = [], [], 0
         if held:
             yield from dealt(parts, buckets_of)
 
@@ -120,40 +165,73 @@ def dealt_runs(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _pack(rows: np.ndarray) -> bytes:
-    """Byte planes, as high bytes are alike, without the two upper bytes of `run`, which are 0."""
-    planes = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), _RUN.itemsize).T
-    return np.delete(planes, [10, 11], axis=0).tobytes()
+    """Byte planes, as high bytes are alike."""
+    return np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), _RUN.itemsize).T.tobytes()
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(packed, np.uint8).reshape(_RUN.itemsize - 2, -1)
-    return np.ascontiguousarray(np.insert(planes, [10, 10], 0, axis=0).T).view(_RUN).ravel()
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(_RUN.itemsize, -1).T).view(_RUN).ravel()
+
+
+def _places(runs: np.ndarray, sort: np.ndarray | int) -> pa.RecordBatch:
+    """Places as rows; a repeated run, with all its repeats, is one place."""
+    size, times = runs["size"].astype(np.int64), runs["times"].astype(np.int64)
+    sort = np.broadcast_to(np.asarray(sort, np.int64), len(runs))
+    whole = sort == DONE
+    size, times = np.where(whole, size + (times - 1) * (size - LENGTH + 1), size), np.where(whole, 1, times)
+    columns = (runs["key"], runs["tag"], runs["start"].astype(np.int64), size.astype(np.int32), times, sort)
+    return pa.record_batch([pa.array(c) for c in columns], names=["key", "tag", "start", "size", "times", "sort"])
 
 
-def _match_runs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Places of one bucket: repeated runs (sort null), and runs whose bytes are to be sorted with others (sort: their anchor)."""
-    ready = [_unpack(p) for p in rows["runs"][rows["done"]]]
-    open_ = [_unpack(p) for p in rows["runs"][~rows["done"]]]
-    runs = np.concatenate(open_) if open_ else np.zeros(0, _RUN)
+def match_runs(runs: np.ndarray, bucket: int, sort_runs: int) -> pa.RecordBatch:
+    """Places of one bucket's runs: repeated ones, and those whose bytes are to be sorted with others."""
     runs = runs[np.lexsort((runs["key"], runs["run"], runs["anchor"]))]
-    n = np.arange(len(runs))
     new_anchor, new_run = np.ones(len(runs), bool), np.ones(len(runs), bool)
     new_anchor[1:] = runs["anchor"][1:] != runs["anchor"][:-1]
     new_run[1:] = new_anchor[1:] | (runs["run"][1:] != runs["run"][:-1])
-    of_run = np.maximum.accumulate(np.where(new_run, n, 0))
+    of_run = np.maximum.accumulate(np.where(new_run, np.arange(len(runs)), 0))
     repeated = runs["key"] > runs["key"][of_run]
-    group = np.cumsum(new_anchor) - 1
-    kinds = np.bincount(group, weights=new_run) if len(runs) else np.zeros(0)
-    heads = np.flatnonzero(new_anchor)
-    apart = np.minimum.reduceat(runs["key"], heads) < np.maximum.reduceat(runs["key"], heads) if len(runs) else np.zeros(0, bool)
-    mixed = ~repeated & ((kinds > 1) & apart)[group] if len(runs) else repeated
-    parts = [(np.concatenate([*ready, runs[repeated]]), False), (runs[mixed], True)]
-    bucket = int(rows["bucket"].iloc[0])
-    out = [pd.DataFrame({"key": r["key"], "tag": r["tag"].astype(np.int32), "start": r["start"].astype(np.int64), "size": r["size"].astype(np.int32), "sort": (bucket << 32 | r["anchor"].astype(np.int64)) if keep else np.full(len(r), -1)}) for r, keep in parts]
-    return pd.concat(out)
-
-
-def _sort_windows(rows: pd.DataFrame) -> pd.DataFrame:
+    group, heads = np.cumsum(new_anchor) - 1, np.flatnonzero(new_anchor)
+    apart = np.minimum.reduceat(runs["key"], heads) < np.maximum.reduceat(runs["key"], heads)
+    mixed = ~repeated & ((np.bincount(group, weights=new_run) > 1) & apart)[group]
+    many = np.bincount(group, weights=mixed) > sort_runs
+    sort = np.where(repeated, DONE, np.where(many[group], SINGLY, bucket << 32 | runs["anchor"].astype(np.int64)))
+    out = repeated | mixed
+    return _places(runs[out], sort[out])
+
+
+def _match(limits: Limits):
+    """Matches the runs of each bucket; rows come sorted by bucket. Of a bucket with over `match_runs` no more are held: all its runs are sorted singly."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, n, ready = -1, [], 0, []
+        for batch in batches:
+            for of, done, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                runs = _unpack(packed.as_py())
+                if done:
+                    ready.append(runs)
+                    if sum(map(len, ready)) > 100_000:
+                        yield _places(np.concatenate(ready), DONE)
+                        ready = []
+                    continue
+                if of != bucket:
+                    if held:
+                        yield match_runs(np.concatenate(held), bucket, limits.sort_runs)
+                    bucket, held, n = of, [], 0
+                n += len(runs)
+                held.append(runs)
+                if n > limits.match_runs:
+                    yield _places(np.concatenate(held), SINGLY)
+                    held = []
+        if held:
+            yield match_runs(np.concatenate(held), bucket, limits.sort_runs)
+        if ready:
+            yield _places(np.concatenate(ready), DONE)
+
+    return work
+
+
+def sort_windows(rows: pd.DataFrame) -> pd.DataFrame:
     """Repeated places among the windows of runs with equal `sort`: a radix sort through LENGTH bytes, eight a pass."""
     sizes = rows["bytes"].str.len().to_numpy()
     count = sizes - LENGTH + 1
@@ -177,32 +255,73 @@ def _sort_windows(rows: pd.DataFrame) -> pd.DataFrame:
         live = live[np.bincount(fresh)[fresh] > 1]
         if not len(live):
             break
-    if not len(live):
-        return pd.DataFrame({"key": [], "tag": [], "start": [], "size": []}).astype({"key": "int64", "tag": "int32", "start": "int64", "size": "int32"})
-    least = np.full(group.max() + 1, LAST)
+    least = np.full(group.max() + 1 if len(live) else 0, LAST)
     np.minimum.at(least, group[live], key[live])
     hit = np.sort(live[key[live] > least[group[live]]])
     new = np.ones(len(hit), bool)
     new[1:] = (run[hit][1:] != run[hit][:-1]) | (hit[1:] != hit[:-1] + 1)
     head = np.flatnonzero(new)
-    tail = np.concatenate([head[1:], [len(hit)]])[: len(head)] - 1
+    windows = np.diff(np.concatenate([head, [len(hit)]]))
     first, of = hit[head], run[hit[head]]
-    size = hit[tail] - first + LENGTH
-    return pd.DataFrame({"key": key[first], "tag": rows["tag"].to_numpy()[of].astype(np.int32), "start": rows["start"].to_numpy()[of] + inside[first], "size": size.astype(np.int32)})
+    start = rows["start"].to_numpy()[of] + inside[first]
+    return _over_repeats(key[first], rows["tag"].to_numpy()[of], start, windows, rows["times"].to_numpy()[of], rows["step"].to_numpy()[of])
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the runs in `places`."""
-    for batch in batches:
-        for part, data, bounds in in_chunks(batch, "text"):
-            places = part.column(part.schema.get_field_index("places"))
-            of = np.repeat(np.arange(part.num_rows), np.diff(places.offsets.to_numpy()))
-            flat = places.flatten()
-            start, size, sort = (flat.field(c).to_numpy() for c in ("start", "size", "sort"))
-            whole = data.tobytes()
-            begin = bounds[of] + start
-            cut = [whole[a:b] for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)]
-            yield pa.record_batch([part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array(start, pa.int64()), pa.array(sort, pa.int64()), pa.array(cut, pa.binary())], names=["key", "tag", "start", "sort", "bytes"])
+def _over_repeats(key: np.ndarray, tag: np.ndarray, start: np.ndarray, windows: np.ndarray, times: np.ndarray, step: np.ndarray) -> pd.DataFrame:
+    """Places of `windows` windows, again every `step` bytes, `times` over; one place where they leave no gap."""
+    whole = windows == step
+    windows, times = np.where(whole, windows * times, windows), np.where(whole, 1, times)
+    row = np.repeat(np.arange(len(key)), times)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    size = (windows + LENGTH - 1)[row].astype(np.int32)
+    return pd.DataFrame({"key": key[row], "tag": tag[row], "start": (start[row] + nth * step[row]).astype(np.int64), "size": size})
+
+
+FETCHED = "key long, tag long, start long, size int, times long, step long, sort long, part long, bytes binary"
+
+
+def _fetch(parts: int):
+    """The bytes of the runs in `places`, by part of the sort; of those sorted singly the windows, and `bytes` null if repeated already."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        for batch in batches:
+            for part, data, bounds in in_chunks(batch, "text"):
+                places = part.column(part.schema.get_field_index("places"))
+                of = np.repeat(np.arange(part.num_rows), np.diff(places.offsets.to_numpy()))
+                flat = places.flatten()
+                start, size, times, sort = (flat.field(c).to_numpy() for c in ("start", "size", "times", "sort"))
+                key, tag = (part.column(i).to_numpy()[of] for i in (0, 1))
+                whole = data.tobytes()
+                begin = bounds[of] + start
+                runs = np.flatnonzero(sort != SINGLY)
+                cut = [whole[a : a + n] for a, n in zip(begin[runs].tolist(), size[runs].tolist(), strict=True)]
+                ones = np.full(len(runs), LENGTH, np.int32)
+                yield _fetched(key[runs], tag[runs], start[runs], ones, times[runs], (size - LENGTH + 1)[runs].astype(np.int64), sort[runs], sort[runs] % parts, cut)
+                singles = np.flatnonzero(sort == SINGLY)
+                count = size[singles].astype(np.int64) - LENGTH + 1
+                row = np.repeat(singles, count)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                cut, to = [], []
+                for a, k in zip((begin[row] + nth).tolist(), key[row].tolist(), strict=True):
+                    window = whole[a : a + LENGTH]
+                    digest = hashlib.blake2b(window, digest_size=16).digest()
+                    to.append(int.from_bytes(digest[:8], "little") % parts)
+                    known = seen.get(digest, LAST)
+                    cut.append(None if known < k else window)
+                    if k < known:
+                        seen[digest] = k
+                if len(seen) > HELD_WINDOWS:
+                    seen.clear()
+                ones = np.full(len(row), LENGTH, np.int32)
+                yield _fetched(key[row], tag[row], start[row] + nth, ones, times[row], (size[row] - LENGTH + 1).astype(np.int64), sort[row], np.array(to, np.int64), cut)
+
+    return work
+
+
+def _fetched(*columns) -> pa.RecordBatch:
+    names = ["key", "tag", "start", "size", "times", "step", "sort", "part", "bytes"]
+    return pa.record_batch([pa.array(c, pa.binary()) if n == "bytes" else pa.array(c) for c, n in zip(columns, names, strict=True)], names=names)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,33 +355,40 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _gathered(places: DataFrame, *columns: str) -> DataFrame:
-    return places.groupBy("key", "tag").agg(F.collect_list(F.struct(*columns)).alias("places"))
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limits: Limits = Limits()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): every text and what is left of it, as bytes.
 
-    Null text is empty. Documents with the same id are not smaller than each other; rows are told apart by id and a hash
-    of the text, so repeated rows get equal results. A null id sorts after all others. Texts under 50 bytes keep all. An
-    empty table gives no rows; other columns are not read.
+    Null text is empty. Documents with the same id are not smaller than each other; where ids repeat, rows are told apart
+    by id and a 64-bit hash of the text, so equal rows get equal results. A null id sorts after all others. Texts under 50
+    bytes keep all; very long ones are taken in pieces. An empty table gives no rows; other columns are not read.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    tag: Column = F.xxhash64(whole).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("key"), tag.alias("tag"), whole.alias("text"))
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
+    unique = docs.groupBy(key.alias("key")).count().where("count > 1").isEmpty()
+    tag: Column = F.lit(0).cast("long") if unique else F.xxhash64(whole)
+    docs = docs.select(key.alias("key"), tag.alias("tag"), whole.alias("text"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
-    buckets = 1 + total // BUCKET_BYTES
-    found = dealt_runs(docs, buckets).groupBy("bucket").applyInPandas(_match_runs, "key long, tag int, start long, size int, sort long")
-    found = materialise(found, "runs")
-    wanted = _gathered(found.where("sort >= 0"), "start", "size", "sort")
-    parts = 1 + found.where("sort >= 0").count() // SORT_RUNS
-
-    dealt = docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "tag")
-    fetched = dealt.join(wanted, ["key", "tag"]).select("key", "tag", "text", "places").mapInArrow(_fetch, "key long, tag int, start long, sort long, bytes binary")
-    sorted_ = fetched.groupBy(F.pmod(F.xxhash64("sort"), F.lit(parts)).alias("part")).applyInPandas(_sort_windows, "key long, tag int, start long, size int")
-    places = found.where("sort < 0").select("key", "tag", "start", "size").unionByName(sorted_)
-    joined = dealt.join(_gathered(places, "start", "size"), ["key", "tag"], "left")
+    deals = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + total // PARTITION_BYTES)
+    dealt = dealt_runs(docs, 1 + total // limits.bucket_bytes).repartition(deals, "bucket").sortWithinPartitions("bucket")
+    found = materialise(dealt.mapInArrow(_match(limits), PLACE), "runs")
+    todo, singly = found.where(f"sort <> {DONE}"), not found.where(f"sort = {SINGLY}").isEmpty()
+    weight = F.when(F.col("sort") == SINGLY, F.col("size") - LENGTH + 1).otherwise(F.lit(1))
+    parts = 1 + (todo.agg(F.sum(weight).alias("n")).first()["n"] or 0) // limits.sort_runs
+
+    row = ["key"] if unique else ["key", "tag"]
+    texts = docs.repartition(deals, "key") if unique else docs  # rows that repeat are left to the joins, which can split them
+    gather = F.collect_list if unique else F.collect_set
+    gathered = lambda places, *columns: places.groupBy(*row).agg(gather(F.struct(*columns)).alias("places"))
+    joined = texts.join(gathered(todo, "start", "size", "times", "sort"), row).select("key", "tag", "text", "places")
+    fetched = joined.mapInArrow(_fetch(parts), FETCHED)
+    fetched = materialise(fetched, "windows") if singly else fetched
+    open_ = (fetched.where("bytes is not null") if singly else fetched).repartition(max(deals, parts // 8), "part")
+    places = found.where(f"sort = {DONE}").select("key", "tag", "start", "size")
+    places = places.unionByName(open_.groupBy("part").applyInPandas(sort_windows, "key long, tag long, start long, size int"))
+    if singly:
+        each = F.explode(F.expr("transform(sequence(0L, times - 1), k -> start + k * step)"))
+        places = places.unionByName(fetched.where("bytes is null").select("key", "tag", each.alias("start"), "size"))
     nothing = F.array().cast("array<struct<start:bigint,size:int>>")
-    rows = joined.select("key", "text", F.coalesce("places", nothing).alias("places"))
+    rows = texts.join(gathered(places, "start", "size"), row, "left").select("key", "text", F.coalesce("places", nothing).alias("places"))
     out = rows.mapInArrow(_remove, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select(F.when(F.col("key") < LAST, F.col("key")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
