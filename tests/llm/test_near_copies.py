@@ -10,6 +10,7 @@ import pytest
 import corpus_pipeline
 from tests.llm.test_ngram_join import family
 from tracelens.llm import ngram_join
+from tracelens.llm.spans import Room
 
 STAGE = ngram_join.STAGE
 
@@ -34,9 +35,9 @@ def brute_classes(rows, width=5, percent=80):
     return [(len(s), find(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("few", [32, 2])
-def test_stage_links_five_words_at_eight_tenths(spark, documents, sf_dir, monkeypatch, few):
-    monkeypatch.setattr(ngram_join, "FEW", few)
+@pytest.mark.parametrize("most", [5_000, 3])
+def test_stage_links_five_words_at_eight_tenths(spark, documents, sf_dir, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "PART_ROOM", Room(most, 1 << 20))
     for docs in (spark.createDataFrame(family(1), "doc_id long, text string"), documents):
         rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").select("doc_id", "text").collect()]
         classes = brute_classes(rows)

@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 
 from tracelens.llm import ngram_join
+from tracelens.llm.components import connected_components
+from tracelens.llm.spans import Room
 
 
 def brute(rows):
@@ -53,9 +55,9 @@ def family(seed):
     return rows
 
 
-@pytest.mark.parametrize("most", [512, 20])
+@pytest.mark.parametrize("most", [512, 20, 3])
 def test_components_equal_brute_force(spark, documents, odd_docs, no_docs, monkeypatch, most):
-    monkeypatch.setattr(ngram_join, "MOST", most)
+    monkeypatch.setattr(ngram_join, "TOKEN_ROOM", Room(most, 1 << 20))
     tables = [spark.createDataFrame(family(1), "doc_id long, text string")] + ([documents, odd_docs] if most > 20 else [])
     for docs in tables:
         got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs).collect())
@@ -83,3 +85,24 @@ def test_one_of_each_stays(documents, odd_docs):
     want = brute([(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()])
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, n, c in want if d == c)
     assert ngram_join.keep_one(odd_docs).columns == odd_docs.columns
+
+
+def test_blocks_of_one_group_lose_no_link(spark, monkeypatch):
+    """A family with outliers that are linked to it, to each other, or to nothing; in blocks of a few sets."""
+    rng, base = random.Random(11), [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*base[: rng.randrange(4)], *base])) for i in range(40)]
+    chain = list(base)
+    for i in range(40, 80):  # each is linked to the one before, not to the family's start
+        chain[(3 * i) % 120] = f"x{i}"
+        rows.append((i, " ".join(chain)))
+    rows += [(i, " ".join([*base[:60], *[f"y{i}_{k}" for k in range(60)]])) for i in range(80, 100)]
+    for room in (Room(6, 1 << 20), Room(512, 4000)):
+        monkeypatch.setattr(ngram_join, "TOKEN_ROOM", room)
+        got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert Counter(tuple(r) for r in got.collect()) == brute(rows)
+
+
+def test_chains_take_few_rounds(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1002), (1000, 1002)], "a long, b long")
+    got = {r.node: r.root for r in connected_components(links).collect()}
+    assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000, 1002: 1000}

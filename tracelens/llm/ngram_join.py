@@ -1,4 +1,4 @@
-"""N-gram Jaccard join with a token-group matrix; exact.
+"""N-gram Jaccard join with a token-group matrix; exact up to 64-bit hashes of words, shingles and sets.
 
 1. A text becomes the set of its shingles, of as many words as the rule says; equal sets become one.
 2. Sets that may link are partitioned into groups of similar ones. Two sets at Jaccard t differ in at most
@@ -8,10 +8,10 @@
    holds half as many, and parts of one or none are frequent; so some are spare: with e parts more, e + 1 parts are the
    same, and a set with at most e such weak parts leaves them out. Unlike sets that still meet are told apart by sketches:
    the parities of their shingles in up to `BITS` cells differ in no more cells than the sets do in shingles.
-3. Each group is taken up by one task; one of over `MOST` sets is cut into blocks, and each pair of blocks is a task.
-   There the sets are ordered by likeness and cut into small groups of which a matrix holds the token unions. A query's
-   overlap with a group's union bounds its overlap with each member; only qualifying groups are opened and counted.
-   Queries look only for sets not yet connected to them, so a family of near copies costs no pairs.
+3. Each group is taken up by one task, a large one in blocks (`tracelens.llm.spans`). There the sets are ordered by
+   likeness and cut into small groups of which a matrix holds the token unions. A query's overlap with a group's union
+   bounds its overlap with each member; only qualifying groups are opened and counted. Queries look only for sets not yet
+   connected to them, so a family of near copies costs no pairs.
 4. Links that span each task's classes are joined into components.
 """
 
@@ -24,12 +24,13 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelens.llm.common import BLANK_WORD, in_chunks, materialise
 from tracelens.llm.components import connected_components
 from tracelens.llm.hashing import mix, prefix_hash, span_hash, word_spans
+from tracelens.llm.spans import Room, spanning_links
 
 
 @dataclass(frozen=True)
@@ -47,10 +48,12 @@ class Rule:
 
 #: The contract of op5, and the rule of near-copy stages.
 OP5, STAGE = Rule(3, 90), Rule(5, 80, 8)
-#: Sets that one task holds of a group or block, and members of a group in the token-group matrix.
-MOST, MEMBERS = 512, 32
+#: What one task holds of a group of sets, and members of a group in the token-group matrix.
+TOKEN_ROOM, MEMBERS = Room(512, 8 << 20), 32
 #: Cells of a sketch, rows of meeting sets in one task, and sets of a part that are compared each with each at once.
 BITS, MET_ROWS, FEW = 4096, 50_000, 32
+#: What one task holds of the sets that meet in one part.
+PART_ROOM = Room(5_000, 4 << 20)
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -192,16 +195,26 @@ def _may_link(sketches: dict[int, np.ndarray], bits: np.ndarray, row: np.ndarray
     return out
 
 
+class _Sketches:
+    """The sketches of some rows (fp, n, sketch), by width."""
+
+    def __init__(self, rows: pd.DataFrame, rule: Rule) -> None:
+        self.rule, self.n = rule, rows["n"].to_numpy()
+        self.bits = rows["sketch"].str.len().to_numpy() // 8
+        self.row, self.sketches = np.zeros(len(rows), np.int64), {}
+        for w in np.unique(self.bits):
+            mine = np.flatnonzero(self.bits == w)
+            self.row[mine] = np.arange(len(mine))
+            self.sketches[int(w)] = np.frombuffer(b"".join(rows["sketch"].iloc[mine]), np.uint64).reshape(-1, w)
+
+    def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _may_link(self.sketches, self.bits, self.row, self.n, a, b, self.rule)
+
+
 def likely_links(rows: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     """(a, b) of sets that meet in a part of `rows` (part, fp, n, sketch) and may link; of large parts, links that span these."""
     once = rows.drop_duplicates("fp")
-    fps, n = once["fp"].to_numpy(), once["n"].to_numpy()
-    bits = once["sketch"].str.len().to_numpy() // 8
-    row, sketches = np.zeros(len(fps), np.int64), {}
-    for w in np.unique(bits):
-        mine = np.flatnonzero(bits == w)
-        row[mine] = np.arange(len(mine))
-        sketches[int(w)] = np.frombuffer(b"".join(once["sketch"].iloc[mine]), np.uint64).reshape(-1, w)
+    fps, known = once["fp"].to_numpy(), _Sketches(once, rule)
     part, ids = rows["part"].to_numpy(), pd.Index(fps).get_indexer(rows["fp"].to_numpy())
     order = np.lexsort((ids, part))
     part, ids = part[order], ids[order]
@@ -217,32 +230,61 @@ def likely_links(rows: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     if firsts:
         pairs = np.unique(np.concatenate(firsts) * len(fps) + np.concatenate(seconds))
         a, b = pairs // len(fps), pairs % len(fps)
-        good = _may_link(sketches, bits, row, n, a, b, rule)
+        good = known.may_link(a, b)
         found.append((a[good], b[good]))
     for h, k in zip(head[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
-        free = ids[h : h + k]
-        while len(free):
-            todo, free = [free[0]], free[1:]
-            while todo and len(free):
-                q = np.full(len(free), todo.pop())
-                good = _may_link(sketches, bits, row, n, q, free, rule)
-                found.append((q[good], free[good]))
-                todo += free[good].tolist()
-                free = free[~good]
+        mine = ids[h : h + k]
+        to = _likely_classes(known, mine, np.arange(k))
+        found.append((mine[to != np.arange(k)], mine[to[to != np.arange(k)]]))
     a, b = (np.concatenate([f[side] for f in found]) if found else np.zeros(0, np.int64) for side in (0, 1))
     return pd.DataFrame({"a": fps[a], "b": fps[b]}).drop_duplicates()
 
 
+def _likely_classes(known: _Sketches, ids: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """For each of `ids` the place of its class's first: sets that may link, those of equal `classes`, and whatever these connect."""
+    label, free = np.full(len(ids), -1), np.arange(len(ids))
+    members = _members(classes)
+    while len(free):
+        seed = free[0]
+        todo = members[classes[seed]].tolist()
+        label[todo] = seed
+        free = free[label[free] < 0]
+        while todo and len(free):
+            good = known.may_link(np.full(len(free), ids[todo.pop()]), ids[free])
+            for c in np.unique(classes[free[good]]):
+                label[members[c]] = seed
+                todo += members[c].tolist()
+            free = free[label[free] < 0]
+    return label
+
+
+def _members(classes: np.ndarray) -> dict[int, np.ndarray]:
+    order = np.argsort(classes, kind="stable")
+    names, first = np.unique(classes[order], return_index=True)
+    return dict(zip(names.tolist(), np.split(order, first[1:]), strict=True))
+
+
 def meeting_links(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): links that connect all sets which may link."""
-    meeting, parts = Window.partitionBy("part"), part_table(docs, rule)
+    """(a, b): links that connect all sets which may link.
+
+    Minima of parts are summed before the shuffle, and the join back can be split, so a part of very many sets is no
+    bottleneck; where sketches tell sets apart, such a part is taken in blocks.
+    """
+    parts = materialise(part_table(docs, rule), "parts")
+    ends = parts.groupBy("part").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
     if not rule.spare:
-        return parts.withColumn("b", F.min("fp").over(meeting)).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-    ends = parts.withColumn("low", F.min("fp").over(meeting)).withColumn("high", F.max("fp").over(meeting))
-    met = materialise(ends.where("low <> high").select("part", "fp").distinct(), "met")
+        return parts.join(ends.drop("high"), "part").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+    met = materialise(parts.join(ends.select("part"), "part").distinct(), "met")
+    sketches, counts = materialise(sketch_table(docs, rule).join(met.select("fp").distinct(), "fp"), "sketches"), met.groupBy("part").count()
+    hot = counts.where(F.col("count") > PART_ROOM.rows).select(F.col("part").alias("grp"))
     buckets = 1 + met.count() // MET_ROWS
-    rows = met.join(sketch_table(docs, rule), "fp").withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)))
-    return rows.groupBy("bucket").applyInPandas(lambda some: likely_links(some, rule), "a long, b long").distinct()
+    rows = met.join(hot, met["part"] == hot["grp"], "left_anti").join(sketches, "fp").withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)))
+    links = rows.groupBy("bucket").applyInPandas(lambda some: likely_links(some, rule), "a long, b long")
+    if not hot.isEmpty():
+        members = met.join(hot, met["part"] == hot["grp"]).select("grp", "fp", F.lit(BITS // 8).cast("long").alias("size"))
+        compare = lambda some, classes: _likely_classes(_Sketches(some, rule), np.arange(len(some)), classes)
+        links = links.unionByName(spanning_links(members, sketches, compare, PART_ROOM))
+    return links.distinct()
 
 
 def token_table(docs: DataFrame, wanted: DataFrame, rule: Rule = OP5) -> DataFrame:
@@ -263,10 +305,12 @@ def token_table(docs: DataFrame, wanted: DataFrame, rule: Rule = OP5) -> DataFra
     return joined.select("text", *columns).mapInArrow(work, schema)
 
 
-def classes_of(sets: list[np.ndarray], percent: int = OP5.percent) -> np.ndarray:
-    """For each set the index of its class: sets at 100 * overlap >= percent * union, and whatever these connect."""
+def classes_of(sets: list[np.ndarray], percent: int = OP5.percent, classes: np.ndarray | None = None) -> np.ndarray:
+    """For each set the index of its class: sets at 100 * overlap >= percent * union, those of equal `classes`, and whatever these connect."""
     sizes = np.array([len(s) for s in sets])
     order = sorted(range(len(sets)), key=lambda i: (sets[i][0], sizes[i]))  # like sets mostly share their smallest token
+    classes = np.arange(len(sets)) if classes is None else classes[order]
+    members = _members(classes)
     flat = np.concatenate([sets[i] for i in order])
     words, ids = np.unique(flat, return_inverse=True)
     size = sizes[order]
@@ -275,51 +319,44 @@ def classes_of(sets: list[np.ndarray], percent: int = OP5.percent) -> np.ndarray
     union = np.zeros((len(groups), len(words)), bool)
     union[np.repeat(np.arange(len(order)) // MEMBERS, size), ids] = True
     smallest, largest = np.minimum.reduceat(size, groups), np.maximum.reduceat(size, groups)
-    label, free = np.full(len(order), -1), np.ones(len(order), bool)
+    label, left = np.full(len(order), -1), len(order)
     query = np.zeros(len(words), bool)
     for seed in range(len(order)):
-        if not free[seed]:
+        if label[seed] >= 0:
             continue
-        free[seed], todo = False, [seed]
-        while todo:
+        todo = members[classes[seed]].tolist()
+        label[todo], left = seed, left - len(todo)
+        while todo and left:
             q = todo.pop()
-            label[q] = seed
             own, n = ids[at[q] : at[q + 1]], size[q]
             bound = union[:, own].sum(axis=1)
             fits = (100 * bound >= percent * (n + smallest - np.minimum(bound, smallest))) & (100 * largest >= percent * n) & (100 * n >= percent * smallest)
             query[own] = True
             for g in np.flatnonzero(fits):
                 a, b = groups[g], min(groups[g] + MEMBERS, len(order))
-                if free[a:b].any():
+                if (label[a:b] < 0).any():
                     both = np.add.reduceat(query[ids[at[a] : at[b]]].astype(np.int64), at[a:b] - at[a])
-                    linked = a + np.flatnonzero((100 * both >= percent * (n + size[a:b] - both)) & free[a:b])
-                    free[linked] = False
-                    todo += linked.tolist()
+                    linked = a + np.flatnonzero((100 * both >= percent * (n + size[a:b] - both)) & (label[a:b] < 0))
+                    for c in np.unique(classes[linked]):
+                        label[members[c]], left = seed, left - len(members[c])
+                        todo += members[c].tolist()
             query[own] = False
     out = np.empty(len(order), np.int64)
     out[np.array(order)] = np.array(order)[label]
     return out
 
 
-def _spanning_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    rows = rows.drop_duplicates("fp")
-    fps = rows["fp"].to_numpy()
-    to = classes_of([np.frombuffer(t, np.uint64) for t in rows["tokens"]], percent)
-    apart = to != np.arange(len(fps))
-    return pd.DataFrame({"a": fps[apart], "b": fps[to[apart]]})
-
-
 def link_sets(docs: DataFrame, sets: DataFrame, rule: Rule = OP5) -> DataFrame:
     """(a, b): links between set fingerprints that span all classes."""
     groups = materialise(connected_components(meeting_links(docs, rule)), "groups")
-    blocks = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / MOST).cast("int").alias("blocks"))
-    keepers = sets.groupBy("fp").agg(F.min(F.struct("doc_id", "tag")).alias("k")).select("fp", "k.doc_id", "k.tag")
-    wanted = groups.join(blocks, "root").join(keepers, groups["node"] == keepers["fp"]).select("doc_id", "tag", "fp", "root", "blocks")
-    tokens = token_table(docs, wanted, rule).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block")))
-    placed = tokens.withColumn("other", F.explode(other))
-    keyed = placed.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "tokens")
-    return keyed.groupBy("root", "i", "j").applyInPandas(lambda rows: _spanning_links(rows, rule.percent), "a long, b long")
+    keepers = sets.groupBy("fp").agg(F.min(F.struct("doc_id", "tag")).alias("k"), F.first("n").alias("n")).select("fp", "n", "k.doc_id", "k.tag")
+    wanted = materialise(groups.join(keepers, groups["node"] == keepers["fp"]).select("doc_id", "tag", "fp", F.col("root").alias("grp"), (8 * F.col("n")).alias("size")), "wanted")
+    tokens = materialise(token_table(docs, wanted.select("doc_id", "tag", "fp"), rule).dropDuplicates(["fp"]), "tokens")
+
+    def compare(rows: pd.DataFrame, classes: np.ndarray) -> np.ndarray:
+        return classes_of([np.frombuffer(t, np.uint64) for t in rows["tokens"]], rule.percent, classes)
+
+    return spanning_links(wanted.select("grp", "fp", "size"), tokens, compare, TOKEN_ROOM)
 
 
 def set_classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
