@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections import Counter
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -121,6 +123,88 @@ def test_pseudonyms_keep_the_format_and_turn_back(spark):
     assert back.replace(email, "Jo.12@mail5.example.com") == TEXT
 
 
+#: One of each format that is read, by kind, and look-alikes that fail validation.
+PLANTED = {
+    "phone": ["(555) 123-4567", "555-123-4567", "555.123.4567", "555 123-4567", "+44 20 7946 0958"],
+    "date": ["12/31/1999", "31/12/1999", "31.12.1999", "1999-12-31", "02/29/2024", "01/13/1600"],
+    "card": ["3782 822463 10005", "3782-822463-10005", "378282246310005", "3056 930902 5904", "6011-1111-1111-1117"],
+    "ssn": ["123 45 6789", "123-45-6789"],
+    "ipv6": ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23:4567:890a", "2001:db8::1"],
+    "iban": ["GB29 NWBK 6016 1331 9268 19", "DE89370400440532013000", "MT84MALT011000012345MTLCAST001S"],
+    "ip": ["152.143.123.131"],
+}
+LOOK_ALIKES = ["155-123-45678", "31/13/1999", "13/32/1999", "3782 822463 10006", "000 12 3456", "1 123 45 6789", "std::abc", "a::b", "12:30:45", "GB28 NWBK 6016 1331 9268 19", "2001:db8::1::2"]
+
+
+def test_each_format_is_replaced_and_turned_back(spark):
+    rows = [(kind, value) for kind, values in PLANTED.items() for value in values]
+    docs = spark.createDataFrame([(i, f"see {v}, and {v}.") for i, (_, v) in enumerate(rows)], "doc_id long, text string")
+    made = pii.pseudonymise(docs, "k").select("doc_id", "text", "found", "clean").cache()
+    got = {r.doc_id: r for r in made.collect()}
+    for i, (kind, value) in enumerate(rows):
+        assert [(x.kind, x.value) for x in got[i].found] == [(kind, value)] * 2, value
+        new = got[i].found[0].pseudonym
+        assert new and new != value and value not in got[i].clean, value
+        if kind not in ("ip", "iban"):
+            assert re.sub("[0-9a-f]", "9", new) == re.sub("[0-9a-f]", "9", value)
+        if kind == "iban":
+            assert pii_mod(new.replace(" ", "")) == 1 and [len(x) for x in new.split()] == [len(x) for x in value.split()]
+        if kind == "card":
+            assert luhn(re.sub(r"\D", "", new))
+    back = {r.doc_id: r.clean for r in pii.pseudonymise(made.select("doc_id", F.col("clean").alias("text")), "k", back=True).collect()}
+    assert back == {r.doc_id: r.text for r in got.values()}
+    others = spark.createDataFrame([(i, f"see {v}, and") for i, v in enumerate(LOOK_ALIKES)], "doc_id long, text string")
+    assert [r.text for r in pii.pseudonymise_documents(others, "k").orderBy("doc_id").collect()] == [f"see {v}, and" for v in LOOK_ALIKES]
+
+
+def pii_mod(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def plain_feistel(l, r, a, b, key, kind):
+    prf = lambda step, half: int(hashlib.sha256(f"{key}|{kind}|{step}|{half}".encode()).hexdigest()[:15], 16)
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            l = (l + prf(i, r) % a) % a  # noqa: E741
+        else:
+            r = (r + prf(i, l) % b) % b
+    return l, r
+
+
+def test_pseudonyms_agree_with_a_plain_feistel(spark):
+    docs = spark.createDataFrame([(1, "4785380592391139 and 555-123-4567 and 2024-02-29 and 123-45-6789 and 10.0.255.1")], "doc_id long, text string")
+    found = {x.kind: x.pseudonym for x in pii.pseudonymise(docs, "k").first().found}
+    l, r = plain_feistel(int("7853805"), int("9239113"), 10**7, 10**7, "k", "card")  # noqa: E741
+    card = f"4{l:07d}{r:07d}"
+    assert found["card"][:-1] == card and luhn(found["card"])
+    l, r = plain_feistel(55123, 4567, 10**5, 10**4, "k", "phone")  # noqa: E741
+    assert found["phone"].replace("-", "") == f"5{l:05d}{r:04d}"
+    days = (date(2024, 2, 29) - date(1600, 1, 1)).days
+    low = days % 146097
+    l, r = plain_feistel(low // 773, low % 773, 189, 773, "k", "date")  # noqa: E741
+    assert found["date"] == str(date(1600, 1, 1) + timedelta(days - low + l * 773 + r))
+    l, r = plain_feistel(10 * 256, 65281, 1 << 16, 1 << 16, "k", "ip")  # noqa: E741
+    assert found["ip"] == f"{l >> 8}.{l & 255}.{r >> 8}.{r & 255}"
+
+
+def test_late_days_are_permuted_among_themselves(spark):
+    days = [date(1896, 1, 1) + timedelta(i) for i in range(0, 80_000, 37)]
+    late = [d for d in days if d.day > 12]
+    rows = spark.createDataFrame([(d.strftime("%m/%d/%Y"),) for d in late], "m string")
+    got = rows.select("m", pii.pseudonym_date(F.col("m"), "k").alias("p")).withColumn("back", pii.pseudonym_date(F.col("p"), "k", back=True)).collect()
+    assert all(r.back == r.m and datetime.strptime(r.p, "%m/%d/%Y").day > 12 for r in got) and len({r.p for r in got}) == len(late)
+
+
+def test_long_runs_take_linear_time_and_own_columns_stay(spark):
+    begun = time.time()
+    texts = ["x" * 1_000_000 + "1", "7" * 1_000_000, "a." * 500_000 + "@", "1:" * 500_000, "A1B2" * 250_000, "5 " * 500_000]
+    docs = spark.createDataFrame([(i, t, "mine", "v") for i, t in enumerate(texts)], "doc_id long, text string, _values string, found string")
+    made = pii.pseudonymise(docs, "k")
+    assert {r._values for r in made.select("_values").collect()} == {"mine"} and made.columns == [*docs.columns, "clean"]
+    assert pii.pseudonymise_documents(docs, "k").where("not changed").count() == len(texts)
+    assert time.time() - begun < 60
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(189 * 7).select("id", pii.feistel(F.col("id"), F.lit(189).cast("long"), F.lit(7).cast("long"), "k", "t").alias("to"))
     df = df.withColumn("back", pii.feistel(F.col("to"), F.lit(189).cast("long"), F.lit(7).cast("long"), "k", "t", back=True))

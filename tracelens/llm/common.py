@@ -23,6 +23,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare_names(df: DataFrame, *stems: str) -> list[str]:
+    """For each stem a column name that `df` doesn't have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = f"_{stem}"
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. A text of single-byte characters takes the quick built-in; others go character by character."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

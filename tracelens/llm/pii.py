@@ -1,8 +1,12 @@
 """Format-preserving pseudonyms for personal data, in built-in functions only.
 
-Candidates are cut out of the text by one pattern, validated (Luhn sum, calendar, octets, number ranges), permuted
-within their own format by a keyed Feistel network, and put back. Equal values get equal pseudonyms in every document,
-no two values share one, and who holds the key can turn numbers and dates back. What fails validation stays as it is.
+Candidates are cut out of the text by one pattern, validated (Luhn sum, check digits, calendar, octets, number ranges),
+permuted within their own format by a keyed Feistel network, and put back. Equal values get equal pseudonyms in every
+document, no two values share one, and who holds the key can turn numbers and dates back. What fails validation stays.
+
+Formats: e-mail; IPv4, IPv6 in full or with `::`; IBAN; dates as 1999-12-31, 31/12/1999, 31.12.1999 and, if the first two
+can't be day and month, 12/31/1999; social security numbers with hyphens or blanks; phones as +1 (555) 123-4567 or
+(555) 123-4567, 555-123-4567, 555.123.4567, 555 123-4567; cards of 13 to 19 digits in one, in fours, or as 4-6-4 and 4-6-5.
 """
 
 from __future__ import annotations
@@ -10,38 +14,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelens.llm.common import spare_names
+
 ROUNDS = 10
 #: One pattern per kind, tried in this order; a match is validated afterwards.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,63}",
     "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)",
-    "date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w]|-\d)|(?<![\w/])\d{2}/\d{2}/\d{4}(?![\w/])",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)",
-    "card": r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w])",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![\w:])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?:[A-Z0-9]{1,3}| (?=[A-Z]*\d)[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w]|-\d)|(?<![\w/])\d{2}/\d{2}/\d{4}(?![\w/])|(?<![\w.])\d{2}\.\d{2}\.\d{4}(?![\w]|\.\d)",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)|(?<![\w-])(?<!\d )\d{3} \d{2} \d{4}(?! ?[\w-])",
+    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\w.-])(?:\([2-9]\d{2}\) ?\d{3}[ .-]|[2-9]\d{2}-\d{3}-|[2-9]\d{2}\.\d{3}\.|[2-9]\d{2} \d{3}-)\d{4}(?![\w]|[.-]\d)",
+    "card": r"(?<![\w.-])(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\w])",
 }
 #: Days in the 400 years after which the calendar repeats, and two factors of them.
 CYCLE_DAYS, CYCLE_A, CYCLE_B = 146097, 189, 773
+#: Of these the days after the twelfth of a month, which are only read month first, and two factors.
+LATE_DAYS, LATE_A, LATE_B = 88497, 9, 9833
+
+
+def _digest(key: str, kind: str, step: Column, half: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), step.cast("string"), half.cast("string")), 256)
 
 
 def _prf(key: str, kind: str, step: Column, half: Column) -> Column:
-    """52 bits of a keyed hash, as a long."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), step.cast("string"), half.cast("string")), 256)
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+    """60 bits of a keyed hash, as a long."""
+    return F.conv(F.substring(_digest(key, kind, step, half), 1, 15), 16, 10).cast("long")
 
 
-def feistel(x: Column, a: Column, b: Column, key: str, kind: str, back: bool = False) -> Column:
-    """Permutes 0 <= x < a*b: halves below a and below b are shifted in turn by a keyed hash of the other."""
-    sign = -1 if back else 1
+def _rounds(halves: Column, left, right, back: bool) -> Column:
+    """`halves` (l, r) after ROUNDS rounds, in which l becomes left(l, r, round) and r becomes right(l, r, round) in turn."""
 
     def step(acc: Column, i: Column) -> Column:
-        left = F.pmod(acc["l"] + sign * F.pmod(_prf(key, kind, i, acc["r"]), a), a)
-        right = F.pmod(acc["r"] + sign * F.pmod(_prf(key, kind, i, acc["l"]), b), b)
-        even = i % 2 == 0
-        return F.struct(F.when(even, left).otherwise(acc["l"]).alias("l"), F.when(even, acc["r"]).otherwise(right).alias("r"))
+        even, l, r = i % 2 == 0, acc["l"], acc["r"]
+        return F.struct(F.when(even, left(l, r, i)).otherwise(l).alias("l"), F.when(even, r).otherwise(right(l, r, i)).alias("r"))
 
     steps = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-    return F.aggregate(steps, _halves(x, b), step, lambda acc: acc["l"] * b + acc["r"])
+    return F.aggregate(steps, halves, step)
+
+
+def feistel_halves(halves: Column, a: Column, b: Column, key: str, kind: str, back: bool = False) -> Column:
+    """Permutes pairs (l, r), l below a and r below b: each is shifted in turn by a keyed hash of the other."""
+    sign = -1 if back else 1
+    left = lambda l, r, i: F.pmod(l + sign * F.pmod(_prf(key, kind, i, r), a), a)
+    right = lambda l, r, i: F.pmod(r + sign * F.pmod(_prf(key, kind, i, l), b), b)
+    return _rounds(halves, left, right, back)
+
+
+def feistel(x: Column, a: Column, b: Column, key: str, kind: str, back: bool = False) -> Column:
+    """Permutes 0 <= x < a*b."""
+    halves = F.struct(floor_div(x, b).alias("l"), F.pmod(x, b).alias("r"))
+    return _let(feistel_halves(halves, a, b, key, kind, back), lambda h: h["l"] * b + h["r"])
 
 
 def floor_div(x: Column, b: Column) -> Column:
@@ -49,10 +73,6 @@ def floor_div(x: Column, b: Column) -> Column:
     return F.call_function("div", x, b.cast("long"))
 
 
-def _halves(x: Column, b: Column) -> Column:
-    return F.struct(floor_div(x, b).alias("l"), F.pmod(x, b).alias("r"))
-
-
 def _let(value: Column, use) -> Column:
     """Evaluates `value` once and hands it on."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -63,11 +83,25 @@ def digits_of(text: Column) -> Column:
 
 
 def permute_digits(digits: Column, key: str, kind: str, back: bool = False) -> Column:
-    """A digit string of 2 to 18 digits, to another of the same length."""
-    n = F.length(digits)
-    b = F.pow(F.lit(10.0), F.floor(n / 2)).cast("long")
-    a = F.pow(F.lit(10.0), n - F.floor(n / 2)).cast("long")
-    return F.lpad(feistel(digits.cast("long"), a, b, key, kind, back).cast("string"), n, "0")
+    """A digit string of 2 to 34 digits, to another of the same length."""
+    low = F.floor(F.length(digits) / 2).cast("int")
+    high = F.length(digits) - low
+    size = lambda n: F.rpad(F.lit("1"), n + 1, "0").cast("long")
+    halves = F.struct(F.substr(digits, F.lit(1), high).cast("long").alias("l"), F.substr(digits, high + 1, low).cast("long").alias("r"))
+    moved = feistel_halves(halves, size(high), size(low), key, kind, back)
+    return _let(moved, lambda h: F.concat(F.lpad(h["l"].cast("string"), high, "0"), F.lpad(h["r"].cast("string"), low, "0")))
+
+
+def permute_hex(digits: Column, key: str, kind: str, back: bool = False) -> Column:
+    """A string of 2 to 32 hex digits, to another of the same length, in lower case; halves are mixed by exclusive or."""
+    low = F.floor(F.length(digits) / 2).cast("int")
+    high = F.length(digits) - low
+    whole = lambda s: F.conv(s, 16, -10).cast("long")
+    mask = lambda n: F.when(n == 16, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), 4 * n) - 1)
+    bits = lambda half, i, n: whole(F.substring(_digest(key, kind, i, half), 1, 16)).bitwiseAND(mask(n))
+    halves = F.struct(whole(F.substr(digits, F.lit(1), high)).alias("l"), whole(F.substr(digits, high + 1, low)).alias("r"))
+    moved = _rounds(halves, lambda l, r, i: l.bitwiseXOR(bits(r, i, high)), lambda l, r, i: r.bitwiseXOR(bits(l, i, low)), back)
+    return _let(moved, lambda h: F.lower(F.concat(F.lpad(F.hex(h["l"]), high, "0"), F.lpad(F.hex(h["r"]), low, "0"))))
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -76,9 +110,9 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0).cast("long"), lambda s, d: s + d)
 
 
-def lay_digits(shape: Column, digits: Column) -> Column:
-    """`shape` with its digits, in order, replaced by `digits`."""
-    marks = F.split(F.regexp_replace(shape, "[0-9]", "0"), "")
+def lay_digits(shape: Column, digits: Column, kind: str = "[0-9]") -> Column:
+    """`shape` with its digits, or characters of another kind, in order, replaced by `digits`."""
+    marks = F.split(F.regexp_replace(shape, kind, "0"), "")
     laid = F.aggregate(
         marks,
         F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
@@ -103,9 +137,9 @@ def pseudonym_card(m: Column, key: str, back: bool = False) -> Column:
 
 
 def pseudonym_phone(m: Column, key: str, back: bool = False) -> Column:
-    """Keeps the country code; null unless it has 8 to 15 digits in all."""
+    """Keeps the country code, or the first digit if there is none; null unless it has 8 to 15 digits in all, ten without a code."""
     code = F.regexp_extract(m, r"^\+\d{1,3}", 0)
-    code = F.when(m.rlike(r"^\+\d{1,3}[^0-9]"), code).otherwise(F.substring(m, 1, 2))
+    code = F.when(m.rlike(r"^\+\d{1,3}[^0-9]"), code).when(m.startswith("+"), F.substring(m, 1, 2)).otherwise(F.regexp_extract(m, r"^\(?\d", 0))
     rest = F.substr(m, F.length(code) + 1, F.length(m))
     moved = lambda d: lay_digits(rest, permute_digits(d, key, "phone", back))
     return F.when(F.length(digits_of(m)).between(8, 15), F.concat(code, _let(digits_of(rest), moved)))
@@ -120,9 +154,39 @@ def pseudonym_ip(m: Column, key: str, back: bool = False) -> Column:
     return _let(parts, lambda p: F.when(F.array_max(p) <= 255, _let(feistel(whole(p), side, side, key, "ip", back), show)))
 
 
+def pseudonym_ipv6(m: Column, key: str, back: bool = False) -> Column:
+    """Permutes the digits that are written, in lower case; null if they are under five, or the groups more than eight."""
+    valid = F.length(F.regexp_replace(m, ":", "")) >= 5
+    groups = F.size(F.filter(F.split(m, ":"), lambda g: g != ""))
+    moved = lambda d: lay_digits(m, permute_hex(d, key, "ipv6", back), "[0-9A-Fa-f]")
+    return F.when(valid & (groups <= 8), _let(F.lower(F.regexp_replace(m, ":", "")), moved))
+
+
+def mod_97(text: Column) -> Column:
+    """The remainder of digits and capital letters, letters as two digits from 10 on, by 97."""
+    value = lambda s, c: F.when(c.rlike("[0-9]"), (s * 10 + F.ascii(c) - 48) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda s, c: value(s, c).cast("int"))
+
+
+def pseudonym_iban(m: Column, key: str, back: bool = False) -> Column:
+    """Keeps country and letters, permutes the digits after the check digits and computes these anew; null unless they are right."""
+    checked = lambda land, account: F.lpad((98 - mod_97(F.concat(account, land, F.lit("00")))).cast("string"), 2, "0")
+
+    def made(c: Column) -> Column:
+        land, account = F.substring(c, 1, 2), F.substr(c, F.lit(5), F.length(c))
+        moved = lay_digits(account, permute_digits(digits_of(account), key, "iban", back))
+        return _let(moved, lambda a: lay_digits(m, F.concat(land, checked(land, a), a), "[A-Z0-9]"))
+
+    def valid(c: Column) -> Column:
+        land, account = F.substring(c, 1, 2), F.substr(c, F.lit(5), F.length(c))
+        return F.length(c).between(15, 34) & (F.length(digits_of(account)) >= 4) & (checked(land, account) == F.substring(c, 3, 2))
+
+    return _let(F.regexp_replace(m, " ", ""), lambda c: F.when(valid(c), made(c)))
+
+
 def pseudonym_ssn(m: Column, key: str, back: bool = False) -> Column:
     """A permutation of the valid numbers: area 001-899 without 666, group 01-99, serial 0001-9999; null for others."""
-    area, group, serial = (F.split(m, "-")[i].cast("long") for i in range(3))
+    area, group, serial = (F.split(m, "[- ]")[i].cast("long") for i in range(3))
     place = F.when(area < 666, area - 1).otherwise(area - 2) * 99 + group - 1
     x = place * 9999 + serial - 1
     valid = area.between(1, 899) & (area != 666) & (group >= 1) & (serial >= 1)
@@ -132,24 +196,39 @@ def pseudonym_ssn(m: Column, key: str, back: bool = False) -> Column:
         no = floor_div(rest, F.lit(99))
         no = F.when(no < 665, no + 1).otherwise(no + 2)
         pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
-        return F.concat_ws("-", pad(no, 3), pad(F.pmod(rest, F.lit(99)) + 1, 2), pad(F.pmod(v, F.lit(9999)) + 1, 4))
+        mark = F.substring(m, 4, 1)
+        return F.concat(pad(no, 3), mark, pad(F.pmod(rest, F.lit(99)) + 1, 2), mark, pad(F.pmod(v, F.lit(9999)) + 1, 4))
 
     return F.when(valid, _let(feistel(x, F.lit(898 * 99).cast("long"), F.lit(9999).cast("long"), key, "ssn", back), show))
 
 
 def pseudonym_date(m: Column, key: str, back: bool = False) -> Column:
-    """A permutation of the days of the value's own 400-year cycle; null unless the calendar has the day."""
-    iso = m.rlike("^.{4}-")
-    day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(m, "dd/MM/yyyy"))
-    since = F.datediff(day, F.lit("1600-01-01").cast("date")).cast("long")
+    """A permutation of the days of the value's own 400-year cycle; null unless the calendar has the day.
 
-    def show(x: Column) -> Column:
-        low = F.pmod(x, F.lit(CYCLE_DAYS))
-        moved = x - low + feistel(low.cast("long"), F.lit(CYCLE_A).cast("long"), F.lit(CYCLE_B).cast("long"), key, "date", back)
-        out = F.date_add(F.lit("1600-01-01").cast("date"), moved.cast("int"))
-        return F.when(iso, F.date_format(out, "yyyy-MM-dd")).otherwise(F.date_format(out, "dd/MM/yyyy"))
-
-    return F.when(day.isNotNull() & (F.year(day) >= 1), _let(since, show))
+    Dates that can only be read month first are permuted among each other: days after the twelfth of a month, counted on.
+    """
+    start = F.lit("1600-01-01").cast("date")
+    formats = {"yyyy-MM-dd": m.rlike("^.{4}-"), "dd/MM/yyyy": F.substring(m, 3, 1) == "/", "dd.MM.yyyy": F.substring(m, 3, 1) == "."}
+    by_format = lambda way: F.coalesce(*[F.when(has, way(f)) for f, has in formats.items()])
+    read, show = by_format(lambda f: F.try_to_date(m, f)), lambda day: by_format(lambda f: F.date_format(day, f))
+    late = F.when(m.rlike("^../../"), F.try_to_date(m, "MM/dd/yyyy"))
+
+    def moved(x: Column, days: int, a: int, b: int, kind: str) -> Column:
+        low = F.pmod(x, F.lit(days))
+        return x - low + feistel(low.cast("long"), F.lit(a).cast("long"), F.lit(b).cast("long"), key, kind, back)
+
+    def of_late(x: Column) -> Column:
+        """The day of a place among late days: its month is found by the average, give or take two."""
+        first = lambda month: F.datediff(F.add_months(start, month), start) - 12 * month
+        near = F.floor(x * 4800 / LATE_DAYS).cast("int")
+        month = F.array_max(F.filter(F.transform(F.array(*[F.lit(d) for d in range(-2, 3)]), lambda d: near + d), lambda k: first(k) <= x))
+        return _let(month, lambda k: F.date_add(F.add_months(start, k), (12 + x - first(k)).cast("int")))
+
+    usual = _let(F.datediff(read, start).cast("long"), lambda x: show(F.date_add(start, moved(x, CYCLE_DAYS, CYCLE_A, CYCLE_B, "date").cast("int"))))
+    months = (F.year(late) - 1600) * 12 + F.month(late) - 1
+    place = (F.datediff(late, start) - 12 * (months + 1)).cast("long")
+    months_first = _let(place, lambda x: _let(moved(x, LATE_DAYS, LATE_A, LATE_B, "late"), lambda y: F.date_format(of_late(y), "MM/dd/yyyy")))
+    return F.when(read.isNotNull() & (F.year(read) >= 1), usual).when(late.isNotNull() & (F.year(late) >= 1), months_first)
 
 
 def pseudonym_email(m: Column, key: str) -> Column:
@@ -168,33 +247,41 @@ def _kind(m: Column) -> Column:
 
 
 def _pseudonym(m: Column, kind: Column, key: str, back: bool) -> Column:
-    out = F.when(kind == "ip", pseudonym_ip(m, key, back)).when(kind == "date", pseudonym_date(m, key, back)).when(kind == "ssn", pseudonym_ssn(m, key, back))
-    out = out.when(kind == "phone", pseudonym_phone(m, key, back)).when(kind == "card", pseudonym_card(m, key, back))
-    return out if back else out.when(kind == "email", pseudonym_email(m, key))
+    ways = {"ip": pseudonym_ip, "ipv6": pseudonym_ipv6, "iban": pseudonym_iban, "date": pseudonym_date, "ssn": pseudonym_ssn, "phone": pseudonym_phone, "card": pseudonym_card}
+    out = F.when(kind == "email", F.lit(None) if back else pseudonym_email(m, key))
+    for name, way in ways.items():
+        out = out.when(kind == name, way(m, key, back))
+    return out
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", back: bool = False) -> DataFrame:
     """Adds `found`, an array of (kind, value, pseudonym; null if it failed validation), and `clean`, the text with pseudonyms.
 
-    With `back`, numbers and dates are turned back. Null text stays null and has nothing found. Rows are treated one by
-    one in their own task: nothing is shuffled, however common a value is.
+    With `back`, numbers and dates are turned back. Null text stays null and has nothing found. Very long texts are
+    searched whole, in time linear in their length. Rows are treated one by one in their own task: nothing is shuffled,
+    however common a value is. Columns `found` and `clean` of the caller's are replaced; all others stay.
     """
     every = "|".join(f"(?:{p})" for p in PATTERNS.values())
-    some = F.col(text).rlike("[0-9@]")
-    one = docs.withColumn("_m", F.when(some, F.regexp_extract_all(text, F.lit(every), F.lit(0))))
-    two = one.withColumn("_k", F.transform("_m", lambda m: F.struct(m.alias("value"), _kind(m).alias("kind"))))
-    found = F.transform("_k", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), _pseudonym(x["value"], x["kind"], key, back).alias("pseudonym")))
-    three = two.withColumn("found", F.coalesce(F.when(F.size("_k") > 0, found), F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")))
-    pieces = F.split(text, every, -1)
-    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("found", i)["pseudonym"], F.get("found", i)["value"], F.lit("")))), "")
-    return three.withColumn("clean", F.when(F.exists("found", lambda x: x["pseudonym"].isNotNull()), joined).otherwise(F.col(text))).drop("_m", "_k")
+    some = F.col(text).rlike("[0-9@]|::")
+    values, kinds = spare_names(docs, "values", "kinds")
+    one = docs.withColumn(values, F.when(some, F.regexp_extract_all(text, F.lit(every), F.lit(0))))
+    two = one.withColumn(kinds, F.transform(values, lambda m: F.struct(m.alias("value"), _kind(m).alias("kind"))))
+    found = F.transform(kinds, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), _pseudonym(x["value"], x["kind"], key, back).alias("pseudonym")))
+    found = F.coalesce(F.when(F.size(kinds) > 0, found), F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>"))
+    whole, all_ = spare_names(docs, "whole", "all")
+    three = two.withColumn(whole, F.col(text)).withColumn(all_, found)
+    pieces = F.split(whole, every, -1)
+    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(all_, i)["pseudonym"], F.get(all_, i)["value"], F.lit("")))), "")
+    clean = F.when(F.exists(all_, lambda x: x["pseudonym"].isNotNull()), joined).otherwise(F.col(whole))
+    return three.withColumns({"found": F.col(all_), "clean": clean}).drop(values, kinds, whole, all_)
 
 
 def pseudonymise_documents(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, n_found, kinds, changed, text of every document.
 
     n_found: values that were validated and replaced; kinds: their kinds, distinct, sorted, comma-joined. Null text:
-    nothing found, null text. Repeated rows and null ids are treated one by one; an empty table gives no rows.
+    nothing found, null text. Repeated rows, ties and null ids are treated one by one; an empty table gives no rows; other
+    columns are not read.
     """
     rows = pseudonymise(docs.select("doc_id", "text"), key)
     valid = rows.withColumn("hits", F.filter("found", lambda x: x["pseudonym"].isNotNull()))
