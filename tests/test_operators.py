@@ -58,7 +58,27 @@ def test_constant_series_have_no_correlation(spark):
     assert {r["pair"]: r.r for r in got}["y->y"] == pytest.approx(1.0)
     flat = series.with_positions(rows.select("msname", "t", "x", "y"))
     assert dependence.distance_correlation(flat, "x", "y").first().dcor == 0.0
+    assert dependence.distance_correlation(flat.limit(1), "y", "y").first().dcor == 0.0
+    assert dependence.distance_correlation(flat, "y", "y").first().dcor == pytest.approx(1.0)
     assert dependence.sample_entropy(flat, "x").first().entropy is None
+    assert dependence.sample_entropy(flat.where("pos < 7"), "y").first().entropy is None  # under eight rows
+
+
+def test_correlations_of_instances_are_averaged(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for i, n in enumerate((60, 50, 12)):  # the last is too short
+        cpu, mem, mcr = rng.normal(size=(3, n))
+        cpu = np.full(n, 0.5) if i == 3 else cpu
+        rows += [("s", i, t, float(a), float(b), float(c)) for t, (a, b, c) in enumerate(zip(cpu, mem, mcr, strict=True))]
+        if n >= 15:
+            for h in range(1, 6):
+                want.setdefault(h, []).append(np.corrcoef(mcr[:-h], cpu[h:])[0, 1])
+    rows += [("few", 0, t, float(t), 1.0, 1.0) for t in range(99)]
+    df = spark.createDataFrame(rows, "msname string, msinstanceid long, t long, cpu double, mem double, mcr double")
+    got = {r.h: r for r in dependence.instance_correlation(df).where("pair = 'mcr->cpu'").collect()}
+    assert {r.msname for r in got.values()} == {"s"} and {(r.n_instances, r.n_samples) for r in got.values()} == {(2, 122)}
+    assert {h: r.r for h, r in got.items()} == pytest.approx({h: np.mean(v) for h, v in want.items()})
 
 
 def test_oscillation_skips_flat_windows(spark):
@@ -91,11 +111,51 @@ def test_no_spikes_and_too_few_residuals(spark):
     rows = spark.createDataFrame([("a", 0.5, 0.4, 0.4, 0.6)] * 3, "k string, y double, pred double, lower double, upper double")
     got = metrics.spike_metrics(rows, ["k"], threshold=0.9).first()
     assert (got.n_spikes, got.spike_coverage, got.spike_miss, got.mean_excess) == (0, 1.0, 0.0, 0.0)
+    assert (got.upper_in_spike, got.upper_outside) == (0.0, pytest.approx(0.6))
     fitted = conformal.split_fit(rows, 0.1, ["k"])
     assert fitted.count() == 0
     assert conformal.split_apply(rows.drop("lower", "upper"), fitted, ["k"]).first().upper == 0.4
 
 
+def test_metrics_by_hand(spark):
+    rows = spark.createDataFrame([("a", 1.0, 0.5, 0.0, 0.75), ("a", 0.0, 1.0, 0.0, 1.0), ("a", 2.0, 2.5, 1.0, 1.5), ("a", 4.0, 1.0, 3.0, 4.5)], "k string, y double, pred double, last double, upper double")
+    got = metrics.point_metrics(rows, ["k"]).first()
+    assert (got.under_rate, got.over_rate) == (50.0, 50.0)
+    assert got.mape == pytest.approx(100 * (0.5 + 0.25 + 0.75) / 3)
+    zero = metrics.point_metrics(rows.withColumn("y", F.lit(0.0)), ["k"]).first()
+    assert zero.mape == 0.0 and zero.r2 == 0.0
+    got = metrics.persistence_diagnostics(rows, ["k"]).first()
+    assert got.corr_last_true == pytest.approx(np.corrcoef([0, 0, 1, 3], [1, 0, 2, 4])[0, 1])
+    assert got.beat_rate == 50.0
+    assert got.r2_vs_persistence == pytest.approx(1 - (0.25 + 1 + 0.25 + 9) / 3)
+    assert metrics.persistence_diagnostics(rows.limit(1), ["k"]).count() == 0
+    spikes = metrics.spike_metrics(rows.withColumn("lower", F.lit(0.0)), ["k"], threshold=0.5).first()
+    assert (spikes.n_spikes, spikes.spike_coverage) == (3, pytest.approx(1 / 3))
+    assert spikes.mean_excess == pytest.approx((0.25 + 0.5 + 0) / 3)
+    log = spark.createDataFrame([("a", t, float(t), float(t + 2), 1.0) for t in range(9)] + [("b", t, 1.0, 1.0, 0.0) for t in range(5)], "k string, t long, cpu double, pred_cpu double, delta_cpu double")
+    got = metrics.aligned_errors(log, 3, ["k"]).collect()
+    assert [(r.k, r.n, r.final_mse, r.raw_mae, r.naive_mae) for r in got] == [("a", 6, 1.0, 2.0, 3.0)]
+
+
+def test_losses_over_two_targets(spark):
+    rows = spark.createDataFrame([("a", 5, 0.5, 0.505, 0.2, 0.1), ("a", 4, 0.5, 0.4, 0.2, 0.2)], "k string, h int, pred_cpu double, y_cpu double, pred_mem double, y_mem double")
+    targets = {"cpu": metrics.Target(0.01, under_weight=3.0), "mem": metrics.Target(0.002, relative=0.5)}
+    got = metrics.target_losses(rows, ["k"], targets).first()
+    small, large = 0.005**2 / 0.02, 0.1 - 0.005
+    assert got.huber == pytest.approx(0.5 * (3 * small + large) / 2 + 0.5 * ((0.1 - 0.001) / 2 + 0.5 * (0.1 / 0.100001) / 2))
+    assert got.mixed == pytest.approx((0.005**2 + 0.01) / 2 + 0.05)
+    assert got.joint == pytest.approx(got.mse / 2)
+    assert metrics.target_losses(rows, ["k"], targets, last_step=4).first().mse == pytest.approx(0.01)
+
+
+def test_scores_inside_the_quantiles_count_as_zero():
+    state, cfg = conformal.AdaptiveConfig().fresh(), conformal.AdaptiveConfig()
+    for y in (0.5, 0.45, 0.55):
+        state.update(y, 0.4, 0.6, cfg)
+    assert state.scores_upper == state.scores_lower == [0.0] * 3
+    assert state.interval(0.4, 0.6) == (0.4, 0.6)
+
+
 def test_adaptive_replay_equals_a_plain_loop(spark):
     rng = np.random.default_rng(1)
     rows = [("a", "cpu", i, float(v), 0.4, 0.6, i < 20) for i, v in enumerate(rng.uniform(0.2, 0.9, 80))]
@@ -107,7 +167,7 @@ def test_adaptive_replay_equals_a_plain_loop(spark):
     for _, _, i, y, lo, hi, _ in rows:
         a, b = (lo, hi) if not up else (lo - pick(low, al), hi + pick(up, au))
         assert (got[i].lower, got[i].upper) == pytest.approx((a, b))
-        up, low = [*up, y - hi][-10:], [*low, lo - y][-10:]
+        up, low = [*up, max(0, y - hi)][-10:], [*low, max(0, lo - y)][-10:]
         au = min(max(au + cfg.eta * (cfg.alpha_upper - (y > b)), cfg.least), cfg.most)
         al = min(max(al + cfg.eta * (cfg.alpha_lower - (y < a)), cfg.least), cfg.most)
     state = cfg.fresh()
@@ -147,6 +207,8 @@ def test_flat_windows_are_dropped_or_kept_raw(spark):
 def test_feature_sets_are_checked():
     assert catalog.feature_set("cpu_mem_http_rpc").tables == ("msresource", "msrtmcre")
     assert catalog.feature_set("cpu_mem").bounded and not catalog.feature_set("cpu_mem_http_rpc").bounded
+    assert catalog.feature_set("cpu_mem").targets == ("cpu_utilization",) and catalog.feature_set("cpu_mem_both").targets == ("cpu_utilization", "memory_utilization")
+    assert catalog.feature_set("node_cpu_mem").tables == ("msresource", "node") and catalog.feature_set("mcr_http").base == "msrtmcre"
     with pytest.raises(ValueError):
         catalog.feature_set("nothing")
     with pytest.raises(ValueError):
@@ -161,8 +223,30 @@ def test_durations_and_parts():
 
 
 def test_malformed_log_lines_are_marked(spark):
-    lines = spark.createDataFrame([('h - - [01/Jul/1995:00:00:01 -0400] "GET"',), ("junk",), (None,)], "value string")
-    assert [r.ok for r in logs.parse_access_log(lines).collect()] == [True, False, None]
+    lines = spark.createDataFrame([('h - - [01/Jul/1995:00:00:01 -0400] "GET"',), ("junk",), (None,), ("h - - [99/Jul/1995:00:00:01] x",)], "value string")
+    got = logs.parse_access_log(lines).collect()
+    assert [r.ok for r in got] == [True, False, None, False] and (got[0].day, got[0].hour, got[0].minute) == (1, 0, 0)
+
+
+def test_files_without_a_needed_column_are_skipped(spark, tmp_path):
+    (tmp_path / "good.csv").write_text("timestamp,msname,x\n1,a,2.5\n2,b,\n")
+    (tmp_path / "turned.csv").write_text("x,timestamp,msname\n3.5,3,c\n")
+    (tmp_path / "lacking.csv").write_text("timestamp,msname\n4,d\n")
+    kept, skipped = traces.valid_files(spark, str(tmp_path), ["timestamp", "x"])
+    assert len(kept) == 2 and [(r.file.rsplit("/", 1)[1], r.lacks) for r in skipped.collect()] == [("lacking.csv", ["x"])]
+    rows = traces.read_csv_trace(spark, f"{tmp_path}/*.csv", ["msname"], ["x"]).orderBy("timestamp").collect()
+    assert [(r.timestamp, r.msname, r.x) for r in rows] == [(1, "a", 2.5), (3, "c", 3.5)]
+    assert traces.read_csv_trace(spark, f"{tmp_path}/none*.csv", ["msname"], ["x"]).count() == 0
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tracelens.session import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
 
 
 def test_curve_rounds_half_to_even(spark):
@@ -171,9 +255,25 @@ def test_curve_rounds_half_to_even(spark):
 
 
 def test_scale_up_is_capped_and_dead_band_holds(spark):
-    rows = spark.createDataFrame([("a", 1, 9.0, 0.1), ("b", 4, 0.85, 0.1), ("c", 9, 0.01, 0.01)], "msname string, replicas int, load_cpu double, load_mem double")
+    rows = spark.createDataFrame([("a", 1, 9.0, 0.1), ("b", 4, 0.85, 0.1), ("c", 9, 0.01, 0.01), ("d", 5, 1.6, 0.0), ("e", 5, 0.0, 0.0)], "msname string, replicas int, load_cpu double, load_mem double")
     got = {r.msname: (r.desired, r.limited) for r in scaling.desired_replicas(rows).collect()}
-    assert got == {"a": (10, True), "b": (4, False), "c": (1, False)}
+    assert got == {"a": (10, True), "b": (4, False), "c": (1, False), "d": (10, True), "e": (1, False)}
+
+
+def test_a_positive_load_is_enough_to_predict(spark):
+    rows = spark.createDataFrame([("a", 30, 0.5, 0.4, 0.9, 0.0), ("b", 30, 0.5, 0.4, 0.0, 0.9), ("c", 3, 0.5, 0.4, 0.9, 0.9)], "msname string, history int, cpu double, mem double, upper_cpu double, upper_mem double")
+    got = {r.msname: (r.mode, r.load_cpu, r.load_mem) for r in scaling.chosen_load(rows, True, 24).collect()}
+    assert got == {"a": ("predictive", 0.9, 0.0), "b": ("reactive", 0.5, 0.4), "c": ("waiting", 0.5, 0.4)}
+
+
+def test_windows_are_ranked_by_oscillation_and_pattern(spark):
+    rows = spark.createDataFrame([("a", 1, 0.5, 9.0, 0.4), ("b", 1, 0.2, 1.0, 0.9), ("c", 1, 0.9, 5.0, None)], "msname string, win_end long, oscillation double, avg_load double, pattern double")
+    score = lambda mode: [(r.msname, r.score) for r in rolling.rank_windows(rows, mode, 5).collect()]
+    assert score("both_pattern") == [("a", pytest.approx(0.2)), ("b", pytest.approx(0.18))]
+    assert score("pattern") == [("b", 0.9), ("a", 0.4)]
+    assert score("both") == [("a", 0.5), ("c", pytest.approx(0.45)), ("b", 0.0)]
+    joined = rolling.with_pattern(rows.drop("pattern"), spark.createDataFrame([("a", 1, 0.7)], "msname string, t long, pattern double"))
+    assert {r.msname: r.pattern for r in joined.collect()} == {"a": 0.7, "b": None, "c": None}
 
 
 def test_newly_arrived_files_are_ingested_once(spark, tmp_path):

@@ -9,6 +9,14 @@ import pytest
 
 from tracelens.plans import all_queries, all_sql
 
+#: Queries that SQL cannot express, and the tests that hold their numbers against a plain computation.
+NUMERIC_TESTS = {
+    "m4_linear_direct": "test_linear_heads_equal_normal_equations",
+    "m10_m11_m13_adaptive_replay": "test_adaptive_replay_equals_a_plain_loop",
+    "r4_r6_stream_conformal": "test_stream_equals_batch_for_conformal",
+    "g1_g2_wavelet_windows": "test_wavelets_keep_energy_and_turn_back",
+    "g4_entropy_groups": "test_entropy_groups_query_takes_whole_series",
+}
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
@@ -38,7 +46,7 @@ def test_query_equals_its_sql(spark, duck, sf_dir, name):
     columns = sorted(df.columns)
     got = sorted((tuple(flat(r[c]) for c in columns) for r in df.collect()), key=order)
     if name not in all_sql():
-        assert len(columns) == len(df.columns)
+        assert got and name in NUMERIC_TESTS
         return
     cursor = duck.execute(all_sql()[name])
     names = [d[0] for d in cursor.description]

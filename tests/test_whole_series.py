@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelens.operators import dependence, series
+from tracelens.operators import dependence, forecast, series
 from tracelens.plans import series_queries, views
 
 
@@ -33,7 +34,41 @@ def test_all_rows_of_a_long_series_count(spark):
     y = np.concatenate([x[:600], rng.normal(size=600)])
     rows = spark.createDataFrame([("s", i, float(u), float(v)) for i, (u, v) in enumerate(zip(x, y, strict=True))], "msname string, pos long, x double, y double")
     assert dependence.distance_correlation(rows, "x", "y").first().dcor == pytest.approx(brute_dcor(x, y), abs=1e-6)
-    assert dependence.sample_entropy(rows, "x").first().entropy == pytest.approx(brute_entropy(x), abs=1e-9)
+    assert dependence.sample_entropy(rows, "x", sample=2000).first().entropy == pytest.approx(brute_entropy(x), abs=1e-9)
+    drawn = sorted(sorted(range(1200), key=lambda i: hashlib.md5(f"42|s|{i}".encode()).hexdigest())[:1000])
+    assert dependence.sample_entropy(rows, "x").first().entropy == pytest.approx(brute_entropy(x[drawn]), abs=1e-9)
+
+
+def test_distance_correlation_with_ties(spark):
+    rng, rows, want = np.random.default_rng(2), [], {}
+    for k, n in (("two", 2), ("odd", 37), ("ties", 64), ("more", 65)):
+        x, y = rng.integers(0, 5, n).astype(float), rng.integers(0, 4, n).astype(float)
+        want[k] = brute_dcor(x, y)
+        rows += [(k, float(u), float(v)) for u, v in zip(x, y, strict=True)]
+    df = spark.createDataFrame(rows, "msname string, x double, y double")
+    assert {r.msname: r.dcor for r in dependence.distance_correlation(df, "x", "y").collect()} == pytest.approx(want, abs=1e-7)
+
+
+def test_linear_heads_equal_normal_equations(spark):
+    """Ridge regression on standardised inputs with an intercept, solved directly."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(80):
+        x = rng.normal(size=(4, 2))
+        y = [[float(x[:, 0].sum() + 0.1 * rng.normal())], [float(x[-1, 1] - x[0, 0] + 0.1 * rng.normal())]]
+        rows.append(("s", "train" if i < 60 else "test", i, x.tolist(), y))
+    df = spark.createDataFrame(rows, "msname string, split string, win_start long, x array<array<double>>, y array<array<double>>")
+    got = {(r.win_start, r.h): r.pred for r in forecast.linear_direct(df, 2, 4).collect()}
+    flat = np.array([np.ravel(r[3]) for r in rows])
+    train = flat[:60]
+    spread = train.std(axis=0, ddof=1)
+    z, mean = (train - train.mean(axis=0)) / spread, train.mean(axis=0)
+    for h in (1, 2):
+        y = np.array([r[4][h - 1][0] for r in rows])
+        scale = y[:60].std(ddof=1)
+        beta = np.linalg.solve(z.T @ z / 60 + 1e-3 / scale * np.eye(8), z.T @ (y[:60] - y[:60].mean()) / 60)
+        pred = y[:60].mean() + ((flat - mean) / spread) @ beta
+        assert [got[i, h] for i in range(80)] == pytest.approx(pred, abs=2e-3)
 
 
 def test_entropy_groups_query_takes_whole_series(spark, monkeypatch):

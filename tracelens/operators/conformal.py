@@ -51,10 +51,10 @@ class AdaptiveState:
         return q_lo - conservative(self.scores_lower, 1 - self.alpha_lower), q_hi + conservative(self.scores_upper, 1 - self.alpha_upper)
 
     def update(self, y: float, q_lo: float, q_hi: float, cfg: AdaptiveConfig) -> None:
-        """The bound that held decides the miss; then the scores are kept; then the levels move."""
+        """The bound that held decides the miss; then the scores, 0 inside the raw quantiles, are kept; then the levels move."""
         low, high = self.interval(q_lo, q_hi, cfg.empty)
-        self.scores_upper = [*self.scores_upper, y - q_hi][-cfg.window :]
-        self.scores_lower = [*self.scores_lower, q_lo - y][-cfg.window :]
+        self.scores_upper = [*self.scores_upper, max(0.0, y - q_hi)][-cfg.window :]
+        self.scores_lower = [*self.scores_lower, max(0.0, q_lo - y)][-cfg.window :]
         self.alpha_upper = min(max(self.alpha_upper + cfg.eta * (cfg.alpha_upper - (y > high)), cfg.least), cfg.most)
         self.alpha_lower = min(max(self.alpha_lower + cfg.eta * (cfg.alpha_lower - (y < low)), cfg.least), cfg.most)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
@@ -10,55 +12,110 @@ from pyspark.sql import functions as F
 from tracelens.functions.scalars import corr_guarded
 
 
-def lagged_correlation(df: DataFrame, pairs: list[tuple[str, str]], horizons: list[int], keys: list[str], order: str = "t", extra: int = 10, fill: float | None = None) -> DataFrame:
-    """(keys, pair, h, r): correlation of x(t) with y(t + h rows), for keys with at least max(horizons) + extra rows."""
+#: What is compared, now with later: utilisation with itself and with the call rate, both ways.
+INSTANCE_PAIRS = (("cpu", "cpu"), ("mem", "mem"), ("mcr", "cpu"), ("mcr", "mem"), ("cpu", "mcr"), ("mem", "mcr"))
+SERVICE_PAIRS = (("cpu", "cpu"), ("mem", "mem"), ("mcr", "cpu"), ("mcr", "mem"), ("replicas", "cpu"), ("replicas", "mem"))
+HORIZONS = (1, 2, 3, 4, 5)
+
+
+def lagged_correlation(df: DataFrame, pairs: Sequence[tuple[str, str]], horizons: Sequence[int], keys: list[str], order: str = "t", extra: int = 10, fill: float | None = None) -> DataFrame:
+    """(keys, pair, h, n, r): correlation of x(t) with y(t + h rows) over n rows, for keys with at least max(horizons) + extra rows.
+
+    Undefined ones, where either side is constant, are null or `fill`.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
     columns = {f"_{y}_{h}": F.lead(y, h).over(w) for _, y in pairs for h in horizons}
     wide = df.select(*keys, order, *{x for x, _ in pairs}, *[c.alias(n) for n, c in columns.items()], F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"))
     wide = wide.where(F.col("_n") >= max(horizons) + extra)
+    both = lambda x, y, h: F.col(x).isNotNull() & F.col(f"_{y}_{h}").isNotNull()
 
     def r(x: str, y: str, h: int):
-        both = F.col(x).isNotNull() & F.col(f"_{y}_{h}").isNotNull()
-        value = corr_guarded(F.when(both, F.col(x)), F.when(both, F.col(f"_{y}_{h}")))
-        return value if fill is None else F.coalesce(value, F.lit(fill))
+        value = corr_guarded(F.when(both(x, y, h), F.col(x)), F.when(both(x, y, h), F.col(f"_{y}_{h}")))
+        return F.struct(F.lit(f"{x}->{y}").alias("pair"), F.lit(h).alias("h"), F.count_if(both(x, y, h)).alias("n"), (value if fill is None else F.coalesce(value, F.lit(fill))).alias("r"))
+
+    grouped = wide.groupBy(*keys).agg(F.array(*[r(x, y, h) for x, y in pairs for h in horizons]).alias("cells"))
+    return grouped.select(*keys, F.explode("cells").alias("c")).select(*keys, "c.*")
+
+
+def instance_correlation(df: DataFrame, least: int = 100, horizons: Sequence[int] = HORIZONS) -> DataFrame:
+    """(msname, pair, h, r, n_instances, n_samples): the average over instances of (msname, msinstanceid, t, cpu, mem, mcr).
+
+    Services with fewer than `least` rows go, and instances with fewer than the longest horizon and 10. An instance counts
+    for a horizon if its cpu correlates with itself; an undefined correlation of another pair makes the average null.
+    """
+    sizes = df.groupBy("msname").agg(F.count(F.lit(1)).alias("n_samples")).where(F.col("n_samples") >= least)
+    each = lagged_correlation(df, INSTANCE_PAIRS, horizons, ["msname", "msinstanceid"])
+    own = F.max(F.when(F.col("pair") == "cpu->cpu", F.col("r"))).over(Window.partitionBy("msname", "msinstanceid", "h"))
+    valid = each.withColumn("_own", own).where("_own is not null")
+    whole = F.when(F.count("r") == F.count(F.lit(1)), F.avg("r"))
+    averaged = valid.groupBy("msname", "pair", "h").agg(whole.alias("r"), F.count(F.lit(1)).alias("n_instances"))
+    return averaged.join(sizes, "msname")
+
 
-    grouped = wide.groupBy(*keys).agg(*[r(x, y, h).alias(f"{x}|{y}|{h}") for x, y in pairs for h in horizons])
-    cells = F.array(*[F.struct(F.lit(f"{x}->{y}").alias("pair"), F.lit(h).alias("h"), F.col(f"{x}|{y}|{h}").alias("r")) for x, y in pairs for h in horizons])
-    return grouped.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.pair", "c.h", "c.r")
+def average_correlation(each: DataFrame, by: list[str], value: str = "r") -> DataFrame:
+    return each.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n"))
 
 
-def average_correlation(each: DataFrame, by: list[str]) -> DataFrame:
-    return each.groupBy(*by).agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"), F.min("r").alias("min"), F.max("r").alias("max"), F.count("r").alias("n"))
+def lagged_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], horizons: Sequence[int], key: str = "msname", order: str = "t", extra: int = 20) -> DataFrame:
+    """(key, pair, h, x, y): x(t) beside y(t + h rows), for keys with at least max(horizons) + extra rows."""
+    w, of = Window.partitionBy(key).orderBy(order), Window.partitionBy(key)
+    cells = [F.struct(F.lit(f"{x}->{y}").alias("pair"), F.lit(h).alias("h"), F.col(x).cast("double").alias("x"), F.lead(y, h).over(w).cast("double").alias("y")) for x, y in pairs for h in horizons]
+    rows = df.select(key, F.count(F.lit(1)).over(of).alias("_n"), F.explode(F.array(*cells)).alias("c"))
+    return rows.where(F.col("_n") >= max(horizons) + extra).select(key, "c.*").where("x is not null and y is not null")
 
 
-def distance_correlation(df: DataFrame, x: str, y: str, key: str = "msname", order: str = "pos", most: int | None = None) -> DataFrame:
-    """(key, dcor) over all rows of each series, or the first `most`: pairs of a series against itself, in blocks by row.
+def distance_correlation(df: DataFrame, x: str, y: str, keys: Sequence[str] = ("msname",)) -> DataFrame:
+    """(keys, dcor) over all rows of each key, in time n log(n)^2; 0 for fewer than two rows or without variance.
 
-    dCov2 = mean(a b) - 2 mean_i(a_i. b_i.) + a.. b.., so only row means are kept and no n x n matrix; 0 for fewer than
-    two rows or no variance. The cost is the square of the rows.
+    dCov2 = mean(|dx| |dy|) - 2 mean_i(a_i b_i) + mean(a) mean(b), with a_i and b_i the mean distances of row i, which
+    running sums give in order of x or y. The mean over pairs is taken without pairs: rows are ranked by x and by y; at
+    each level, rows in the right half of a block of x ranks meet the sums of the left half's rows, below and above them in
+    y. A pair is on either side of exactly one block's middle.
     """
-    rows = (df if most is None else df.where(F.col(order) < most)).select(key, F.col(order).alias("i"), F.col(x).alias("x"), F.col(y).alias("y"))
-    series = rows.groupBy(key).agg(F.collect_list(F.struct("x", "y")).alias("s"))
-    each = rows.join(series, key).select(key, "i", F.transform("s", lambda r: F.abs(r["x"] - F.col("x"))).alias("a"), F.transform("s", lambda r: F.abs(r["y"] - F.col("y"))).alias("b"))
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
-    dot = lambda c, d: total(F.zip_with(c, d, lambda u, v: u * v))
-    n = F.size("a")
-    sums = each.select(key, (total("a") / n).alias("ra"), (total("b") / n).alias("rb"), (dot("a", "b") / n).alias("ab"), (dot("a", "a") / n).alias("aa"), (dot("b", "b") / n).alias("bb"))
-    m = sums.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("ra", "rb", "ab", "aa", "bb")], F.avg(F.col("ra") * F.col("rb")).alias("rab"), F.avg(F.col("ra") * F.col("ra")).alias("raa"), F.avg(F.col("rb") * F.col("rb")).alias("rbb"))
+    keys = list(keys)
+    of = Window.partitionBy(*keys)
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    by_x, by_y = of.orderBy("x", "y"), of.orderBy("y", "x")
+    n = F.count(F.lit(1)).over(of)
+    rows = rows.select("*", n.alias("n"), (F.row_number().over(by_x) - 1).alias("i"), F.coalesce(F.sum("x").over(up_to(by_x)), F.lit(0.0)).alias("sx"), F.sum("x").over(of).alias("tx"))
+    rows = rows.select("*", (F.row_number().over(by_y) - 1).alias("j"), F.coalesce(F.sum("y").over(up_to(by_y)), F.lit(0.0)).alias("sy"), F.sum("y").over(of).alias("ty"))
+    mean_distance = lambda v, rank, below, total: (v * (2 * rank - F.col("n")) + total - 2 * below) / F.col("n")
+    rows = rows.withColumns({"a": mean_distance(F.col("x"), F.col("i"), F.col("sx"), F.col("tx")), "b": mean_distance(F.col("y"), F.col("j"), F.col("sy"), F.col("ty"))})
+
+    levels = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.col("n").cast("double"))).cast("int") - 1, F.lit(0)))
+    placed = rows.select(*keys, "x", "y", "i", "j", F.explode(levels).alias("level"))
+    shifted = lambda by: F.expr(f"shiftright(i, level + {by})")
+    placed = placed.withColumns({"block": shifted(1), "left": (shifted(0) % 2 == 0).cast("double")})
+    block = Window.partitionBy(*keys, "level", "block")
+    below = up_to(block.orderBy("j"))
+    parts = {"c": F.col("left"), "x": F.col("left") * F.col("x"), "y": F.col("left") * F.col("y"), "xy": F.col("left") * F.col("x") * F.col("y")}
+    sums = placed.select("*", *[F.coalesce(F.sum(v).over(below), F.lit(0.0)).alias(f"low_{k}") for k, v in parts.items()], *[F.sum(v).over(block).alias(f"all_{k}") for k, v in parts.items()])
+    area = lambda c: F.col("x") * F.col("y") * c("c") - F.col("x") * c("y") - F.col("y") * c("x") + c("xy")
+    across = 2 * area(lambda k: F.col(f"low_{k}")) - area(lambda k: F.col(f"all_{k}"))
+    pairs = sums.where("left = 0").groupBy(*keys).agg(F.sum(across).alias("s"))
+
+    m = rows.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.avg("a").alias("ra"), F.avg("b").alias("rb"), F.avg(F.col("a") * F.col("b")).alias("rab"), F.avg(F.col("a") * F.col("a")).alias("raa"), F.avg(F.col("b") * F.col("b")).alias("rbb"),
+        (2 * F.var_pop("x")).alias("aa"), (2 * F.var_pop("y")).alias("bb"),
+    )
+    m = m.join(pairs, keys, "left").withColumn("ab", 2 * F.coalesce("s", F.lit(0.0)) / F.col("n") / F.col("n"))
     cov = F.greatest(F.col("ab") - 2 * F.col("rab") + F.col("ra") * F.col("rb"), F.lit(0.0))
     va, vb = F.col("aa") - 2 * F.col("raa") + F.col("ra") * F.col("ra"), F.col("bb") - 2 * F.col("rbb") + F.col("rb") * F.col("rb")
     spread = F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0)))
-    return m.select(key, F.when((F.col("n") < 2) | (spread < 1e-12), 0.0).otherwise(F.sqrt(cov / F.when(spread >= 1e-12, spread))).alias("dcor"))
+    return m.select(*keys, F.when((F.col("n") < 2) | (spread < 1e-12), 0.0).otherwise(F.sqrt(cov / F.when(spread >= 1e-12, spread))).alias("dcor"))
 
 
-def sample_entropy(df: DataFrame, value: str, key: str = "msname", order: str = "pos", m: int = 2, r_frac: float = 0.2, most: int | None = None) -> DataFrame:
+def sample_entropy(df: DataFrame, value: str, key: str = "msname", order: str = "pos", m: int = 2, r_frac: float = 0.2, sample: int = 1000, seed: int = 42) -> DataFrame:
     """(key, entropy): -ln(A / B), A and B the pairs of templates of m + 1 and m rows within r_frac of the std.
 
-    Over all rows, or the first `most`; null for short or flat series or without matches. The cost is the square of the rows.
+    Of a series with more than `sample` rows a seeded sample of as many, over the whole of it, is taken, in order; so the
+    cost of a series is bounded. Null for fewer than 2 (m + 1) + 2 rows, flat series, or without matches.
     """
-    rows = df if most is None else df.where(F.col(order) < most)
+    drawn = Window.partitionBy(key).orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"), F.col(order).cast("string"))), order)
+    rows = df.where(F.col(value).isNotNull()).withColumn("_drawn", F.row_number().over(drawn)).where(F.col("_drawn") <= sample)
     series = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]).alias("v"), (F.stddev_samp(value) * r_frac).alias("r"))
-    series = series.where((F.size("v") > m + 1) & (F.col("r") > 0))
+    series = series.where((F.size("v") >= 2 * (m + 1) + 2) & (F.col("r") > 0))
     starts = series.select(key, "v", "r", F.posexplode(F.slice("v", 1, F.size("v") - m)).alias("i", "_first"))
     at = lambda j: F.element_at("v", j + 1)
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelens.functions.scalars import softmax_over
+from tracelens.session import materialise
 
 
 def persistence(df: DataFrame, horizon: int, value: str = "cpu") -> DataFrame:
@@ -87,7 +88,11 @@ def select_order(df: DataFrame, value: str = "cpu", lags: tuple[int, ...] = (0,
 
 
 def linear_direct(windows: DataFrame, horizon: int, length: int, target: int = 0, ridge: float = 1e-3) -> DataFrame:
-    """(msname, split, win_start, h, pred, y): one ridge regression per horizon on the flat input, fitted on train windows."""
+    """(msname, split, win_start, h, pred, y): one ridge regression per horizon on the flat input, fitted on train windows.
+
+    The windows are written once, as each horizon reads them twice.
+    """
+    windows = materialise(windows.select("msname", "split", "win_start", "x", "y"), "windows")
     flat = windows.withColumn("_x", F.flatten("x"))
     width = length * len(windows.select("x").first()["x"][0])
     columns = [f"_x{i}" for i in range(width)]

@@ -52,8 +52,15 @@ def service_extremes(means: DataFrame) -> DataFrame:
 
 
 def instance_stats(df: DataFrame, time: str = "ts", approximate: bool = False) -> DataFrame:
-    """Per service: average distinct instances per timestamp, and distinct instances in all."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    """Per service: average distinct instances per timestamp, and distinct instances in all.
+
+    Both come from the distinct (service, time, instance) rows, which are made in one shuffle.
+    """
+    if not approximate:
+        seen = df.select("msname", time, "msinstanceid").distinct()
+        average = F.count("msinstanceid") / F.count_distinct(time)
+        return seen.groupBy("msname").agg(average.alias("avg_instances"), F.count_distinct("msinstanceid").alias("total_instances"))
+    distinct = F.approx_count_distinct
     per_time = df.groupBy("msname", time).agg(distinct("msinstanceid").alias("instances"))
     average = per_time.groupBy("msname").agg(F.avg("instances").alias("avg_instances"))
     total = df.groupBy("msname").agg(distinct("msinstanceid").alias("total_instances"))
@@ -76,10 +83,13 @@ def spread(df: DataFrame, column: str, by: list[str]) -> DataFrame:
 
 
 def higher_quantile(df: DataFrame, score: str, q: float, by: list[str]) -> DataFrame:
-    """The conservative quantile: of n sorted scores the one at ceil((n - 1) q), counted from 0."""
-    of = Window.partitionBy(*by)
-    placed = df.where(F.col(score).isNotNull()).select(*by, score, F.row_number().over(of.orderBy(score)).alias("_r"), F.count(F.lit(1)).over(of).alias("_n"))
-    return placed.where(F.col("_r") == F.ceil((F.col("_n") - 1) * F.lit(q)) + 1).select(*by, F.col(score).alias("quantile"))
+    """The conservative quantile: of n sorted scores the one at ceil((n - 1) q), counted from 0.
+
+    That is the smallest score not below the interpolated quantile; both are aggregates, summed before the shuffle.
+    """
+    scores = df.where(F.col(score).isNotNull()).select(*by, F.col(score).alias("_score"))
+    ends = scores.groupBy(*by).agg(F.percentile("_score", F.lit(q)).alias("_at"))
+    return scores.join(ends, by).where(F.col("_score") >= F.col("_at")).groupBy(*by).agg(F.min("_score").alias("quantile"))
 
 
 def counter_rate(df: DataFrame, by: str, value: str = "value", time: str = "ts", series: tuple[str, ...] = ("series",)) -> DataFrame:

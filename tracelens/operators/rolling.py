@@ -69,16 +69,24 @@ def pattern_score(df: DataFrame, n: int, lags: list[int], value: str = "load") -
     return out.withColumn("pattern", best).select(*df.columns, "pattern")
 
 
+def with_pattern(windows: DataFrame, scores: DataFrame) -> DataFrame:
+    """Adds the pattern score of (service, window end), null where there is none."""
+    return windows.join(scores.select("msname", F.col("t").alias("win_end"), "pattern"), ["msname", "win_end"], "left")
+
+
 def rank_windows(df: DataFrame, mode: str = "oscillation", k: int = 20) -> DataFrame:
     """The k best windows by oscillation, mcr, both, pattern or both_pattern; ties by service and window end.
 
-    `both` scales the average load over all candidates; a zero span scores 0. Sorting is a top-k, not a full sort.
+    `both` is oscillation times the average load scaled over all candidates, with a zero span 0; `both_pattern` is
+    oscillation times pattern. Rows without a score go. Sorting is a top-k, not a full sort.
     """
-    if mode in ("both", "both_pattern"):
+    if mode == "both":
         ends = df.agg(F.min("avg_load").alias("_lo"), F.max("avg_load").alias("_hi"))
         df = df.join(F.broadcast(ends))  # one row
         load = F.coalesce(F.try_divide(F.col("avg_load") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-        score = load * (F.col("oscillation") if mode == "both" else F.col("pattern"))
+        score = load * F.col("oscillation")
+    elif mode == "both_pattern":
+        score = F.col("oscillation") * F.col("pattern")
     else:
         score = F.col({"oscillation": "oscillation", "mcr": "avg_load", "pattern": "pattern"}[mode])
     scored = df.withColumn("score", score).where("score is not null")

@@ -35,20 +35,20 @@ def scale_up_ceiling(current: Column, cfg: ScalingConfig) -> Column:
 
 
 def chosen_load(df: DataFrame, predictive: bool, window: int) -> DataFrame:
-    """Adds load_cpu, load_mem and mode: the upper bound if predictive, enough history and positive, else what is observed."""
+    """Adds load_cpu, load_mem and mode: the upper bounds if predictive, with enough history and a positive load, else what is observed."""
     waiting = F.col("history") < window
-    usable = F.lit(predictive) & ~waiting & (F.col("upper_cpu") > 0) & (F.col("upper_mem") > 0)
+    usable = F.lit(predictive) & ~waiting & (F.col("upper_cpu") > 0)
     mode = F.when(F.lit(predictive) & waiting, "waiting").when(usable, "predictive").otherwise("reactive")
     return df.withColumns({"load_cpu": F.when(usable, F.col("upper_cpu")).otherwise(F.col("cpu")), "load_mem": F.when(usable, F.col("upper_mem")).otherwise(F.col("mem")), "mode": mode})
 
 
 def desired_replicas(df: DataFrame, cfg: ScalingConfig = ScalingConfig()) -> DataFrame:
-    """Adds desired and limited: the larger of the CPU and memory wishes, clamped, and not beyond the scale-up ceiling."""
+    """Adds desired and limited (the wish reaches the maximum): the larger of both wishes, clamped, and not beyond the scale-up ceiling."""
     wish = F.greatest(raw_replicas(F.col("replicas"), F.col("load_cpu"), cfg), raw_replicas(F.col("replicas"), F.col("load_mem"), cfg))
     out = df.withColumn("_wish", wish)
     clamped = F.greatest(F.lit(cfg.least), F.least(F.lit(cfg.most), F.col("_wish")))
     capped = F.when(clamped > F.col("replicas"), F.least(clamped, scale_up_ceiling(F.col("replicas"), cfg))).otherwise(clamped)
-    return out.withColumns({"limited": (F.col("_wish") < cfg.least) | (F.col("_wish") > cfg.most), "desired": capped}).drop("_wish")
+    return out.withColumns({"limited": F.col("_wish") >= cfg.most, "desired": capped}).drop("_wish")
 
 
 def stabilise(df: DataFrame, cfg: ScalingConfig = ScalingConfig(), key: str = "msname", time: str = "ts") -> DataFrame:

@@ -95,17 +95,23 @@ def trend_seasonal(values: Column, kernel: int) -> list[Column]:
 
 
 def head_slice(windows: DataFrame, percent: float | None = None, most: int | None = None) -> DataFrame:
-    """The first windows in (msname, win_start) order: max(1, floor(n percent / 100)) of each split, or `most`."""
+    """The first windows in (msname, win_start) order: max(1, floor(n percent / 100)) of each split, or `most`.
+
+    Counts per service tell where each service's share ends, so no task sorts more than one service's windows.
+    """
     if most is not None:
         return windows.orderBy("msname", "win_start").limit(most)
     if percent is None or percent <= 0 or percent >= 100:
         return windows
-    order = Window.partitionBy("split").orderBy("msname", "win_start")
-    n = F.count(F.lit(1)).over(Window.partitionBy("split"))
-    placed = windows.withColumn("_r", F.row_number().over(order)).withColumn("_k", F.greatest(F.lit(1), F.floor(n * F.lit(percent) / 100)))
-    return placed.where("_r <= _k").drop("_r", "_k")
+    counts = windows.groupBy("split", "msname").agg(F.count(F.lit(1)).alias("_n"))  # one row for each service and split
+    of = Window.partitionBy("split")
+    before = F.coalesce(F.sum("_n").over(of.orderBy("msname").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = F.greatest(F.lit(1), F.floor(F.sum("_n").over(of) * F.lit(percent) / 100)) - before
+    placed = windows.join(counts.select("split", "msname", kept.alias("_k")).where("_k > 0"), ["split", "msname"])
+    inside = F.row_number().over(Window.partitionBy("split", "msname").orderBy("win_start"))
+    return placed.withColumn("_r", inside).where("_r <= _k").select(windows.columns)
 
 
 def seeded_sample(df: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
     """n rows without replacement, the same in every run: a top-n by a seeded hash."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys])), *keys).limit(n)

@@ -10,6 +10,7 @@ from tracelens.operators import conformal, forecast, metrics, scaling, series, w
 from tracelens.plans import views
 from tracelens.plans.registry import query
 from tracelens.plans.series_queries import L, hourly_windows
+from tracelens.session import materialise
 
 H = 5
 
@@ -32,14 +33,26 @@ def m2_autoregression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.ar1_forecast(forecast.fit_ar1(split_series(spark, sf_dir).where("split = 'train'")), H)
 
 
-@query()
+@query("WITH o AS (SELECT s.msname, b.o * 25 AS origin FROM (SELECT msname, max(n) AS n FROM series_hourly GROUP BY msname) s CROSS JOIN range(1, 4000) b(o) WHERE b.o * 25 < s.n AND b.o * 25 >= 128), r AS (SELECT s.msname, o.origin, pos, cpu FROM series_hourly s JOIN o ON o.msname = s.msname AND s.pos < o.origin AND s.pos >= o.origin - 128), d AS (SELECT *, cpu - lag(cpu) OVER (PARTITION BY msname, origin ORDER BY pos) AS d FROM r), e AS (SELECT *, lag(d) OVER (PARTITION BY msname, origin ORDER BY pos) AS d1 FROM d), f AS (SELECT msname, origin, coalesce(covar_pop(d, d1) / nullif(var_pop(d1), 0), 0) AS phi, avg(d) AS my, avg(d1) AS mx FROM e WHERE d1 IS NOT NULL GROUP BY ALL), l AS (SELECT msname, origin, arg_max(cpu, pos) AS last, arg_max(d, pos) AS last_d FROM d GROUP BY ALL), g AS (SELECT msname, origin, phi, my - phi * mx AS drift, last, last_d, unnest(range(1, 6)) AS h FROM f JOIN l USING (msname, origin)) SELECT msname, CAST(origin AS BIGINT) AS origin, CAST(h AS INTEGER) AS h, R(list_reduce(list_prepend({'y': last, 'd': last_d}, list_transform(range(h), lambda k: {'y': last, 'd': last_d})), lambda s, k: {'y': s.y + drift + phi * s.d, 'd': drift + phi * s.d}).y;R) AS pred FROM g")
 def m2_rolling_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.ar1_rolling(views.series_hourly(spark, sf_dir), H)
 
 
-@query()
+def _orders_sql() -> str:
+    d0 = "z0 AS (SELECT msname, pos, cpu AS z FROM split_hourly WHERE split = 'train')"
+    d1 = "z1 AS (SELECT msname, pos, z - lag(z) OVER (PARTITION BY msname ORDER BY pos) AS z FROM z0 QUALIFY z IS NOT NULL)"
+    fits = []
+    for d in (0, 1):
+        lagged = f"(SELECT msname, z, lag(z) OVER (PARTITION BY msname ORDER BY pos) AS x FROM z{d})"
+        for p, rss in ((0, "var_pop(z)"), (1, "(var_pop(z) - covar_pop(z, x) ** 2 / nullif(var_pop(x), 0))")):
+            fits.append(f"SELECT msname, count(*) * ln(greatest({rss}, 1e-300)) + {2 * (p + 2)} AS aic, {p} AS p, {d} AS d FROM {lagged} WHERE x IS NOT NULL GROUP BY msname HAVING count(*) >= {p + 3}")
+    return f"WITH {d0}, {d1}, fits AS ({' UNION ALL '.join(fits)}) SELECT msname, CAST(p AS INTEGER) AS p, CAST(d AS INTEGER) AS d, R(aic;R) AS aic FROM fits QUALIFY row_number() OVER (PARTITION BY msname ORDER BY aic, p, d) = 1"
+
+
+@query(_orders_sql(), digits=5)
 def m3_order_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forecast.select_order(split_series(spark, sf_dir).where("split = 'train'"))
+    """Over orders that SQL can fit too; the operator's own grid has longer ones."""
+    return forecast.select_order(split_series(spark, sf_dir).where("split = 'train'"), lags=(0, 1))
 
 
 @query()
@@ -48,10 +61,11 @@ def m4_linear_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.point_metrics(made.where("split = 'test'"), ["h"], last=None)
 
 
-@query("SELECT msname, pos, R(last + (pred - last) * 0.5;R) AS pred FROM forecast_log")
+@query("SELECT msname, pos, R(last + (pred - last) * 0.5;R) AS pred, R(last;R) AS masked FROM forecast_log")
 def m5_change_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = views.forecast_log(spark, sf_dir).withColumn("delta", (F.col("pred") - F.col("last")) * 0.5)
-    return forecast.add_last(log).select("msname", "pos", "pred")
+    masked = forecast.add_last(log, masked=True).withColumnRenamed("pred", "masked").select("msname", "pos", "masked")
+    return forecast.add_last(log).select("msname", "pos", "pred").join(masked, ["msname", "pos"])
 
 
 QUANTILES = "c AS (SELECT a.msname, CAST(x.h AS INTEGER) AS h, b.cpu - a.cpu AS d FROM split_hourly a CROSS JOIN range(1, 6) x(h) JOIN split_hourly b ON a.msname = b.msname AND b.pos = a.pos + x.h WHERE a.split = 'train' AND b.split = 'train'), q AS (SELECT msname, h, quantile_cont(d, 0.10) AS q_lo, quantile_cont(d, 0.50) AS q50, quantile_cont(d, 0.95) AS q_hi FROM c GROUP BY ALL)"
@@ -62,11 +76,11 @@ def m6_empirical_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.empirical_quantiles(split_series(spark, sf_dir), H)
 
 
-def quantile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quantile_rows(spark: SparkSession, sf_dir: str, target: str = "cpu") -> DataFrame:
     """Quantile forecasts of validation and test rows with the values they foretold."""
     rows = split_series(spark, sf_dir)
-    made = forecast.quantile_forecast(rows, forecast.empirical_quantiles(rows, H))
-    y = rows.select("msname", (F.col("pos") - H).alias("pos"), F.col("cpu").alias("y"), "split")
+    made = forecast.quantile_forecast(rows, forecast.empirical_quantiles(rows, H, value=target), target)
+    y = rows.select("msname", (F.col("pos") - H).alias("pos"), F.col(target).alias("y"), "split")
     return made.where(F.col("h") == H).join(y, ["msname", "pos"])
 
 
@@ -75,22 +89,23 @@ ROWS = f"{QUANTILES}, g AS (SELECT a.msname, a.pos, a.cpu + q_lo AS q_lo, a.cpu
 
 @query(f"WITH {ROWS}, s AS (SELECT msname, greatest(0, q_lo - y, y - q_hi) AS s FROM g WHERE split = 'val'), o AS (SELECT msname, s, row_number() OVER (PARTITION BY msname ORDER BY s) AS r, count(*) OVER (PARTITION BY msname) AS n FROM s), f AS (SELECT msname, s AS q_conf FROM o WHERE r = ceil((n - 1) * 0.9::DOUBLE) + 1), t AS (SELECT g.msname, y, q_lo - coalesce(q_conf, 0) AS lower, q_hi + coalesce(q_conf, 0) AS upper FROM g LEFT JOIN f USING (msname) WHERE split = 'test') SELECT msname, R(avg(CASE WHEN y >= lower AND y <= upper THEN 1.0 ELSE 0.0 END);R) AS picp, R(avg(upper - lower);R) AS mpiw FROM t GROUP BY msname")
 def m8_e4_cqr_interval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quantile_rows(spark, sf_dir)
+    rows = materialise(quantile_rows(spark, sf_dir), "quantiles")
     fitted = conformal.cqr_fit(rows.where("split = 'val'"), 0.1, ["msname"])
     return metrics.interval_quality(conformal.cqr_apply(rows.where("split = 'test'"), fitted, ["msname"]), ["msname"])
 
 
 @query(f"WITH {ROWS}, s AS (SELECT msname, abs(y - q50) AS s FROM g WHERE split = 'val'), o AS (SELECT msname, s, row_number() OVER (PARTITION BY msname ORDER BY s) AS r, count(*) OVER (PARTITION BY msname) AS n FROM s), f AS (SELECT msname, s AS radius FROM o WHERE n >= 50 AND r = ceil((n - 1) * 0.9::DOUBLE) + 1) SELECT g.msname, pos, R(q50 - coalesce(radius, 0);R) AS lower, R(q50 + coalesce(radius, 0);R) AS upper, R(q50 + coalesce(radius, 0);R) AS one_sided FROM g LEFT JOIN f USING (msname) WHERE split = 'test'")
 def m9_split_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quantile_rows(spark, sf_dir).withColumn("pred", F.col("q50"))
+    rows = materialise(quantile_rows(spark, sf_dir), "quantiles").withColumn("pred", F.col("q50"))
     fitted = conformal.split_fit(rows.where("split = 'val'"), 0.1, ["msname"])
     return conformal.split_apply(rows.where("split = 'test'"), fitted, ["msname"]).select("msname", "pos", "lower", "upper", "one_sided")
 
 
 @query()
 def m10_m11_m13_adaptive_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validation rows warm the state up, test rows are reported; intervals are clipped."""
-    rows = quantile_rows(spark, sf_dir).where("split <> 'train'").withColumn("warmup", F.col("split") == "val").withColumn("target", F.lit("cpu"))
+    """Validation rows warm the state up, test rows are reported; intervals are clipped. Each target has a state of its own."""
+    both = [quantile_rows(spark, sf_dir, t).withColumn("target", F.lit(t)) for t in ("cpu", "mem")]
+    rows = both[0].unionByName(both[1]).where("split <> 'train'").withColumn("warmup", F.col("split") == "val")
     out = conformal.adaptive_replay(rows, conformal.AdaptiveConfig(clip=True))
     return out.where("not warmup").drop("warmup")
 
@@ -116,7 +131,7 @@ def p12_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.forecast_log(spark, sf_dir).select("msname", "pos", F.bround(F.greatest(F.round(F.col("pred") - F.col("last"), 9), F.lit(0.0)), 2).alias("v"))
 
 
-POINT = "R(avg((pred - y) * (pred - y));R) AS mse, R(avg(abs(pred - y));R) AS mae, R(sqrt(avg((pred - y) * (pred - y)));R) AS rmse, R(CASE WHEN var_pop(y) > 0 THEN 1 - sum((pred - y) * (pred - y)) / (var_pop(y) * count(y)) ELSE 0 END;R) AS r2, R(100 * avg(CASE WHEN abs(y) > 1e-12 THEN abs((pred - y) / y) END);R) AS mape, R(avg(CASE WHEN pred < y THEN 1.0 ELSE 0.0 END);R) AS under_rate, R(avg(CASE WHEN pred > y THEN 1.0 ELSE 0.0 END);R) AS over_rate, R(coalesce(avg(CASE WHEN pred < y THEN y - pred END), 0);R) AS mean_under, R(coalesce(max(CASE WHEN pred < y THEN y - pred END), 0);R) AS max_under, R(coalesce(avg(CASE WHEN pred > y THEN pred - y END), 0);R) AS mean_over, R(coalesce(max(CASE WHEN pred > y THEN pred - y END), 0);R) AS max_over, R(100 * avg(CASE WHEN sign(y - last) = sign(pred - last) THEN 1.0 ELSE 0.0 END);R) AS mda"
+POINT = "R(avg((pred - y) * (pred - y));R) AS mse, R(avg(abs(pred - y));R) AS mae, R(sqrt(avg((pred - y) * (pred - y)));R) AS rmse, R(CASE WHEN var_pop(y) > 0 THEN 1 - sum((pred - y) * (pred - y)) / (var_pop(y) * count(y)) ELSE 0 END;R) AS r2, R(100 * coalesce(avg(CASE WHEN abs(y) > 1e-12 THEN abs((pred - y) / y) END), 0);R) AS mape, R(100 * avg(CASE WHEN pred < y THEN 1.0 ELSE 0.0 END);R) AS under_rate, R(100 * avg(CASE WHEN pred > y THEN 1.0 ELSE 0.0 END);R) AS over_rate, R(coalesce(avg(CASE WHEN pred < y THEN y - pred END), 0);R) AS mean_under, R(coalesce(max(CASE WHEN pred < y THEN y - pred END), 0);R) AS max_under, R(coalesce(avg(CASE WHEN pred > y THEN pred - y END), 0);R) AS mean_over, R(coalesce(max(CASE WHEN pred > y THEN pred - y END), 0);R) AS max_over, R(100 * avg(CASE WHEN sign(y - last) = sign(pred - last) THEN 1.0 ELSE 0.0 END);R) AS mda"
 
 
 @query(f"SELECT msname, {POINT} FROM forecast_log GROUP BY msname", digits=7)
@@ -132,17 +147,17 @@ def e2_compare_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
 CORR = "covar_pop({x}, {y}) / CASE WHEN stddev_pop({x}) * stddev_pop({y}) > 1e-12 THEN stddev_pop({x}) * stddev_pop({y}) END"
 
 
-@query(f"SELECT msname, R({CORR.format(x='pred', y='y')};R) AS corr_pred_true, R({CORR.format(x='pred', y='last')};R) AS corr_pred_last, R({CORR.format(x='(pred - last)', y='(y - last)')};R) AS corr_change, R(1 - sum((y - pred) * (y - pred)) / sum((y - last) * (y - last));R) AS r2_vs_persistence, R(avg(CASE WHEN abs(y - pred) < abs(y - last) THEN 1.0 ELSE 0.0 END);R) AS beat_rate, R(avg(abs(y - pred)) / avg(abs(y - last));R) AS mae_ratio FROM forecast_log GROUP BY msname", digits=8)
+@query(f"SELECT msname, R({CORR.format(x='pred', y='y')};R) AS corr_pred_true, R({CORR.format(x='pred', y='last')};R) AS corr_pred_last, R({CORR.format(x='last', y='y')};R) AS corr_last_true, R(1 - avg((y - pred) * (y - pred)) / CASE WHEN avg((y - last) * (y - last)) > 1e-12 THEN avg((y - last) * (y - last)) END;R) AS r2_vs_persistence, R(100 * avg(CASE WHEN abs(y - pred) < abs(y - last) THEN 1.0 ELSE 0.0 END);R) AS beat_rate, R(avg(abs(y - pred)) / avg(abs(y - last));R) AS mae_ratio FROM forecast_log GROUP BY msname HAVING count(*) >= 2", digits=8)
 def e3_persistence_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.persistence_diagnostics(views.forecast_log(spark, sf_dir), ["msname"])
 
 
-@query("WITH t AS (SELECT msname, quantile_cont(y, 0.95) AS threshold FROM forecast_log GROUP BY msname), f AS (SELECT f.*, threshold, y > threshold AS spike, y > upper AS miss FROM forecast_log f JOIN t USING (msname)) SELECT msname, R(max(threshold);R) AS threshold, count(CASE WHEN spike THEN 1 END) AS n_spikes, R(coalesce(avg(CASE WHEN spike THEN CASE WHEN miss THEN 0.0 ELSE 1.0 END END), 1);R) AS spike_coverage, R(coalesce(avg(CASE WHEN spike THEN CASE WHEN miss THEN 1.0 ELSE 0.0 END END), 0);R) AS spike_miss, R(coalesce(avg(CASE WHEN spike AND miss THEN y - upper END), 0);R) AS mean_excess, R(avg(CASE WHEN spike THEN upper END);R) AS upper_in_spike, R(avg(CASE WHEN NOT spike THEN upper END);R) AS upper_outside FROM f GROUP BY msname", digits=8)
+@query("WITH t AS (SELECT msname, quantile_cont(y, 0.95) AS threshold FROM forecast_log GROUP BY msname), f AS (SELECT f.*, threshold, y > threshold AS spike, y > upper AS miss FROM forecast_log f JOIN t USING (msname)) SELECT msname, R(max(threshold);R) AS threshold, count(CASE WHEN spike THEN 1 END) AS n_spikes, R(coalesce(avg(CASE WHEN spike THEN CASE WHEN miss THEN 0.0 ELSE 1.0 END END), 1);R) AS spike_coverage, R(coalesce(avg(CASE WHEN spike THEN CASE WHEN miss THEN 1.0 ELSE 0.0 END END), 0);R) AS spike_miss, R(coalesce(avg(CASE WHEN spike THEN greatest(y - upper, 0) END), 0);R) AS mean_excess, R(coalesce(avg(CASE WHEN spike THEN upper END), 0);R) AS upper_in_spike, R(coalesce(avg(CASE WHEN NOT spike THEN upper END), 0);R) AS upper_outside FROM f GROUP BY msname", digits=8)
 def e5_spike_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.spike_metrics(views.forecast_log(spark, sf_dir), ["msname"])
 
 
-@query("WITH f AS (SELECT msname, pos, pos AS t, y AS cpu, pred AS pred_cpu, 0.01::DOUBLE AS delta_cpu FROM forecast_log), g AS (SELECT *, lead(cpu, 5) OVER (PARTITION BY msname ORDER BY t) AS yy, greatest(pred_cpu - delta_cpu, 0) AS raw FROM f) SELECT msname, R(avg((yy - pred_cpu) * (yy - pred_cpu));R) AS final_mse, R(avg(abs(yy - pred_cpu));R) AS final_mae, R(avg((yy - raw) * (yy - raw));R) AS raw_mse, R(avg(abs(yy - raw));R) AS raw_mae, R(avg((yy - cpu) * (yy - cpu));R) AS naive_mse, R(avg(abs(yy - cpu));R) AS naive_mae, count(*) AS n FROM g WHERE yy IS NOT NULL GROUP BY msname")
+@query("WITH f AS (SELECT msname, pos, pos AS t, y AS cpu, pred AS pred_cpu, 0.01::DOUBLE AS delta_cpu FROM forecast_log), g AS (SELECT *, lead(cpu, 5) OVER (PARTITION BY msname ORDER BY t) AS yy, greatest(pred_cpu - delta_cpu, 0) AS raw FROM f) SELECT msname, R(avg((yy - pred_cpu) * (yy - pred_cpu));R) AS final_mse, R(avg(abs(yy - pred_cpu));R) AS final_mae, R(avg((yy - raw) * (yy - raw));R) AS raw_mse, R(avg(abs(yy - raw));R) AS raw_mae, R(avg((yy - cpu) * (yy - cpu));R) AS naive_mse, R(avg(abs(yy - cpu));R) AS naive_mae, count(*) AS n FROM g WHERE yy IS NOT NULL GROUP BY msname HAVING count(*) >= 5")
 def e6_e7_aligned_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = views.forecast_log(spark, sf_dir).select("msname", F.col("pos").alias("t"), F.col("y").alias("cpu"), F.col("pred").alias("pred_cpu"), F.lit(0.01).alias("delta_cpu"))
     return metrics.aligned_errors(log, 5, ["msname"])
@@ -157,7 +172,7 @@ def e8_pinball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.pinball(views.forecast_log(spark, sf_dir), ["msname"], {"q_lo": 0.1, "q50": 0.5, "q_hi": 0.95})
 
 
-@query("SELECT msname, R(2.0 * (avg(CASE WHEN abs(pred - y) < 0.1::DOUBLE THEN (pred - y) * (pred - y) / 0.2::DOUBLE ELSE abs(pred - y) - 0.05::DOUBLE END) + 0.5 * avg(abs(pred - y) / (abs(y) + 0.001::DOUBLE)));R) AS huber, R(avg((pred - y) * (pred - y));R) AS l2, R(avg(abs(pred - y));R) AS l1 FROM forecast_log GROUP BY msname")
+@query("SELECT msname, R(2.0 * (avg(CASE WHEN abs(pred - y) < 0.1::DOUBLE THEN (pred - y) * (pred - y) / 0.2::DOUBLE ELSE abs(pred - y) - 0.05::DOUBLE END) + 0.5 * avg(abs(pred - y) / (abs(y) + 0.000001::DOUBLE)));R) AS huber, R(avg((pred - y) * (pred - y));R) AS l2, R(avg(abs(pred - y));R) AS l1 FROM forecast_log GROUP BY msname")
 def e9_huber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.huber(views.forecast_log(spark, sf_dir), ["msname"], 0.1, weight=2.0, relative=0.5)
 
@@ -167,12 +182,45 @@ def e10_asymmetric_huber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.huber(views.forecast_log(spark, sf_dir), ["msname"], 0.1, under_weight=3.0)
 
 
+TWO = "two AS (SELECT a.msname, CAST(x.h AS INTEGER) AS h, a.cpu AS pred_cpu, b.cpu AS y_cpu, a.mem AS pred_mem, b.mem AS y_mem FROM series_hourly a CROSS JOIN range(1, 6) x(h) JOIN series_hourly b ON b.msname = a.msname AND b.pos = a.pos + x.h)"
+
+
+def _huber(t: str, beta: float, under: float) -> str:
+    return f"avg((CASE WHEN abs(pred_{t} - y_{t}) < {beta}::DOUBLE THEN (pred_{t} - y_{t}) ** 2 / (2 * {beta}::DOUBLE) ELSE abs(pred_{t} - y_{t}) - {beta}::DOUBLE / 2 END) * CASE WHEN y_{t} > pred_{t} THEN {under}::DOUBLE ELSE 1.0 END)"
+
+
+def _two_target_sql(under: float, relative: float, where: str = "") -> str:
+    rel = f" + {relative}::DOUBLE * avg(abs(pred_mem - y_mem) / (abs(y_mem) + 0.000001::DOUBLE))" if relative else ""
+    return f"WITH {TWO} SELECT msname, R(0.5 * {_huber('cpu', 0.01, under)} + 0.5 * ({_huber('mem', 0.002, under)}{rel});R) AS huber, R(avg((pred_cpu - y_cpu) ** 2) + avg((pred_mem - y_mem) ** 2);R) AS mse, R(avg((pred_cpu - y_cpu) ** 2) + avg(abs(pred_mem - y_mem));R) AS mixed, R((avg((pred_cpu - y_cpu) ** 2) + avg((pred_mem - y_mem) ** 2)) / 2;R) AS joint FROM two {where} GROUP BY msname"
+
+
+def two_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persistence forecasts of both targets, one row per step."""
+    rows, frames = views.series_hourly(spark, sf_dir), []
+    for t in ("cpu", "mem"):
+        made = forecast.match_horizon(forecast.persistence(rows, H, t), rows, t)
+        frames.append(made.select("msname", "pos", "h", F.col("pred").alias(f"pred_{t}"), F.col("y").alias(f"y_{t}")))
+    return frames[0].join(frames[1], ["msname", "pos", "h"])
+
+
+@query(_two_target_sql(1.0, 0.25))
+def e9_two_target_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = {"cpu": metrics.Target(0.01), "mem": metrics.Target(0.002, relative=0.25)}
+    return metrics.target_losses(two_targets(spark, sf_dir), ["msname"], targets)
+
+
+@query(_two_target_sql(3.0, 0.0, "WHERE h = 5"))
+def e10_two_target_last_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = {"cpu": metrics.Target(0.01, under_weight=3.0), "mem": metrics.Target(0.002, under_weight=3.0)}
+    return metrics.target_losses(two_targets(spark, sf_dir), ["msname"], targets, last_step=H)
+
+
 @query("WITH f AS (SELECT msname, pos, CASE WHEN y BETWEEN lower AND upper THEN 1.0 ELSE 0.0 END AS i, CASE WHEN y > upper THEN 1.0 ELSE 0.0 END AS u, CASE WHEN y < lower THEN 1.0 ELSE 0.0 END AS l FROM forecast_log) SELECT msname, pos, R(CASE WHEN count(*) OVER w = 48 THEN avg(i) OVER w END;R) AS coverage, R(CASE WHEN count(*) OVER w = 48 THEN avg(u) OVER w END;R) AS upper_miss, R(CASE WHEN count(*) OVER w = 48 THEN avg(l) OVER w END;R) AS lower_miss FROM f WINDOW w AS (PARTITION BY msname ORDER BY pos ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)")
 def w12_rolling_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.rolling_coverage(views.forecast_log(spark, sf_dir), 48).select("msname", "pos", "coverage", "upper_miss", "lower_miss")
 
 
-DESIRED = "z AS (SELECT msname, t, replicas, pos, round(cpu, 9) AS cpu, round(mem, 9) AS mem FROM scaler_log), a AS (SELECT msname, t AS ts, replicas, pos AS history, cpu, mem, cpu * 2 AS upper_cpu, mem * 2 AS upper_mem FROM z), b AS (SELECT *, history >= 24 AND upper_cpu > 0 AND upper_mem > 0 AS usable FROM a), c AS (SELECT *, CASE WHEN usable THEN upper_cpu ELSE cpu END / 0.80::DOUBLE AS rc, CASE WHEN usable THEN upper_mem ELSE mem END / 0.80::DOUBLE AS rm, CASE WHEN history < 24 THEN 'waiting' WHEN usable THEN 'predictive' ELSE 'reactive' END AS mode FROM b), d AS (SELECT *, greatest(ceil(replicas * CASE WHEN abs(rc - 1) <= 0.1::DOUBLE THEN 1.0 ELSE rc END), ceil(replicas * CASE WHEN abs(rm - 1) <= 0.1::DOUBLE THEN 1.0 ELSE rm END)) AS wish FROM c), e AS (SELECT *, greatest(1, least(10, wish)) AS clamped, list_reduce([replicas, 1, 2, 3, 4], lambda r, s: r + greatest(r, 4)) AS grown FROM d), f AS (SELECT msname, ts, mode, replicas, CAST(CASE WHEN clamped > replicas THEN least(clamped, least(grown, 10)) ELSE clamped END AS INTEGER) AS desired, wish < 1 OR wish > 10 AS limited FROM e)"
+DESIRED = "z AS (SELECT msname, t, replicas, pos, round(cpu, 9) AS cpu, round(mem, 9) AS mem FROM scaler_log), a AS (SELECT msname, t AS ts, replicas, pos AS history, cpu, mem, cpu * 2 AS upper_cpu, mem * 2 AS upper_mem FROM z), b AS (SELECT *, history >= 24 AND upper_cpu > 0 AS usable FROM a), c AS (SELECT *, CASE WHEN usable THEN upper_cpu ELSE cpu END / 0.80::DOUBLE AS rc, CASE WHEN usable THEN upper_mem ELSE mem END / 0.80::DOUBLE AS rm, CASE WHEN history < 24 THEN 'waiting' WHEN usable THEN 'predictive' ELSE 'reactive' END AS mode FROM b), d AS (SELECT *, greatest(ceil(replicas * CASE WHEN abs(rc - 1) <= 0.1::DOUBLE THEN 1.0 ELSE rc END), ceil(replicas * CASE WHEN abs(rm - 1) <= 0.1::DOUBLE THEN 1.0 ELSE rm END)) AS wish FROM c), e AS (SELECT *, greatest(1, least(10, wish)) AS clamped, list_reduce([replicas, 1, 2, 3, 4], lambda r, s: r + greatest(r, 4)) AS grown FROM d), f AS (SELECT msname, ts, mode, replicas, CAST(CASE WHEN clamped > replicas THEN least(clamped, least(grown, 10)) ELSE clamped END AS INTEGER) AS desired, wish >= 10 AS limited FROM e)"
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,8 +239,8 @@ def h3_stabilised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaling.stabilise(decisions(spark, sf_dir), scaling.ScalingConfig(stabilise=10_800)).select("msname", "ts", "stable")
 
 
-@query("SELECT x.msname, x.win_start, CAST(h AS INTEGER) AS h FROM (SELECT msname, 0 AS win_start FROM series_hourly WHERE false) x CROSS JOIN range(0) r(h)")
-def d2_short_series_give_none(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series shorter than an input and a horizon give no windows."""
-    rows = split_series(spark, sf_dir).where("pos < 20")
-    return windows.windowize(rows, L, H, 5, ["cpu"], ["cpu"]).select("msname", F.col("win_start").cast("int").alias("win_start"), F.lit(0).alias("h"))
+@query("SELECT msname, split, CAST((count(*) - 240) // 24 + 1 AS BIGINT) AS n FROM split_hourly GROUP BY ALL HAVING count(*) >= 240")
+def d2_minimum_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of nine days and a day's horizon: only splits that are long enough give any."""
+    made = windows.windowize(split_series(spark, sf_dir), 216, 24, 24, ["cpu"], ["cpu"])
+    return made.groupBy("msname", "split").agg(F.count(F.lit(1)).alias("n"))

@@ -174,17 +174,20 @@ def j2_w16_instance_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.join(load, ["t", "msname", "msinstanceid"]).groupBy("msname").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("cpu") * F.col("load")).alias("s"))
 
 
-@query("WITH cpu AS (SELECT t, msname, cpu AS value FROM scaler_log WHERE pos % 3 <> 0), rep AS (SELECT t, msname, replicas AS value FROM scaler_log WHERE pos % 2 = 0) SELECT coalesce(c.t, r.t) AS t, coalesce(c.msname, r.msname) AS msname, coalesce(round_even(c.value, 9), 0.0) AS cpu, CAST(coalesce(r.value, 0) AS INTEGER) AS replicas, 0.0::DOUBLE AS http_mcr FROM cpu c FULL JOIN rep r ON c.t = r.t AND c.msname = r.msname WHERE coalesce(c.msname, r.msname) <> 'error'")
+@query("WITH cpu AS (SELECT t, msname, cpu AS value FROM means_hourly), rep AS (SELECT t, msname, replicas AS value FROM scaler_log) SELECT coalesce(c.t, r.t) AS t, coalesce(c.msname, r.msname) AS msname, coalesce(round_even(c.value, 9), 0.0) AS cpu, CAST(coalesce(r.value, 0) AS INTEGER) AS replicas, 0.0::DOUBLE AS http_mcr FROM cpu c FULL JOIN rep r ON c.t = r.t AND c.msname = r.msname WHERE coalesce(c.msname, r.msname) <> 'error'")
 def j3_p9_merge_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = views.scaler_log(spark, sf_dir)
-    frames = {"cpu": log.where("pos % 3 <> 0").select("t", "msname", F.col("cpu").alias("value")), "replicas": log.where("pos % 2 = 0").select("t", "msname", F.col("replicas").cast("double").alias("value"))}
+    """Hours with valid samples, and hours with any: the former lack some of the latter."""
+    valid, log = views.series_hourly(spark, sf_dir), views.scaler_log(spark, sf_dir)
+    frames = {"cpu": valid.select("t", "msname", F.col("cpu").alias("value")), "replicas": log.select("t", "msname", F.col("replicas").cast("double").alias("value"))}
     return telemetry.merge_metrics(frames, ["t", "msname"], every=["http_mcr"], digits=9, exclude="error")
 
 
-@query("WITH a AS (SELECT msname, t AS ts, cpu AS value FROM scaler_log WHERE pos % 3 = 0), b AS (SELECT msname, t + 1800 AS ts, mem AS value FROM scaler_log WHERE pos % 5 = 0), u AS (SELECT msname, ts FROM a UNION SELECT msname, ts FROM b), w AS (SELECT u.msname, u.ts, a.value AS cpu, b.value AS mem FROM u LEFT JOIN a USING (msname, ts) LEFT JOIN b USING (msname, ts)) SELECT msname, ts, R(last_value(cpu IGNORE NULLS) OVER o;R) AS cpu, R(last_value(mem IGNORE NULLS) OVER o;R) AS mem FROM w WINDOW o AS (PARTITION BY msname ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+@query("WITH a AS (SELECT msname, t AS ts, cpu AS value FROM means_hourly), b AS (SELECT msname, ts, max(mem) AS value FROM trace_hourly GROUP BY ALL), u AS (SELECT msname, ts FROM a UNION SELECT msname, ts FROM b), w AS (SELECT u.msname, u.ts, a.value AS cpu, b.value AS mem FROM u LEFT JOIN a USING (msname, ts) LEFT JOIN b USING (msname, ts)) SELECT msname, ts, R(last_value(cpu IGNORE NULLS) OVER o;R) AS cpu, R(last_value(mem IGNORE NULLS) OVER o;R) AS mem FROM w WINDOW o AS (PARTITION BY msname ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def j8_u2_locf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = views.scaler_log(spark, sf_dir)
-    return telemetry.locf({"cpu": log.where("pos % 3 = 0").select("msname", F.col("t").alias("ts"), F.col("cpu").alias("value")), "mem": log.where("pos % 5 = 0").select("msname", (F.col("t") + 1800).alias("ts"), F.col("mem").alias("value"))}, "msname")
+    """Hourly means of one metric carried forward to the samples of another, and the other way round."""
+    cpu = views.series_hourly(spark, sf_dir).select("msname", F.col("t").alias("ts"), F.col("cpu").alias("value"))
+    mem = views.trace_hourly(spark, sf_dir).groupBy("msname", "ts").agg(F.max("mem").alias("value"))
+    return telemetry.locf({"cpu": cpu, "mem": mem}, "msname")
 
 
 @query("WITH s AS (SELECT msname, t, t - lag(t) OVER (PARTITION BY msname ORDER BY t) AS d FROM load_hourly), b AS (SELECT msname FROM s GROUP BY msname HAVING bool_or(d <> 3600) OR count(*) < 700) SELECT msname, count(*) AS n FROM load_hourly WHERE msname NOT IN (SELECT msname FROM b) GROUP BY ALL")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelens.functions.scalars import epoch_seconds
 from tracelens.operators import dependence, rolling, series, signal, windows
 from tracelens.plans import views
 from tracelens.plans.registry import query
@@ -40,6 +41,27 @@ def t2_ranked_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.rank_windows(rolling.oscillation(views.load_hourly(spark, sf_dir), 25), "both").select("msname", "win_start", "win_end", "score")
 
 
+def _pattern_sql(n: int, lags: list[int]) -> str:
+    steps = [f"WITH p0 AS (SELECT *, CASE WHEN count(load) OVER w = {n} THEN load - avg(load) OVER w END AS c FROM load_hourly WINDOW w AS (PARTITION BY msname ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW))"]
+    for i, lag in enumerate(lags):
+        m = n - lag
+        full = lambda x: f"CASE WHEN count({x}) OVER w = {m} THEN avg({x}) OVER w END"  # noqa: B023,E731
+        steps.append(f"q{i} AS (SELECT *, lag(c, {lag}) OVER (PARTITION BY msname ORDER BY t) AS b FROM p{i})")
+        steps.append(f"p{i + 1} AS (SELECT * EXCLUDE (b), abs(({full('c*b')}) / nullif(sqrt(({full('c*c')}) * ({full('b*b')})), 0)) AS r{lag} FROM q{i} WINDOW w AS (PARTITION BY msname ORDER BY t ROWS BETWEEN {m - 1} PRECEDING AND CURRENT ROW))")
+    return ", ".join(steps) + f" SELECT msname, t, R(greatest({', '.join(f'r{k}' for k in lags)});R) AS pattern FROM p{len(lags)}"
+
+
+def _ranked_pattern(score: str) -> str:
+    scores = _pattern_sql(24, [6, 12]).removeprefix("WITH ").replace("R(greatest(", "(greatest(").replace(";R) AS pattern", ") AS pattern")
+    steps, last = scores.rsplit(" SELECT ", 1)
+    return f"WITH {steps}, pat AS (SELECT {last}), s AS ({STATS}), o AS (SELECT *, std_load / nullif(max_load - min_load, 0) AS oscillation FROM s), c AS (SELECT o.*, pattern FROM o LEFT JOIN pat ON pat.msname = o.msname AND pat.t = o.win_end WHERE oscillation IS NOT NULL AND n_points >= 22) SELECT msname, win_start, win_end, R({score};R) AS score FROM c WHERE pattern IS NOT NULL ORDER BY {score} DESC, msname, win_end LIMIT 50"
+
+
+def _pattern_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loads = views.load_hourly(spark, sf_dir)
+    return rolling.with_pattern(rolling.oscillation(loads, 25), rolling.pattern_score(loads, 24, [6, 12, 18]))
+
+
 @query("WITH s AS (SELECT msname, max(t) AS max_ts, count(*) AS n, max(load) AS most FROM load_hourly GROUP BY msname HAVING max(load) > 0) SELECT l.msname, l.t, max_ts, n, CAST(n - floor(0.8::DOUBLE * n) AS BIGINT) AS test_n FROM load_hourly l JOIN s USING (msname) WHERE l.t > max_ts - 86400")
 def j4_j5_w2_test_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     loads = views.load_hourly(spark, sf_dir)
@@ -53,14 +75,14 @@ def w4_w8_full_mean_and_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.load_hourly(spark, sf_dir).select("msname", "t", rolling.full_mean(F.col("load"), 24).alias("mean"), F.lag("load", 3).over(o).alias("lag3"), F.lead("load", 3).over(o).alias("lead3"))
 
 
-def _pattern_sql(n: int, lags: list[int]) -> str:
-    steps = [f"WITH p0 AS (SELECT *, CASE WHEN count(load) OVER w = {n} THEN load - avg(load) OVER w END AS c FROM load_hourly WINDOW w AS (PARTITION BY msname ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW))"]
-    for i, lag in enumerate(lags):
-        m = n - lag
-        full = lambda x: f"CASE WHEN count({x}) OVER w = {m} THEN avg({x}) OVER w END"  # noqa: B023,E731
-        steps.append(f"q{i} AS (SELECT *, lag(c, {lag}) OVER (PARTITION BY msname ORDER BY t) AS b FROM p{i})")
-        steps.append(f"p{i + 1} AS (SELECT * EXCLUDE (b), abs(({full('c*b')}) / nullif(sqrt(({full('c*c')}) * ({full('b*b')})), 0)) AS r{lag} FROM q{i} WINDOW w AS (PARTITION BY msname ORDER BY t ROWS BETWEEN {m - 1} PRECEDING AND CURRENT ROW))")
-    return ", ".join(steps) + f" SELECT msname, t, R(greatest({', '.join(f'r{k}' for k in lags)});R) AS pattern FROM p{len(lags)}"
+@query(_ranked_pattern("pattern"), digits=6)
+def t2_j6_ranked_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling.rank_windows(_pattern_candidates(spark, sf_dir), "pattern", 50).select("msname", "win_start", "win_end", "score")
+
+
+@query(_ranked_pattern("(oscillation * pattern)"), digits=6)
+def t2_j6_ranked_both_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling.rank_windows(_pattern_candidates(spark, sf_dir), "both_pattern", 50).select("msname", "win_start", "win_end", "score")
 
 
 @query(_pattern_sql(24, [6, 12]), digits=6)
@@ -88,8 +110,8 @@ def t3_best_service(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.best_service(views.series_hourly(spark, sf_dir), 0.7 + 0.1, 48)
 
 
-@query()
-def t4_t8_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("SELECT msname, t FROM series_hourly ORDER BY md5('7|' || msname || '|' || t), msname, t LIMIT 100")
+def t4_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.seeded_sample(views.series_hourly(spark, sf_dir).select("msname", "t"), ["msname", "t"], 100, 7)
 
 
@@ -135,7 +157,18 @@ def w10_moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("msname", "split", "win_start", F.aggregate(F.transform(smooth, lambda v: F.round(v, 9)), F.lit(0.0), lambda a, v: a + v).alias("smooth"))
 
 
-@query()
+def _smooth(c: str) -> str:
+    return f"round_even(({c}[greatest(i - 2, 1)] + {c}[greatest(i - 1, 1)] + {c}[i] + {c}[least(i + 1, {L})] + {c}[least(i + 2, {L})]) / 5.0, 2)"
+
+
+@query(f"WITH {WINDOWS} SELECT msname, split, win_start FROM w WHERE list_stddev_pop(xc) >= 0.11::DOUBLE ORDER BY md5('7|' || msname || '|' || split || '|' || win_start), msname, split, win_start LIMIT 60")
+def t8_window_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded sample of the windows that vary."""
+    kept = windows.drop_near_constant(hourly_windows(spark, sf_dir), [0], 0.11).select("msname", "split", "win_start")
+    return windows.seeded_sample(kept, ["msname", "split", "win_start"], 60, 7)
+
+
+@query(f"WITH {WINDOWS} SELECT msname, split, win_start, flatten([[{_smooth('xc')}, {_smooth('xm')}] for i in range(1, {L + 1})]) AS x FROM w WHERE list_stddev_pop(xc) >= 1e-12")
 def d10_j11_smoothed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothed windows whose raw ones vary."""
     w = hourly_windows(spark, sf_dir)
@@ -163,32 +196,82 @@ def t7_head_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.head_slice(hourly_windows(spark, sf_dir), most=40).select("msname", "split", "win_start")
 
 
-def _lagged_sql(pairs: list[tuple[str, str]], horizons: list[int]) -> str:
-    rows = " UNION ALL ".join(f"SELECT msname, '{x}->{y}' AS pair, {h} AS h, {x} AS x, lead({y}, {h}) OVER (PARTITION BY msname ORDER BY t) AS y FROM scaler_log WHERE n >= {max(horizons) + 10}" for x, y in pairs for h in horizons)
-    return f"WITH l AS ({rows}) SELECT msname, pair, CAST(h AS INTEGER) AS h, R(covar_pop(x, y) / CASE WHEN stddev_pop(x) * stddev_pop(y) > 1e-12 THEN stddev_pop(x) * stddev_pop(y) END;R) AS r FROM l WHERE y IS NOT NULL GROUP BY ALL"
+CORR = "covar_pop(x, y) / CASE WHEN stddev_pop(x) * stddev_pop(y) > 1e-12 THEN stddev_pop(x) * stddev_pop(y) END"
+INSTANCE_ROWS = "parts AS (SELECT o_orderpriority AS msname, l_suppkey AS i, CAST(floor(epoch_us(CAST(l_shipdate AS TIMESTAMP)) / 1000000) AS BIGINT) AS t, l_quantity / 50.0 AS cpu, (l_discount + 0.0) * 10.0 AS mem, l_extendedprice AS mcr FROM lineitem JOIN orders ON l_orderkey = o_orderkey), inst AS (SELECT msname, i, t, arg_max(cpu, (t, cpu)) AS cpu, arg_max(mem, (t, mem)) AS mem, arg_max(mcr, (t, mcr)) AS mcr FROM parts GROUP BY ALL)"
 
 
-PAIRS = [("cpu", "cpu"), ("cpu", "mem"), ("mem", "mem"), ("replicas", "cpu")]
+def instance_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(msname, msinstanceid, t, cpu, mem, mcr): the last value per service, instance and day, call rates joined on all three."""
+    line, orders = (views.table(spark, sf_dir, n) for n in ("lineitem", "orders"))
+    joined = line.join(orders, line["l_orderkey"] == orders["o_orderkey"])
+    rows = joined.select(F.col("o_orderpriority").alias("msname"), F.col("l_suppkey").alias("msinstanceid"), epoch_seconds(F.col("l_shipdate")).alias("ts"), (F.col("l_quantity") / 50.0).alias("cpu"), ((F.col("l_discount") + 0.0) * 10.0).alias("mem"), F.col("l_extendedprice").cast("double").alias("mcr"))
+    keys = ["msname", "msinstanceid"]
+    return series.bucket(rows.drop("mcr"), keys, "1d").join(series.bucket(rows.drop("cpu", "mem"), keys, "1d"), ["t", *keys])
 
 
-@query(_lagged_sql(PAIRS, [1, 5]))
-def c1_c2_c5_lagged_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dependence.lagged_correlation(views.scaler_log(spark, sf_dir), PAIRS, [1, 5], ["msname"])
+def _instance_sql() -> str:
+    cells = " UNION ALL ".join(f"SELECT msname, i, n, '{x}->{y}' AS pair, {h} AS h, {x} AS x, lead({y}, {h}) OVER (PARTITION BY msname, i ORDER BY t) AS y FROM sized" for x, y in dependence.INSTANCE_PAIRS for h in dependence.HORIZONS)
+    return f"WITH {INSTANCE_ROWS}, sized AS (SELECT *, count(*) OVER (PARTITION BY msname, i) AS n, count(*) OVER (PARTITION BY msname) AS n_samples FROM inst), l AS ({cells}), r AS (SELECT msname, i, pair, h, {CORR} AS r FROM l WHERE n >= 15 AND y IS NOT NULL GROUP BY ALL), o AS (SELECT msname, i, h FROM r WHERE pair = 'cpu->cpu' AND r IS NOT NULL), s AS (SELECT msname, count(*) AS n_samples FROM inst GROUP BY msname HAVING count(*) >= 100) SELECT msname, pair, CAST(h AS INTEGER) AS h, R(CASE WHEN count(r) = count(*) THEN avg(r) END;R) AS r, count(*) AS n_instances, max(n_samples) AS n_samples FROM r JOIN o USING (msname, i, h) JOIN s USING (msname) GROUP BY ALL"
 
 
-@query(_lagged_sql(PAIRS, [1, 5]).replace("SELECT msname, pair, CAST(h AS INTEGER) AS h, R(", "SELECT pair, h, R(avg(r);R) AS mean, R(stddev_pop(r);R) AS std, R(min(r);R) AS min, R(max(r);R) AS max, count(r) AS n FROM (SELECT msname, pair, CAST(h AS INTEGER) AS h, (").replace(";R) AS r FROM l", ") AS r FROM l").replace("WHERE y IS NOT NULL GROUP BY ALL", "WHERE y IS NOT NULL GROUP BY ALL) GROUP BY ALL"))
-def c4_average_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dependence.average_correlation(dependence.lagged_correlation(views.scaler_log(spark, sf_dir), PAIRS, [1, 5], ["msname"]), ["pair", "h"])
+@query(_instance_sql(), digits=8)
+def c1_c5_instance_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dependence.instance_correlation(instance_days(spark, sf_dir))
+
+
+FRONT = ["click", "view"]
+SERVICE_ROWS = "calls AS (SELECT msname, ts - ts % 3600 AS t, sum(http_mcr) AS http, sum(providerrpc_mcr) AS rpc FROM calls_hourly GROUP BY ALL), svc AS (SELECT s.msname, s.t, s.n, cpu, mem, replicas, CASE WHEN s.msname IN ('click', 'view') THEN http ELSE rpc END AS mcr FROM scaler_log s JOIN calls USING (msname, t))"
+
+
+def service_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scaler's log with the call rate that its service goes by."""
+    calls = series.bucket(views.calls_hourly(spark, sf_dir), ["msname"], "1h", {"http_mcr": F.sum("http_mcr"), "providerrpc_mcr": F.sum("providerrpc_mcr")})
+    rows = views.scaler_log(spark, sf_dir).join(calls, ["msname", "t"])
+    return rows.select("msname", "t", "cpu", "mem", "replicas", series.rate_column(rows, FRONT).alias("mcr"))
+
+
+def _service_sql(then: str) -> str:
+    cells = " UNION ALL ".join(f"SELECT msname, '{x}->{y}' AS pair, {h} AS h, pos, {x}::DOUBLE AS x, lead({y}::DOUBLE, {h}) OVER (PARTITION BY msname ORDER BY t) AS y FROM ranked" for x, y in dependence.SERVICE_PAIRS for h in dependence.HORIZONS)
+    return f"WITH {SERVICE_ROWS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY msname ORDER BY t) AS pos, count(*) OVER (PARTITION BY msname) AS k FROM svc QUALIFY k >= 25), l AS (SELECT * FROM ({cells}) WHERE y IS NOT NULL), {then}"
+
 
+PEARSON = f"each AS (SELECT msname, pair, CAST(h AS INTEGER) AS h, count(*) AS n, coalesce({CORR}, 0) AS r FROM l GROUP BY ALL)"
+DCOR = "p AS (SELECT u.msname, u.pair, u.h, u.pos, avg(abs(u.x - v.x)) AS ra, avg(abs(u.y - v.y)) AS rb, avg(abs(u.x - v.x) * abs(u.y - v.y)) AS ab, avg((u.x - v.x) ** 2) AS aa, avg((u.y - v.y) ** 2) AS bb FROM l u JOIN l v USING (msname, pair, h) GROUP BY ALL), m AS (SELECT msname, pair, h, avg(ab) - 2 * avg(ra * rb) + avg(ra) * avg(rb) AS c, avg(aa) - 2 * avg(ra * ra) + avg(ra) ** 2 AS vx, avg(bb) - 2 * avg(rb * rb) + avg(rb) ** 2 AS vy FROM p GROUP BY ALL), each AS (SELECT msname, pair, CAST(h AS INTEGER) AS h, CASE WHEN sqrt(greatest(vx, 0) * greatest(vy, 0)) < 1e-12 THEN 0 ELSE sqrt(greatest(c, 0) / sqrt(vx * vy)) END AS r FROM m)"
+AVERAGE = "SELECT pair, h, R(avg(r);R) AS mean, R(stddev_pop(r);R) AS std, R(min(r);R) AS min, R(max(r);R) AS max, count(r) AS n FROM each GROUP BY ALL"
 
-@query("WITH s AS (SELECT msname, pos, cpu AS x, mem AS y FROM series_hourly WHERE abs(pos) < 512), p AS (SELECT u.msname, u.pos AS i, abs(u.x - v.x) AS da, abs(u.y - v.y) AS db FROM s u JOIN s v ON u.msname = v.msname), r AS (SELECT msname, i, avg(da) AS ra, avg(db) AS rb, avg(da * db) AS ab, avg(da * da) AS aa, avg(db * db) AS bb FROM p GROUP BY ALL), m AS (SELECT msname, avg(ra) AS mra, avg(rb) AS mrb, avg(ra * rb) AS rab, avg(ra * ra) AS raa, avg(rb * rb) AS rbb, avg(ab) AS mab, avg(aa) AS maa, avg(bb) AS mbb FROM r GROUP BY msname) SELECT msname, R(sqrt(greatest(mab - 2 * rab + mra * mrb, 0) / sqrt((maa - 2 * raa + mra * mra) * (mbb - 2 * rbb + mrb * mrb)));R) AS dcor FROM m", digits=6)
+
+def service_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dependence.lagged_correlation(service_hours(spark, sf_dir), dependence.SERVICE_PAIRS, dependence.HORIZONS, ["msname"], extra=20, fill=0.0)
+
+
+def service_distance_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dependence.lagged_pairs(service_hours(spark, sf_dir), dependence.SERVICE_PAIRS, dependence.HORIZONS)
+    return dependence.distance_correlation(rows, "x", "y", ["msname", "pair", "h"])
+
+
+@query(_service_sql(f"{PEARSON} SELECT msname, pair, h, n, R(r;R) AS r FROM each"), digits=8)
+def c2_c5_lagged_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return service_correlation(spark, sf_dir)
+
+
+@query(_service_sql(f"{DCOR} SELECT msname, pair, h, R(r;R) AS dcor FROM each"), digits=6)
 def c3_j10_distance_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dependence.distance_correlation(views.series_hourly(spark, sf_dir), "cpu", "mem", most=512)
+    return service_distance_correlation(spark, sf_dir)
+
+
+@query(_service_sql(f"{PEARSON} {AVERAGE}"), digits=8)
+def c4_average_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dependence.average_correlation(service_correlation(spark, sf_dir), ["pair", "h"])
+
+
+@query(_service_sql(f"{DCOR} {AVERAGE}"), digits=6)
+def c4_average_distance_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dependence.average_correlation(service_distance_correlation(spark, sf_dir), ["pair", "h"], "dcor")
 
 
-@query("WITH s AS (SELECT msname, pos, round(cpu, 9) AS v, lead(round(cpu, 9), 1) OVER w AS v1, lead(round(cpu, 9), 2) OVER w AS v2 FROM series_hourly WHERE pos < 300 WINDOW w AS (PARTITION BY msname ORDER BY pos)), r AS (SELECT msname, stddev_samp(v) * 0.2::DOUBLE AS r FROM s GROUP BY msname), p AS (SELECT a.msname, count(*) AS b, count(CASE WHEN abs(a.v2 - b.v2) <= r THEN 1 END) AS a FROM s a JOIN s b ON a.msname = b.msname AND a.pos < b.pos JOIN r ON r.msname = a.msname WHERE a.v2 IS NOT NULL AND b.v2 IS NOT NULL AND abs(a.v - b.v) <= r AND abs(a.v1 - b.v1) <= r GROUP BY ALL) SELECT msname, R(-ln(a / b);R) AS entropy FROM p")
+@query("WITH d AS (SELECT msname, pos, round(cpu, 9) AS v, row_number() OVER (PARTITION BY msname ORDER BY md5('42|' || msname || '|' || pos), pos) AS k FROM series_hourly), s AS (SELECT msname, row_number() OVER w AS pos, v, lead(v, 1) OVER w AS v1, lead(v, 2) OVER w AS v2, count(*) OVER (PARTITION BY msname) AS n FROM d WHERE k <= 1000 WINDOW w AS (PARTITION BY msname ORDER BY pos)), r AS (SELECT msname, stddev_samp(v) * 0.2::DOUBLE AS r FROM s GROUP BY msname), p AS (SELECT a.msname, count(*) AS b, count(CASE WHEN abs(a.v2 - b.v2) <= r THEN 1 END) AS a FROM s a JOIN s b ON a.msname = b.msname AND a.pos < b.pos JOIN r ON r.msname = a.msname WHERE a.n >= 8 AND r > 0 AND a.v2 IS NOT NULL AND b.v2 IS NOT NULL AND abs(a.v - b.v) <= r AND abs(a.v1 - b.v1) <= r GROUP BY ALL) SELECT msname, R(CASE WHEN a > 0 THEN -ln(a / b) END;R) AS entropy FROM (SELECT DISTINCT msname FROM series_hourly) LEFT JOIN p USING (msname)")
 def g3_sample_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dependence.sample_entropy(views.series_hourly(spark, sf_dir).withColumn("cpu", F.round("cpu", 9)), "cpu", most=300)
+    return dependence.sample_entropy(views.series_hourly(spark, sf_dir).withColumn("cpu", F.round("cpu", 9)), "cpu")
 
 
 @query()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,25 +9,21 @@ from tracelens.operators import conformal
 from tracelens.plans import forecast_queries as fq
 from tracelens.plans import views
 from tracelens.plans.registry import query
-from tracelens.session import shared_dir
+from tracelens.session import scratch
 from tracelens.streaming import streams
 
 
-def _folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tracelens-streams/{label}-{uuid.uuid4().hex}"
-
-
 def _written(df: DataFrame, mode: str = "append") -> DataFrame:
     """Drains a stream into a Parquet table in the shared folder."""
     spark = df.sparkSession
-    path = _folder(spark, "out")
+    path = scratch(spark, "out")
     q = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(path)
 
 
 def _as_stream(spark: SparkSession, df: DataFrame) -> DataFrame:
-    path = _folder(spark, "in")
+    path = scratch(spark, "in")
     df.write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(path)
 
@@ -37,7 +31,7 @@ def _as_stream(spark: SparkSession, df: DataFrame) -> DataFrame:
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table itself as a stream."""
     schema = views.table(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")  # a file or a folder of that name
     return rows.select(F.col("event_type").alias("msname"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 200.0).alias("cpu"))
 
 
@@ -59,11 +53,12 @@ def r3_matured_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT msname, R(arg_max(cpu, (ts, cpu));R) AS cpu, count(cpu) AS valid_rows, max(ts) AS last_time FROM trace_hourly GROUP BY msname")
 def r8_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = f"latest_{uuid.uuid4().hex}"
     rows = streams.stream_latest(_samples(spark, sf_dir).withColumn("ts", F.col("ts").cast("long")), ["cpu"])
-    q = rows.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    path = scratch(spark, "latest")
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(path)
+    q = rows.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 @query("WITH s AS (SELECT msname, t AS ts, count(*) OVER (PARTITION BY msname ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS k, sum(cpu) OVER (PARTITION BY msname ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS v FROM means_hourly) SELECT msname, ts, R(v;R) AS total FROM s WHERE k = 24", digits=8)

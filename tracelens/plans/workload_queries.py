@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelens.functions import scalars
-from tracelens.operators import series, workload
+from tracelens.operators import series, windows, workload
 from tracelens.plans import views
 from tracelens.plans.registry import query
-from tracelens.plans.series_queries import hourly_windows
-from tracelens.session import shared_dir
+from tracelens.plans.series_queries import WINDOWS, hourly_windows
+from tracelens.session import materialise, scratch
 from tracelens.sources import catalog, logs, tables, traces
 
 
-def _folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tracelens-files/{label}-{uuid.uuid4().hex}"
-
-
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as common-log lines, every 50th malformed."""
     e = views.table(spark, sf_dir, "events")
@@ -28,13 +22,15 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(line.alias("value"))
 
 
+#: The zone whose wall clock logs are written in.
+ZONE = "Asia/Tehran"
 COUNTS = "counts AS (SELECT (day(ts) - 1) * 1440 + hour(ts) * 60 + minute(ts) AS minute, count(*) AS n FROM events WHERE event_id % 50 <> 0 GROUP BY ALL)"
 CURVE = f"{COUNTS}, filled AS (SELECT CAST(r.m AS BIGINT) AS minute, coalesce(n, 0) AS n FROM range(0, (SELECT max(minute) // 1440 + 1 FROM counts) * 1440) r(m) LEFT JOIN counts ON counts.minute = r.m), curve AS (SELECT minute, n::DOUBLE / max(n) OVER () AS load FROM filled)"
 
 
 @query(f"WITH {COUNTS} SELECT CAST(minute AS BIGINT) AS minute, n FROM counts")
 def s10_a16_f2_requests_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "log")
+    path = scratch(spark, "log")
     log_lines(spark, sf_dir).write.option("compression", "gzip").text(path)
     return workload.requests_per_minute(logs.read_access_log(spark, path))
 
@@ -45,8 +41,9 @@ def w14_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The load curve; the counts per minute, at most those of a month, are made once."""
     counts = workload.requests_per_minute(logs.parse_access_log(log_lines(spark, sf_dir)).where("ok"))
-    return workload.build_curve(counts, 1)
+    return workload.build_curve(materialise(counts.coalesce(1), "counts"), 1)
 
 
 REQUESTS = f"{CURVE}, part AS (SELECT minute - 600 AS slot, load / (max(load) OVER ()) AS l FROM curve WHERE minute >= 600 AND minute < 1800), req AS (SELECT slot, CAST(greatest(round_even(l * 30, 0), 0) AS BIGINT) AS n FROM part)"
@@ -71,7 +68,7 @@ def l3_count_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT msname, t, R(round(cpu, 9);R) AS cpu FROM series_hourly")
 def s1_s2_k6_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trace written as CSV, with one file that lacks a column, and ingested again."""
-    path = _folder(spark, "trace")
+    path = scratch(spark, "trace")
     rows = views.series_hourly(spark, sf_dir).select((F.col("t") * 1000).alias("timestamp"), "msname", F.lit("i").alias("msinstanceid"), F.round("cpu", 9).alias("cpu_utilization"))
     tables.write_csv(rows, f"{path}/good")
     tables.write_csv(rows.drop("cpu_utilization").limit(5), f"{path}/lacking")
@@ -79,43 +76,76 @@ def s1_s2_k6_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("msname", F.expr("timestamp div 1000").alias("t"), F.col("cpu_utilization").alias("cpu"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS part FROM range(48, 96) r(i)")
+@query("WITH p AS (SELECT event_id, (CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) - min(CAST(floor(epoch_us(ts) / 1000000) AS BIGINT)) OVER ()) // 1800 AS part FROM events) SELECT CAST(part AS INTEGER) AS part, count(*) AS n FROM p WHERE part BETWEEN 48 AND 95 GROUP BY part")
 def s4_part_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of day 1 at 30 minutes, picked by the index in a file's name."""
-    names = views.table(spark, sf_dir, "events").select(F.concat(F.lit("/x/MSResource_"), (F.col("event_id") % 200).cast("string"), F.lit(".csv")).alias("file")).distinct()
-    picked = names.where(traces.in_part_range(F.col("file"), "1d0", "2d0", 30))
-    return picked.select(F.regexp_extract("file", r"_(\d+)\.", 1).cast("int").alias("part"))
+    """Samples by the file they would be in, of 30 minutes each; those of the second day by the index in the file's name."""
+    e = views.table(spark, sf_dir, "events").select(scalars.epoch_seconds(F.col("ts")).alias("at"))
+    begin = F.broadcast(e.agg(F.min("at").alias("begin")))  # one row
+    part = F.expr("(at - begin) div 1800").cast("string")
+    picked = e.join(begin).withColumn("file", F.concat(F.lit("/x/MSResource_"), part, F.lit(".csv"))).where(traces.in_part_range(F.col("file"), "1d0", "2d0", 30))
+    return picked.groupBy(F.regexp_extract("file", r"_(\d+)\.", 1).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _scaler_csv(spark: SparkSession, sf_dir: str) -> str:
+    """A scaler log in a zone's wall clock, every tenth stamp unreadable."""
+    path, log = scratch(spark, "scaler"), views.scaler_log(spark, sf_dir)
+    stamp = F.when(F.col("pos") % 10 == 0, F.lit("never")).otherwise(scalars.epoch_to_wall(F.col("t"), ZONE))
+    tables.write_csv(log.select(stamp.alias("timestamp"), "msname", "cpu", "mem", "replicas"), path)
+    return path
 
 
 @query("SELECT msname, t AS ts, R(cpu;R) AS cpu FROM scaler_log WHERE pos % 10 <> 0")
 def s7_f6_scaler_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scaler log in a zone's wall clock, every tenth stamp unreadable."""
-    path = _folder(spark, "scaler")
-    log = views.scaler_log(spark, sf_dir)
-    stamp = F.when(F.col("pos") % 10 == 0, F.lit("never")).otherwise(scalars.epoch_to_wall(F.col("t"), "Asia/Tehran"))
-    tables.write_csv(log.select(stamp.alias("timestamp"), "msname", "cpu", "replicas"), path)
-    return logs.read_scaler_log(spark, path).select("msname", "ts", "cpu")
+    return logs.read_scaler_log(spark, _scaler_csv(spark, sf_dir), ZONE).select("msname", "ts", "cpu")
+
 
+@query("SELECT count(*) AS unparsed FROM scaler_log WHERE pos % 10 = 0")
+def s7_unparsed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.count_unparsed(spark, _scaler_csv(spark, sf_dir), ZONE)
 
-@query("SELECT msname AS deployment, count(*) AS n, R(sum(cpu);R) AS cpu FROM scaler_log GROUP BY msname", digits=6)
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id WHEN event_id % 3 = 1 THEN CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) END AS at FROM events")
+def f6_time_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, wall clocks and neither as time arguments."""
+    e = views.table(spark, sf_dir, "events")
+    wall = scalars.epoch_to_wall(scalars.epoch_seconds(F.col("ts")), ZONE)
+    text = F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).when(F.col("event_id") % 3 == 1, wall).otherwise(F.lit("soon"))
+    return e.select("event_id", scalars.parse_time_argument(text, ZONE).alias("at"))
+
+
+@query("SELECT msname AS deployment, count(*) AS n, R(sum(cpu);R) AS cpu, R(sum(CASE WHEN msname <> 'click' THEN mem END);R) AS memory FROM scaler_log GROUP BY msname", digits=6)
 def s8_experiment_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One CSV per deployment, named by its file."""
-    path = _folder(spark, "experiments")
-    log = views.scaler_log(spark, sf_dir).select(F.col("t").cast("string").alias("timestamp"), "cpu", "msname")
-    log.repartition("msname").write.partitionBy("msname").option("header", True).csv(path)
-    rows = spark.read.option("header", True).option("basePath", path).csv(f"{path}/*/")
-    return rows.groupBy(F.col("msname").alias("deployment")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("cpu").cast("double")).alias("cpu"))
+    """One CSV per deployment, named by its file, one of them with fewer columns; a file without a timestamp is skipped."""
+    path, log = scratch(spark, "experiments"), views.scaler_log(spark, sf_dir).select(F.col("t").cast("string").alias("timestamp"), "cpu", F.col("mem").alias("memory"), "msname")
+    for name in [r.msname for r in log.select("msname").distinct().collect()]:  # names of deployments
+        one = log.where(F.col("msname") == name).drop("msname", *(["memory"] if name == "click" else []))
+        tables.write_one_csv(one, f"{path}/{name}.csv")
+    tables.write_one_csv(log.select("cpu"), f"{path}/lacking.csv")
+    rows = logs.read_experiment_logs(spark, f"{path}/*.csv")
+    return rows.groupBy("deployment").agg(F.count(F.lit(1)).alias("n"), F.sum("cpu").alias("cpu"), F.sum("memory").alias("memory"))
+
+
+def _matrix(metric: Column, log: DataFrame, value: Column) -> DataFrame:
+    points = log.groupBy("msname").agg(F.collect_list(F.array(F.col("t").cast("string"), value)).alias("values"))
+    return points.select(F.to_json(F.array(F.struct(metric.alias("metric"), "values"))).alias("result"))
 
 
-@query("SELECT msname AS entity, 'prod' AS namespace, t AS ts, CASE WHEN pos % 7 = 0 THEN 0.0::DOUBLE ELSE round(cpu, 9) END AS value FROM scaler_log")
+@query("SELECT metric, entity, namespace, ts, CASE WHEN pos % 7 = 0 THEN 0.0::DOUBLE ELSE round(cpu, 9) END AS value FROM (SELECT t AS ts, pos, cpu, unnest([{'metric': 'cpu', 'entity': msname, 'namespace': 'prod'}, {'metric': 'rps', 'entity': CASE WHEN msname = 'click' THEN 'unknown' ELSE msname END, 'namespace': 'mesh'}, {'metric': 'replicas', 'entity': msname, 'namespace': 'given'}], recursive := true) FROM scaler_log)")
 def s9_f1_f11_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series as query-range JSON texts, bad values among them, and back."""
+    """Series of three metrics as query-range JSON texts, bad values among them, and back; each has labels of its own."""
     log = views.scaler_log(spark, sf_dir)
     value = F.when(F.col("pos") % 7 == 0, F.lit("bad")).otherwise(F.round("cpu", 9).cast("string"))
-    points = log.groupBy("msname").agg(F.collect_list(F.array(F.col("t").cast("string"), value)).alias("values"))
-    metric = F.create_map(F.lit("pod"), F.concat("msname", F.lit("-7f9c-x2k")), F.lit("namespace"), F.lit("prod"))
-    text = points.select(F.to_json(F.array(F.struct(metric.alias("metric"), "values"))).alias("result"))
-    return logs.explode_matrix(text)
+    text = lambda s: F.lit(s)
+    metrics = {
+        "cpu": F.create_map(text("pod"), F.concat("msname", F.lit("-7f9c-x2k")), text("namespace"), text("prod")),
+        "rps": F.create_map(F.when(F.col("msname") == "click", "workload").otherwise("destination_workload"), F.col("msname"), text("destination_workload_namespace"), text("mesh")),
+        "replicas": F.create_map(text("hpa"), F.concat("msname", F.lit("-hpa"))),
+    }
+    out = None
+    for name, labels in metrics.items():
+        one = logs.explode_matrix(_matrix(labels, log, value), name, "given").withColumn("metric", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT name, list_aggregate(list_transform(regexp_extract_all(name, '[0-9]+|[^0-9]+'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(r, 12, '0') ELSE r END), 'string_agg', '') AS key, regexp_replace(name, '-hpa$', '') AS plain, array_to_string(string_split(name, '-')[:-3], '-') AS stem FROM (SELECT DISTINCT 'shard-' || CAST(user_id % 50 AS VARCHAR) || '-a' || CAST(user_id % 3 AS VARCHAR) || '-hpa' AS name FROM events)")
@@ -147,28 +177,57 @@ def f10_nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", scalars.nested_json(envelope, "$.payload", "$.k").alias("k"))
 
 
-@query("SELECT msname, count(*) AS n, R(avg(cpu);R) AS cpu_utilization, R(avg(mem);R) AS memory_utilization FROM trace_hourly GROUP BY msname")
+@query("SELECT 'cpu_mem_http_rpc' AS name, msname, count(*) AS n, R(avg(cpu);R) AS cpu_utilization, R(avg(mem);R) AS memory_utilization, R(sum(http_mcr);R) AS http_mcr, R(sum(providerrpc_mcr);R) AS providerrpc_mcr FROM trace_hourly JOIN (SELECT msname, sum(http_mcr) AS http_mcr, sum(providerrpc_mcr) AS providerrpc_mcr FROM calls_hourly GROUP BY msname) USING (msname) GROUP BY msname, http_mcr, providerrpc_mcr".replace("R(sum(http_mcr);R)", "R(http_mcr;R)").replace("R(sum(providerrpc_mcr);R)", "R(providerrpc_mcr;R)"), digits=6)
 def s12_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feature set resolved to columns and aggregates."""
-    chosen = catalog.feature_set("cpu_mem")
-    raw = views.trace_hourly(spark, sf_dir).select("msname", F.col("cpu").alias("cpu_utilization"), F.col("mem").alias("memory_utilization"))
-    return raw.groupBy("msname").agg(F.count(F.lit(1)).alias("n"), *[a.alias(f) for f, a in chosen.aggregates(chosen.base).items()])
+    """A feature set resolved to tables, columns and aggregates."""
+    chosen = catalog.feature_set("cpu_mem_http_rpc")
+    raw = {
+        "msresource": views.trace_hourly(spark, sf_dir).select("msname", F.col("cpu").alias("cpu_utilization"), F.col("mem").alias("memory_utilization")),
+        "msrtmcre": views.calls_hourly(spark, sf_dir),
+    }
+    out = None
+    for table in chosen.tables:
+        aggregates = [a.alias(f) for f, a in chosen.aggregates(table).items()]
+        one = raw[table].groupBy("msname").agg(*([F.count(F.lit(1)).alias("n")] if out is None else []), *aggregates)
+        out = one if out is None else out.join(one, "msname")
+    return out.withColumn("name", F.lit(chosen.name))
 
 
 @query("SELECT msname, t, pos, R(cpu;R) AS cpu, CAST(greatest(1, first_value(replicas) OVER (PARTITION BY msname ORDER BY pos)) AS INTEGER) AS base_replicas FROM scaler_log")
-def s13_k3_k4_k5_series_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+def s13_k3_series_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A series made once, read from its keyed cache, with each service's base replicas."""
-    folder = _folder(spark, "cache")
+    folder = scratch(spark, "cache")
     source = views.table(spark, sf_dir, "events")
     for _ in range(2):
         kept = tables.cached(spark, folder, "series", source, {"freq": "1h"}, lambda: views.scaler_log(spark, sf_dir))
     return tables.read_series(kept, ["cpu"], kept.select("msname", "pos", "replicas"))
 
 
-@query()
+@query("SELECT msname, count(*) AS n FROM trace_hourly GROUP BY msname")
+def k4_k5_cached_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the services listed in a cache, which is read twice, cleared, made again and passed over."""
+    folder, rows = scratch(spark, "services"), views.trace_hourly(spark, sf_dir)
+    made = [tables.distinct_services(spark, folder, rows) for _ in range(2)]
+    if made[0].count() != made[1].count() or not tables.clear_cache(spark, folder):
+        raise ValueError("the cache of services was not kept")
+    again = tables.distinct_services(spark, folder, rows)
+    straight = tables.cached(spark, folder, "other", rows, {}, lambda: rows.select("msname").distinct(), disabled=True)
+    return series.only_services(series.only_services(rows, again), straight).groupBy("msname").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT msname, R(avg(cpu);R) AS cpu, count(*) AS n FROM trace_hourly GROUP BY msname", digits=8)
+def k6_json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result table as JSON, and back."""
+    path, rows = scratch(spark, "results"), views.trace_hourly(spark, sf_dir)
+    made = rows.groupBy("msname").agg(F.avg("cpu").alias("cpu"), F.count(F.lit(1)).alias("n"))
+    tables.write_json(made, path)
+    return spark.read.schema(made.schema).json(path)
+
+
+@query(f"WITH {WINDOWS} SELECT msname, split, win_start FROM w WHERE split = 'test'")
 def k1_k2_s11_written_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows written by split, written again, and one split read."""
-    path = _folder(spark, "windows")
+    path = scratch(spark, "windows")
     for _ in range(2):
         tables.write_windows(hourly_windows(spark, sf_dir), path)
     return tables.read_windows(spark, path, "test").select("msname", "split", "win_start")
@@ -176,15 +235,22 @@ def k1_k2_s11_written_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT msname, t, R(load;R) AS load FROM load_hourly WHERE t >= 1704067200")
 def k1_sorted_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "parts")
+    path = scratch(spark, "parts")
     traces.write_parts(views.load_hourly(spark, sf_dir), path, 4, ["t", "msname"])
     return traces.scan_parts(spark, path, ["msname", "t", "load"]).where("t >= 1704067200")
 
 
-@query("SELECT msname, R((cpu - lo) / (hi - lo);R) AS cpu, t FROM (SELECT msname, t, cpu, min(cpu) OVER () AS lo, max(cpu) OVER () AS hi FROM scaler_log) WHERE t % 7200 = 0")
-def d11_log_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log's columns scaled over all services before any row goes."""
-    return series.min_max_global(views.scaler_log(spark, sf_dir), ["cpu"]).where("t % 7200 = 0").select("msname", "cpu", "t")
+@query("WITH g AS (SELECT msname FROM (SELECT msname, t, lag(t) OVER (PARTITION BY msname ORDER BY t) AS b FROM scaler_log) GROUP BY msname HAVING count(*) < 29 OR bool_or(t - b <> 3600)), z AS (SELECT msname, t, pos, n, (cpu - min(cpu) OVER ()) / (max(cpu) OVER () - min(cpu) OVER ()) AS cpu, mem FROM (SELECT msname, t, pos, n, round(cpu, 12) AS cpu, round(mem, 12) AS mem FROM scaler_log)), k AS (SELECT *, CASE WHEN pos < floor(n * 0.7::DOUBLE) THEN 'train' WHEN pos < floor(n * (0.7::DOUBLE + 0.1::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM z WHERE msname NOT IN (SELECT msname FROM g)), w0 AS (SELECT msname, split, list(cpu ORDER BY pos) AS c, list(mem ORDER BY pos) AS m, list(t ORDER BY pos) AS t FROM k GROUP BY ALL HAVING count(*) >= 29), w1 AS (SELECT *, unnest(range(0, len(c) - 29 + 1, 5)) AS i FROM w0) SELECT msname, split, t[i + 1] AS win_start, R(list_sum(c[i + 1:i + 24]);R) AS x_cpu, R(list_sum(m[i + 25:i + 29]);R) AS y_mem FROM w1")
+def d11_log_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scaler log read from CSV, scaled over all services before any row goes, without gapped or short ones, to windows."""
+    path, log = scratch(spark, "scaler"), views.scaler_log(spark, sf_dir)
+    stamp = scalars.epoch_to_wall(F.col("t"), ZONE)
+    tables.write_csv(log.select(stamp.alias("timestamp"), "msname", F.round("cpu", 12).alias("cpu"), F.round("mem", 12).alias("mem")), path)
+    rows = series.min_max_global(logs.read_scaler_log(spark, path, ZONE), ["cpu"]).withColumnRenamed("ts", "t")
+    rows = series.with_positions(series.without_bad(rows, series.bad_services(rows, freq="1h", least=29)))
+    made = windows.windowize(series.assign_split(rows), 24, 5, 5, ["cpu", "mem"], ["cpu", "mem"])
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    return made.select("msname", "split", "win_start", total(windows.channel(F.col("x"), 0)).alias("x_cpu"), total(windows.channel(F.col("y"), 1)).alias("y_mem"))
 
 
 @query("SELECT DISTINCT msname, first_value(t) OVER (PARTITION BY msname ORDER BY t) AS t FROM load_hourly")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8, **extra: str) -> SparkSession:
@@ -30,12 +31,31 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, **extr
     return spark
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the session's own part of the shared folder, which is deleted when the session ends."""
+    own = f"{shared_dir(spark).rstrip('/')}/tracelens/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: lineage is cut, and a lost executor loses nothing."""
+    path = scratch(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where it is unset (tests) a local one is made."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a local one is made, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tracelens-")
         spark.sparkContext.setCheckpointDir(found)
     return found

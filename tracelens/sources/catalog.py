@@ -14,7 +14,18 @@ FEATURES = {
     "replicas": ("msresource", "replicas"),
     "node_cpu_utilization": ("node", "cpu_utilization"),
     "node_memory_utilization": ("node", "memory_utilization"),
-    **{f"{kind}_{what}": ("msrtmcre", f"{kind}_{what}") for what, kinds in (("rt", ("providerrpc", "http", "providermq")), ("mcr", ("providerrpc", "consumerrpc", "http", "providermq", "consumermq", "writemc", "readmc", "writedb", "readdb"))) for kind in kinds},
+    "providerrpc_rt": ("msrtmcre", "providerrpc_rt"),
+    "providerrpc_mcr": ("msrtmcre", "providerrpc_mcr"),
+    "consumerrpc_mcr": ("msrtmcre", "consumerrpc_mcr"),
+    "http_rt": ("msrtmcre", "http_rt"),
+    "http_mcr": ("msrtmcre", "http_mcr"),
+    "providermq_rt": ("msrtmcre", "providermq_rt"),
+    "providermq_mcr": ("msrtmcre", "providermq_mcr"),
+    "consumermq_mcr": ("msrtmcre", "consumermq_mcr"),
+    "writemc_mcr": ("msrtmcre", "writemc_mcr"),
+    "readmc_mcr": ("msrtmcre", "readmc_mcr"),
+    "writedb_mcr": ("msrtmcre", "writedb_mcr"),
+    "readdb_mcr": ("msrtmcre", "readdb_mcr"),
 }
 #: Table -> (key columns, minutes per source file).
 TABLES = {"msresource": (("msname", "msinstanceid"), 30), "node": (("nodeid",), 720), "msrtmcre": (("msname", "msinstanceid"), 30)}
@@ -56,21 +67,19 @@ class FeatureSet:
         return all("cpu" in f or "mem" in f for f in self.features)
 
 
-_PAIR = ("cpu_utilization", "memory_utilization")
-FEATURE_SETS = {
-    s.name: s
-    for s in (
-        FeatureSet("cpu_mem", _PAIR, _PAIR),
-        FeatureSet("cpu", ("cpu_utilization",), ("cpu_utilization",)),
-        FeatureSet("cpu_mem_http_rpc", (*_PAIR, "http_mcr", "providerrpc_mcr"), _PAIR),
-        FeatureSet("cpu_mem_http_rpc_replicas", (*_PAIR, "http_mcr", "providerrpc_mcr", "replicas"), _PAIR),
-        FeatureSet("cpu_mem_calls", (*_PAIR, "providerrpc_mcr", "consumerrpc_mcr", "http_mcr"), _PAIR),
-        FeatureSet("cpu_mem_times", (*_PAIR, "providerrpc_rt", "http_rt"), _PAIR),
-        FeatureSet("node_cpu_mem", ("node_cpu_utilization", "node_memory_utilization"), ("node_cpu_utilization",), "node", ("nodeid",)),
-        FeatureSet("service_and_node", (*_PAIR, "node_cpu_utilization"), _PAIR, "msresource", ("msname", "nodeid")),
-        FeatureSet("threshold_analysis", (*_PAIR, "http_mcr"), _PAIR, "msresource", ("msname", "msinstanceid")),
-    )
-}
+#: Name, features, targets, base table, join keys.
+_SETS = (
+    ("cpu", "cpu_utilization", "cpu_utilization", "msresource", "msname"),
+    ("cpu_mem", "cpu_utilization memory_utilization", "cpu_utilization", "msresource", "msname"),
+    ("node_cpu_mem", "cpu_utilization memory_utilization node_cpu_utilization node_memory_utilization", "cpu_utilization", "msresource", "nodeid"),
+    ("cpu_mem_mcr", "cpu_utilization memory_utilization providerrpc_mcr consumerrpc_mcr providermq_mcr consumermq_mcr http_mcr writemc_mcr readmc_mcr writedb_mcr readdb_mcr", "cpu_utilization", "msresource", "msname"),
+    ("threshold_analysis", "cpu_utilization providerrpc_rt providerrpc_mcr http_rt http_mcr providermq_rt providermq_mcr", "cpu_utilization", "msresource", "msname msinstanceid"),
+    ("cpu_mem_both", "cpu_utilization memory_utilization", "cpu_utilization memory_utilization", "msresource", "msname"),
+    ("cpu_mem_http_rpc", "cpu_utilization memory_utilization http_mcr providerrpc_mcr", "cpu_utilization memory_utilization", "msresource", "msname"),
+    ("mcr_http", "http_mcr", "http_mcr", "msrtmcre", "msname"),
+    ("cpu_mem_http_rpc_replicas", "cpu_utilization memory_utilization http_mcr providerrpc_mcr replicas", "cpu_utilization memory_utilization", "msresource", "msname"),
+)
+FEATURE_SETS = {name: FeatureSet(name, tuple(features.split()), tuple(targets.split()), base, tuple(keys.split())) for name, features, targets, base, keys in _SETS}
 
 
 def feature_set(name: str) -> FeatureSet:

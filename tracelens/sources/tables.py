@@ -32,14 +32,27 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def cached(spark: SparkSession, folder: str, name: str, source: DataFrame, parameters: dict, make: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
-    """A table under folder/name/<fingerprint>: read if it is there, else made and written."""
+def cached(spark: SparkSession, folder: str, name: str, source: DataFrame, parameters: dict, make: Callable[[], DataFrame], refresh: bool = False, disabled: bool = False) -> DataFrame:
+    """A table under folder/name/<fingerprint>: read if it is there, else made and written; not looked at if `disabled`."""
+    if disabled:
+        return make()
     path = f"{folder}/{name}/{fingerprint(source, parameters)}"
     if refresh or not exists(spark, path):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def clear_cache(spark: SparkSession, folder: str, name: str | None = None) -> bool:
+    """Deletes a cache's tables of one name, or all; whether there were any."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}" if name else folder)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def distinct_services(spark: SparkSession, folder: str, source: DataFrame, column: str = "msname") -> DataFrame:
+    """The sorted distinct values of a column, kept for as long as the source's files stay the same."""
+    return cached(spark, folder, f"distinct-{column}", source, {"column": column}, lambda: source.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column))
+
+
 def read_series(cache: DataFrame, features: list[str], replicas: DataFrame | None = None) -> DataFrame:
     """A cached series with only these features, and each service's base replicas: its first count, 1 at least."""
     missing = [f for f in features if f not in cache.columns]
@@ -56,5 +69,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).mode("overwrite").csv(path)
 
 
+def write_one_csv(df: DataFrame, path: str) -> None:
+    """One CSV file of that name, for results small enough for one task; written beside it first, then renamed."""
+    write_csv(df.coalesce(1), f"{path}.parts")
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder, target = hadoop.Path(f"{path}.parts"), hadoop.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    files.rename(part, target)
+    files.delete(folder, True)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)

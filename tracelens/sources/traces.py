@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,30 +14,47 @@ from tracelens.functions.scalars import duration_seconds
 NUMERIC = T.DoubleType()
 
 
-def valid_files(spark: SparkSession, path: str, needed: list[str]) -> tuple[list[str], DataFrame]:
-    """(files whose header holds all needed columns, table of skipped files with what they lack). Only first lines are read."""
-    heads = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value"), F.monotonically_increasing_id().alias("i"))
-    first = heads.groupBy("file").agg(F.min_by("value", F.struct("at", "i")).alias("head"))
-    lacking = first.select("file", F.array_except(F.array(*[F.lit(c) for c in needed]), F.transform(F.split("head", ","), F.trim)).alias("lacks")).cache()
-    files = [r["file"] for r in lacking.where(F.size("lacks") == 0).select("file").collect()]  # names of files, not rows
-    return sorted(files), lacking.where(F.size("lacks") > 0)
+def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The columns of each CSV file under a path or pattern; of each file only the beginning is read.
+
+    Names and headers come to the driver, no rows. Several files are looked at side by side.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    files = []
+    for status in found:
+        inner = [f.getPath() for f in status.getPath().getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(status.getPath()) if f.isFile()] if status.isDirectory() else [status.getPath()]
+        files += [f.toString() for f in inner if not f.getName().startswith(("_", "."))]
+    with ThreadPoolExecutor(16) as pool:
+        columns = list(pool.map(lambda f: spark.read.option("header", True).csv(f).columns, files))
+    return dict(zip(files, columns, strict=True))
+
+
+def valid_files(spark: SparkSession, path: str, needed: list[str]) -> tuple[dict[str, list[str]], DataFrame]:
+    """(header of each file that holds all needed columns, table of skipped files with what they lack)."""
+    heads = headers(spark, path)
+    lacks = {f: [c for c in needed if c not in columns] for f, columns in heads.items()}
+    skipped = spark.createDataFrame([(f, gone) for f, gone in lacks.items() if gone], "file string, lacks array<string>")
+    return {f: columns for f, columns in heads.items() if not lacks[f]}, skipped
 
 
 def read_csv_trace(spark: SparkSession, path: str, strings: list[str], numbers: list[str], keep: list[str] | None = None) -> DataFrame:
     """CSV or CSV.GZ to (timestamp ms, timestamp_dt, keys, features): needed columns only, rows with a null in them go.
 
-    Files that lack a needed column are skipped. The schema is explicit, each file's own header gives the order.
+    Files that lack a needed column are skipped. The schema is explicit: files with one header are read as one table.
     """
-    files, _ = valid_files(spark, path, ["timestamp", *strings, *numbers])
-    if not files:
+    heads, _ = valid_files(spark, path, ["timestamp", *strings, *numbers])
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, columns in heads.items():
+        groups.setdefault(tuple(columns), []).append(file)
+    if not groups:
         schema = T.StructType([T.StructField("timestamp", T.LongType()), T.StructField("timestamp_dt", T.TimestampType()), *[T.StructField(c, T.StringType()) for c in strings], *[T.StructField(c, NUMERIC) for c in numbers]])
         return spark.createDataFrame([], schema)
     frames: DataFrame | None = None
-    by_head: dict[str, list[str]] = {}
-    for r in spark.read.text(files).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("i")).groupBy("file").agg(F.min_by("value", "i").alias("head")).collect():
-        by_head.setdefault(r["head"], []).append(r["file"])
-    for group in by_head.values():
-        one = spark.read.option("header", True).csv(group)
+    for columns, files in groups.items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        one = spark.read.schema(schema).option("header", True).csv(files)
         one = one.select(F.col("timestamp").try_cast("long").alias("timestamp"), *strings, *[F.col(c).try_cast("double").alias(c) for c in numbers])
         frames = one if frames is None else frames.unionByName(one)
     out = frames.dropna().withColumn("timestamp_dt", F.timestamp_millis("timestamp"))
