@@ -60,8 +60,8 @@ def lagged_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], horizons: Sequ
     """(key, pair, h, x, y): x(t) beside y(t + h rows), for keys with at least max(horizons) + extra rows."""
     w, of = Window.partitionBy(key).orderBy(order), Window.partitionBy(key)
     cells = [F.struct(F.lit(f"{x}->{y}").alias("pair"), F.lit(h).alias("h"), F.col(x).cast("double").alias("x"), F.lead(y, h).over(w).cast("double").alias("y")) for x, y in pairs for h in horizons]
-    rows = df.select(key, F.count(F.lit(1)).over(of).alias("_n"), F.explode(F.array(*cells)).alias("c"))
-    return rows.where(F.col("_n") >= max(horizons) + extra).select(key, "c.*").where("x is not null and y is not null")
+    rows = df.select(key, F.count(F.lit(1)).over(of).alias("_n"), F.array(*cells).alias("cells")).where(F.col("_n") >= max(horizons) + extra)
+    return rows.select(key, F.explode("cells").alias("c")).select(key, "c.*").where("x is not null and y is not null")
 
 
 def distance_correlation(df: DataFrame, x: str, y: str, keys: Sequence[str] = ("msname",)) -> DataFrame:

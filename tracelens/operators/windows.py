@@ -82,8 +82,8 @@ def smooth_windows(windows: DataFrame, width: int, channels: int) -> DataFrame:
 
 
 def quantise_windows(windows: DataFrame, inputs: bool = True) -> DataFrame:
-    """Two decimals, half to even, in y and, if every channel is bounded, in x."""
-    rounded = lambda c: F.transform(c, lambda r: F.transform(r, lambda v: F.bround(v, 2)))
+    """Two decimals, half to even, in y and, if every channel is bounded, in x. Noise beyond nine decimals doesn't break ties."""
+    rounded = lambda c: F.transform(c, lambda r: F.transform(r, lambda v: F.bround(F.round(v, 9), 2)))
     out = windows.withColumn("y", rounded(F.col("y")))
     return out.withColumn("x", rounded(F.col("x"))) if inputs else out
 

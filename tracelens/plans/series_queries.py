@@ -158,7 +158,10 @@ def w10_moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _smooth(c: str) -> str:
-    return f"round_even(({c}[greatest(i - 2, 1)] + {c}[greatest(i - 1, 1)] + {c}[i] + {c}[least(i + 1, {L})] + {c}[least(i + 2, {L})]) / 5.0, 2)"
+    """Half to even on whole billionths."""
+    mean = f"({c}[greatest(i - 2, 1)] + {c}[greatest(i - 1, 1)] + {c}[i] + {c}[least(i + 1, {L})] + {c}[least(i + 2, {L})]) / 5.0"
+    k = f"CAST(round({mean} * 1000000000) AS BIGINT)"
+    return f"({k} // 10000000 + CASE WHEN {k} % 10000000 > 5000000 OR ({k} % 10000000 = 5000000 AND {k} // 10000000 % 2 = 1) THEN 1 ELSE 0 END) / 100.0"
 
 
 @query(f"WITH {WINDOWS} SELECT msname, split, win_start FROM w WHERE list_stddev_pop(xc) >= 0.11::DOUBLE ORDER BY md5('7|' || msname || '|' || split || '|' || win_start), msname, split, win_start LIMIT 60")
