@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.session import shared_dir
+from tracelens.session import materialise
+
+__all__ = ["ALNUM_WORD", "BLANK_WORD", "ascii_lower", "in_chunks", "materialise", "n_words_of", "read_table", "spare_names", "text_bytes", "text_tag", "words_of"]
 
 #: A word: a run without the six ASCII blanks.
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
@@ -34,6 +35,11 @@ def spare_names(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def text_tag(text: Column | None = None) -> Column:
+    """A 64-bit hash that tells texts apart where ids are equal or null; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text") if text is None else text, F.lit("")))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. A text of single-byte characters takes the quick built-in; others go character by character."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -48,19 +54,6 @@ def n_words_of(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage is cut, and a lost executor loses nothing.
-
-    The table goes when the session ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tracelens/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, end to end, and the n+1 offsets into them; a null is empty."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -71,12 +64,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def in_chunks(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cuts a batch into runs of rows with about `most` bytes of text, so that work arrays stay small; a longer text stays whole."""
+def in_chunks(batch: pa.RecordBatch, text: str, most: int = 4 << 20, rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cuts a batch into runs of up to `rows` rows with about `most` bytes of text, so that work arrays stay small; a longer text stays whole."""
     data, bounds = text_bytes(batch.column(batch.schema.get_field_index(text)))
     start, n = 0, batch.num_rows
     while start < n:
         end = int(np.searchsorted(bounds, bounds[start] + most, side="right")) - 1
-        end = min(n, max(end, start + 1))
+        end = min(n, max(end, start + 1), start + rows)
         yield batch.slice(start, end - start), data[bounds[start] : bounds[end]], bounds[start : end + 1] - bounds[start]
         start = end

@@ -22,6 +22,10 @@ from tracelens.llm.hashing import mix
 DIMENSIONS, CENTROIDS, ROUNDS = 4096, 4, 12
 #: Texts per language that form its centroids; a drawn share of the language, so about as many.
 SAMPLE = 1500
+#: More languages are refused: the model holds CENTROIDS vectors of each.
+MOST_LANGUAGES = 2000
+#: Texts and bytes whose counts a task holds at once.
+ROWS, BYTES = 256, 1 << 20
 #: Share of a centroid's own texts below whose cosine a text is rejected, and the slack given to others.
 REJECT_SHARE, REJECT_SLACK = 0.01, 0.7
 UNKNOWN = "und"
@@ -74,7 +78,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, texts = np.zeros(DIMENSIONS, np.int64), 0
         for batch in batches:
-            for _, data, bounds in in_chunks(batch, "text", 1 << 20):
+            for _, data, bounds in in_chunks(batch, "text", BYTES, ROWS):
                 total += (gram_counts(data, bounds) > 0).sum(axis=0)
                 texts += len(bounds) - 1
         slots = np.flatnonzero(total)
@@ -86,9 +90,8 @@ def document_counts(docs: DataFrame) -> DataFrame:
 def _centroids(idf: np.ndarray, seed: int):
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         """Spherical k-means over a language's sample; starts at texts far from each other."""
-        rows = rows.sort_values("place")
-        blobs = [t.encode() for t in rows["text"]]
-        vectors = np.concatenate([unit_vectors(gram_counts(np.frombuffer(b, np.uint8), np.array([0, len(b)])), idf) for b in blobs])
+        rows = rows.sort_values(["place", "vector"])
+        vectors = np.stack([np.frombuffer(v, np.float32) for v in rows["vector"]])
         vectors = vectors[np.abs(vectors).sum(axis=1) > 0]
         if not len(vectors):
             return pd.DataFrame({"lang": [], "centroid": [], "reach": []})
@@ -110,9 +113,22 @@ def _centroids(idf: np.ndarray, seed: int):
     return fit
 
 
+def text_vectors(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(lang, place, vector) of docs (lang, place, text): a vector has the same size however long its text is."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, bounds in in_chunks(batch, "text", BYTES, ROWS):
+                vectors = unit_vectors(gram_counts(data, bounds), idf)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array([v.tobytes() for v in vectors], pa.binary())], names=["lang", "place", "vector"])
+
+    return docs.select("lang", "place", "text").mapInArrow(work, "lang string, place long, vector binary")
+
+
 def fit_languages(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
     """(idf, language of each centroid, centroids, reach of each). Document counts cover all learning texts; the centroids
-    of a language are formed by about SAMPLE of them (all if it has fewer), drawn by a seeded hash."""
+    of a language are formed by about SAMPLE of them (all if it has fewer), drawn by a seeded hash. What a language sends to
+    the task that forms its centroids is bounded by SAMPLE vectors; more than MOST_LANGUAGES languages are refused."""
     known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = {r["slot"]: r["n"] for r in document_counts(known).collect()}  # at most DIMENSIONS + 1 rows
     df = np.zeros(DIMENSIONS)
@@ -120,10 +136,12 @@ def fit_languages(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, list[str]
         if slot >= 0:
             df[slot] = n
     idf = (np.log((1 + counts.get(-1, 0)) / (1 + df)) + 0.05).astype(np.float32)
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
-    drawn = known.join(F.broadcast(sizes.limit(100_000)), "lang").withColumn("place", F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)))
-    drawn = drawn.where(F.col("place") * F.col("size") < F.lit(float(SAMPLE << 30))).select("lang", "place", "text")
-    fitted = drawn.groupBy("lang").applyInPandas(_centroids(idf, seed), "lang string, centroid binary, reach double")
+    sizes = materialise(known.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    if (languages := sizes.count()) > MOST_LANGUAGES:
+        raise ValueError(f"{languages} languages; at most {MOST_LANGUAGES} can be learned")
+    drawn = known.join(F.broadcast(sizes), "lang").withColumn("place", F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)))
+    drawn = drawn.where(F.col("place") * F.col("size") < F.lit(float(SAMPLE << 30)))
+    fitted = text_vectors(drawn, idf).groupBy("lang").applyInPandas(_centroids(idf, seed), "lang string, centroid binary, reach double")
     rows = sorted(materialise(fitted, "centroids").collect(), key=lambda r: (r["lang"], r["centroid"]))
     vectors = np.array([np.frombuffer(r["centroid"], np.float32) for r in rows]).reshape(len(rows), DIMENSIONS)
     return idf, [r["lang"] for r in rows], vectors, np.array([r["reach"] for r in rows])
@@ -135,7 +153,7 @@ def identify(docs: DataFrame, model: tuple[np.ndarray, list[str], np.ndarray, np
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, bounds in in_chunks(batch, "text", 1 << 20):
+            for part, data, bounds in in_chunks(batch, "text", BYTES, ROWS):
                 letters = has_letter(data, bounds)
                 if langs:
                     cosine = unit_vectors(gram_counts(data, bounds), idf) @ centroids.T
@@ -155,8 +173,9 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score (cosine to the nearest centroid), rejected of every document.
 
     Learns from text and lang of documents that aren't held out. Null text, or one without a letter: `und`, score 0,
-    rejected. With nothing to learn from, all are `und`. Equal texts get equal results, repeated rows too; an empty
-    table gives no rows; other columns are not read.
+    rejected. With nothing to learn from, all are `und`. Equal texts get equal results, repeated rows too, and of
+    centroids at the same cosine the first by language; very long texts count whole. An empty table gives no rows; other
+    columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "lang", "text")
     return identify(rows, fit_languages(rows.where(~F.col("held_out")).select("doc_id", "lang", "text")))
