@@ -58,7 +58,7 @@ walk(r, n, key, b, j) AS (
   UNION ALL
   SELECT r, n, k, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / ((k // 8589934592)::DOUBLE + 1.0))) AS BIGINT) FROM (SELECT r, n, j, (key * 2862933555777941757 + 1) % 18446744073709551616 AS k FROM walk WHERE j < n)),
 landed AS (SELECT r, CAST(max(CASE WHEN n = 40 THEN b END) AS INTEGER) AS shard, CAST(max(CASE WHEN n = 41 THEN b END) AS INTEGER) AS grown_shard FROM walk WHERE j >= n GROUP BY r)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), doc_id, text_crc32, size) - 1 AS slot, grown_shard
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || text_crc32 || '|' || size), doc_id, text_crc32, size) - 1 AS slot, grown_shard
 FROM sums JOIN landed USING (r)
 """
 

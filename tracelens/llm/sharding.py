@@ -5,16 +5,22 @@ When a shard is appended, a row either stays or moves into the new shard (Lampin
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelens.llm.common import spare_names
+
 #: Fixed values of the published algorithm: multiplier of the linear congruential step, and its bit shift.
 JUMP_MULTIPLIER = 2862933555777941757
 JUMP_SHIFT = 33
 #: The key of rows whose key is null.
 NULL_KEY = -1
+#: Rows for which one cell of all shards is made.
+CELL_ROWS = 100_000
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -45,30 +51,33 @@ def jump_shard(key: Column, shards: int) -> Column:
 
 
 def assign_shards(docs: DataFrame, shards: int, key: str = "doc_id", grown: int | None = None) -> DataFrame:
-    """Adds `shard`, and `grown_shard` if `grown` names a larger shard count. Any column but the key may be null or repeated."""
+    """Adds `shard`, and `grown_shard` if `grown` names a larger shard count; columns of these names are replaced.
+
+    Any column may be null or repeated; a null key is NULL_KEY.
+    """
     out = docs.withColumn("shard", jump_shard(F.col(key), shards))
     return out.withColumn("grown_shard", jump_shard(F.col(key), grown)) if grown else out
 
 
 def with_slots(sharded: DataFrame, key: str = "doc_id", ties: tuple[str, ...] = ()) -> DataFrame:
-    """Adds `slot`: gapless places from 0 in each shard.
+    """Adds `slot`: gapless places from 0 in each shard, in the order of a hash of key and ties, then of these themselves.
 
-    Each shard is cut into 4096 cells by a hash of the key; a small table of cell counts gives where a cell begins,
-    and only inside a cell rows are numbered, so that no task sees a whole shard. Equal keys are ordered by `ties`;
-    rows equal in all of these are interchangeable.
+    Each shard is cut into cells by the beginning of the hash, as many as the number of rows asks for; a small table of
+    cell counts gives where a cell begins, and only inside a cell rows are numbered, so that no task sees a whole shard,
+    and rows that share a key are spread by their ties. Rows equal in all of these are interchangeable. A column `slot` is
+    replaced, others stay.
     """
-    cell = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 3)
-    rows = sharded.withColumn("_cell", cell)
-    before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select("shard", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("shard", "_cell").orderBy(F.col(key), *[F.col(c) for c in ties])
-    numbered = rows.withColumn("_row", F.row_number().over(inside))
-    return (
-        numbered.join(starts, ["shard", "_cell"])
-        .withColumn("slot", F.col("_start") + F.col("_row") - F.lit(1).cast("long"))
-        .drop("_cell", "_start", "_row")
-    )
+    cell, order, count, start, row = spare_names(sharded, "cell", "order", "count", "start", "row")
+    rows = sharded.drop("slot").withColumn(order, F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, *ties)])))
+    digits = max(3, math.ceil(math.log(max(sharded.select(key).count(), 1) / CELL_ROWS, 16)))
+    rows = rows.withColumn(cell, F.substring(order, 1, digits))
+    before = Window.partitionBy("shard").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("shard", cell).agg(F.count(F.lit(1)).alias(count))
+    starts = counts.select("shard", cell, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy("shard", cell).orderBy(order, F.col(key), *[F.col(c) for c in ties])
+    numbered = rows.withColumn(row, F.row_number().over(inside)).join(starts, ["shard", cell])
+    slot = (F.col(start) + F.col(row) - F.lit(1).cast("long")).alias("slot")
+    return numbered.select(*[c for c in sharded.columns if c != "slot"], slot)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
@@ -80,7 +89,7 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document.
 
     Null text: no bytes, so size 16 and checksum 0. A null doc_id has a key of its own. Repeated rows share their
-    shard and get different slots. An empty table gives no rows; other columns are not read.
+    shard and get different slots. Very long texts are only measured. An empty table gives no rows; other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
