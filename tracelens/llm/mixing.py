@@ -9,6 +9,7 @@ over its documents in a seeded order: whole passes over all, and one pass more o
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from tracelens.llm.common import BLANK_WORD, materialise, n_words_of
 
 
+#: Rows for which one cell of a pattern is made.
+CELL_ROWS = 100_000
+
+
 def source_targets(sizes: dict, weights: dict, total: float, repeat: float) -> dict:
     """Shares `total` by weight; a target stops at `repeat` times its source's size, and the excess is shared again."""
     targets, open_ = {}, list(sizes)
@@ -94,16 +99,21 @@ def route(patterns: dict[tuple, int], quotas: dict, repeat: int) -> dict[tuple,
             net[x.to][x.back].room += room
 
 
-def mix(docs: DataFrame, members: Column, size: Column, weight_of, *, key: str = "doc_id", share: float = 1.5, repeat: int = 2, seed: int = 7, most_patterns: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """(key, members, size, copies) of every row; (source, source_size, target) of every source.
+def mix(docs: DataFrame, members: Column, size: Column, weight_of, *, key: str = "doc_id", carry: Column | None = None, share: float = 1.5, repeat: int = 2, seed: int = 7, most_patterns: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """(key, members, size, carry, copies) of every row; (source, source_size, target) of every source.
 
     `members`: array of source names (null is a name); `weight_of`: list of names -> {name: weight}. The patterns, sums
     by combination of sources, go to the driver; more than `most_patterns` of them are refused, not cut. A row without
-    any source is not taken. Sizes that are null count as 0.
+    any source is not taken. Sizes that are null count as 0. Rows are placed in each pattern by a seeded hash of the key
+    and of `carry`, then by size; what is equal in all of these is interchangeable, but each row counts.
     """
-    rows = docs.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(members)).alias("members"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
-    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("key").cast("string"), F.lit(""))))
-    rows = materialise(rows.withColumn("place", order).withColumn("cell", F.substring("place", 1, 3)), "mix")
+    tie = F.lit("") if carry is None else F.concat(F.lit("|"), F.xxhash64(carry).cast("string"))
+    carry = F.lit(None).cast("string") if carry is None else carry
+    rows = docs.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(members)).alias("members"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), carry.alias("carry"), tie.alias("tie"))
+    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("key").cast("string"), F.lit("")), F.col("tie")))
+    rows = materialise(rows.withColumn("place", order).drop("tie"), "mix")
+    digits = max(3, math.ceil(math.log(max(rows.count(), 1) / CELL_ROWS, 16)))
+    rows = rows.withColumn("cell", F.substring("place", 1, digits))
     cells = rows.groupBy("members", "cell").agg(F.sum("size").alias("size"))
     sums = cells.groupBy("members").agg(F.sum("size").alias("size")).limit(most_patterns + 1).collect()
     if len(sums) > most_patterns:
@@ -136,7 +146,7 @@ def mix(docs: DataFrame, members: Column, size: Column, weight_of, *, key: str =
     at_edge = placed.where("cell = edge_cell").withColumn("ahead", F.col("edge_before") + F.coalesce(F.sum("size").over(ahead), F.lit(0)))
     at_edge = at_edge.withColumn("extra", (2 * F.col("ahead") + F.col("size") <= 2 * F.col("rest")).cast("int"))
     others = placed.where("not coalesce(cell = edge_cell, false)").withColumn("extra", F.coalesce((F.col("cell") < F.col("edge_cell")).cast("int"), F.lit(0)))
-    columns = ["key", "members", "size", (F.coalesce("passes", F.lit(0)) + F.col("extra")).alias("copies")]
+    columns = ["key", "members", "size", "carry", (F.coalesce("passes", F.lit(0)) + F.col("extra")).alias("copies")]
     out = at_edge.select(columns).unionByName(others.select(columns))
     table = [(s, int(sizes[s]), float(targets[s])) for s in ordered]
     return out, spark.createDataFrame(table, "source string, source_size long, target double")
@@ -161,11 +171,11 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as the mix takes it, with all its columns. Documents taken 0 times go.
 
-    Documents whose doc_id repeats are told apart by text and source; equal rows share their copies.
+    Each row is taken by itself, whether its doc_id is null or repeated and whatever else equals it. Null and empty texts
+    have no words and are taken as their place in the order says. An empty table gives no rows; all columns stay, whatever
+    their names.
     """
-    tag = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("source"), F.lit("")))
-    marked = docs.withColumn("_key", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), tag.cast("string")))
-    mixed, _ = mix(marked, F.array("source"), n_words_of(F.col("text"), BLANK_WORD), cycle_weights, key="_key", **options)
-    copies = mixed.groupBy("key").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    joined = marked.join(copies, marked["_key"] == copies["key"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    row = F.struct(*[docs[c] for c in docs.columns])
+    mixed, _ = mix(docs, F.array("source"), n_words_of(F.col("text"), BLANK_WORD), cycle_weights, carry=row, **options)
+    each = mixed.where("copies > 0").select("carry", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return each.select(*[F.col("carry").getField(c).alias(c) for c in docs.columns])
