@@ -22,13 +22,21 @@ BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general publi
 
 #: Public licence notices and texts, as templates.
 TEMPLATES = {
-    "apache-2.0": "licensed under the apache license <<beginOptional>>version<<endOptional>> 2.0",
+    "apache-2.0": "licensed under the <<beginOptional>>terms of the<<endOptional>> apache license <<beginOptional>>version<<endOptional>> 2.0",
+    "apache-2.0-header": (
+        "licensed under the apache license version 2.0 <<beginOptional>>the license<<endOptional>> you may not use this file except in compliance with the license"
+        " you may obtain a copy of the license at <<var;max=8>> unless required by applicable law or agreed to in writing software distributed under the license"
+        " is distributed on an as is basis without warranties or conditions of any kind either express or implied"
+    ),
     "cc-by-nc-4.0": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by nc 4.0",
     "cc-by-4.0": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by 4.0",
     "cc-by-sa-4.0": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by sa 4.0",
-    "gpl-3.0": "licensed under the gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3",
-    "gpl-2.0": "licensed under the gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 2",
+    "cc-by-named-4.0": "licensed under <<beginOptional>>the<<endOptional>> <<beginOptional>>a<<endOptional>> creative commons attribution 4.0 international license",
+    "gpl-3.0": "under the <<beginOptional>>terms of the<<endOptional>> gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3",
+    "gpl-2.0": "under the <<beginOptional>>terms of the<<endOptional>> gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 2",
+    "lgpl": "under the <<beginOptional>>terms of the<<endOptional>> gnu lesser general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version <<var;max=2>> of the license or <<beginOptional>>at your option<<endOptional>> any later version",
     "mit-notice": "<<beginOptional>>is<<endOptional>> released under the <<beginOptional>>terms of the<<endOptional>> mit license",
+    "mit-licensed": "licensed under the <<beginOptional>>terms of the<<endOptional>> mit license",
     "mit-text": (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
         " the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish"
@@ -44,9 +52,12 @@ TEMPLATES = {
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
         " <<var;max=2>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
     ),
+    "agpl-3.0": "under the <<beginOptional>>terms of the<<endOptional>> gnu affero general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3",
     "mpl-2.0": "subject to the terms of the mozilla public license v 2.0 <<var;max=12>> if a copy of the mpl was not distributed with this file",
 }
 
+#: A text with none of these holds no part of a template.
+CUES = (b"license", b"licence", b"permission", b"redistribution")
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 MARK = re.compile(r"<<(beginOptional|endOptional|var;max=(\d+))>>")
 
@@ -65,7 +76,6 @@ class Automaton:
     any: list[list[int]] = field(default_factory=list)
     free: list[list[int]] = field(default_factory=list)
     mandatory: list[int] = field(default_factory=list)
-    required: bytes = b""
     start: frozenset[int] = frozenset()
     final: int = 0
 
@@ -99,12 +109,9 @@ def compile_template(label: str, template: str) -> Automaton:
         pieces += [("word", w) for w in WORD.findall(template[end : m.start()].lower().encode())] + [(m[1].split(";")[0], m[2])]
         end = m.end()
     pieces += [("word", w) for w in WORD.findall(template[end:].lower().encode())]
-    required = []
     for kind, value in pieces:
         if kind == "word":
             done += not opened
-            if not opened:
-                required.append(value)
             new = made._state(done)
             made.next[at].setdefault(value, []).append(new)
             at = new
@@ -124,9 +131,9 @@ def compile_template(label: str, template: str) -> Automaton:
             at = made._state(done)
             for s in chain:
                 made.free[s].append(at)
-    if opened or not required:
+    if opened or not done:
         raise ValueError(f"{label}: an optional region isn't closed, or no word is mandatory")
-    made.required, made.final, made.start = max(required, key=len), at, made.closed({0})
+    made.final, made.start = at, made.closed({0})
     return made
 
 
@@ -157,8 +164,7 @@ def run_automaton(made: Automaton, words: list[bytes]) -> tuple[list[tuple[int,
 
 def scan_text(text: bytes, automata: list[Automaton]) -> tuple[list[int], set[str], list[tuple[str, int, int]], float]:
     """(starts of base phrases, base labels, accepted places, score) of a lower-cased text."""
-    active = [a for a in automata if a.required in text]
-    if not active and b"license" not in text:
+    if not any(cue in text for cue in CUES):
         return [], set(), [], 0.0
     words = WORD.findall(text)
     starts, labels = [], set()
@@ -169,7 +175,7 @@ def scan_text(text: bytes, automata: list[Automaton]) -> tuple[list[int], set[st
             starts += found
             labels |= {label} if found else set()
     places, score = [], 0.5 if starts else 0.0
-    for a in active:
+    for a in automata:
         got, share = run_automaton(a, words)
         places += [(a.label, s, e) for s, e in got]
         score = max(score, share)
@@ -182,9 +188,10 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 def scan_documents(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: word count, base phrases, labels, score and the accepted places (`matches`).
 
-    score: the largest share of a template's mandatory wording found (1: accepted), at least 0.5 with a base phrase.
-    Null text counts as empty: no words, no labels, score 0. Rows are scanned one by one, so ties and repeats don't
-    matter; an empty table gives no rows; other columns are not read.
+    score: the largest share of a template's mandatory wording found (1: accepted), at least 0.5 with a base phrase; 0
+    for a text that holds none of the words that licences go by. Null text counts as empty: no words, no labels, score 0.
+    Very long texts are scanned whole, each template once. Rows are scanned one by one, so ties and repeats don't matter;
+    an empty table gives no rows; other columns are not read.
     """
     automata = [compile_template(k, v) for k, v in (templates or TEMPLATES).items()]
 
