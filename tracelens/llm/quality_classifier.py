@@ -71,9 +71,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 20_000, rounds:
 def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; empty and null texts are scored by their structure alone.
 
-    Equal texts get equal scores unless their n_chars differ. Repeated rows are scored one by one. An empty table gives
-    no rows; without labels every score is 0.5.
+    Equal texts get equal scores unless their n_chars differ. Very long texts count whole. Repeated rows are scored one by
+    one. Where labels of a document differ, the larger counts; labels other than 0 and 1 don't. A table without n_chars is
+    scored by the texts' own lengths. An empty table gives no rows; without labels every score is 0.5. Other columns are
+    not read.
     """
+    if "n_chars" not in docs.columns:
+        docs = docs.withColumn("n_chars", F.lit(None).cast("long"))
     model = fit_quality(docs, labels, **options)
     rows = docs.select("doc_id", "text", "n_chars")
     if isinstance(model, float):
