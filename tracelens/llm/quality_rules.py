@@ -20,7 +20,7 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the counts that the rules read; the text is tokenised once and no row leaves its task.
+    """Adds the counts that the rules read; the text is tokenised once and no row leaves its task. Columns of the same names are replaced.
 
     Repeated windows: hashes of all five-word windows are compared as a set; only where that set is smaller than the
     list are they sorted with their places, and places next to an equal hash are repeated. Work is n log n at worst.
