@@ -36,9 +36,9 @@ from tracelens.llm.hashing import prefix_hash, span_hash
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text hashed at once, some hundred times as many in work arrays, runs packed together, windows remembered by a task.
-CHUNK_BYTES, HELD_RUNS, HELD_WINDOWS = 1 << 20, 500_000, 500_000
-#: Bytes of text in one partition where texts are shuffled.
-PARTITION_BYTES = 32 << 20
+CHUNK_BYTES, HELD_RUNS, HELD_WINDOWS = 1 << 19, 400_000, 500_000
+#: Bytes of text in one partition where texts are shuffled, and the most partitions; beyond these they grow.
+PARTITION_BYTES, MOST_PARTITIONS = 8 << 20, 50_000
 #: The key of documents whose id is null: after all others.
 LAST = (1 << 63) - 1
 #: What `sort` says of a place: repeated as it is, its windows are sorted one by one; else with runs of equal `sort`.
@@ -131,7 +131,7 @@ def dealt_runs(docs: DataFrame, buckets: int) -> DataFrame:
         for flag in (False, True):
             some = np.flatnonzero((done == flag) & ~again)
             if flag:
-                of = (int(rows["run"][0] % np.uint64(buckets)) + rows["key"][some] % 16) % buckets
+                of = (int(rows["run"].sum() % np.uint64(buckets)) + rows["key"][some] % 16) % buckets
                 order = np.argsort(of, kind="stable")
                 some, of = some[order], of[order]
             else:
@@ -368,7 +368,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tag: Column = F.lit(0).cast("long") if unique else F.xxhash64(whole)
     docs = docs.select(key.alias("key"), tag.alias("tag"), whole.alias("text"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
-    deals = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + total // PARTITION_BYTES)
+    deals = min(1 + total // PARTITION_BYTES, MOST_PARTITIONS)
     dealt = dealt_runs(docs, 1 + total // limits.bucket_bytes).repartition(deals, "bucket").sortWithinPartitions("bucket")
     found = materialise(dealt.mapInArrow(_match(limits), PLACE), "runs")
     todo, singly = found.where(f"sort <> {DONE}"), not found.where(f"sort = {SINGLY}").isEmpty()
@@ -382,7 +382,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     joined = texts.join(gathered(todo, "start", "size", "times", "sort"), row).select("key", "tag", "text", "places")
     fetched = joined.mapInArrow(_fetch(parts), FETCHED)
     fetched = materialise(fetched, "windows") if singly else fetched
-    open_ = (fetched.where("bytes is not null") if singly else fetched).repartition(max(deals, parts // 8), "part")
+    open_ = (fetched.where("bytes is not null") if singly else fetched).repartition(min(1 + parts // 4, MOST_PARTITIONS), "part")
     places = found.where(f"sort = {DONE}").select("key", "tag", "start", "size")
     places = places.unionByName(open_.groupBy("part").applyInPandas(sort_windows, "key long, tag long, start long, size int"))
     if singly:
