@@ -1,6 +1,12 @@
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tracelens.llm import language_id, quality_classifier
 
@@ -19,6 +25,44 @@ def test_languages_of_held_out_documents(spark, no_docs, odd_docs):
     assert language_id.identify_documents(no_docs).collect() == []
 
 
+def test_counts_and_predictions_equal_a_plain_computation(spark, documents):
+    def counts(text):
+        folded = bytes(c | 32 if chr(c).isalpha() and c < 128 else c if c > 127 else 32 for c in text.encode())
+        out = Counter()
+        for width in (2, 3):
+            for i in range(len(folded) - width + 1):
+                if folded[i + width - 2] != 32:
+                    x = int.from_bytes(bytes([width]) + folded[i : i + width], "big")
+                    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+                        x = ((x ^ (x >> shift)) * factor) % 2**64
+                    out[x >> 52] += 1
+        return out
+
+    rows = documents.select("doc_id", "lang", "text").where("doc_id % 5 = 0").collect()
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = idf, langs, centroids, _ = language_id.fit_languages(docs)
+    known = [r for r in rows if r.lang and r.text]
+    df = Counter(k for r in known for k in counts(r.text))
+    assert all(math.isclose(idf[k], math.log((1 + len(known)) / (1 + df[k])) + 0.05, rel_tol=1e-5) for k in range(language_id.DIMENSIONS))
+    got = {r.doc_id: r for r in language_id.identify(docs.withColumn("held_out", F.lit(False)), model).collect()}
+    for r in rows:
+        vector = np.zeros(language_id.DIMENSIONS)
+        for k, n in counts(r.text or "").items():
+            vector[k] = math.log(1 + n) * idf[k]
+        cosine = centroids @ (vector / max(np.linalg.norm(vector), 1e-9))
+        if any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].score == pytest.approx(min(max(cosine.max(), 0), 1), abs=1e-4)
+            assert cosine[[i for i, k in enumerate(langs) if k == got[r.doc_id].lang_pred]].max() == pytest.approx(cosine.max(), abs=1e-4)
+
+
+def test_many_short_texts_stay_small_and_too_many_languages_are_refused(spark, monkeypatch):
+    short = spark.range(20_000).selectExpr("id AS doc_id", "concat('ab ', id) AS text", "CASE WHEN id % 2 = 0 THEN 'x' ELSE 'y' END AS lang").coalesce(1)
+    assert language_id.identify_documents(short).where("score > 1 or score < 0").count() == 0
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        language_id.identify_documents(short)
+
+
 def test_no_letter_is_undetermined_and_unlike_text_is_rejected(spark):
     train = [(i, f"the quick brown fox jumps over the lazy dog number {i}", "en") for i in range(40)] + [(100 + i, f"der schnelle braune fuchs springt über den faulen hund {i}", "de") for i in range(40)]
     odd = [(900, "123 !!", None), (901, "жжж ююю щщщ", None), (902, "é", None), (903, "the quick brown fox jumps over the lazy dog number 77", None)]
@@ -42,4 +86,23 @@ def test_quality_scores_rank_held_out_labels(spark, no_docs, odd_docs):
     auc = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
     assert auc >= 0.9
     assert quality_classifier.score_documents(no_docs, labels).collect() == []
+    more = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(odd_docs.select("doc_id", "text", "lang", "source", "n_chars")).withColumns({"_w": F.lit("mine"), "features": F.lit(1), "score": F.lit(9.0)})
+    odd = quality_classifier.score_documents(more, labels).collect()
+    assert len(odd) == len(rows) + odd_docs.count() and all(0 <= r.score <= 1 for r in odd)
+    assert len(quality_classifier.score_documents(odd_docs.drop("n_chars"), labels).collect()) == odd_docs.count()
     assert {r.score for r in quality_classifier.score_documents(odd_docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_scores_equal_all_pairwise_interactions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality_classifier.fit_quality(docs, labels, rounds=5)
+    some = quality_classifier.with_vectors(docs.where("doc_id < 20")).select("doc_id", "features")
+    got = {r.doc_id: r.probability[1] for r in model.transform(some).collect()}
+    factors, linear = model.factors.toArray(), model.linear.toArray()
+    for r in some.collect():
+        at, x = r.features.indices, r.features.values
+        pairs = sum(factors[i] @ factors[j] * x[a] * x[b] for a, i in enumerate(at) for b, j in enumerate(at) if a < b)
+        v = factors[at] * x[:, None]
+        assert pairs == pytest.approx(0.5 * ((v.sum(0) ** 2) - (v * v).sum(0)).sum(), abs=1e-9)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-(model.intercept + linear[at] @ x + pairs))), abs=1e-9)

@@ -76,6 +76,17 @@ def test_jump_hash_moves_only_into_the_new_shard(documents, odd_docs, no_docs):
     assert sharding.shard_documents(no_docs).collect() == []
 
 
+def test_slots_of_rows_that_share_a_key(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 0.01)  # cells of five hash digits
+    rows = spark.createDataFrame([(None if i % 3 else i, f"text {i % 200}", 5, "mine") for i in range(900)], "doc_id long, text string, slot int, _cell string")
+    placed = sharding.with_slots(sharding.assign_shards(rows, 4), ties=("text",))
+    assert placed.columns == ["doc_id", "text", "_cell", "shard", "slot"]
+    slots = defaultdict(list)
+    for r in placed.collect():
+        slots[r.shard].append(r.slot)
+    assert sum(map(len, slots.values())) == 900 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_targets_are_capped_and_shared_again():
     targets = mixing.source_targets({"a": 10, "b": 100, "c": 100}, {"a": 5, "b": 2, "c": 1}, 315, 2)
     assert targets["a"] == 20
@@ -116,3 +127,14 @@ def test_repeated_documents_equal_taken(documents, odd_docs):
     copies = Counter(r.doc_id for r in out.collect())
     assert max(copies.values()) <= 2
     assert mixing.repeat_documents(odd_docs).columns == odd_docs.columns
+
+
+def test_equal_rows_are_taken_each_on_their_own(spark):
+    rows = [(None if i % 2 else 7, "the same five words here", "a", f"p{i % 3}") for i in range(400)] + [(i, "one two three four five", "b", "q") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    target = mixing.source_targets({"a": 2000, "b": 2000}, {"a": 5, "b": 2}, 1.5 * 4000, 2)
+    out = mixing.repeat_documents(docs)
+    assert out.columns == docs.columns
+    taken = Counter(r.source for r in out.collect())
+    assert all(abs(5 * taken[s] - t) <= 5 for s, t in target.items())
+    assert mixing.repeat_documents(docs.limit(0)).collect() == []

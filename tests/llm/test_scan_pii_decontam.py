@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import time
 from collections import Counter
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracelens.llm import decontaminate, license_scan, pii
@@ -42,6 +44,9 @@ def test_license_templates_accept_variants(spark):
         (5, "Licensed under CC BY-NC 4.0. Released under the MIT License."),
         (6, "licensed under the gnu general public license as published by the free software foundation version 3"),
         (7, "licensed under the new general public license version 3"),
+        (8, "You can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License."),
+        (9, "under the terms of the GNU Lesser General Public License, version 2.1 of the License, or (at your option) any later version"),
+        (10, "Licensed under the MIT license; permission is hereby granted"),
     ]
     got = {r.doc_id: r for r in license_scan.scan_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got[1].labels == "apache,apache-2.0" and got[1].score == 1.0
@@ -51,9 +56,34 @@ def test_license_templates_accept_variants(spark):
     assert got[5].labels == "cc-by-nc-4.0,mit,mit-notice"
     assert got[6].labels == "gpl,gpl-3.0"
     assert got[7].labels == "gpl" and got[7].base_labels == "gpl"
+    assert got[8].labels == "gpl,gpl-3.0" and got[9].labels == "gpl,lgpl" and got[10].labels == "mit,mit-licensed"
     assert [(m.label, m.start, m.end) for m in got[1].matches] == [("apache-2.0", 3, 11)]
 
 
+def test_automata_accept_what_their_patterns_match():
+    """Each template as a regular expression over words; all starts and ends of random texts are tried."""
+    rng = random.Random(9)
+    templates = {
+        "one": "a b <<beginOptional>>c<<endOptional>> d",
+        "two": "<<beginOptional>>a<<endOptional>> b <<var;max=2>> a",
+        "three": "a <<beginOptional>>b <<beginOptional>>c<<endOptional>> <<endOptional>> <<var;max=1>> d <<beginOptional>>a<<endOptional>>",
+    }
+    for label, template in templates.items():
+        made = license_scan.compile_template(label, template)
+        pattern = template.replace("<<beginOptional>>", " (?: ").replace("<<endOptional>>", " )? ")
+        pattern = re.sub(r"<<var;max=(\d)>>", r" (?:[a-d],){0,\1} ", pattern)
+        pattern = re.compile("".join(f"{p}," if p in "abcd" else p for p in pattern.split()))
+        for _ in range(300):
+            words = [rng.choice("abcd") for _ in range(rng.randrange(9))]
+            want = []
+            for end in range(1, len(words) + 1):
+                starts = [s for s in range(end) if pattern.fullmatch("".join(f"{w}," for w in words[s:end]))]
+                want += [(max(starts), end)] if starts else []
+            assert license_scan.run_automaton(made, [w.encode() for w in words])[0] == want, (template, words)
+    with pytest.raises(ValueError):
+        license_scan.compile_template("none", "<<beginOptional>>a<<endOptional>>")
+
+
 def brute_hits(docs, items):
     windows = {}
     for item_id, text in items:
@@ -89,8 +119,22 @@ def test_contamination_equals_brute_force(spark, sf_dir, documents, odd_docs, no
 def test_blocks_give_the_same_hits(spark, sf_dir, documents, monkeypatch):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     whole = Counter(map(str, decontaminate.contamination(documents, items).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 50)
-    assert Counter(map(str, decontaminate.contamination(documents, items).collect())) == whole
+    kept = Counter(map(str, decontaminate.drop_contaminated(documents, items).collect()))
+    for few, size in ((50, 64 << 20), (50, 100)):
+        monkeypatch.setattr(decontaminate, "FEW_WINDOWS", few)
+        monkeypatch.setattr(decontaminate, "FEW_BYTES", size)
+        assert Counter(map(str, decontaminate.contamination(documents, items).collect())) == whole
+        assert Counter(map(str, decontaminate.drop_contaminated(documents, items).collect())) == kept
+
+
+def test_a_window_of_many_items_is_joined_once(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    items = [(i, f"{passage} x{i}") for i in range(300)] + [(1000, "lone word"), (1001, passage)]
+    docs = [(i, f"a b {passage} c d") for i in range(50)] + [(60, "a lone word"), (61, "nothing")]
+    rows = [spark.createDataFrame(r, "id long, text string") for r in (docs, items)]
+    got = decontaminate.contamination(rows[0].withColumnRenamed("id", "doc_id"), rows[1].withColumnRenamed("id", "item_id")).collect()
+    assert Counter(tuple(r) for r in got) == Counter(brute_hits(docs, items))
+    assert {r.n_items for r in got} == {301, 1, 0}
 
 
 def luhn(digits):

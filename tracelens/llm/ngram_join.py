@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import BLANK_WORD, in_chunks, materialise
+from tracelens.llm.common import BLANK_WORD, in_chunks, materialise, spare_names, text_tag
 from tracelens.llm.components import connected_components
 from tracelens.llm.hashing import mix, prefix_hash, span_hash, word_spans
 from tracelens.llm.spans import Room, spanning_links
@@ -49,11 +49,15 @@ class Rule:
 #: The contract of op5, and the rule of near-copy stages.
 OP5, STAGE = Rule(3, 90), Rule(5, 80, 8)
 #: What one task holds of a group of sets, and members of a group in the token-group matrix.
-TOKEN_ROOM, MEMBERS = Room(512, 8 << 20), 32
+TOKEN_ROOM, MEMBERS = Room(128, 4 << 20), 32
 #: Cells of a sketch, rows of meeting sets in one task, and sets of a part that are compared each with each at once.
 BITS, MET_ROWS, FEW = 4096, 50_000, 32
 #: What one task holds of the sets that meet in one part.
 PART_ROOM = Room(5_000, 4 << 20)
+#: Parts packed or matched at once, shingles for which one bucket of parts is made, and the most partitions.
+HELD_PARTS, BUCKET_SHINGLES, MOST_PARTITIONS = 500_000, 1_000_000, 50_000
+#: Bytes of text whose words are hashed at once, some fifty times as many in work arrays.
+CHUNK = 1 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -125,31 +129,43 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def text_tag() -> Column:
-    """Tells texts apart where ids are equal or null."""
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-
-
 def set_table(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
     """(doc_id, tag, n, fp) of every document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, bounds in in_chunks(batch, "text"):
+            for part, data, bounds in in_chunks(batch, "text", CHUNK):
                 sets = [(len(s), fingerprint(s)) for s in shingle_sets(data, bounds, rule.width)]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array([n for n, _ in sets], pa.int64()), pa.array([f for _, f in sets], pa.int64())], names=["doc_id", "tag", "n", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), text_tag().alias("tag"), "text").mapInArrow(work, "doc_id long, tag long, n long, fp long")
 
 
-def part_table(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
-    """(part, fp): where sets meet; a set seen before in the same task is left out."""
+def part_packs(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
+    """(bucket, parts, sets, at): parts of sets, packed by bucket of the part; a set seen before in the same task is left out.
+
+    `parts` has the low 40 bits of each part in order, byte plane after byte plane, `at` its set among the 64-bit `sets`.
+    """
+
+    def packed(parts: list[np.ndarray], fps: list[np.ndarray]) -> pa.RecordBatch:
+        flat, owner = np.concatenate(parts), np.concatenate(fps)
+        bucket = ((flat >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        low = flat & np.uint64((1 << 40) - 1)
+        order = np.lexsort((low, bucket))
+        bucket, low, owner = bucket[order], low[order], owner[order]
+        cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
+        rows = []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            sets, at = np.unique(owner[a:b], return_inverse=True)
+            rows.append((low[a:b].view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes(), sets.tobytes(), at.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()))
+        columns = [pa.array(bucket[cut[:-1]]), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(3)]]
+        return pa.record_batch(columns, names=["bucket", "parts", "sets", "at"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, classes = set(), size_classes(1 << 24, rule)
+        parts, fps, held = [], [], 0
         for batch in batches:
-            for _, data, bounds in in_chunks(batch, "text"):
-                parts, fps = [], []
+            for _, data, bounds in in_chunks(batch, "text", CHUNK):
                 for s in shingle_sets(data, bounds, rule.width):
                     if len(s) and (fp := fingerprint(s)) not in seen:
                         seen.add(fp)
@@ -157,10 +173,62 @@ def part_table(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
                             classes = size_classes(2 * len(s), rule)
                         parts.append(part_hashes(s, classes, rule))
                         fps.append(np.full(len(parts[-1]), fp, np.int64))
-                if parts:
-                    yield pa.record_batch([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(fps))], names=["part", "fp"])
-
-    return docs.select("text").mapInArrow(work, "part long, fp long")
+                        held += len(parts[-1])
+                        if held > HELD_PARTS:
+                            yield packed(parts, fps)
+                            parts, fps, held = [], [], 0
+        if held:
+            yield packed(parts, fps)
+
+    return docs.select("text").mapInArrow(work, "bucket long, parts binary, sets binary, at binary")
+
+
+def _settled(bucket: int, parts: np.ndarray, fps: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """(part, fp) of parts with several sets, and one entry of each part."""
+    order = np.lexsort((fps, parts))
+    parts, fps = parts[order], fps[order]
+    head = np.ones(len(parts), bool)
+    head[1:] = parts[1:] != parts[:-1]
+    fresh = head.copy()
+    fresh[1:] |= fps[1:] != fps[:-1]
+    group = np.cumsum(head) - 1
+    shared = fresh & (np.bincount(group, weights=fresh) > 1)[group]
+    named = (np.uint64(bucket) << np.uint64(40) | parts[shared]).view(np.int64)
+    return pa.record_batch([pa.array(named), pa.array(fps[shared])], names=["part", "fp"]), parts[head], fps[head]
+
+
+def _shared_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket, whose rows follow each other, the parts that several sets have; what is held is about one entry a part."""
+    bucket, parts, fps, held, most = -1, [], [], 0, HELD_PARTS
+    for batch in batches:
+        for of, low, sets, at in zip(batch.column(0).to_pylist(), *[batch.column(k).to_pylist() for k in (1, 2, 3)], strict=True):
+            if of != bucket:
+                if held:
+                    yield _settled(bucket, np.concatenate(parts), np.concatenate(fps))[0]
+                bucket, parts, fps, held, most = of, [], [], 0, HELD_PARTS
+            n = len(low) // 5
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :5] = np.frombuffer(low, np.uint8).reshape(5, n).T
+            parts.append(wide.view(np.uint64).ravel())
+            index = np.ascontiguousarray(np.frombuffer(at, np.uint8).reshape(4, n).T).view(np.uint32).ravel()
+            fps.append(np.frombuffer(sets, np.int64)[index])
+            held += n
+            if held > most:
+                out, kept, owner = _settled(bucket, np.concatenate(parts), np.concatenate(fps))
+                yield out
+                parts, fps, held, most = [kept], [owner], len(kept), max(HELD_PARTS, 2 * len(kept))
+    if held:
+        yield _settled(bucket, np.concatenate(parts), np.concatenate(fps))[0]
+
+
+def meeting_sets(docs: DataFrame, rule: Rule, shingles: int) -> DataFrame:
+    """(part, fp): the sets that have a part in common with others; `shingles`, of all sets, tells how many buckets to make.
+
+    A part is known by its bucket and 40 bits; others that fall together with it only make sets meet for nothing.
+    """
+    buckets = 1 + shingles // BUCKET_SHINGLES
+    dealt = part_packs(docs, rule, buckets).repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
+    return materialise(dealt.mapInArrow(_shared_parts, "part long, fp long").distinct(), "met")
 
 
 def sketch_table(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -168,7 +236,7 @@ def sketch_table(docs: DataFrame, rule: Rule) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, bounds in in_chunks(batch, "text"):
+            for _, data, bounds in in_chunks(batch, "text", CHUNK):
                 sets = [s for s in shingle_sets(data, bounds, rule.width) if len(s)]
                 columns = [[fingerprint(s) for s in sets], [len(s) for s in sets], [sketch(s).tobytes() for s in sets]]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["fp", "n", "sketch"])
@@ -264,19 +332,18 @@ def _members(classes: np.ndarray) -> dict[int, np.ndarray]:
     return dict(zip(names.tolist(), np.split(order, first[1:]), strict=True))
 
 
-def meeting_links(docs: DataFrame, rule: Rule) -> DataFrame:
+def meeting_links(docs: DataFrame, rule: Rule, shingles: int) -> DataFrame:
     """(a, b): links that connect all sets which may link.
 
-    Minima of parts are summed before the shuffle, and the join back can be split, so a part of very many sets is no
-    bottleneck; where sketches tell sets apart, such a part is taken in blocks.
+    A part of very many sets is no bottleneck: each task holds one entry of it, its minimum is summed before the shuffle,
+    and where sketches tell sets apart it is taken in blocks.
     """
-    parts = materialise(part_table(docs, rule), "parts")
-    ends = parts.groupBy("part").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
+    met = meeting_sets(docs, rule, shingles)
     if not rule.spare:
-        return parts.join(ends.drop("high"), "part").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
-    met = materialise(parts.join(ends.select("part"), "part").distinct(), "met")
-    sketches, counts = materialise(sketch_table(docs, rule).join(met.select("fp").distinct(), "fp"), "sketches"), met.groupBy("part").count()
-    hot = counts.where(F.col("count") > PART_ROOM.rows).select(F.col("part").alias("grp"))
+        ends = met.groupBy("part").agg(F.min("fp").alias("low"))
+        return met.join(ends, "part").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+    sketches = materialise(sketch_table(docs, rule).join(met.select("fp").distinct(), "fp", "left_semi"), "sketches")
+    hot = met.groupBy("part").count().where(F.col("count") > PART_ROOM.rows).select(F.col("part").alias("grp"))
     buckets = 1 + met.count() // MET_ROWS
     rows = met.join(hot, met["part"] == hot["grp"], "left_anti").join(sketches, "fp").withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)))
     links = rows.groupBy("bucket").applyInPandas(lambda some: likely_links(some, rule), "a long, b long")
@@ -296,7 +363,7 @@ def token_table(docs: DataFrame, wanted: DataFrame, rule: Rule = OP5) -> DataFra
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, bounds in in_chunks(batch, "text"):
+            for part, data, bounds in in_chunks(batch, "text", CHUNK):
                 sets = list(shingle_sets(data, bounds, rule.width))
                 same = [i for i, (s, fp) in enumerate(zip(sets, part.column("fp").to_pylist(), strict=True)) if fingerprint(s) == fp]
                 kept = part.take(pa.array(same, pa.int64()))
@@ -348,7 +415,8 @@ def classes_of(sets: list[np.ndarray], percent: int = OP5.percent, classes: np.n
 
 def link_sets(docs: DataFrame, sets: DataFrame, rule: Rule = OP5) -> DataFrame:
     """(a, b): links between set fingerprints that span all classes."""
-    groups = materialise(connected_components(meeting_links(docs, rule)), "groups")
+    shingles = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
+    groups = materialise(connected_components(meeting_links(docs, rule, shingles)), "groups")
     keepers = sets.groupBy("fp").agg(F.min(F.struct("doc_id", "tag")).alias("k"), F.first("n").alias("n")).select("fp", "n", "k.doc_id", "k.tag")
     wanted = materialise(groups.join(keepers, groups["node"] == keepers["fp"]).select("doc_id", "tag", "fp", F.col("root").alias("grp"), (8 * F.col("n")).alias("size")), "wanted")
     tokens = materialise(token_table(docs, wanted.select("doc_id", "tag", "fp"), rule).dropDuplicates(["fp"]), "tokens")
@@ -394,8 +462,9 @@ def keep_one(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
     first = worded.groupBy("class").agg(F.min(place).alias("first"))
     losers = worded.join(first, "class").where(place != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_of")).distinct()
-    marked = docs.withColumn("_tag", text_tag())
+    (tag,) = spare_names(docs, "tag")
+    marked = docs.withColumn(tag, text_tag())
     bare = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(BLANK_WORD)
-    judged = marked.where(~bare).join(losers, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_tag") == F.col("_of")), "left_anti")
-    kept = judged.dropDuplicates(["doc_id", "_tag"]).unionByName(marked.where(bare))
+    judged = marked.where(~bare).join(losers, marked["doc_id"].cast("long").eqNullSafe(losers["_id"]) & (F.col(tag) == losers["_of"]), "left_anti")
+    kept = judged.dropDuplicates(["doc_id", tag]).unionByName(marked.where(bare))
     return kept.select(*docs.columns)

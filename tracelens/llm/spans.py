@@ -22,6 +22,8 @@ from tracelens.llm.components import connected_components
 
 #: (rows of a task, class of each row) -> for each row the place of a row of its joined class.
 Compare = Callable[[pd.DataFrame, np.ndarray], np.ndarray]
+#: How many times the rows that a block of the first rounds holds those of the last one hold.
+WIDER = 4
 #: Share of representatives that a round must join for another one to follow.
 WORTH = 0.3
 
@@ -89,7 +91,7 @@ def spanning_links(members: DataFrame, payload: DataFrame, compare: Compare, roo
         joined = joined.unionByName(_links(last))
         if last.where("fp = to").count() > before * (1 - WORTH) or last.where("blocks > 1").isEmpty():
             break
-    pairs = _cross_pairs(opened.select("grp", "fp", "size"), joined, room)
+    pairs = _cross_pairs(opened.select("grp", "fp", "size"), joined, Room(WIDER * room.rows, WIDER * room.size))
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("fp")
