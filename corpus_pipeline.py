@@ -1,4 +1,10 @@
-"""The corpus pipeline: quality rules, near-copy removal, decontamination, mixing, sharding; each stage a table."""
+"""The corpus pipeline: quality rules, near-copy removal, decontamination, mixing, sharding; each stage a table.
+
+Each row is judged by itself: ids that are null or repeated are told apart by their texts, and of rows that are equal one
+passes the near-copy stage. Null, empty and blank texts have too few words for the quality rules and go there. Very long
+texts are taken whole. An empty table gives no rows. Further columns of documents stay, whatever their names, but for
+`shard`, `slot` and `grown_shard`, which the last stage replaces.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.llm import decontaminate, mixing, ngram_join, quality_rules, sharding
-from tracelens.llm.common import materialise, read_table
+from tracelens.llm.common import materialise, read_table, spare_names
 
 SHARDS = 40
 
@@ -32,10 +38,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents, and the shard of each row with its place there."""
-    placed = sharding.assign_shards(docs, SHARDS, grown=SHARDS + 1)
-    tied = placed.withColumn("_tie", F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("source"), F.lit(""))))
-    return sharding.with_slots(tied, ties=("_tie",)).select(*docs.columns, "shard", "slot", "grown_shard")
+    """The columns of documents, and the shard of each row with its place there; columns of these three names are replaced."""
+    own = [c for c in docs.columns if c.lower() not in ("shard", "slot", "grown_shard")]
+    (tie,) = spare_names(docs, "tie")
+    placed = sharding.assign_shards(docs.select(*own), SHARDS, grown=SHARDS + 1)
+    tied = placed.withColumn(tie, F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("source"), F.lit(""))))
+    return sharding.with_slots(tied, ties=(tie,)).select(*own, "shard", "slot", "grown_shard")
 
 
 STAGES = [("quality rules", quality), ("near copies", near_copies), ("decontamination", decontamination), ("mixing", mix), ("sharding", shards)]
