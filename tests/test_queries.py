@@ -12,8 +12,6 @@ from tracelens.plans import all_queries, all_sql
 #: Queries that SQL cannot express, and the tests that hold their numbers against a plain computation.
 NUMERIC_TESTS = {
     "m4_linear_direct": "test_linear_heads_equal_normal_equations",
-    "m10_m11_m13_adaptive_replay": "test_adaptive_replay_equals_a_plain_loop",
-    "r4_r6_stream_conformal": "test_stream_equals_batch_for_conformal",
     "g1_g2_wavelet_windows": "test_wavelets_keep_energy_and_turn_back",
     "g4_entropy_groups": "test_entropy_groups_query_takes_whole_series",
 }

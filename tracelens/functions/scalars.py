@@ -87,6 +87,21 @@ def softmax_over(weight: Column, *keys: str) -> Column:
     return e / F.sum(e).over(of)
 
 
+def array_sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
+
+
+def array_mean(values: Column) -> Column:
+    """Null for an empty array."""
+    return array_sum(values) / F.when(F.size(values) > 0, F.size(values))
+
+
+def array_std(values: Column) -> Column:
+    """Over all values (population); null for an empty array."""
+    mean = array_mean(values)
+    return F.sqrt(array_mean(F.transform(values, lambda v: (v - mean) * (v - mean))))
+
+
 def nested_json(envelope: Column, outer: str, inner: str) -> Column:
     """A value from a JSON text inside a JSON text."""
     return F.get_json_object(F.get_json_object(envelope, outer), inner)

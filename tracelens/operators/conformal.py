@@ -79,15 +79,20 @@ def conservative(scores: list[float], q: float) -> float:
     return sorted(scores)[math.ceil((len(scores) - 1) * q)]
 
 
-def adaptive_replay(df: DataFrame, cfg: AdaptiveConfig = AdaptiveConfig(), keys: tuple[str, ...] = ("msname", "target")) -> DataFrame:
+STATE = "scores_upper array<double>, scores_lower array<double>, alpha_upper double, alpha_lower double"
+
+
+def adaptive_replay(df: DataFrame, cfg: AdaptiveConfig = AdaptiveConfig(), keys: tuple[str, ...] = ("msname", "target"), states: DataFrame | None = None) -> DataFrame:
     """Replays (keys, pos, y, q_lo, q_hi, warmup) in order per key; rows out: keys, pos, lower, upper, alphas, warmup.
 
-    Warm-up rows move the state too. It is sequential by nature, so a key is one task; keys run in parallel.
+    Warm-up rows move the state too. It is sequential by nature, so a key is one task; keys run in parallel. With
+    `states`, from `adaptive_states`, each key goes on from where it was; keys without one start afresh.
     """
     schema = ", ".join(f"{k} string" for k in keys) + ", pos long, y double, lower double, upper double, alpha_upper double, alpha_lower double, warmup boolean"
 
     def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, state, out = rows.sort_values("pos"), cfg.fresh(), []
+        rows, out = rows.sort_values("pos"), []
+        state = restore(rows["_state"].iloc[0], cfg)
         for pos, y, q_lo, q_hi, warm in rows[["pos", "y", "q_lo", "q_hi", "warmup"]].itertuples(index=False):
             low, high = state.interval(q_lo, q_hi, cfg.empty)
             if cfg.clip:
@@ -99,12 +104,33 @@ def adaptive_replay(df: DataFrame, cfg: AdaptiveConfig = AdaptiveConfig(), keys:
             made.insert(i, k, rows[k].iloc[0])
         return made
 
-    return df.select(*keys, "pos", "y", "q_lo", "q_hi", "warmup").groupBy(*keys).applyInPandas(replay, schema)
+    rows = df.select(*keys, "pos", "y", "q_lo", "q_hi", "warmup")
+    if states is None:
+        rows = rows.withColumn("_state", F.lit(None).cast(f"struct<{STATE.replace(' ', ':').replace(',:', ',')}>"))
+    else:
+        saved = F.struct("scores_upper", "scores_lower", "alpha_upper", "alpha_lower").alias("_state")
+        rows = rows.join(states.select(*keys, saved), list(keys), "left")
+    return rows.groupBy(*keys).applyInPandas(replay, schema)
+
+
+def adaptive_states(df: DataFrame, cfg: AdaptiveConfig = AdaptiveConfig(), keys: tuple[str, ...] = ("msname", "target")) -> DataFrame:
+    """(keys, scores_upper, scores_lower, alpha_upper, alpha_lower): each key's state after its rows, to be kept and gone on from."""
+
+    def last(rows: pd.DataFrame) -> pd.DataFrame:
+        state = cfg.fresh()
+        for y, q_lo, q_hi in rows.sort_values("pos")[["y", "q_lo", "q_hi"]].itertuples(index=False):
+            state.update(y, q_lo, q_hi, cfg)
+        return pd.DataFrame([{**{k: rows[k].iloc[0] for k in keys}, **snapshot(state)}])
+
+    return df.select(*keys, "pos", "y", "q_lo", "q_hi").groupBy(*keys).applyInPandas(last, ", ".join(f"{k} string" for k in keys) + f", {STATE}")
 
 
 def snapshot(state: AdaptiveState) -> dict:
     return asdict(state)
 
 
-def restore(saved: dict) -> AdaptiveState:
-    return AdaptiveState(**saved)
+def restore(saved: dict | None, cfg: AdaptiveConfig = AdaptiveConfig()) -> AdaptiveState:
+    """The state that was saved, or a fresh one."""
+    if saved is None:
+        return cfg.fresh()
+    return AdaptiveState(list(saved["scores_upper"]), list(saved["scores_lower"]), saved["alpha_upper"], saved["alpha_lower"])

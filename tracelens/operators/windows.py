@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelens.functions.scalars import array_std
+
 
 def windowize(df: DataFrame, length: int, horizon: int, stride: int, features: list[str], targets: list[str], keys: tuple[str, ...] = ("msname", "split"), contiguous: int | None = None) -> DataFrame:
     """(keys, win_start, x, y, last, second_last, sid): inputs [i, i+length), targets [i+length, i+length+horizon).
@@ -37,12 +39,6 @@ def inference_windows(df: DataFrame, length: int, features: list[str]) -> DataFr
     return windowize(df, length, 0, 1, features, features[:1], keys=("msname",)).drop("y")
 
 
-def _std_pop(values: Column) -> Column:
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
-    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n)
-
-
 def channel(x: Column, k: int) -> Column:
     return F.transform(x, lambda r: F.element_at(r, k + 1))
 
@@ -50,7 +46,7 @@ def channel(x: Column, k: int) -> Column:
 def drop_near_constant(windows: DataFrame, target_channels: list[int], least: float = 1e-12) -> DataFrame:
     """Windows whose target channels all vary over the input."""
     for k in target_channels:
-        windows = windows.where(_std_pop(channel(F.col("x"), k)) >= least)
+        windows = windows.where(array_std(channel(F.col("x"), k)) >= least)
     return windows
 
 

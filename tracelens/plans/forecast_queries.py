@@ -101,15 +101,48 @@ def m9_split_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conformal.split_apply(rows.where("split = 'test'"), fitted, ["msname"]).select("msname", "pos", "lower", "upper", "one_sided")
 
 
-@query()
-def m10_m11_m13_adaptive_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validation rows warm the state up, test rows are reported; intervals are clipped. Each target has a state of its own."""
+def _rows_of(target: str) -> str:
+    """The rows of `quantile_rows` for a target, as common table expressions named after it."""
+    return f"c_{target} AS (SELECT a.msname, b.{target} - a.{target} AS d FROM split_hourly a JOIN split_hourly b ON a.msname = b.msname AND b.pos = a.pos + 5 WHERE a.split = 'train' AND b.split = 'train'), q_{target} AS (SELECT msname, quantile_cont(d, 0.10) AS q_lo, quantile_cont(d, 0.95) AS q_hi FROM c_{target} GROUP BY ALL), g_{target} AS (SELECT a.msname, '{target}' AS target, a.pos, a.{target} + q_lo AS q_lo, a.{target} + q_hi AS q_hi, b.{target} AS y, b.split FROM split_hourly a JOIN q_{target} q ON q.msname = a.msname JOIN split_hourly b ON b.msname = a.msname AND b.pos = a.pos + 5 WHERE b.split <> 'train')"
+
+
+def _replay_sql(targets: tuple[str, ...], then: str) -> str:
+    """The adaptive state row by row: each step reads the one before."""
+    union = " UNION ALL ".join(f"SELECT * FROM g_{t}" for t in targets)
+    bound = "list_sort({s})[CAST(ceil((len({s}) - 1) * (1 - {a})) AS BIGINT) + 1]"
+    low = f"CASE WHEN len(su) = 0 THEN q_lo ELSE q_lo - {bound.format(s='sl', a='al')} END"
+    high = f"CASE WHEN len(su) = 0 THEN q_hi ELSE q_hi + {bound.format(s='su', a='au')} END"
+    kept = "list_append({s}, greatest(0.0::DOUBLE, {x}))[-100:]"
+    level = "least(greatest({a} + 0.01::DOUBLE * ({c}::DOUBLE - CASE WHEN {miss} THEN 1 ELSE 0 END), 0.001::DOUBLE), 0.5::DOUBLE)"
+    step = f"SELECT j.msname, j.target, j.k, pos, y, split, lo, hi, au, al, {kept.format(s='su', x='y - q_hi')}, {kept.format(s='sl', x='q_lo - y')}, {level.format(a='au', c='0.05', miss='y > hi')}, {level.format(a='al', c='0.10', miss='y < lo')} FROM (SELECT s.*, su, sl, au, al, {low} AS lo, {high} AS hi FROM (SELECT msname, target, k, su2 AS su, sl2 AS sl, au2 AS au, al2 AS al FROM st) p JOIN src s ON s.msname = p.msname AND s.target = p.target AND s.k = p.k + 1) j"
+    start = "SELECT msname, target, 0::BIGINT AS k, 0::BIGINT AS pos, 0.0::DOUBLE AS y, '' AS split, 0.0::DOUBLE AS lo, 0.0::DOUBLE AS hi, 0.0::DOUBLE AS au, 0.0::DOUBLE AS al, []::DOUBLE[] AS su2, []::DOUBLE[] AS sl2, 0.05::DOUBLE AS au2, 0.10::DOUBLE AS al2 FROM (SELECT DISTINCT msname, target FROM src)"
+    return f"WITH RECURSIVE {', '.join(_rows_of(t) for t in targets)}, src AS (SELECT *, row_number() OVER (PARTITION BY msname, target ORDER BY pos) AS k FROM ({union})), st AS ({start} UNION ALL {step}) {then}"
+
+
+CLIPPED = "R(least(greatest(lo, 0), 1);R) AS lower, R(least(greatest(hi, 0), 1);R) AS upper"
+
+
+def adaptive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of both targets; those of the validation split warm a state up. Each target has a state of its own."""
     both = [quantile_rows(spark, sf_dir, t).withColumn("target", F.lit(t)) for t in ("cpu", "mem")]
-    rows = both[0].unionByName(both[1]).where("split <> 'train'").withColumn("warmup", F.col("split") == "val")
-    out = conformal.adaptive_replay(rows, conformal.AdaptiveConfig(clip=True))
+    return both[0].unionByName(both[1]).where("split <> 'train'").withColumn("warmup", F.col("split") == "val")
+
+
+@query(_replay_sql(("cpu", "mem"), f"SELECT msname, target, pos, R(y;R) AS y, {CLIPPED}, R(au;R) AS alpha_upper, R(al;R) AS alpha_lower FROM st WHERE k > 0 AND split = 'test'"))
+def m10_m11_m13_adaptive_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test rows are reported; intervals are clipped."""
+    out = conformal.adaptive_replay(adaptive_rows(spark, sf_dir), conformal.AdaptiveConfig(clip=True))
     return out.where("not warmup").drop("warmup")
 
 
+@query(_replay_sql(("cpu", "mem"), f"SELECT msname, target, pos, {CLIPPED} FROM st WHERE k > 0 AND split = 'test'"))
+def m12_state_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after the validation rows is kept as a table, and test rows go on from it."""
+    rows, cfg = materialise(adaptive_rows(spark, sf_dir), "adaptive"), conformal.AdaptiveConfig(clip=True)
+    states = materialise(conformal.adaptive_states(rows.where("warmup"), cfg), "states")
+    return conformal.adaptive_replay(rows.where("not warmup"), cfg, states=states).select("msname", "target", "pos", "lower", "upper")
+
+
 MODELS = "f AS (SELECT 'a' AS model, msname, pos, pred FROM forecast_log UNION ALL SELECT 'b', msname, pos, last FROM forecast_log UNION ALL SELECT 'c', msname, pos, second_last FROM forecast_log), w AS (SELECT model, exp(weight) / sum(exp(weight)) OVER () AS share FROM (VALUES ('a', 1.0::DOUBLE), ('b', 0.5::DOUBLE), ('c', 0.0::DOUBLE)) v(model, weight))"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelens.functions import scalars
 from tracelens.functions.scalars import epoch_seconds
 from tracelens.operators import dependence, rolling, series, signal, windows
 from tracelens.plans import views
@@ -145,6 +146,15 @@ def d7_quantised_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.quantise_windows(w).select("msname", "split", "win_start", F.flatten("y").alias("y"))
 
 
+@query(f"WITH {WINDOWS} SELECT msname, split, win_start, R(list_sum(xc[3:8]);R) AS some, R(list_avg(xc);R) AS mean, R(list_stddev_pop(xc);R) AS std, R(list_sort(xc)[3];R) AS third, R(list_max([round(list_sum(xc[i:i + 3]), 9) for i in range(1, {L - 2})]);R) AS busiest FROM w", digits=8)
+def f9_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each input: the sum of a slice, mean, deviation, the third smallest, and the largest sum over four steps."""
+    x = windows.channel(F.col("x"), 0)
+    w = hourly_windows(spark, sf_dir).select("msname", "split", "win_start", x.alias("x"))
+    busiest = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(L - 3)), lambda i: F.round(scalars.array_sum(F.slice("x", i, F.lit(4))), 9)))
+    return w.select("msname", "split", "win_start", scalars.array_sum(F.slice("x", 3, 6)).alias("some"), scalars.array_mean(F.col("x")).alias("mean"), scalars.array_std(F.col("x")).alias("std"), F.get(F.array_sort("x"), 2).alias("third"), busiest.alias("busiest"))
+
+
 @query(f"WITH {WINDOWS} SELECT msname, split, count(*) AS n FROM w WHERE list_stddev_pop(xc) >= 0.11::DOUBLE GROUP BY ALL")
 def d9_near_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.drop_near_constant(hourly_windows(spark, sf_dir), [0], 0.11).groupBy("msname", "split").agg(F.count(F.lit(1)).alias("n"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelens.operators import conformal
 from tracelens.plans import forecast_queries as fq
 from tracelens.plans import views
 from tracelens.plans.registry import query
 from tracelens.session import scratch
+from tracelens.sources import traces
 from tracelens.streaming import streams
 
 
@@ -35,6 +37,21 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("event_type").alias("msname"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 200.0).alias("cpu"))
 
 
+@query("SELECT msname, count(*) AS n, R(sum(round(cpu, 9));R) AS cpu FROM means_hourly GROUP BY msname", digits=6)
+def s3_ingested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV files ingested as they arrive, half of them before the first run; rows that don't parse are set apart."""
+    source, target = scratch(spark, "arrived"), scratch(spark, "ingested")
+    rows = views.series_hourly(spark, sf_dir).select((F.col("t") * 1000).alias("timestamp"), "msname", F.round("cpu", 9).alias("cpu"), "pos")
+    bad = rows.groupBy("msname").agg(F.lit("not a time").alias("timestamp"), F.lit(0.0).alias("cpu")).select("timestamp", "msname", "cpu")
+    schema = T.StructType([T.StructField("timestamp", T.LongType()), T.StructField("msname", T.StringType()), T.StructField("cpu", T.DoubleType())])
+    for part in (rows.where("pos % 2 = 0").drop("pos"), rows.where("pos % 2 = 1").drop("pos"), bad):
+        part.write.mode("append").option("header", True).csv(source)
+        for _ in range(2):  # the second run finds nothing new
+            traces.ingest_stream(spark, source, target, f"{target}-state", schema).awaitTermination()
+    good = spark.read.parquet(target).where("not bad")
+    return good.groupBy("msname").agg(F.count(F.lit(1)).alias("n"), F.sum("cpu").alias("cpu"))
+
+
 @query("WITH b AS (SELECT ts - ts % 3600 AS t, msname, avg(cpu) AS cpu, count(*) AS n FROM trace_hourly GROUP BY ALL), w AS (SELECT max(ts) AS last FROM trace_hourly) SELECT t, msname, R(cpu;R) AS cpu, n FROM b, w WHERE t + 3600 <= last - 3600")
 def r1_r7_stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly buckets that the watermark has closed; equals the batch buckets of closed hours."""
@@ -69,7 +86,7 @@ def r2_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("msname", "ts", F.aggregate("history", F.lit(0.0), lambda a, v: a + v).alias("total"))
 
 
-@query()
+@query(fq._replay_sql(("cpu",), "SELECT msname, pos, R(lo;R) AS lower, R(hi;R) AS upper FROM st WHERE k > 0"))
 def r4_r6_stream_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fq.quantile_rows(spark, sf_dir).where("split <> 'train'").select("msname", F.col("pos").cast("long").alias("pos"), "y", "q_lo", "q_hi")
     with _rocksdb(spark):
