@@ -100,6 +100,10 @@ def test_flow_prefers_fresh_words_and_uses_overlap():
     assert flows[("a",)]["a"] == 10 and flows[("a", "b")] == {"a": 10, "b": 0} and flows[("b",)]["b"] == 10
     flows = mixing.route({("a",): 10}, {"a": 15}, 2)
     assert flows[("a",)]["a"] == 15
+    patterns, quotas = {("a",): 10, ("a", "b"): 10, ("c",): 4, (None,): 3, (): 9, ("d", "e"): 5, ("e",): 1}, {"a": 25, "b": 9, "c": 3, None: 9, "d": 2, "e": 20}
+    assert mixing.route(patterns, quotas, 2) == mixing._flow(patterns, quotas, 2)
+    many = {(f"s{i}",): 10 + i for i in range(20_000)}
+    assert sum(f for part in mixing.route(many, {n[0]: 15 for n in many}, 2).values() for f in part.values()) == 15 * 20_000
 
 
 def test_mix_meets_targets_and_repeats(documents, odd_docs, no_docs):

@@ -50,8 +50,37 @@ class _Arc:
 def route(patterns: dict[tuple, int], quotas: dict, repeat: int) -> dict[tuple, dict]:
     """Words of each pattern routed to each source: the largest flow, of these the cheapest.
 
-    Successive shortest paths with potentials; arcs: patterns x memberships x repeats.
+    Patterns that no shared source connects don't touch each other's flow, so the network is cut into its parts; where a
+    part is one pattern in one source, its flow is what both allow.
     """
+    above: dict = {}
+
+    def top(x: tuple) -> tuple:
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for name in patterns:
+        for s in name:
+            above[top(("source", s))] = top(("pattern", name))
+    parts: dict[tuple, tuple[dict, dict]] = {}
+    for name, size in patterns.items():
+        parts.setdefault(top(("pattern", name)), ({}, {}))[0][name] = size
+    for s, quota in quotas.items():
+        if ("source", s) in above:
+            parts[top(("source", s))][1][s] = quota
+    flows: dict[tuple, dict] = {}
+    for some, asked in parts.values():
+        if len(some) == len(asked) == 1:
+            ((name, size),), ((s, quota),) = some.items(), asked.items()
+            flows[name] = {s: min(quota, repeat * size)}
+        else:
+            flows |= _flow(some, asked, repeat)
+    return flows
+
+
+def _flow(patterns: dict[tuple, int], quotas: dict, repeat: int) -> dict[tuple, dict]:
+    """Successive shortest paths with potentials; arcs: patterns x memberships x repeats."""
     names, sources = sorted(patterns, key=str), sorted(quotas, key=str)
     source_at = {s: 1 + len(names) + i for i, s in enumerate(sources)}
     start, end = 0, 1 + len(names) + len(sources)
