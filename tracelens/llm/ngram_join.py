@@ -54,8 +54,9 @@ TOKEN_ROOM, MEMBERS = Room(128, 4 << 20), 32
 BITS, MET_ROWS, FEW = 4096, 50_000, 32
 #: What one task holds of the sets that meet in one part.
 PART_ROOM = Room(5_000, 4 << 20)
-#: Parts packed or matched at once, shingles for which one bucket of parts is made, and the most partitions.
-HELD_PARTS, BUCKET_SHINGLES, MOST_PARTITIONS = 500_000, 1_000_000, 50_000
+#: Parts packed or matched at once, shingles for which one bucket of parts is made, the most buckets and partitions; beyond
+#: these they grow.
+HELD_PARTS, BUCKET_SHINGLES, MOST_BUCKETS, MOST_PARTITIONS = 500_000, 1_000_000, 1 << 21, 50_000
 #: Bytes of text whose words are hashed at once, some fifty times as many in work arrays.
 CHUNK = 1 << 20
 
@@ -149,7 +150,7 @@ def part_packs(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
 
     def packed(parts: list[np.ndarray], fps: list[np.ndarray]) -> pa.RecordBatch:
         flat, owner = np.concatenate(parts), np.concatenate(fps)
-        bucket = ((flat >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        bucket = ((flat >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
         low = flat & np.uint64((1 << 40) - 1)
         order = np.lexsort((low, bucket))
         bucket, low, owner = bucket[order], low[order], owner[order]
@@ -174,7 +175,7 @@ def part_packs(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
                         parts.append(part_hashes(s, classes, rule))
                         fps.append(np.full(len(parts[-1]), fp, np.int64))
                         held += len(parts[-1])
-                        if held > HELD_PARTS:
+                        if held > max(HELD_PARTS, 2 * buckets):
                             yield packed(parts, fps)
                             parts, fps, held = [], [], 0
         if held:
@@ -226,7 +227,7 @@ def meeting_sets(docs: DataFrame, rule: Rule, shingles: int) -> DataFrame:
 
     A part is known by its bucket and 40 bits; others that fall together with it only make sets meet for nothing.
     """
-    buckets = 1 + shingles // BUCKET_SHINGLES
+    buckets = min(1 + shingles // BUCKET_SHINGLES, MOST_BUCKETS)
     dealt = part_packs(docs, rule, buckets).repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
     return materialise(dealt.mapInArrow(_shared_parts, "part long, fp long").distinct(), "met")
 

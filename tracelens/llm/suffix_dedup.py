@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -37,8 +37,8 @@ from tracelens.llm.hashing import prefix_hash, span_hash
 LENGTH, GRAM = 50, 16
 #: Bytes of text hashed at once, some hundred times as many in work arrays, runs packed together, windows remembered by a task.
 CHUNK_BYTES, HELD_RUNS, HELD_WINDOWS = 1 << 19, 400_000, 500_000
-#: Bytes of text in one partition where texts are shuffled, and the most partitions; beyond these they grow.
-PARTITION_BYTES, MOST_PARTITIONS = 8 << 20, 50_000
+#: Bytes of text in one partition where texts are shuffled, the most partitions, and the most buckets; beyond these they grow.
+PARTITION_BYTES, MOST_PARTITIONS, MOST_BUCKETS = 8 << 20, 50_000, 1 << 21
 #: The key of documents whose id is null: after all others.
 LAST = (1 << 63) - 1
 #: What `sort` says of a place: repeated as it is, its windows are sorted one by one; else with runs of equal `sort`.
@@ -49,7 +49,10 @@ PLACE = "key long, tag long, start long, size int, times long, sort long"
 
 @dataclass(frozen=True)
 class Limits:
-    """Bytes of text for which one bucket of runs is made, its runs that are matched at once, and runs that one task sorts."""
+    """Bytes of text for which one bucket of runs is made, its runs that are matched at once, and runs that one task sorts.
+
+    With MOST_BUCKETS buckets and more text, four times a bucket's share of it are matched at once.
+    """
 
     bucket_bytes: int = 4 << 20
     match_runs: int = 2_000_000
@@ -155,7 +158,7 @@ def dealt_runs(docs: DataFrame, buckets: int) -> DataFrame:
                     parts.append(rows)
                     buckets_of.append(((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
                     held += len(rows)
-                    if held >= HELD_RUNS:
+                    if held >= max(HELD_RUNS, 2 * buckets):
                         yield from dealt(parts, buckets_of)
                         parts, buckets_of, held = [], [], 0
         if held:
@@ -369,7 +372,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(key.alias("key"), tag.alias("tag"), whole.alias("text"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
     deals = min(1 + total // PARTITION_BYTES, MOST_PARTITIONS)
-    dealt = dealt_runs(docs, 1 + total // limits.bucket_bytes).repartition(deals, "bucket").sortWithinPartitions("bucket")
+    buckets = min(1 + total // limits.bucket_bytes, MOST_BUCKETS)
+    if buckets == MOST_BUCKETS:
+        limits = replace(limits, match_runs=max(limits.match_runs, 4 * total // 17 // buckets))
+    dealt = dealt_runs(docs, buckets).repartition(deals, "bucket").sortWithinPartitions("bucket")
     found = materialise(dealt.mapInArrow(_match(limits), PLACE), "runs")
     todo, singly = found.where(f"sort <> {DONE}"), not found.where(f"sort = {SINGLY}").isEmpty()
     weight = F.when(F.col("sort") == SINGLY, F.col("size") - LENGTH + 1).otherwise(F.lit(1))
