@@ -455,17 +455,18 @@ def ngram_components(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
 def keep_one(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
     """One document of each component, that with the smallest id, with all its columns; texts without words all stay.
 
-    Each row goes or stays by its own text: ids that are null come after all others, equal ids are told apart by a hash of
-    the text, and of rows equal in both one stays. Rows without words are equal only if they have an id.
+    Rows are looked up among those that stay, so a large class is no bottleneck. Each row goes or stays by its own text: ids
+    that are null come after all others, equal ids are told apart by a hash of the text, and of rows equal in both one stays.
+    Rows without words are equal only if they have an id.
     """
     sets, roots = set_classes(docs.select("doc_id", "text"), rule)
     worded = sets.where("n > 0").join(roots, F.col("fp") == F.col("node"), "left").withColumn("class", F.coalesce("root", "fp"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
-    first = worded.groupBy("class").agg(F.min(place).alias("first"))
-    losers = worded.join(first, "class").where(place != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_of")).distinct()
+    keepers = worded.groupBy("class").agg(F.min(place).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.tag").alias("_of"))
     (tag,) = spare_names(docs, "tag")
-    marked = docs.withColumn(tag, text_tag())
-    bare = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(BLANK_WORD)
-    judged = marked.where(~bare).join(losers, marked["doc_id"].cast("long").eqNullSafe(losers["_id"]) & (F.col(tag) == losers["_of"]), "left_anti")
-    kept = judged.dropDuplicates(["doc_id", tag]).unionByName(marked.where(bare))
-    return kept.select(*docs.columns)
+    marked, words = docs.withColumn(tag, text_tag()), F.coalesce("text", F.lit("")).rlike(BLANK_WORD)
+    mine = marked["doc_id"].cast("long").eqNullSafe(keepers["_id"]) & (marked[tag] == keepers["_of"])
+    kept, blank = marked.where(words).join(keepers, mine, "left_semi"), marked.where(~words)
+    if not sets.groupBy("doc_id", "tag").count().where("count > 1").isEmpty():
+        kept, blank = kept.dropDuplicates(["doc_id", tag]), blank.where("doc_id is not null").dropDuplicates(["doc_id", tag]).unionByName(blank.where("doc_id is null"))
+    return kept.unionByName(blank).select(*docs.columns)
