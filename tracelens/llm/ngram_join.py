@@ -56,7 +56,7 @@ BITS, MET_ROWS, FEW = 4096, 50_000, 32
 PART_ROOM = Room(5_000, 4 << 20)
 #: Parts packed or matched at once, shingles for which one bucket of parts is made, the most buckets and partitions; beyond
 #: these they grow.
-HELD_PARTS, BUCKET_SHINGLES, MOST_BUCKETS, MOST_PARTITIONS = 500_000, 1_000_000, 1 << 21, 50_000
+HELD_PARTS, BUCKET_SHINGLES, MOST_BUCKETS, MOST_PARTITIONS = 500_000, 2_000_000, 1 << 21, 50_000
 #: Bytes of text whose words are hashed at once, some fifty times as many in work arrays.
 CHUNK = 1 << 20
 

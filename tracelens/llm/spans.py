@@ -22,6 +22,8 @@ from tracelens.llm.components import connected_components
 
 #: (rows of a task, class of each row) -> for each row the place of a row of its joined class.
 Compare = Callable[[pd.DataFrame, np.ndarray], np.ndarray]
+#: Narrow rows, of under 64 bytes, that are broadcast to the payload rather than shuffled with it.
+FEW_ROWS = 100_000
 #: How many times the rows that a block of the first rounds holds those of the last one hold.
 WIDER = 4
 #: Share of representatives that a round must join for another one to follow.
@@ -39,6 +41,12 @@ class Room:
         return F.greatest(F.ceil(rows / self.rows), F.ceil(size / self.size), F.lit(1)).cast("int")
 
 
+def _with_payload(rows: DataFrame, payload: DataFrame) -> DataFrame:
+    """Adds the payload of each fp; where the rows are few they go to it, so that it isn't shuffled once more."""
+    rows = materialise(rows, "rows")
+    return (F.broadcast(rows) if rows.count() <= FEW_ROWS else rows).join(payload, "fp")
+
+
 def _block(count: Column) -> Column:
     return F.pmod(F.xxhash64("fp"), count).cast("int")
 
@@ -46,7 +54,7 @@ def _block(count: Column) -> Column:
 def _classes(members: DataFrame, payload: DataFrame, compare: Compare, room: Room) -> DataFrame:
     """(grp, fp, size, blocks, to): what each row (grp, fp, size) is linked to within its block; itself if to nothing before it."""
     sized = members.groupBy("grp").agg(room.blocks(F.count(F.lit(1)), F.sum("size")).alias("blocks"))
-    rows = members.join(sized, "grp").withColumn("block", _block(F.col("blocks"))).join(payload, "fp")
+    rows = _with_payload(members.join(sized, "grp").withColumn("block", _block(F.col("blocks"))), payload)
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("fp")
@@ -99,5 +107,5 @@ def spanning_links(members: DataFrame, payload: DataFrame, compare: Compare, roo
         apart = rows["cls"].to_numpy()[to] != rows["cls"].to_numpy()
         return pd.DataFrame({"a": fps[apart], "b": fps[to[apart]]})
 
-    crossed = pairs.join(payload, "fp").groupBy("grp", "side", "i", "j").applyInPandas(work, "a long, b long")
+    crossed = _with_payload(pairs, payload).groupBy("grp", "side", "i", "j").applyInPandas(work, "a long, b long")
     return links.unionByName(joined).unionByName(materialise(crossed, "crossed"))
