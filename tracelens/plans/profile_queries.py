@@ -128,7 +128,7 @@ def p4_p5_total_mcr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.total_mcr(rows).select("msname", "ts", "total_mcr")
 
 
-@query("SELECT msname, t, R(least(cpu / ((CASE WHEN replicas = 0 THEN 1 ELSE replicas END) * (CASE msname WHEN 'click' THEN 0.5 ELSE 1.0 END)), 1.0);R) AS cpu FROM scaler_log")
+@query("SELECT msname, t, R(least(cpu / ((CASE WHEN replicas = 0 THEN 1 ELSE replicas END) * (CASE msname WHEN 'click' THEN 0.5 ELSE 1.0 END)), 1.0);R) AS cpu FROM scaler_log", digits=12)
 def p6_per_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.per_capacity(views.scaler_log(spark, sf_dir), "cpu", {"click": 0.5}).select("msname", "t", "cpu")
 

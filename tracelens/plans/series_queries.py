@@ -10,6 +10,7 @@ from tracelens.functions.scalars import epoch_seconds
 from tracelens.operators import dependence, rolling, series, signal, windows
 from tracelens.plans import views
 from tracelens.plans.registry import query
+from tracelens.sources import catalog
 
 STATS = "SELECT msname, t, load, count(*) OVER w AS n_points, count(CASE WHEN load > 0 THEN 1 END) OVER w AS n_active, avg(load) OVER w AS avg_load, stddev_samp(load) OVER w AS std_load, min(load) OVER w AS min_load, max(load) OVER w AS max_load, min(t) OVER w AS win_start, max(t) OVER w AS win_end FROM load_hourly WINDOW w AS (PARTITION BY msname ORDER BY t ROWS BETWEEN 24 PRECEDING AND CURRENT ROW)"
 
@@ -146,7 +147,16 @@ def d7_quantised_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.quantise_windows(w).select("msname", "split", "win_start", F.flatten("y").alias("y"))
 
 
-@query(f"WITH {WINDOWS} SELECT msname, split, win_start, R(list_sum(xc[3:8]);R) AS some, R(list_avg(xc);R) AS mean, R(list_stddev_pop(xc);R) AS std, R(list_sort(xc)[3];R) AS third, R(list_max([round(list_sum(xc[i:i + 3]), 9) for i in range(1, {L - 2})]);R) AS busiest FROM w", digits=8)
+@query(f"WITH {WINDOWS} SELECT msname, split, win_start, R(list_sum([round_even(round(v, 9), 2) for v in xc]);R) AS bounded, R(list_sum(xc);R) AS unbounded FROM w", digits=11)
+def d7_inputs_of_feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs of a feature set are rounded only if all its features are shares."""
+    w, total = hourly_windows(spark, sf_dir), lambda x: scalars.array_sum(windows.channel(x, 0))
+    rounded = {c: windows.quantise_windows(w, catalog.feature_set(name).bounded) for c, name in (("bounded", "cpu_mem_both"), ("unbounded", "cpu_mem_http_rpc"))}
+    sums = [df.select("msname", "split", "win_start", total(F.col("x")).alias(c)) for c, df in rounded.items()]
+    return sums[0].join(sums[1], ["msname", "split", "win_start"])
+
+
+@query(f"WITH {WINDOWS} SELECT msname, split, win_start, R(list_sum(xc[3:8]);R) AS some, R(list_avg(xc);R) AS mean, R(list_stddev_pop(xc);R) AS std, R(list_sort(xc)[3];R) AS third, R(list_max([round(list_sum(xc[i:i + 3]), 9) for i in range(1, {L - 2})]);R) AS busiest FROM w", digits=11)
 def f9_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each input: the sum of a slice, mean, deviation, the third smallest, and the largest sum over four steps."""
     x = windows.channel(F.col("x"), 0)
