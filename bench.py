@@ -48,7 +48,7 @@ def duckdb_times(sf_dir: str, cpus: int) -> dict[str, float]:
     con = duckdb.connect(config={"threads": cpus})
     for table in ("customer", "supplier", "orders", "lineitem", "events"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
-    return {name: timed(lambda name=name: con.execute(all_sql()[name]).fetch_arrow_table()) for name in HEADLINE}
+    return {name: timed(lambda name=name: con.execute(all_sql()[name]).fetchall()) for name in HEADLINE}
 
 
 def main() -> None:

@@ -23,18 +23,19 @@ def lagged_correlation(df: DataFrame, pairs: Sequence[tuple[str, str]], horizons
 
     Undefined ones, where either side is constant, are null or `fill`.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    columns = {f"_{y}_{h}": F.lead(y, h).over(w) for _, y in pairs for h in horizons}
-    wide = df.select(*keys, order, *{x for x, _ in pairs}, *[c.alias(n) for n, c in columns.items()], F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"))
-    wide = wide.where(F.col("_n") >= max(horizons) + extra)
-    both = lambda x, y, h: F.col(x).isNotNull() & F.col(f"_{y}_{h}").isNotNull()
-
-    def r(x: str, y: str, h: int):
-        value = corr_guarded(F.when(both(x, y, h), F.col(x)), F.when(both(x, y, h), F.col(f"_{y}_{h}")))
-        return F.struct(F.lit(f"{x}->{y}").alias("pair"), F.lit(h).alias("h"), F.count_if(both(x, y, h)).alias("n"), (value if fill is None else F.coalesce(value, F.lit(fill))).alias("r"))
-
-    grouped = wide.groupBy(*keys).agg(F.array(*[r(x, y, h) for x, y in pairs for h in horizons]).alias("cells"))
-    return grouped.select(*keys, F.explode("cells").alias("c")).select(*keys, "c.*")
+    w, of = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)
+    xs, ys = ({side[i]: None for side in pairs} for i in (0, 1))
+    later = F.array(*[F.struct(F.lit(h).alias("h"), *[F.lead(y, h).over(w).alias(f"_{y}") for y in ys]) for h in horizons])
+    wide = df.select(*keys, *xs, later.alias("_later"), F.count(F.lit(1)).over(of).alias("_n")).where(F.col("_n") >= max(horizons) + extra)
+    steps = wide.select(*keys, *xs, F.explode("_later").alias("_s")).select(*keys, *xs, "_s.*")  # a row for each step keeps the aggregate narrow
+
+    def r(x: str, y: str):
+        both = F.col(x).isNotNull() & F.col(f"_{y}").isNotNull()
+        value = corr_guarded(F.when(both, F.col(x)), F.when(both, F.col(f"_{y}")))
+        return F.struct(F.lit(f"{x}->{y}").alias("pair"), F.count_if(both).alias("n"), (value if fill is None else F.coalesce(value, F.lit(fill))).alias("r"))
+
+    grouped = steps.groupBy(*keys, "h").agg(F.array(*[r(x, y) for x, y in pairs]).alias("cells"))
+    return grouped.select(*keys, "h", F.explode("cells").alias("c")).select(*keys, "c.pair", "h", "c.n", "c.r")
 
 
 def instance_correlation(df: DataFrame, least: int = 100, horizons: Sequence[int] = HORIZONS) -> DataFrame:
