@@ -57,7 +57,7 @@ def main() -> None:
     if "--duckdb" in sys.argv:
         print(json.dumps(duckdb_times(sf_dir, cpus)))
         return
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=2 * cpus)
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus)
     queries = all_queries()
     took = {name: timed(lambda name=name: queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()) for name in HEADLINE}
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
