@@ -63,7 +63,7 @@ def test_hot_passages_and_unbroken_runs(spark):
     """A passage and a rule of dashes in each row; small limits, so that hot buckets and anchors go window by window."""
     rng = random.Random(5)
     passage = words(rng, 60)
-    rows = [(i, words(rng, 60) + passage + words(rng, 40) + "-" * rng.randrange(45, 400) + words(rng, 10) + "=-" * rng.randrange(20, 60)) for i in range(300)]
+    rows = [(i, words(rng, 60) + passage + words(rng, 40) + "-" * rng.randrange(45, 400) + words(rng, 10) + "=-" * rng.randrange(20, 60)) for i in range(160)]
     rows += [(i, passage * 3 + "x" * 5000) for i in range(300, 310)]
     same_as_brute(spark, rows)
     same_as_brute(spark, rows, limits=suffix_dedup.Limits(10_000, 100, 20))
