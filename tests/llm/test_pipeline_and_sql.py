@@ -13,7 +13,7 @@ from tracelens.llm.queries import llm_oracle_sql, llm_queries
 @pytest.mark.parametrize("name", sorted(llm_oracle_sql()))
 def test_query_equals_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     cursor = con.execute(llm_oracle_sql()[name])
     names = [d[0] for d in cursor.description]

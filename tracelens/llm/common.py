@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.session import materialise
+from tracelens.session import materialise, scratch
 
-__all__ = ["ALNUM_WORD", "BLANK_WORD", "ascii_lower", "in_chunks", "materialise", "n_words_of", "read_table", "spare_names", "text_bytes", "text_tag", "words_of"]
+__all__ = ["ALNUM_WORD", "BLANK_WORD", "ascii_lower", "in_chunks", "materialise", "n_words_of", "read_table", "scratch", "spare_names", "text_bytes", "text_tag", "words_of"]
 
 #: A word: a run without the six ASCII blanks.
 BLANK_WORD = r"[^\x20\x09-\x0D]+"

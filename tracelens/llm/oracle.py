@@ -62,6 +62,16 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITI
 FROM sums JOIN landed USING (r)
 """
 
+#: Base 32 writes five bits a digit: each five hexadecimal digits of the hash are four digits.
+WARC = """
+WITH rows AS (SELECT row_number() OVER (ORDER BY page_id NULLS FIRST) AS r, page_id, encode(coalesce(html, '')) AS body FROM pages),
+best AS (SELECT body, arg_max(page_id, r) AS original, max(r) AS last FROM rows GROUP BY body)
+SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes,
+  list_reduce(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(sha1(body), CAST(1 + 5 * (k // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31), 1)), lambda a, b: a || b) AS payload_digest,
+  CASE WHEN r = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r < last THEN original END AS refers_to
+FROM rows JOIN best USING (body)
+"""
+
 
 def llm_sql() -> dict[str, str]:
-    return {"op5_ngram_join": NGRAM_JOIN, "op6_decontamination": DECONTAMINATION, "op8_mixing": MIXING, "op9_sharding": SHARDING}
+    return {"op5_ngram_join": NGRAM_JOIN, "op6_decontamination": DECONTAMINATION, "op8_mixing": MIXING, "op9_sharding": SHARDING, "op13_warc": WARC}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelens.llm import decontaminate, language_id, license_scan, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, suffix_dedup
+from tracelens.llm import decontaminate, language_id, license_scan, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, suffix_dedup, warc
 from tracelens.llm.common import read_table
 from tracelens.llm.oracle import llm_sql
 
@@ -52,8 +52,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read_table(spark, sf_dir, "pages"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_pii, op3_quality_classifier, op4_language_id, op5_ngram_join, op6_decontamination, op7_quality_rules, op8_mixing, op9_sharding, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pii, op3_quality_classifier, op4_language_id, op5_ngram_join, op6_decontamination, op7_quality_rules, op8_mixing, op9_sharding, op10_suffix_dedup, op13_warc)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
