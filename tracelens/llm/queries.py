@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelens.llm import decontaminate, language_id, license_scan, mixing, ngram_join, pii, quality_classifier, quality_rules, ranked_search, sharding, suffix_dedup, warc
+from tracelens.llm import decontaminate, language_id, license_scan, mixing, ngram_join, pii, prefix_trie, quality_classifier, quality_rules, ranked_search, sharding, suffix_dedup, warc
 from tracelens.llm.common import read_table
 from tracelens.llm.oracle import llm_sql
 
@@ -56,12 +56,16 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read_table(spark, sf_dir, "pages"))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_pii, op3_quality_classifier, op4_language_id, op5_ngram_join, op6_decontamination, op7_quality_rules, op8_mixing, op9_sharding, op10_suffix_dedup, op11_ranked_search, op13_warc)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pii, op3_quality_classifier, op4_language_id, op5_ngram_join, op6_decontamination, op7_quality_rules, op8_mixing, op9_sharding, op10_suffix_dedup, op11_ranked_search, op12_prefix_trie, op13_warc)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
