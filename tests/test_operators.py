@@ -164,26 +164,70 @@ def test_adaptive_replay_equals_a_plain_loop(spark):
     got = {r.pos: r for r in conformal.adaptive_replay(df, cfg).collect()}
     up, low, au, al = [], [], cfg.alpha_upper, cfg.alpha_lower
     pick = lambda s, a: sorted(s)[math.ceil((len(s) - 1) * (1 - a))]
-    for _, _, i, y, lo, hi, _ in rows:
-        a, b = (lo, hi) if not up else (lo - pick(low, al), hi + pick(up, au))
-        assert (got[i].lower, got[i].upper) == pytest.approx((a, b))
-        up, low = [*up, max(0, y - hi)][-10:], [*low, max(0, lo - y)][-10:]
-        au = min(max(au + cfg.eta * (cfg.alpha_upper - (y > b)), cfg.least), cfg.most)
-        al = min(max(al + cfg.eta * (cfg.alpha_lower - (y < a)), cfg.least), cfg.most)
+    bounds = lambda lo, hi: (lo, hi) if not up else (lo - pick(low, al), hi + pick(up, au))
+    for k, (_, _, i, y, lo, hi, warm) in enumerate(rows):
+        assert (got[i].lower, got[i].upper) == pytest.approx(bounds(lo, hi))
+        if warm or (k >= cfg.horizon and not rows[k - cfg.horizon][6]):  # a test row learns from the forecast made `horizon` rows ago
+            lo, hi = (lo, hi) if warm else rows[k - cfg.horizon][4:6]
+            a, b = bounds(lo, hi)
+            up, low = [*up, max(0, y - hi)][-10:], [*low, max(0, lo - y)][-10:]
+            au = min(max(au + cfg.eta * (cfg.alpha_upper - (y > b)), cfg.least), cfg.most)
+            al = min(max(al + cfg.eta * (cfg.alpha_lower - (y < a)), cfg.least), cfg.most)
     state = cfg.fresh()
-    state.update(0.7, 0.4, 0.6, cfg)
-    assert conformal.restore(conformal.snapshot(state)) == state
+    for i in range(9):
+        state.step(i, 0.7 + 0.01 * i, 0.4, 0.6, i < 2, cfg)
+    assert len(state.pending) == cfg.horizon and conformal.restore(conformal.snapshot(state)) == state
     assert cfg.fresh().interval(0.4, 0.6, "zero") == (0.0, 0.0)
 
 
-def test_stream_equals_batch_for_conformal(spark, sf_dir):
-    from tracelens.plans.stream_queries import r4_r6_stream_conformal
+@pytest.mark.parametrize("live", [False, True])
+def test_no_interval_knows_a_later_value(spark, live):
+    """A jump at one time changes no interval made before it, and the first that it changes is the next one, or its own if learnt first."""
+    rng = np.random.default_rng(4)
+    values = rng.uniform(0.4, 0.6, 60)
+    rows = lambda jump: [("a", "cpu", i, float(v if i < jump else v + 3), 0.45, 0.55, i < 10) for i, v in enumerate(values)]
+    cfg, schema = conformal.AdaptiveConfig(learn_first=live), "msname string, target string, pos long, y double, q_lo double, q_hi double, warmup boolean"
+    made = [{r.pos: (r.lower, r.upper) for r in conformal.adaptive_replay(spark.createDataFrame(rows(jump), schema), cfg).collect()} for jump in (40, 99)]
+    changed = [i for i in made[0] if made[0][i] != made[1][i]]
+    assert min(changed) == (40 if live else 41)
+
+
+def test_a_forecast_whose_value_never_comes_is_dropped(spark):
+    cfg = conformal.AdaptiveConfig(horizon=3)
+    state = cfg.fresh()
+    for pos in (0, 1, 2, 5, 6):  # rows 3 and 4 are missing: the forecasts of 0 and 1 are never checked
+        state.step(pos, 0.9, 0.4, 0.6, False, cfg)
+    assert len(state.scores_upper) == 1 and [p[0] for p in state.pending] == [5, 6]
+
+
+def _live_rows(values, missing=()):
+    return [("a", 1_700_000_000 + 60 * i, float(v), 0.45, 0.55, i < 10) for i, v in enumerate(values) if i not in missing]
+
+
+def _live(spark, folder, rows, checkpoint="one"):
+    from tracelens.plans.stream_queries import _rocksdb, _written
+    from tracelens.streaming import streams
+
+    df = spark.createDataFrame(rows, "msname string, s long, y double, q_lo double, q_hi double, warmup boolean").select("msname", F.timestamp_seconds("s").alias("ts"), "y", "q_lo", "q_hi", "warmup")
+    df.write.mode("append").parquet(f"{folder}/in-{checkpoint}")
+    with _rocksdb(spark):
+        out = _written(streams.stream_conformal(spark.readStream.schema(df.schema).parquet(f"{folder}/in-{checkpoint}"), horizon=300, delay="2 minutes"), path=f"{folder}/out-{checkpoint}")
+    return {(r.ts - 1_700_000_000) // 60: (r.lower, r.upper) for r in out.collect()}
+
 
-    rows = fq.quantile_rows(spark, sf_dir).where("split <> 'train'").withColumns({"warmup": F.lit(False), "target": F.lit("cpu")})
-    batch = {(r.msname, r.pos): (r.lower, r.upper) for r in conformal.adaptive_replay(rows, conformal.AdaptiveConfig()).collect()}
-    stream = {(r.msname, r.pos): (r.lower, r.upper) for r in r4_r6_stream_conformal(spark, sf_dir).collect()}
-    assert stream.keys() == batch.keys()
-    assert all(stream[k] == pytest.approx(batch[k]) for k in batch)
+def test_stream_learns_when_values_come_and_no_sooner(spark, tmp_path):
+    values = np.random.default_rng(4).uniform(0.4, 0.6, 60)
+    rows, jump = _live_rows(values), _live_rows([v if i < 40 else v + 3 for i, v in enumerate(values)])
+    cfg, schema = conformal.AdaptiveConfig(learn_first=True), "msname string, pos long, y double, q_lo double, q_hi double, warmup boolean"
+    plain = spark.createDataFrame([("a", (s - 1_700_000_000) // 60, *rest) for _, s, *rest in rows], schema)
+    batch = {r.pos: (r.lower, r.upper) for r in conformal.adaptive_replay(plain, cfg, keys=("msname",)).collect()}
+    _live(spark, tmp_path, rows[:25])
+    stream = _live(spark, tmp_path, rows[25:])  # a second run goes on with the forecasts that wait
+    assert stream.keys() == batch.keys() and all(stream[k] == pytest.approx(batch[k]) for k in batch)
+    moved = _live(spark, tmp_path, jump, "jump")
+    assert min(i for i in stream if stream[i] != moved[i]) == 40
+    gap = _live(spark, tmp_path, _live_rows(values, missing=range(20, 24))[:30], "gap")
+    assert set(gap) == set(range(34)) - set(range(20, 24))
 
 
 def test_wavelets_keep_energy_and_turn_back():
@@ -260,8 +304,9 @@ def test_scale_up_is_capped_and_dead_band_holds(spark):
     assert got == {"a": (10, True), "b": (4, False), "c": (1, False), "d": (10, True), "e": (1, False)}
 
 
-def test_a_positive_load_is_enough_to_predict(spark):
-    rows = spark.createDataFrame([("a", 30, 0.5, 0.4, 0.9, 0.0), ("b", 30, 0.5, 0.4, 0.0, 0.9), ("c", 3, 0.5, 0.4, 0.9, 0.9)], "msname string, history int, cpu double, mem double, upper_cpu double, upper_mem double")
+def test_only_a_positive_median_is_predictive(spark):
+    rows = [("a", 30, 0.5, 0.4, 0.1, 0.9, 0.0), ("b", 30, 0.5, 0.4, 0.0, 0.9, 0.9), ("c", 3, 0.5, 0.4, 0.1, 0.9, 0.9)]
+    rows = spark.createDataFrame(rows, "msname string, history int, cpu double, mem double, pred_cpu double, upper_cpu double, upper_mem double")
     got = {r.msname: (r.mode, r.load_cpu, r.load_mem) for r in scaling.chosen_load(rows, True, 24).collect()}
     assert got == {"a": ("predictive", 0.9, 0.0), "b": ("reactive", 0.5, 0.4), "c": ("waiting", 0.5, 0.4)}
 

@@ -49,6 +49,18 @@ def test_distance_correlation_with_ties(spark):
     assert {r.msname: r.dcor for r in dependence.distance_correlation(df, "x", "y").collect()} == pytest.approx(want, abs=1e-7)
 
 
+def test_distance_correlation_far_from_zero(spark):
+    """Distances don't change with an offset, and a series is fully dependent on itself."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=400)
+    y = np.abs(x) + 0.3 * rng.normal(size=400)
+    rows = [(f"{o:g}", float(u + o), float(v - o)) for o in (0, 1e6, 1e9) for u, v in zip(x, y, strict=True)] + [("self", float(u + 1e7), float(u + 1e7)) for u in x]
+    got = {r.msname: r.dcor for r in dependence.distance_correlation(spark.createDataFrame(rows, "msname string, x double, y double"), "x", "y").collect()}
+    want = brute_dcor(x, y)
+    assert got == {"0": pytest.approx(want, abs=1e-9), "1e+06": pytest.approx(want, abs=1e-8), "1e+09": pytest.approx(want, abs=1e-6), "self": pytest.approx(1, abs=1e-9)}
+    assert max(got.values()) <= 1
+
+
 def test_linear_heads_equal_normal_equations(spark):
     """Ridge regression on standardised inputs with an intercept, solved directly."""
     rng = np.random.default_rng(6)

@@ -71,12 +71,14 @@ def distance_correlation(df: DataFrame, x: str, y: str, keys: Sequence[str] = ("
     dCov2 = mean(|dx| |dy|) - 2 mean_i(a_i b_i) + mean(a) mean(b), with a_i and b_i the mean distances of row i, which
     running sums give in order of x or y. The mean over pairs is taken without pairs: rows are ranked by x and by y; at
     each level, rows in the right half of a block of x ranks meet the sums of the left half's rows, below and above them in
-    y. A pair is on either side of exactly one block's middle.
+    y. A pair is on either side of exactly one block's middle. Values are taken from their key's mean first, as the sums
+    would cancel for values that are large beside their spread; the result is between 0 and 1.
     """
     keys = list(keys)
     of = Window.partitionBy(*keys)
     up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     rows = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    rows = rows.withColumns({c: F.col(c) - F.avg(c).over(of) for c in ("x", "y")})
     by_x, by_y = of.orderBy("x", "y"), of.orderBy("y", "x")
     n = F.count(F.lit(1)).over(of)
     rows = rows.select("*", n.alias("n"), (F.row_number().over(by_x) - 1).alias("i"), F.coalesce(F.sum("x").over(up_to(by_x)), F.lit(0.0)).alias("sx"), F.sum("x").over(of).alias("tx"))
@@ -104,7 +106,7 @@ def distance_correlation(df: DataFrame, x: str, y: str, keys: Sequence[str] = ("
     cov = F.greatest(F.col("ab") - 2 * F.col("rab") + F.col("ra") * F.col("rb"), F.lit(0.0))
     va, vb = F.col("aa") - 2 * F.col("raa") + F.col("ra") * F.col("ra"), F.col("bb") - 2 * F.col("rbb") + F.col("rb") * F.col("rb")
     spread = F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0)))
-    return m.select(*keys, F.when((F.col("n") < 2) | (spread < 1e-12), 0.0).otherwise(F.sqrt(cov / F.when(spread >= 1e-12, spread))).alias("dcor"))
+    return m.select(*keys, F.when((F.col("n") < 2) | (spread < 1e-12), 0.0).otherwise(F.least(F.sqrt(cov / F.when(spread >= 1e-12, spread)), F.lit(1.0))).alias("dcor"))
 
 
 def sample_entropy(df: DataFrame, value: str, key: str = "msname", order: str = "pos", m: int = 2, r_frac: float = 0.2, sample: int = 1000, seed: int = 42) -> DataFrame:

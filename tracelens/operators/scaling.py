@@ -35,9 +35,9 @@ def scale_up_ceiling(current: Column, cfg: ScalingConfig) -> Column:
 
 
 def chosen_load(df: DataFrame, predictive: bool, window: int) -> DataFrame:
-    """Adds load_cpu, load_mem and mode: the upper bounds if predictive, with enough history and a positive load, else what is observed."""
+    """Adds load_cpu, load_mem and mode: the upper bounds if predictive, with enough history and a positive median forecast pred_cpu, else what is observed."""
     waiting = F.col("history") < window
-    usable = F.lit(predictive) & ~waiting & (F.col("upper_cpu") > 0)
+    usable = F.lit(predictive) & ~waiting & (F.col("pred_cpu") > 0)
     mode = F.when(F.lit(predictive) & waiting, "waiting").when(usable, "predictive").otherwise("reactive")
     return df.withColumns({"load_cpu": F.when(usable, F.col("upper_cpu")).otherwise(F.col("cpu")), "load_mem": F.when(usable, F.col("upper_mem")).otherwise(F.col("mem")), "mode": mode})
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelens.functions.scalars import ordered_quantiles
@@ -102,30 +102,48 @@ def m9_split_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rows_of(target: str) -> str:
-    """The rows of `quantile_rows` for a target, as common table expressions named after it."""
-    return f"c_{target} AS (SELECT a.msname, b.{target} - a.{target} AS d FROM split_hourly a JOIN split_hourly b ON a.msname = b.msname AND b.pos = a.pos + 5 WHERE a.split = 'train' AND b.split = 'train'), q_{target} AS (SELECT msname, quantile_cont(d, 0.10) AS q_lo, quantile_cont(d, 0.95) AS q_hi FROM c_{target} GROUP BY ALL), g_{target} AS (SELECT a.msname, '{target}' AS target, a.pos, a.{target} + q_lo AS q_lo, a.{target} + q_hi AS q_hi, b.{target} AS y, b.split FROM split_hourly a JOIN q_{target} q ON q.msname = a.msname JOIN split_hourly b ON b.msname = a.msname AND b.pos = a.pos + 5 WHERE b.split <> 'train')"
+    """The rows of `online_rows` for a target, as common table expressions named after it."""
+    return f"c_{target} AS (SELECT a.msname, b.{target} - a.{target} AS d FROM split_hourly a JOIN split_hourly b ON a.msname = b.msname AND b.pos = a.pos + 5 WHERE a.split = 'train' AND b.split = 'train'), q_{target} AS (SELECT msname, quantile_cont(d, 0.10) AS q_lo, quantile_cont(d, 0.95) AS q_hi FROM c_{target} GROUP BY ALL), g_{target} AS (SELECT a.msname, '{target}' AS target, a.pos, a.{target} + q_lo AS q_lo, a.{target} + q_hi AS q_hi, a.{target} AS y, a.split, a.t FROM split_hourly a JOIN q_{target} q ON q.msname = a.msname WHERE a.split <> 'train')"
 
 
-def _replay_sql(targets: tuple[str, ...], then: str) -> str:
-    """The adaptive state row by row: each step reads the one before."""
+def _replay_sql(targets: tuple[str, ...], then: str, live: bool = False) -> str:
+    """The adaptive state row by row: each step reads the one before. A test row learns from the forecast made five rows before it,
+    or `live` from that made five hours before it, and then before its own interval is made."""
     union = " UNION ALL ".join(f"SELECT * FROM g_{t}" for t in targets)
     bound = "list_sort({s})[CAST(ceil((len({s}) - 1) * (1 - {a})) AS BIGINT) + 1]"
-    low = f"CASE WHEN len(su) = 0 THEN q_lo ELSE q_lo - {bound.format(s='sl', a='al')} END"
-    high = f"CASE WHEN len(su) = 0 THEN q_hi ELSE q_hi + {bound.format(s='su', a='au')} END"
-    kept = "list_append({s}, greatest(0.0::DOUBLE, {x}))[-100:]"
-    level = "least(greatest({a} + 0.01::DOUBLE * ({c}::DOUBLE - CASE WHEN {miss} THEN 1 ELSE 0 END), 0.001::DOUBLE), 0.5::DOUBLE)"
-    step = f"SELECT j.msname, j.target, j.k, pos, y, split, lo, hi, au, al, {kept.format(s='su', x='y - q_hi')}, {kept.format(s='sl', x='q_lo - y')}, {level.format(a='au', c='0.05', miss='y > hi')}, {level.format(a='al', c='0.10', miss='y < lo')} FROM (SELECT s.*, su, sl, au, al, {low} AS lo, {high} AS hi FROM (SELECT msname, target, k, su2 AS su, sl2 AS sl, au2 AS au, al2 AS al FROM st) p JOIN src s ON s.msname = p.msname AND s.target = p.target AND s.k = p.k + 1) j"
+    low = "CASE WHEN len({su}) = 0 THEN {q} ELSE {q} - " + bound.format(s="{sl}", a="{al}") + " END"
+    high = "CASE WHEN len({su}) = 0 THEN {q} ELSE {q} + " + bound.format(s="{su}", a="{au}") + " END"
+    kept = "CASE WHEN u_lo IS NULL THEN {s} ELSE list_append({s}, greatest(0.0::DOUBLE, {x}))[-100:] END"
+    level = "CASE WHEN u_lo IS NULL THEN {a} ELSE least(greatest({a} + 0.01::DOUBLE * ({c}::DOUBLE - CASE WHEN {miss} THEN 1 ELSE 0 END), 0.001::DOUBLE), 0.5::DOUBLE) END"
+    old, new = {"su": "su", "sl": "sl", "au": "au", "al": "al"}, {"su": "su2", "sl": "sl2", "au": "au2", "al": "al2"}
+    shown = "CASE WHEN {first} THEN {b} ELSE {a} END"
+    before = "FROM (SELECT s.*, p.su2 AS su, p.sl2 AS sl, p.au2 AS au, p.al2 AS al FROM st p JOIN src s ON s.msname = p.msname AND s.target = p.target AND s.k = p.k + 1)"
+    missed = f"SELECT *, {low.format(q='u_lo', **old)} AS ulow, {high.format(q='u_hi', **old)} AS uhigh {before}"
+    learnt = f"SELECT *, {kept.format(s='su', x='y - u_hi')} AS su2, {kept.format(s='sl', x='u_lo - y')} AS sl2, {level.format(a='au', c='0.05', miss='y > uhigh')} AS au2, {level.format(a='al', c='0.10', miss='y < ulow')} AS al2 FROM ({missed})"
+    first = "split <> 'val'" if live else "false"
+    lo = shown.format(first=first, a=low.format(q="q_lo", **old), b=low.format(q="q_lo", **new))
+    hi = shown.format(first=first, a=high.format(q="q_hi", **old), b=high.format(q="q_hi", **new))
+    step = f"SELECT msname, target, k, pos, y, split, {lo} AS lo, {hi} AS hi, au, al, su2, sl2, au2, al2 FROM ({learnt})"
     start = "SELECT msname, target, 0::BIGINT AS k, 0::BIGINT AS pos, 0.0::DOUBLE AS y, '' AS split, 0.0::DOUBLE AS lo, 0.0::DOUBLE AS hi, 0.0::DOUBLE AS au, 0.0::DOUBLE AS al, []::DOUBLE[] AS su2, []::DOUBLE[] AS sl2, 0.05::DOUBLE AS au2, 0.10::DOUBLE AS al2 FROM (SELECT DISTINCT msname, target FROM src)"
-    return f"WITH RECURSIVE {', '.join(_rows_of(t) for t in targets)}, src AS (SELECT *, row_number() OVER (PARTITION BY msname, target ORDER BY pos) AS k FROM ({union})), st AS ({start} UNION ALL {step}) {then}"
+    ago = "max({}) OVER (PARTITION BY msname, target ORDER BY t RANGE BETWEEN 18000 PRECEDING AND 18000 PRECEDING)" if live else "lag({}, 5) OVER w"
+    used = ", ".join(f"CASE WHEN split = 'val' THEN q_{s} WHEN {ago.format('split')} = 'test' THEN {ago.format(f'q_{s}')} END AS u_{s}" for s in ("lo", "hi"))
+    return f"WITH RECURSIVE {', '.join(_rows_of(t) for t in targets)}, src AS (SELECT *, row_number() OVER w AS k, {used} FROM ({union}) WINDOW w AS (PARTITION BY msname, target ORDER BY pos)), st AS ({start} UNION ALL {step}) {then}"
 
 
 CLIPPED = "R(least(greatest(lo, 0), 1);R) AS lower, R(least(greatest(hi, 0), 1);R) AS upper"
 
 
+def online_rows(spark: SparkSession, sf_dir: str, target: str = "cpu") -> DataFrame:
+    """Validation and test rows as they come: the value of the row, y, and the quantiles foretold there for `H` rows later."""
+    rows = split_series(spark, sf_dir)
+    made = forecast.quantile_forecast(rows, forecast.empirical_quantiles(rows, H, value=target), target).where(F.col("h") == H)
+    return made.join(rows.select("msname", "pos", "t", F.col(target).alias("y"), "split"), ["msname", "pos"]).where("split <> 'train'")
+
+
 def adaptive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of both targets; those of the validation split warm a state up. Each target has a state of its own."""
-    both = [quantile_rows(spark, sf_dir, t).withColumn("target", F.lit(t)) for t in ("cpu", "mem")]
-    return both[0].unionByName(both[1]).where("split <> 'train'").withColumn("warmup", F.col("split") == "val")
+    both = [online_rows(spark, sf_dir, t).withColumn("target", F.lit(t)) for t in ("cpu", "mem")]
+    return both[0].unionByName(both[1]).withColumn("warmup", F.col("split") == "val")
 
 
 @query(_replay_sql(("cpu", "mem"), f"SELECT msname, target, pos, R(y;R) AS y, {CLIPPED}, R(au;R) AS alpha_upper, R(al;R) AS alpha_lower FROM st WHERE k > 0 AND split = 'test'"))
@@ -135,12 +153,23 @@ def m10_m11_m13_adaptive_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("not warmup").drop("warmup")
 
 
-@query(_replay_sql(("cpu", "mem"), f"SELECT msname, target, pos, {CLIPPED} FROM st WHERE k > 0 AND split = 'test'"))
+@query(_replay_sql(("cpu", "mem"), f", made AS (SELECT *, {CLIPPED} FROM st WHERE k > 0 AND split = 'test'), met AS (SELECT m.msname, m.target, R(a.y;R) AS y, m.lower, m.upper FROM made m JOIN made a ON a.msname = m.msname AND a.target = m.target AND a.pos = m.pos + 5) SELECT msname, target, R(avg(CASE WHEN y >= lower AND y <= upper THEN 1.0 ELSE 0.0 END);R) AS picp, R(avg(upper - lower);R) AS mpiw FROM met GROUP BY ALL"))
+def m13_e4_replay_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the value five rows later lies in the interval that was made for it."""
+    made = materialise(conformal.adaptive_replay(adaptive_rows(spark, sf_dir), conformal.AdaptiveConfig(clip=True)).where("not warmup"), "replay")
+    made = made.withColumns({c: F.round(c, 9) for c in ("y", "lower", "upper")})  # so that equal values count as equal
+    later = made.select("msname", "target", (F.col("pos") - H).alias("pos"), "y")
+    return metrics.interval_quality(made.drop("y").join(later, ["msname", "target", "pos"]), ["msname", "target"])
+
+
+@query(_replay_sql(("cpu", "mem"), f"SELECT msname, target, pos, {CLIPPED} FROM (SELECT *, min(pos) OVER (PARTITION BY msname, target) AS first FROM st WHERE k > 0 AND split = 'test') WHERE pos >= first + 20"))
 def m12_state_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state after the validation rows is kept as a table, and test rows go on from it."""
-    rows, cfg = materialise(adaptive_rows(spark, sf_dir), "adaptive"), conformal.AdaptiveConfig(clip=True)
-    states = materialise(conformal.adaptive_states(rows.where("warmup"), cfg), "states")
-    return conformal.adaptive_replay(rows.where("not warmup"), cfg, states=states).select("msname", "target", "pos", "lower", "upper")
+    """The state after 20 test rows, forecasts that wait for their values included, is kept as a table, and later rows go on from it."""
+    first = Window.partitionBy("msname", "target")
+    rows = adaptive_rows(spark, sf_dir).withColumn("first", F.min(F.when(~F.col("warmup"), F.col("pos"))).over(first) + 20)
+    rows, cfg = materialise(rows, "adaptive"), conformal.AdaptiveConfig(clip=True)
+    states = materialise(conformal.adaptive_states(rows.where("pos < first"), cfg), "states")
+    return conformal.adaptive_replay(rows.where("pos >= first"), cfg, states=states).select("msname", "target", "pos", "lower", "upper")
 
 
 MODELS = "f AS (SELECT 'a' AS model, msname, pos, pred FROM forecast_log UNION ALL SELECT 'b', msname, pos, last FROM forecast_log UNION ALL SELECT 'c', msname, pos, second_last FROM forecast_log), w AS (SELECT model, exp(weight) / sum(exp(weight)) OVER () AS share FROM (VALUES ('a', 1.0::DOUBLE), ('b', 0.5::DOUBLE), ('c', 0.0::DOUBLE)) v(model, weight))"
@@ -253,12 +282,12 @@ def w12_rolling_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.rolling_coverage(views.forecast_log(spark, sf_dir), 48).select("msname", "pos", "coverage", "upper_miss", "lower_miss")
 
 
-DESIRED = "z AS (SELECT msname, t, replicas, pos, round(cpu, 9) AS cpu, round(mem, 9) AS mem FROM scaler_log), a AS (SELECT msname, t AS ts, replicas, pos AS history, cpu, mem, cpu * 2 AS upper_cpu, mem * 2 AS upper_mem FROM z), b AS (SELECT *, history >= 24 AND upper_cpu > 0 AS usable FROM a), c AS (SELECT *, CASE WHEN usable THEN upper_cpu ELSE cpu END / 0.80::DOUBLE AS rc, CASE WHEN usable THEN upper_mem ELSE mem END / 0.80::DOUBLE AS rm, CASE WHEN history < 24 THEN 'waiting' WHEN usable THEN 'predictive' ELSE 'reactive' END AS mode FROM b), d AS (SELECT *, greatest(ceil(replicas * CASE WHEN abs(rc - 1) <= 0.1::DOUBLE THEN 1.0 ELSE rc END), ceil(replicas * CASE WHEN abs(rm - 1) <= 0.1::DOUBLE THEN 1.0 ELSE rm END)) AS wish FROM c), e AS (SELECT *, greatest(1, least(10, wish)) AS clamped, list_reduce([replicas, 1, 2, 3, 4], lambda r, s: r + greatest(r, 4)) AS grown FROM d), f AS (SELECT msname, ts, mode, replicas, CAST(CASE WHEN clamped > replicas THEN least(clamped, least(grown, 10)) ELSE clamped END AS INTEGER) AS desired, wish >= 10 AS limited FROM e)"
+DESIRED = "z AS (SELECT msname, t, replicas, pos, round(cpu, 9) AS cpu, round(mem, 9) AS mem FROM scaler_log), a AS (SELECT msname, t AS ts, replicas, pos AS history, cpu, mem, round(cpu - 0.4::DOUBLE, 9) AS pred_cpu, cpu * 2 AS upper_cpu, mem * 2 AS upper_mem FROM z), b AS (SELECT *, history >= 24 AND pred_cpu > 0 AS usable FROM a), c AS (SELECT *, CASE WHEN usable THEN upper_cpu ELSE cpu END / 0.80::DOUBLE AS rc, CASE WHEN usable THEN upper_mem ELSE mem END / 0.80::DOUBLE AS rm, CASE WHEN history < 24 THEN 'waiting' WHEN usable THEN 'predictive' ELSE 'reactive' END AS mode FROM b), d AS (SELECT *, greatest(ceil(replicas * CASE WHEN abs(rc - 1) <= 0.1::DOUBLE THEN 1.0 ELSE rc END), ceil(replicas * CASE WHEN abs(rm - 1) <= 0.1::DOUBLE THEN 1.0 ELSE rm END)) AS wish FROM c), e AS (SELECT *, greatest(1, least(10, wish)) AS clamped, list_reduce([replicas, 1, 2, 3, 4], lambda r, s: r + greatest(r, 4)) AS grown FROM d), f AS (SELECT msname, ts, mode, replicas, CAST(CASE WHEN clamped > replicas THEN least(clamped, least(grown, 10)) ELSE clamped END AS INTEGER) AS desired, wish >= 10 AS limited FROM e)"
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = views.scaler_log(spark, sf_dir).withColumns({"cpu": F.round("cpu", 9), "mem": F.round("mem", 9)})
-    log = log.select("msname", F.col("t").alias("ts"), "replicas", F.col("pos").alias("history"), "cpu", "mem", (F.col("cpu") * 2).alias("upper_cpu"), (F.col("mem") * 2).alias("upper_mem"))
+    log = log.select("msname", F.col("t").alias("ts"), "replicas", F.col("pos").alias("history"), "cpu", "mem", F.round(F.col("cpu") - 0.4, 9).alias("pred_cpu"), (F.col("cpu") * 2).alias("upper_cpu"), (F.col("mem") * 2).alias("upper_mem"))
     return scaling.desired_replicas(scaling.chosen_load(log, True, 24))
 
 

@@ -10,15 +10,15 @@ from tracelens.operators import conformal
 from tracelens.plans import forecast_queries as fq
 from tracelens.plans import views
 from tracelens.plans.registry import query
-from tracelens.session import scratch
+from tracelens.session import materialise, scratch
 from tracelens.sources import traces
 from tracelens.streaming import streams
 
 
-def _written(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Drains a stream into a Parquet table in the shared folder."""
+def _written(df: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Drains a stream into a Parquet table in the shared folder; with the path of an earlier run it goes on from there."""
     spark = df.sparkSession
-    path = scratch(spark, "out")
+    path = path or scratch(spark, "out")
     q = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(path)
@@ -86,11 +86,17 @@ def r2_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("msname", "ts", F.aggregate("history", F.lit(0.0), lambda a, v: a + v).alias("total"))
 
 
-@query(fq._replay_sql(("cpu",), "SELECT msname, pos, R(lo;R) AS lower, R(hi;R) AS upper FROM st WHERE k > 0"))
+@query(fq._replay_sql(("cpu",), "SELECT s.msname, h.t AS ts, R(lo;R) AS lower, R(hi;R) AS upper FROM st s JOIN split_hourly h ON h.msname = s.msname AND h.pos = s.pos WHERE k > 0", live=True))
 def r4_r6_stream_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fq.quantile_rows(spark, sf_dir).where("split <> 'train'").select("msname", F.col("pos").cast("long").alias("pos"), "y", "q_lo", "q_hi")
+    """Samples and forecasts arrive in two halves; the second run goes on from the state, and the forecasts, that the first has left."""
+    rows = materialise(fq.online_rows(spark, sf_dir).select("msname", F.timestamp_seconds("t").alias("ts"), "y", "q_lo", "q_hi", (F.col("split") == "val").alias("warmup")), "online")
+    middle = rows.agg(F.timestamp_seconds((F.min(F.col("ts").cast("long")) + F.max(F.col("ts").cast("long"))) / 2)).first()[0]
+    arrived, path = scratch(spark, "in"), scratch(spark, "out")
     with _rocksdb(spark):
-        return _written(streams.stream_conformal(_as_stream(spark, rows), conformal.AdaptiveConfig()))
+        for part in (rows.where(F.col("ts") <= F.lit(middle)), rows.where(F.col("ts") > F.lit(middle))):
+            part.write.mode("append").parquet(arrived)
+            out = _written(streams.stream_conformal(spark.readStream.schema(rows.schema).parquet(arrived), conformal.AdaptiveConfig(), 3600 * fq.H, "1 hour"), path=path)
+    return out
 
 
 @query(f"WITH {fq.DESIRED} SELECT msname, ts, CASE WHEN desired > replicas THEN desired ELSE max(desired) OVER (PARTITION BY msname ORDER BY ts RANGE BETWEEN 10799 PRECEDING AND CURRENT ROW) END AS stable FROM f")

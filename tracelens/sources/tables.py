@@ -20,9 +20,22 @@ def read_windows(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == split)
 
 
+def file_stamps(df: DataFrame) -> list[tuple[str, int, int]]:
+    """(name, size, time of change) of the files behind df, from the file system; each folder is listed once."""
+    spark = df.sparkSession
+    path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))  # noqa: E731  names are encoded
+    names, folders = sorted(df.inputFiles()), {}
+    for name in names:
+        parent = path(name).getParent()
+        if parent.toString() not in folders:
+            listed = parent.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(parent)
+            folders[parent.toString()] = {f.getPath().getName(): (f.getLen(), f.getModificationTime()) for f in listed}
+    return [(n, *folders[path(n).getParent().toString()].get(path(n).getName(), (-1, -1))) for n in names]
+
+
 def fingerprint(df: DataFrame, parameters: dict) -> str:
-    """A key of the parameters and the input's files."""
-    text = json.dumps({"parameters": parameters, "files": sorted(df.inputFiles())}, sort_keys=True, default=str)
+    """A key of the parameters and of the input's files with their sizes and times: a file rewritten under its name is another input."""
+    text = json.dumps({"parameters": parameters, "files": file_stamps(df)}, sort_keys=True, default=str)
     return hashlib.md5(text.encode()).hexdigest()
 
 

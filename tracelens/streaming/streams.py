@@ -60,34 +60,55 @@ def stream_history(df: DataFrame, length: int = 24) -> DataFrame:
 
 
 class Conformal(StatefulProcessor):
-    """Adaptive conformal intervals per key; the same state and update as the batch replay."""
+    """Adaptive conformal intervals per key, made when the forecast is made; the state learns when a forecast's value comes.
 
-    cfg = AdaptiveConfig()
+    Forecasts wait in a map by the time they are due, with an event-time timer each: the row of that time is the value, and
+    if the watermark passes without one the forecast is dropped. So at most those of one horizon wait.
+    """
+
+    cfg, seconds = AdaptiveConfig(), 300
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", "scores_upper array<double>, scores_lower array<double>, alpha_upper double, alpha_lower double")
+        self.waiting = handle.getMapState("waiting", "due bigint", "q_lo double, q_hi double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        state = self.cfg.fresh()
+        state, cfg, out = self.cfg.fresh(), self.cfg, []
         if self.state.exists():
             upper, lower, alpha_upper, alpha_lower = self.state.get()
             state = AdaptiveState(list(upper), list(lower), alpha_upper, alpha_lower)
-        out = []
-        for r in pd.concat(list(rows)).sort_values("pos").itertuples(index=False):
-            low, high = state.interval(r.q_lo, r.q_hi, self.cfg.empty)
-            out.append((key[0], int(r.pos), low, high))
-            state.update(r.y, r.q_lo, r.q_hi, self.cfg)
-        self.state.update(tuple(asdict(state).values()))
-        yield pd.DataFrame(out, columns=["msname", "pos", "lower", "upper"])
+        for r in pd.concat(list(rows)).sort_values("ts").itertuples(index=False):
+            now = r.ts.value // 1_000_000_000
+            if self.waiting.containsKey((now,)):
+                state.update(r.y, *self.waiting.getValue((now,)), cfg)
+                self.waiting.removeKey((now,))
+                self.handle.deleteTimer(1000 * now)
+            low, high = state.interval(r.q_lo, r.q_hi, cfg.empty)
+            if r.warmup:
+                state.update(r.y, r.q_lo, r.q_hi, cfg)
+            else:
+                self.waiting.updateValue((now + self.seconds,), (r.q_lo, r.q_hi))
+                self.handle.registerTimer(1000 * (now + self.seconds))
+            out.append((key[0], now, low, high))
+        self.state.update((state.scores_upper, state.scores_lower, state.alpha_upper, state.alpha_lower))
+        yield pd.DataFrame(out, columns=["msname", "ts", "lower", "upper"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self.waiting.removeKey((expiredTimerInfo.getExpiryTimeInMs() // 1000,))
+        yield pd.DataFrame({"msname": pd.Series(dtype=object), "ts": pd.Series(dtype="int64"), "lower": pd.Series(dtype=float), "upper": pd.Series(dtype=float)})
 
     def close(self) -> None:
         pass
 
 
-def stream_conformal(df: DataFrame, cfg: AdaptiveConfig = AdaptiveConfig()) -> DataFrame:
-    """df: msname, pos, y, q_lo, q_hi. Out: msname, pos, lower, upper."""
-    processor = type("ConformalOf", (Conformal,), {"cfg": cfg})()
-    return df.groupBy("msname").transformWithStateInPandas(processor, "msname string, pos long, lower double, upper double", "Append", "None")
+def stream_conformal(df: DataFrame, cfg: AdaptiveConfig = AdaptiveConfig(), horizon: int = 300, delay: str = "10 minutes") -> DataFrame:
+    """df: msname, ts timestamp, y, q_lo, q_hi, warmup: the value at ts and the quantiles foretold there for `horizon` seconds later.
+
+    Out: msname, ts in seconds, lower, upper. A value is learnt before the interval of its own row is made; rows later than the watermark are dropped.
+    """
+    processor = type("ConformalOf", (Conformal,), {"cfg": cfg, "seconds": horizon})()
+    return df.withWatermark("ts", delay).groupBy("msname").transformWithStateInPandas(processor, "msname string, ts long, lower double, upper double", "Append", "EventTime")
 
 
 class Stabiliser(StatefulProcessor):
