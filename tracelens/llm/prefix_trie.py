@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tracelens.llm.common import materialise
 
 #: Turns of a segment, rows of a shard, segments of a cell.
-WIDTH, SHARD_ROWS, CELL_SEGMENTS = 32, 50_000, 256
+WIDTH, SHARD_ROWS, CELL_SEGMENTS = 32, 20_000, 256
 #: Boundary nodes, of under 100 bytes each, that are broadcast; more are joined by a shuffle.
 FEW_NODES = 100_000
 ROOT = "0" * 32
