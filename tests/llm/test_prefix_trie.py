@@ -6,8 +6,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracelens.llm import prefix_trie as pt
+from tracelens.llm.common import running
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -77,7 +79,7 @@ def test_long_conversations_that_share_their_beginning(spark):
 
 def test_large_groups_are_numbered_by_shards(spark):
     df = spark.range(20_000).selectExpr("case when id % 3 = 0 then id else 1 end as g", "cast(id % 50 as long) as t")
-    rows = pt.numbered(df.repartition(8), "g", ["t"]).collect()
+    rows = running(df.repartition(8), "g", ["t"], F.lit(1), "pos").collect()
     hot = sorted((r.pos, r.t) for r in rows if r.g == 1)
     assert [p for p, _ in hot] == list(range(len(hot))) and [t for _, t in hot] == sorted(t for _, t in hot)
     assert all(r.pos == 0 for r in rows if r.g != 1)

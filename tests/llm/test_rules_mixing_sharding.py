@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import itertools
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from tracelens.llm import mixing, quality_rules, sharding
 from tracelens.llm.quality_rules import fit_rules
 
@@ -106,6 +111,75 @@ def test_flow_prefers_fresh_words_and_uses_overlap():
     assert sum(f for part in mixing.route(many, {n[0]: 15 for n in many}, 2).values() for f in part.values()) == 15 * 20_000
 
 
+def brute_flow(patterns, quotas, repeat):
+    """(most words, least cost) over all integer flows."""
+    arcs = [(p, s) for p in patterns for s in p]
+    best = (0, 0)
+    for flow in itertools.product(*[range(min(repeat * patterns[p], quotas[s]) + 1) for p, s in arcs]):
+        used, got = Counter(), Counter()
+        for (p, s), f in zip(arcs, flow, strict=True):
+            used[p] += f
+            got[s] += f
+        if all(used[p] <= repeat * n for p, n in patterns.items()) and all(got[s] <= q for s, q in quotas.items()):
+            cost = sum(max(0, used[p] - k * n) for p, n in patterns.items() for k in range(1, repeat))
+            best = max(best, (sum(flow), -cost))
+    return best
+
+
+def test_flow_equals_trying_all(monkeypatch):
+    rng = random.Random(3)
+    for _ in range(40):
+        patterns = {p: rng.randint(1, 4) for p in rng.sample([("a",), ("b",), ("a", "b"), ("b", "c"), ("c",)], 3)}
+        quotas = {s: rng.randint(0, 6) for s in "abc" if any(s in p for p in patterns)}
+        flows = mixing.route(patterns, quotas, 2)
+        used = {p: sum(f.values()) for p, f in flows.items()}
+        cost = sum(max(0, used[p] - n) for p, n in patterns.items())
+        assert (sum(used.values()), -cost) == brute_flow(patterns, quotas, 2)
+        assert all(sum(f.get(s, 0) for f in flows.values()) <= q for s, q in quotas.items())
+
+
+def test_every_mix_goes_through_the_flow(documents, monkeypatch):
+    def fail(*_):
+        raise RuntimeError("the flow was asked for")
+
+    monkeypatch.setattr(mixing, "_flow", fail)
+    for use in (mixing.mix_documents, mixing.repeat_documents):
+        with pytest.raises(RuntimeError, match="asked for"):
+            use(documents)
+
+
+def test_mix_of_sources_that_share_texts(spark):
+    """A text that several sources hold may be taken for each of them."""
+    rows = [(i, f"text {i % 60} of five words", s) for i, s in enumerate("ab" * 40 + "c" * 20)] + [(None, None, None), (200, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sources = defaultdict(set)
+    for _, text, s in rows:
+        sources[text or ""].add(s)
+    members = mixing.members_by_text(docs)
+    assert sorted((sorted(map(str, r.members)), len(r.members)) for r in members.collect()) == sorted((sorted(map(str, s)), len(s)) for s in sources.values())
+    joined = docs.withColumn("tag", mixing.text_md5()).join(members, "tag")
+    mixed, table = mixing.mix(joined, F.col("members"), F.lit(5), lambda names: dict.fromkeys(names, 1), tie=F.col("tag"))
+    patterns = Counter(tuple(r.members) for r in joined.collect())
+    patterns = {tuple(sorted(p, key=lambda s: (s is None, s or ""))): 5 * n for p, n in patterns.items()}
+    got = Counter()
+    for r in mixed.collect():
+        got[tuple(r.members)] += r.copies * 5
+    flows = mixing.route(patterns, {r.source: int(r.target) for r in table.collect()}, 2)
+    assert all(abs(got[p] - sum(f.values())) <= 5 for p, f in flows.items())
+
+
+def test_hot_rows_are_mixed_and_sharded_in_many_tasks(spark, monkeypatch):
+    """A third of the rows without an id, and many of them equal."""
+    rows = spark.range(30_000).selectExpr("case when id % 3 > 0 then id end as doc_id", "case when id % 3 > 0 then concat('own words ', id) when id % 2 = 0 then 'hot text of five words' else concat('null id ', id) end as text", "'s' as source").repartition(8)
+    got = mixing.mix_documents(rows).collect()
+    assert len(got) == 30_000 and abs(sum(r.taken for r in got) - got[0].target) <= 5
+    monkeypatch.setattr(sharding, "CELL_ROWS", 1000)
+    slots = defaultdict(list)
+    for r in sharding.shard_documents(rows, 4).collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == 30_000
+
+
 def test_mix_meets_targets_and_repeats(documents, odd_docs, no_docs):
     for docs in (documents, odd_docs):
         rows = mixing.mix_documents(docs).collect()

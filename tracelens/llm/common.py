@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelens.session import materialise, scratch
 
-__all__ = ["ALNUM_WORD", "BLANK_WORD", "ascii_lower", "in_chunks", "materialise", "n_words_of", "read_table", "scratch", "spare_names", "text_bytes", "text_tag", "words_of"]
+__all__ = ["ALNUM_WORD", "BLANK_WORD", "ascii_lower", "in_chunks", "materialise", "n_words_of", "read_table", "running", "scratch", "spare_names", "text_bytes", "text_tag", "words_of"]
 
 #: A word: a run without the six ASCII blanks.
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
@@ -54,6 +54,23 @@ def n_words_of(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 
 
+def running(rows: DataFrame, group: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds the sum of `value` over the rows before each one in its group, in order, null first; equal rows in any order.
+
+    No task holds a large group: rows are range-sharded, summed in each shard, and of the groups that a shard goes on with,
+    one a shard at most, the sums before are broadcast.
+    """
+    tie, part, own, before = spare_names(rows, "tie", "part", "own", "before")
+    ranged = rows.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(group, *order, tie)
+    ranged = materialise(ranged.withColumn(part, F.spark_partition_id()).withColumn(own, value.cast("long")), "ranged")
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(group, part).agg(F.sum(own).alias(before))
+    later = sums.withColumn(before, F.sum(before).over(earlier.partitionBy(group).orderBy(part))).where(F.col(before).isNotNull())
+    inside = F.coalesce(F.sum(own).over(earlier.partitionBy(group, part).orderBy(*order, tie)), F.lit(0).cast("long"))
+    out = ranged.join(F.broadcast(later), [group, part], "left")
+    return out.withColumn(name, inside + F.coalesce(before, F.lit(0))).drop(tie, part, own, before)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, end to end, and the n+1 offsets into them; a null is empty."""
     column = column.cast(pa.large_string()).fill_null("")

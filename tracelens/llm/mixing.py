@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import BLANK_WORD, materialise, n_words_of
+from tracelens.llm.common import BLANK_WORD, materialise, n_words_of, running
 
 
 #: Rows for which one cell of a pattern is made.
@@ -50,8 +50,8 @@ class _Arc:
 def route(patterns: dict[tuple, int], quotas: dict, repeat: int) -> dict[tuple, dict]:
     """Words of each pattern routed to each source: the largest flow, of these the cheapest.
 
-    Patterns that no shared source connects don't touch each other's flow, so the network is cut into its parts; where a
-    part is one pattern in one source, its flow is what both allow.
+    Patterns that no shared source connects don't touch each other's flow, so the network is cut into its parts and each
+    part is solved by itself.
     """
     above: dict = {}
 
@@ -71,11 +71,7 @@ def route(patterns: dict[tuple, int], quotas: dict, repeat: int) -> dict[tuple,
             parts[top(("source", s))][1][s] = quota
     flows: dict[tuple, dict] = {}
     for some, asked in parts.values():
-        if len(some) == len(asked) == 1:
-            ((name, size),), ((s, quota),) = some.items(), asked.items()
-            flows[name] = {s: min(quota, repeat * size)}
-        else:
-            flows |= _flow(some, asked, repeat)
+        flows |= _flow(some, asked, repeat)
     return flows
 
 
@@ -128,15 +124,15 @@ def _flow(patterns: dict[tuple, int], quotas: dict, repeat: int) -> dict[tuple,
             net[x.to][x.back].room += room
 
 
-def mix(docs: DataFrame, members: Column, size: Column, weight_of, *, key: str = "doc_id", carry: Column | None = None, share: float = 1.5, repeat: int = 2, seed: int = 7, most_patterns: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, members: Column, size: Column, weight_of, *, key: str = "doc_id", tie: Column | None = None, carry: Column | None = None, share: float = 1.5, repeat: int = 2, seed: int = 7, most_patterns: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(key, members, size, carry, copies) of every row; (source, source_size, target) of every source.
 
     `members`: array of source names (null is a name); `weight_of`: list of names -> {name: weight}. The patterns, sums
     by combination of sources, go to the driver; more than `most_patterns` of them are refused, not cut. A row without
     any source is not taken. Sizes that are null count as 0. Rows are placed in each pattern by a seeded hash of the key
-    and of `carry`, then by size; what is equal in all of these is interchangeable, but each row counts.
+    and of `tie`, a string, then by size; what is equal in all of these is interchangeable, but each row counts.
     """
-    tie = F.lit("") if carry is None else F.concat(F.lit("|"), F.xxhash64(carry).cast("string"))
+    tie = F.lit("") if tie is None else F.concat(F.lit("|"), F.coalesce(tie, F.lit("")))
     carry = F.lit(None).cast("string") if carry is None else carry
     rows = docs.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(members)).alias("members"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), carry.alias("carry"), tie.alias("tie"))
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("key").cast("string"), F.lit("")), F.col("tie")))
@@ -158,21 +154,20 @@ def mix(docs: DataFrame, members: Column, size: Column, weight_of, *, key: str =
     flows = route(patterns, {s: int(t) for s, t in targets.items()}, repeat)
 
     spark = docs.sparkSession
-    plan = [(list(p), *(divmod(sum(flows[p].values()), n) if n else (0, 0))) for p, n in patterns.items()]
-    plan = spark.createDataFrame(plan, "members array<string>, passes long, rest long")
+    plan = [(i, list(p), *(divmod(sum(flows[p].values()), n) if n else (0, 0))) for i, (p, n) in enumerate(patterns.items())]
+    plan = spark.createDataFrame(plan, "pattern long, members array<string>, passes long, rest long")
     up_to = Window.partitionBy("members").orderBy("cell")
     edges = (  # of each pattern the one cell in which the last pass ends
         cells.withColumn("upto", F.sum("size").over(up_to))
         .withColumn("before", F.col("upto") - F.col("size"))
         .join(plan.withColumnRenamed("members", "of"), F.col("members").eqNullSafe(F.col("of")))
         .where("before <= rest and upto > rest")
-        .groupBy("of", "passes", "rest")
+        .groupBy("pattern", "of", "passes", "rest")
         .agg(F.min(F.struct("cell", "before")).alias("edge"))
     )
-    marks = edges.select("of", F.lit(True).alias("live"), "passes", "rest", F.col("edge.cell").alias("edge_cell"), F.col("edge.before").alias("edge_before"))
+    marks = edges.select("of", "pattern", "passes", "rest", F.col("edge.cell").alias("edge_cell"), F.col("edge.before").alias("edge_before"))
     placed = rows.join(F.broadcast(marks), F.col("members").eqNullSafe(F.col("of")), "left")  # at most most_patterns rows
-    ahead = Window.partitionBy("members").orderBy("place", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at_edge = placed.where("cell = edge_cell").withColumn("ahead", F.col("edge_before") + F.coalesce(F.sum("size").over(ahead), F.lit(0)))
+    at_edge = running(placed.where("cell = edge_cell"), "pattern", ["place", "key", "size"], F.col("size"), "ahead").withColumn("ahead", F.col("edge_before") + F.col("ahead"))
     at_edge = at_edge.withColumn("extra", (2 * F.col("ahead") + F.col("size") <= 2 * F.col("rest")).cast("int"))
     others = placed.where("not coalesce(cell = edge_cell, false)").withColumn("extra", F.coalesce((F.col("cell") < F.col("edge_cell")).cast("int"), F.lit(0)))
     columns = ["key", "members", "size", "carry", (F.coalesce("passes", F.lit(0)) + F.col("extra")).alias("copies")]
@@ -181,6 +176,10 @@ def mix(docs: DataFrame, members: Column, size: Column, weight_of, *, key: str =
     return out, spark.createDataFrame(table, "source string, source_size long, target double")
 
 
+def text_md5() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
 def cycle_weights(sources: list) -> dict:
     """Weights 5, 2, 1, repeating, to sources in their order."""
     return {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
@@ -189,22 +188,33 @@ def cycle_weights(sources: list) -> dict:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document: whole copies, 0, 1 or 2 of each.
 
-    Null text: size 0. A null source is a source of its own, sorted last. Repeated rows count and are taken each on
-    their own. An empty table gives no rows; other columns are not read.
+    Null text: size 0. A null source is a source of its own, sorted last. Rows with one id, or none, are told apart by their
+    texts; repeated rows count and are taken each on their own. Very long texts are counted whole. An empty table gives no
+    rows; other columns are not read.
     """
-    mixed, sources = mix(docs, F.array("source"), n_words_of(F.col("text"), BLANK_WORD), cycle_weights, **options)
+    mixed, sources = mix(docs, F.array("source"), n_words_of(F.col("text"), BLANK_WORD), cycle_weights, tie=text_md5(), **options)
     rows = mixed.select(F.col("key").alias("doc_id"), F.element_at("members", 1).alias("of"), "size", (F.col("copies") * F.col("size")).alias("taken"))
     return rows.join(F.broadcast(sources), F.col("of").eqNullSafe(F.col("source"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def members_by_text(docs: DataFrame) -> DataFrame:
+    """(tag, members): for each text, by its MD5, all sources in which an equal one occurs, sorted, null last; null texts are empty.
+
+    A text's sources are a set, so that a group of copies is as many names as there are sources, however large it is.
+    """
+    named = docs.select(text_md5().alias("tag"), "source").distinct()
+    by_name = F.array_sort(F.array_agg(F.struct(F.col("source").isNull().alias("none"), "source")))
+    return named.groupBy("tag").agg(F.transform(by_name, lambda s: s["source"]).alias("members"))
+
+
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as the mix takes it, with all its columns. Documents taken 0 times go.
 
     Each row is taken by itself, whether its doc_id is null or repeated and whatever else equals it. Null and empty texts
-    have no words and are taken as their place in the order says. An empty table gives no rows; all columns stay, whatever
-    their names.
+    have no words and are taken as their place in the order says. Very long texts are counted whole. An empty table gives no
+    rows; all columns stay, whatever their names.
     """
     row = F.struct(*[docs[c] for c in docs.columns])
-    mixed, _ = mix(docs, F.array("source"), n_words_of(F.col("text"), BLANK_WORD), cycle_weights, carry=row, **options)
+    mixed, _ = mix(docs, F.array("source"), n_words_of(F.col("text"), BLANK_WORD), cycle_weights, tie=F.xxhash64(row).cast("string"), carry=row, **options)
     each = mixed.where("copies > 0").select("carry", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return each.select(*[F.col("carry").getField(c).alias(c) for c in docs.columns])

@@ -31,7 +31,7 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id FROM docs d LEFT J
 """
 
 MIXING = f"""
-WITH docs AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {BLANK})) AS BIGINT) AS size, md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents),
+WITH docs AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {BLANK})) AS BIGINT) AS size, md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS place FROM documents),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
 share AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM sums),
 capped AS (SELECT *, 2 * source_size / weight AS edge FROM share),

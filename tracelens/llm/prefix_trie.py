@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import materialise
+from tracelens.llm.common import materialise, running
 
 #: Turns of a segment, rows of a shard, segments of a cell.
 WIDTH, SHARD_ROWS, CELL_SEGMENTS = 32, 20_000, 256
@@ -36,19 +36,6 @@ _TYPES = (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.string
 COMPLETE, PARTIAL, ENDS = 0, 1, 2
 
 
-def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Adds `pos`, from 0, to the rows of each group, in order, null first. No task holds a large group: rows are range-sharded
-    and numbered in each shard, and shards that go on with a group add what came before, one row a shard at most."""
-    ranged = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(group, *order, "_tie")
-    ranged = materialise(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    later = counts.withColumn("_before", F.sum("_n").over(before)).where("_before > 0").select(group, "_part", "_before")
-    inside = Window.partitionBy(group, "_part").orderBy(*order, "_tie")
-    at = F.row_number().over(inside) - 1 + F.coalesce("_before", F.lit(0))
-    return ranged.join(F.broadcast(later), [group, "_part"], "left").withColumn("pos", at.cast("long")).drop("_tie", "_part", "_before")
-
-
 def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(conv, p, id, size, total) of every turn of the rebuilt conversations, and (conv, total) of every conversation.
 
@@ -237,7 +224,7 @@ def prefix_trie(conversations: DataFrame, *, width: int = WIDTH, shard_rows: int
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     tag = F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text).cast("binary"))
     turns = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").alias("turn"), tag.alias("id"), F.length(text).cast("long").alias("size"))
-    turns = materialise(numbered(turns, "conv", ["turn", "id"]).drop("turn"), "turns")
+    turns = materialise(running(turns, "conv", ["turn", "id"], F.lit(1), "pos").drop("turn"), "turns")
     made, convs = rebuilt(turns)
     cut = segments(made, convs, width)
     root = convs.agg(F.min("conv")).first()[0]

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import spare_names
+from tracelens.llm.common import materialise, spare_names
 
 #: Fixed values of the published algorithm: multiplier of the linear congruential step, and its bit shift.
 JUMP_MULTIPLIER = 2862933555777941757
@@ -64,20 +64,30 @@ def with_slots(sharded: DataFrame, key: str = "doc_id", ties: tuple[str, ...] =
 
     Each shard is cut into cells by the beginning of the hash, as many as the number of rows asks for; a small table of
     cell counts gives where a cell begins, and only inside a cell rows are numbered, so that no task sees a whole shard,
-    and rows that share a key are spread by their ties. Rows equal in all of these are interchangeable. A column `slot` is
-    replaced, others stay.
+    and rows that share a key are spread by their ties. Rows equal in all of these are interchangeable; a cell that these
+    make large is numbered by hash and by task, so that no task holds all of them. A column `slot` is replaced, others stay.
     """
-    cell, order, count, start, row = spare_names(sharded, "cell", "order", "count", "start", "row")
+    cell, order, count, start, row, task = spare_names(sharded, "cell", "order", "count", "start", "row", "task")
     rows = sharded.drop("slot").withColumn(order, F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, *ties)])))
     digits = max(3, math.ceil(math.log(max(sharded.select(key).count(), 1) / CELL_ROWS, 16)))
     rows = rows.withColumn(cell, F.substring(order, 1, digits))
     before = Window.partitionBy("shard").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", cell).agg(F.count(F.lit(1)).alias(count))
-    starts = counts.select("shard", cell, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(start))
+    starts = materialise(counts.withColumn(start, F.coalesce(F.sum(count).over(before), F.lit(0))), "cells")
+    large = starts.where(F.col(count) > 4 * CELL_ROWS).select("shard", cell, start)  # one for 4 * CELL_ROWS rows at most
     inside = Window.partitionBy("shard", cell).orderBy(order, F.col(key), *[F.col(c) for c in ties])
-    numbered = rows.withColumn(row, F.row_number().over(inside)).join(starts, ["shard", cell])
+    columns = [c for c in sharded.columns if c != "slot"]
     slot = (F.col(start) + F.col(row) - F.lit(1).cast("long")).alias("slot")
-    return numbered.select(*[c for c in sharded.columns if c != "slot"], slot)
+    if large.isEmpty():
+        return rows.withColumn(row, F.row_number().over(inside)).join(starts, ["shard", cell]).select(*columns, slot)
+    few = rows.join(F.broadcast(large.drop(start)), ["shard", cell], "left_anti")
+    out = few.withColumn(row, F.row_number().over(inside)).join(starts, ["shard", cell]).select(*columns, slot)
+    many = materialise(rows.join(F.broadcast(large), ["shard", cell]).withColumn(task, F.spark_partition_id()), "large")
+    each = many.groupBy("shard", cell, start, order, task).agg(F.count(F.lit(1)).alias(count))
+    ahead = F.coalesce(F.sum(count).over(Window.partitionBy("shard", cell).orderBy(order, task).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = each.select("shard", order, task, (F.col(start) + ahead).alias(start))
+    alike = many.drop(start).withColumn(row, F.row_number().over(Window.partitionBy("shard", order, task).orderBy(F.col(key), *[F.col(c) for c in ties])))
+    return out.unionByName(alike.join(each, ["shard", order, task]).select(*columns, slot))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
