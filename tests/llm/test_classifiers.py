@@ -63,6 +63,17 @@ def test_many_short_texts_stay_small_and_too_many_languages_are_refused(spark, m
         language_id.identify_documents(short)
 
 
+def test_repeated_texts_are_drawn_once(spark, monkeypatch):
+    """However often a text that is drawn is repeated, one vector of it goes to the task that forms its language's centroids."""
+    monkeypatch.setattr(language_id, "SAMPLE", 50)
+    rows = spark.range(60_000).selectExpr("id as doc_id", "case when id % 2 = 0 then 'en' else 'de' end as lang", "case when id < 54000 then concat('text number ', id % 4) else concat('eigener text ', id) end as text").repartition(8)
+    seen = []
+    made = language_id.text_vectors
+    monkeypatch.setattr(language_id, "text_vectors", lambda docs, idf: seen.append(docs.groupBy("lang").count().collect()) or made(docs, idf))
+    langs = language_id.fit_languages(rows)[1]
+    assert set(langs) == {"de", "en"} and all(r["count"] <= 100 for r in seen[0])
+
+
 def test_no_letter_is_undetermined_and_unlike_text_is_rejected(spark):
     train = [(i, f"the quick brown fox jumps over the lazy dog number {i}", "en") for i in range(40)] + [(100 + i, f"der schnelle braune fuchs springt über den faulen hund {i}", "de") for i in range(40)]
     odd = [(900, "123 !!", None), (901, "жжж ююю щщщ", None), (902, "é", None), (903, "the quick brown fox jumps over the lazy dog number 77", None)]

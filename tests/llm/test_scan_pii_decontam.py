@@ -127,6 +127,19 @@ def test_blocks_give_the_same_hits(spark, sf_dir, documents, monkeypatch):
         assert Counter(map(str, decontaminate.drop_contaminated(documents, items).collect())) == kept
 
 
+def test_long_texts_meet_many_windows_in_linear_space(spark, monkeypatch):
+    """Beyond all limits each word is shuffled with its neighbours only, so a text of 200,000 words is no square."""
+    monkeypatch.setattr(decontaminate, "FEW_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "FEW_BYTES", 0)
+    words = [f"w{i * 7919 % 100_003}" for i in range(200_000)]
+    cuts = [0, 5, 990, 995, 1000, 1995, 150_000, 199_990]
+    items = [(i, " ".join(words[c : c + 10])) for i, c in enumerate(cuts)] + [(90, "absent words of an item that nobody has at all"), (91, "w7919")]
+    docs = [(1, " ".join(words)), (2, None), (3, ""), (4, "a " * 3000 + " ".join(words[:10]))]
+    rows = [spark.createDataFrame(r, "id long, text string") for r in (docs, items)]
+    got = decontaminate.contamination(rows[0].withColumnRenamed("id", "doc_id"), rows[1].withColumnRenamed("id", "item_id")).collect()
+    assert Counter(tuple(r) for r in got) == Counter(brute_hits(docs, items))
+
+
 def test_a_window_of_many_items_is_joined_once(spark):
     passage = " ".join(f"w{i}" for i in range(12))
     items = [(i, f"{passage} x{i}") for i in range(300)] + [(1000, "lone word"), (1001, passage)]
@@ -169,15 +182,15 @@ def test_pseudonyms_keep_the_format_and_turn_back(spark):
 
 #: One of each format that is read, by kind, and look-alikes that fail validation.
 PLANTED = {
-    "phone": ["(555) 123-4567", "555-123-4567", "555.123.4567", "555 123-4567", "+44 20 7946 0958"],
+    "phone": ["(555) 123-4567", "555-123-4567", "555.123.4567", "555 123-4567", "+44 20 7946 0958", "212 555 1234", "1-800-555-1234", "020 7946 0958"],
     "date": ["12/31/1999", "31/12/1999", "31.12.1999", "1999-12-31", "02/29/2024", "01/13/1600"],
     "card": ["3782 822463 10005", "3782-822463-10005", "378282246310005", "3056 930902 5904", "6011-1111-1111-1117"],
     "ssn": ["123 45 6789", "123-45-6789"],
-    "ipv6": ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23:4567:890a", "2001:db8::1"],
+    "ipv6": ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23:4567:890a", "2001:db8::1", "::1", "fe80::", "2001:db8::"],
     "iban": ["GB29 NWBK 6016 1331 9268 19", "DE89370400440532013000", "MT84MALT011000012345MTLCAST001S"],
     "ip": ["152.143.123.131"],
 }
-LOOK_ALIKES = ["155-123-45678", "31/13/1999", "13/32/1999", "3782 822463 10006", "000 12 3456", "1 123 45 6789", "std::abc", "a::b", "12:30:45", "GB28 NWBK 6016 1331 9268 19", "2001:db8::1::2"]
+LOOK_ALIKES = ["155-123-45678", "31/13/1999", "13/32/1999", "3782 822463 10006", "000 12 3456", "1 123 45 6789", "std::abc", "a::b", "12:30:45", "GB28 NWBK 6016 1331 9268 19", "2001:db8::1::2", "be::", "2125551234", "123 45 6789 1", "212 555 1234 5"]
 
 
 def test_each_format_is_replaced_and_turned_back(spark):
@@ -223,10 +236,14 @@ def test_pseudonyms_agree_with_a_plain_feistel(spark):
     assert found["card"][:-1] == card and luhn(found["card"])
     l, r = plain_feistel(55123, 4567, 10**5, 10**4, "k", "phone")  # noqa: E741
     assert found["phone"].replace("-", "") == f"5{l:05d}{r:04d}"
-    days = (date(2024, 2, 29) - date(1600, 1, 1)).days
-    low = days % 146097
-    l, r = plain_feistel(low // 773, low % 773, 189, 773, "k", "date")  # noqa: E741
-    assert found["date"] == str(date(1600, 1, 1) + timedelta(days - low + l * 773 + r))
+    late = [d for d in (date(2000, 1, 1) + timedelta(i) for i in range(146097)) if d.day > 12]  # the cycle of 400 years
+    place = late.index(date(2024, 2, 29))
+    l, r = plain_feistel(place // 9833, place % 9833, 9, 9833, "k", "late")  # noqa: E741
+    assert found["date"] == str(late[l * 9833 + r])
+    early = [d for d in (date(2000, 1, 1) + timedelta(i) for i in range(146097)) if d.day <= 12]
+    place = early.index(date(2024, 2, 3))
+    l, r = plain_feistel(place // 240, place % 240, 240, 240, "k", "early")  # noqa: E741
+    assert spark.range(1).select(pii.pseudonym_date(F.lit("03.02.2024"), "k")).first()[0] == early[l * 240 + r].strftime("%d.%m.%Y")
     l, r = plain_feistel(10 * 256, 65281, 1 << 16, 1 << 16, "k", "ip")  # noqa: E741
     assert found["ip"] == f"{l >> 8}.{l & 255}.{r >> 8}.{r & 255}"
 
@@ -239,6 +256,79 @@ def test_late_days_are_permuted_among_themselves(spark):
     assert all(r.back == r.m and datetime.strptime(r.p, "%m/%d/%Y").day > 12 for r in got) and len({r.p for r in got}) == len(late)
 
 
+def test_a_day_has_one_pseudonym_however_it_is_written(spark):
+    for ways in (["1999-12-30", "30/12/1999", "30.12.1999", "12/30/1999"], ["1999-12-03", "03/12/1999", "03.12.1999"]):
+        rows = spark.createDataFrame([(w,) for w in ways], "m string").select("m", pii.pseudonym_date(F.col("m"), "k").alias("p")).withColumn("back", pii.pseudonym_date(F.col("p"), "k", back=True)).collect()
+        forms = {4: "%Y-%m-%d", 2: "%d/%m/%Y"}
+        days = set()
+        for r in rows:
+            form = "%m/%d/%Y" if r.m == "12/30/1999" else "%d.%m.%Y" if "." in r.m else forms[len(re.split("[-/]", r.m)[0])]
+            days.add(datetime.strptime(r.p, form))
+            assert r.back == r.m
+        assert len(days) == 1
+
+
+def test_addresses_in_unbroken_text_are_replaced_and_linked(spark):
+    texts = {"plain": "mail anna@x.com now", "chinese": "联系anna@x.com", "after": "联系anna@x.com联系", "long": "联" * 100 + "zhang.wei@example.com", "alone": "zhang.wei@example.com", "latin": "q" * 70 + "zhang.wei@example.com", "domain": "to bob@exämple.de", "cyrillic": "иван@пример.рф!", "dots": "...anna@x.com...", "million": "x" * 1_000_000 + " anna@x.com"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(docs, "k").collect()}
+    pseudonym = {k: [x.pseudonym for x in r.found] for k, r in got.items()}
+    assert all(len(p) == 1 and p[0] for p in pseudonym.values())
+    assert all("anna@" not in r.clean and "wei@" not in r.clean and "bob@" not in r.clean and "иван" not in r.clean for r in got.values())
+    assert pseudonym["plain"] == pseudonym["chinese"] == pseudonym["after"] == pseudonym["dots"] == pseudonym["million"] and pseudonym["long"] == pseudonym["alone"]
+    assert got["after"].clean == f"联系{pseudonym['plain'][0]}联系" and got["long"].clean.startswith("联" * 100)
+    said = spark.createDataFrame([("a", "my ssn is 123 45 6789 on file"), ("b", "123-45-6789")], "doc_id string, text string")
+    assert pii.pseudonymise(said, "k").where("size(found) = 1 and clean <> text").count() == 2
+
+
+def plain_finder(text):
+    """Addresses and numbers found without the operator's patterns: from the @ outwards, and by whole tokens."""
+    found = set()
+    for at in (i for i, c in enumerate(text) if c == "@"):
+        i, j = at, at + 1
+        while i > 0 and (text[i - 1].isalnum() or text[i - 1] in "._%+-"):
+            i -= 1
+        while j < len(text) and (text[j].isalnum() or text[j] in ".-"):
+            j += 1
+        domain = text[at + 1 : j].rstrip(".-")
+        if i < at and "." in domain and domain.rsplit(".", 1)[1].isalpha():
+            found.add(("email", f"{text[i:at].lstrip('._%+-')}@{domain}"))
+    for token in re.split(r"[^\w.:-]+", text):
+        token = token.strip(".:-")
+        numbers = token.split(".")
+        if len(numbers) == 4 and all(x.isascii() and x.isdigit() and len(x) < 4 and int(x) < 256 for x in numbers):
+            found.add(("ip", token))
+        groups = token.split("-")
+        if [len(g) for g in groups] == [3, 2, 4] and token.replace("-", "").isdigit() and 0 < int(groups[0]) < 900 and groups[0] != "666" and int(groups[1]) and int(groups[2]):
+            found.add(("ssn", token))
+        if [len(g) for g in groups] == [4, 2, 2] and token.replace("-", "").isdigit():
+            try:
+                date(*map(int, groups))
+                found.add(("date", token))
+            except ValueError:
+                pass
+    return found
+
+
+def test_found_values_equal_a_plain_finder(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = pii.pseudonymise(documents.select("doc_id", "text"), "k").collect()
+    plain = {(r.doc_id, *x) for r in rows for x in plain_finder(r.text or "")}
+    shaped = {"email": "@", "ip": r"^\d+\.", "ssn": r"^\d{3}-", "date": r"^\d{4}-"}
+    got = {(r.doc_id, x.kind, x.value) for r in rows for x in r.found if x.pseudonym and x.kind in shaped and re.search(shaped[x.kind], x.value)}
+    assert len(plain) > 20 and got == plain
+
+
+def test_the_key_is_the_sessions_own(spark):
+    before = spark.conf.get(pii.KEY_SETTING, None)
+    spark.conf.unset(pii.KEY_SETTING)
+    first = pii.session_key(spark)
+    assert len(first) == 64 and pii.session_key(spark) == first
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    assert pii.session_key(spark) == "mine"
+    spark.conf.set(pii.KEY_SETTING, before) if before else spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_long_runs_take_linear_time_and_own_columns_stay(spark):
     begun = time.time()
     texts = ["x" * 1_000_000 + "1", "7" * 1_000_000, "a." * 500_000 + "@", "1:" * 500_000, "A1B2" * 250_000, "5 " * 500_000]

@@ -18,6 +18,8 @@ WINDOW = 10
 #: Windows, and bytes of their words, that are broadcast. Of a larger benchmark only the distinct prefix words are, up to as
 #: many bytes, and the windows meet the words that these let through in a shuffle.
 FEW_WINDOWS, FEW_BYTES = 200_000, 64 << 20
+#: Words of a stretch of text where words are shuffled.
+STRETCH = 1_000
 
 
 def _words(text: Column) -> Column:
@@ -55,25 +57,42 @@ def with_prefix(windows: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
     return best.where("seen = n").select("wid", "window", "n", F.col("best.word").alias("prefix"), F.col("best.offset").alias("offset"))
 
 
+def _with_neighbours(words: DataFrame, keep: list[str], length: int) -> DataFrame:
+    """(keep..., n_words, pos, word, w): each word with those that windows through it can reach, a row of nulls for no words.
+
+    A text is cut into stretches that overlap by as much first, so that no row holds more than a text, and none that is
+    shuffled more than 2 * length - 1 words.
+    """
+    stretch = lambda k: F.struct((k * STRETCH).alias("base"), F.slice("w", F.greatest(k * STRETCH - length + 1, F.lit(0)) + 1, STRETCH + 2 * length).alias("s"))
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.col("n_words") - 1) / STRETCH).cast("int")), stretch)
+    rows = words.select(*keep, "n_words", F.explode_outer(F.when(F.col("n_words") > 0, cuts)).alias("c")).select(*keep, "n_words", "c.*")
+    ahead = F.least(F.col("base"), F.lit(length - 1))
+    place = lambda i: F.struct((F.col("base") + i).alias("pos"), F.element_at("s", ahead + i + 1).alias("word"), F.slice("s", F.greatest(ahead + i - length + 1, F.lit(0)) + 1, 2 * length - 1).alias("w"))
+    inside = F.sequence(F.lit(0), (F.least(F.lit(STRETCH), F.col("n_words") - F.col("base")) - 1).cast("int"))
+    return rows.select(*keep, "n_words", F.explode_outer(F.when(F.col("base").isNotNull(), F.transform(inside, place))).alias("p")).select(*keep, "n_words", "p.*")
+
+
 def window_hits(docs: DataFrame, windows: DataFrame, keep: list[str], every: bool, small: bool, length: int) -> DataFrame:
     """(keep..., n_words, start, n, wid): the verified places; with `every`, also a row of nulls for each document.
 
     If the windows are small enough to broadcast, words, prefix join and verification are one stage and no word is moved.
-    Else only prefix words are, and what they let through moves on with the words around it. Docs are read once.
+    Else only prefix words are, and what they let through moves on with the words around it; if these are too many as well,
+    every word is shuffled with those around it. Docs are read once.
     """
-    words = docs.select(*keep, _words(F.col("text")).alias("w"))
-    placed = words.select(*keep, "w", F.size("w").cast("long").alias("n_words"), F.posexplode_outer("w").alias("pos", "word"))
+    words = docs.select(*keep, _words(F.col("text")).alias("w")).withColumn("n_words", F.size("w").cast("long"))
+    each = words.select(*keep, "w", "n_words", F.posexplode_outer("w").alias("pos", "word"))
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    if not small:
+    begin = F.greatest(F.col("pos") - length + 1, F.lit(0))  # no window that holds the word begins before
+    if small:
+        windows, placed = F.broadcast(windows), each.withColumn("at", F.lit(0))
+    else:
         prefixes = windows.select(F.col("prefix").alias("word"), F.lit(True).alias("hit")).distinct()
         if prefixes.agg(F.coalesce(F.sum(F.octet_length("word") + 8), F.lit(0)).alias("b")).first()["b"] <= FEW_BYTES:
-            prefixes = F.broadcast(prefixes)
-        found = placed.join(prefixes, "word", "left").where(F.col("hit") | (F.lit(every) & first))
-        begin = F.greatest(F.col("pos") - length + 1, F.lit(0))  # no window that holds the word begins before
-        found = found.withColumn("w", F.when(F.col("hit"), F.slice("w", begin + 1, 2 * length - 1))).withColumn("word", F.when(F.col("hit"), F.col("word")))
-        placed = found.withColumn("at", begin)
-    else:
-        windows, placed = F.broadcast(windows), placed.withColumn("at", F.lit(0))
+            found = each.join(F.broadcast(prefixes), "word", "left").where(F.col("hit") | (F.lit(every) & first))
+            found = found.withColumn("w", F.when(F.col("hit"), F.slice("w", begin + 1, 2 * length - 1)))
+        else:
+            found = _with_neighbours(words, keep, length).join(prefixes, "word", "left").where(F.col("hit") | (F.lit(every) & first))
+        placed = found.withColumn("word", F.when(F.col("hit"), F.col("word"))).withColumn("at", begin)
     start = F.col("pos") - F.col("offset")
     fits = (start >= 0) & (start + F.col("n") <= F.col("n_words"))
     inside = F.greatest(start - F.col("at"), F.lit(0)) + 1

@@ -127,8 +127,9 @@ def text_vectors(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 
 def fit_languages(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
     """(idf, language of each centroid, centroids, reach of each). Document counts cover all learning texts; the centroids
-    of a language are formed by about SAMPLE of them (all if it has fewer), drawn by a seeded hash. What a language sends to
-    the task that forms its centroids is bounded by SAMPLE vectors; more than MOST_LANGUAGES languages are refused."""
+    of a language are formed by about SAMPLE distinct texts (all if it has fewer), drawn by a seeded hash of the text; a
+    text that is drawn counts once, however often it is repeated, so that about SAMPLE vectors at most go to the task that
+    forms a language's centroids. More than MOST_LANGUAGES languages are refused."""
     known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = {r["slot"]: r["n"] for r in document_counts(known).collect()}  # at most DIMENSIONS + 1 rows
     df = np.zeros(DIMENSIONS)
@@ -139,8 +140,9 @@ def fit_languages(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, list[str]
     sizes = materialise(known.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "sizes")
     if (languages := sizes.count()) > MOST_LANGUAGES:
         raise ValueError(f"{languages} languages; at most {MOST_LANGUAGES} can be learned")
-    drawn = known.join(F.broadcast(sizes), "lang").withColumn("place", F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)))
+    drawn = known.join(F.broadcast(sizes), "lang").withColumn("place", F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)))
     drawn = drawn.where(F.col("place") * F.col("size") < F.lit(float(SAMPLE << 30)))
+    drawn = drawn.groupBy("lang", "place", F.md5(F.col("text").cast("binary")).alias("tag")).agg(F.first("text").alias("text"))  # one of each task, then of all
     fitted = text_vectors(drawn, idf).groupBy("lang").applyInPandas(_centroids(idf, seed), "lang string, centroid binary, reach double")
     rows = sorted(materialise(fitted, "centroids").collect(), key=lambda r: (r["lang"], r["centroid"]))
     vectors = np.array([np.frombuffer(r["centroid"], np.float32) for r in rows]).reshape(len(rows), DIMENSIONS)

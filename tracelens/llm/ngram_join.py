@@ -54,9 +54,9 @@ TOKEN_ROOM, MEMBERS = Room(128, 4 << 20), 32
 BITS, MET_ROWS, FEW = 4096, 50_000, 32
 #: What one task holds of the sets that meet in one part.
 PART_ROOM = Room(5_000, 4 << 20)
-#: Parts packed or matched at once, shingles for which one bucket of parts is made, the most buckets and partitions; beyond
+#: Sets remembered by a task, parts packed or matched at once, shingles for which one bucket of parts is made, the most buckets and partitions; beyond
 #: these they grow.
-HELD_PARTS, BUCKET_SHINGLES, MOST_BUCKETS, MOST_PARTITIONS = 500_000, 1_000_000, 1 << 21, 50_000
+HELD_SETS, HELD_PARTS, BUCKET_SHINGLES, MOST_BUCKETS, MOST_PARTITIONS = 500_000, 500_000, 1_000_000, 1 << 21, 50_000
 #: Bytes of text whose words are hashed at once, some fifty times as many in work arrays.
 CHUNK = 1 << 20
 
@@ -169,6 +169,8 @@ def part_packs(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
             for _, data, bounds in in_chunks(batch, "text", CHUNK):
                 for s in shingle_sets(data, bounds, rule.width):
                     if len(s) and (fp := fingerprint(s)) not in seen:
+                        if len(seen) >= HELD_SETS:  # sets sent twice do no harm
+                            seen.clear()
                         seen.add(fp)
                         if len(s) >= classes[-3]:
                             classes = size_classes(2 * len(s), rule)

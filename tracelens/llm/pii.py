@@ -4,34 +4,43 @@ Candidates are cut out of the text by one pattern, validated (Luhn sum, check di
 permuted within their own format by a keyed Feistel network, and put back. Equal values get equal pseudonyms in every
 document, no two values share one, and who holds the key can turn numbers and dates back. What fails validation stays.
 
-Formats: e-mail; IPv4, IPv6 in full or with `::`; IBAN; dates as 1999-12-31, 31/12/1999, 31.12.1999 and, if the first two
-can't be day and month, 12/31/1999; social security numbers with hyphens or blanks; phones as +1 (555) 123-4567 or
-(555) 123-4567, 555-123-4567, 555.123.4567, 555 123-4567; cards of 13 to 19 digits in one, in fours, or as 4-6-4 and 4-6-5.
+Formats: e-mail, in Latin letters or others; IPv4, IPv6 in full or with `::` anywhere; IBAN; dates as 1999-12-31, 31/12/1999,
+31.12.1999 and, if the first two can't be day and month, 12/31/1999; social security numbers with hyphens or blanks; phones
+as +1 (555) 123-4567 or (555) 123-4567, 555-123-4567, 555.123.4567, 555 123-4567, 555 123 4567, 1-800-555-1234, 020 7946 0958;
+cards of 13 to 19 digits in one, in fours, or as 4-6-4 and 4-6-5. Not read: ten digits in one, as most of these aren't
+phones; of an address that more than 64 letters precede without a blank the last 64 characters count as its first part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.llm.common import spare_names
 
+#: The session setting that holds the key of the registered query.
+KEY_SETTING = "spark.tracelens.pseudonym.key"
+
 ROUNDS = 10
+#: What stands before the @: up to 64 characters of Latin script, or of others, so that words of another script before an address aren't taken in.
+_LATIN = r"[\p{IsLatin}0-9][\p{IsLatin}0-9._%+-]{0,63}"
+_OTHER = r"[\p{L}\p{N}&&[^\p{IsLatin}]][\p{L}\p{N}._%+\-&&[^\p{IsLatin}]]{0,63}"
 #: One pattern per kind, tried in this order; a match is validated afterwards.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,63}",
+    "email": rf"(?:{_LATIN}@|{_OTHER}@)(?:[\p{{L}}\p{{N}}-]{{1,63}}\.){{1,9}}(?:[A-Za-z]{{2,63}}|[\p{{L}}&&[^\p{{IsLatin}}]]{{2,63}})",
     "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)",
-    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![\w:])",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?:[A-Z0-9]{1,3}| (?=[A-Z]*\d)[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w]|-\d)|(?<![\w/])\d{2}/\d{2}/\d{4}(?![\w/])|(?<![\w.])\d{2}\.\d{2}\.\d{4}(?![\w]|\.\d)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)|(?<![\w-])(?<!\d )\d{3} \d{2} \d{4}(?! ?[\w-])",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\w.-])(?:\([2-9]\d{2}\) ?\d{3}[ .-]|[2-9]\d{2}-\d{3}-|[2-9]\d{2}\.\d{3}\.|[2-9]\d{2} \d{3}-)\d{4}(?![\w]|[.-]\d)",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)|(?<![\w-])(?<!\d )\d{3} \d{2} \d{4}(?![\w]|-\d| \d)",
+    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\w.-])(?:\([2-9]\d{2}\) ?\d{3}[ .-]|[2-9]\d{2}-\d{3}-|[2-9]\d{2}\.\d{3}\.|[2-9]\d{2} \d{3}-)\d{4}(?![\w]|[.-]\d)|(?<![\w.-])(?<!\d )(?:[2-9]\d{2} \d{3} \d{4}|1[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4} \d{3,4} \d{3,4})(?![\w]|[ .-]\d)",
     "card": r"(?<![\w.-])(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\w])",
 }
-#: Days in the 400 years after which the calendar repeats, and two factors of them.
-CYCLE_DAYS, CYCLE_A, CYCLE_B = 146097, 189, 773
-#: Of these the days after the twelfth of a month, which are only read month first, and two factors.
+#: Of the 400 years after which the calendar repeats, the days after the twelfth of a month, with two factors, and the others.
 LATE_DAYS, LATE_A, LATE_B = 88497, 9, 9833
+EARLY_DAYS, EARLY_A, EARLY_B = 57600, 240, 240
 
 
 def _digest(key: str, kind: str, step: Column, half: Column) -> Column:
@@ -93,10 +102,10 @@ def permute_digits(digits: Column, key: str, kind: str, back: bool = False) -> C
 
 
 def permute_hex(digits: Column, key: str, kind: str, back: bool = False) -> Column:
-    """A string of 2 to 32 hex digits, to another of the same length, in lower case; halves are mixed by exclusive or."""
+    """A string of 1 to 32 hex digits, to another of the same length, in lower case; halves are mixed by exclusive or."""
     low = F.floor(F.length(digits) / 2).cast("int")
     high = F.length(digits) - low
-    whole = lambda s: F.conv(s, 16, -10).cast("long")
+    whole = lambda s: F.coalesce(F.conv(s, 16, -10).cast("long"), F.lit(0).cast("long"))
     mask = lambda n: F.when(n == 16, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), 4 * n) - 1)
     bits = lambda half, i, n: whole(F.substring(_digest(key, kind, i, half), 1, 16)).bitwiseAND(mask(n))
     halves = F.struct(whole(F.substr(digits, F.lit(1), high)).alias("l"), whole(F.substr(digits, high + 1, low)).alias("r"))
@@ -155,8 +164,8 @@ def pseudonym_ip(m: Column, key: str, back: bool = False) -> Column:
 
 
 def pseudonym_ipv6(m: Column, key: str, back: bool = False) -> Column:
-    """Permutes the digits that are written, in lower case; null if they are under five, or the groups more than eight."""
-    valid = F.length(F.regexp_replace(m, ":", "")) >= 5
+    """Permutes the digits that are written, in lower case; null for under five letters without a figure, or more than eight groups."""
+    valid = (F.length(F.regexp_replace(m, ":", "")) >= 5) | m.rlike("[0-9]")
     groups = F.size(F.filter(F.split(m, ":"), lambda g: g != ""))
     moved = lambda d: lay_digits(m, permute_hex(d, key, "ipv6", back), "[0-9A-Fa-f]")
     return F.when(valid & (groups <= 8), _let(F.lower(F.regexp_replace(m, ":", "")), moved))
@@ -203,15 +212,16 @@ def pseudonym_ssn(m: Column, key: str, back: bool = False) -> Column:
 
 
 def pseudonym_date(m: Column, key: str, back: bool = False) -> Column:
-    """A permutation of the days of the value's own 400-year cycle; null unless the calendar has the day.
+    """A permutation of the days of the value's own 400-year cycle, the same however a day is written; null unless the calendar has the day.
 
-    Dates that can only be read month first are permuted among each other: days after the twelfth of a month, counted on.
+    Days after the twelfth of a month are permuted among each other, as are the others: so a date that can only be read
+    month first becomes one that can only be read so.
     """
     start = F.lit("1600-01-01").cast("date")
-    formats = {"yyyy-MM-dd": m.rlike("^.{4}-"), "dd/MM/yyyy": F.substring(m, 3, 1) == "/", "dd.MM.yyyy": F.substring(m, 3, 1) == "."}
-    by_format = lambda way: F.coalesce(*[F.when(has, way(f)) for f, has in formats.items()])
-    read, show = by_format(lambda f: F.try_to_date(m, f)), lambda day: by_format(lambda f: F.date_format(day, f))
-    late = F.when(m.rlike("^../../"), F.try_to_date(m, "MM/dd/yyyy"))
+    slashed = m.rlike("^../../")
+    ways = {"yyyy-MM-dd": m.rlike("^.{4}-"), "dd/MM/yyyy": slashed, "dd.MM.yyyy": F.substring(m, 3, 1) == ".", "MM/dd/yyyy": slashed}
+    day_as = lambda f: F.try_to_date(m, f)
+    read = F.coalesce(*[F.when(has & day_as(f).isNotNull(), F.struct(day_as(f).alias("day"), F.lit(f).alias("f"))) for f, has in ways.items()])
 
     def moved(x: Column, days: int, a: int, b: int, kind: str) -> Column:
         low = F.pmod(x, F.lit(days))
@@ -224,11 +234,20 @@ def pseudonym_date(m: Column, key: str, back: bool = False) -> Column:
         month = F.array_max(F.filter(F.transform(F.array(*[F.lit(d) for d in range(-2, 3)]), lambda d: near + d), lambda k: first(k) <= x))
         return _let(month, lambda k: F.date_add(F.add_months(start, k), (12 + x - first(k)).cast("int")))
 
-    usual = _let(F.datediff(read, start).cast("long"), lambda x: show(F.date_add(start, moved(x, CYCLE_DAYS, CYCLE_A, CYCLE_B, "date").cast("int"))))
-    months = (F.year(late) - 1600) * 12 + F.month(late) - 1
-    place = (F.datediff(late, start) - 12 * (months + 1)).cast("long")
-    months_first = _let(place, lambda x: _let(moved(x, LATE_DAYS, LATE_A, LATE_B, "late"), lambda y: F.date_format(of_late(y), "MM/dd/yyyy")))
-    return F.when(read.isNotNull() & (F.year(read) >= 1), usual).when(late.isNotNull() & (F.year(late) >= 1), months_first)
+    def of_early(x: Column) -> Column:
+        return F.date_add(F.add_months(start, F.floor(x / 12).cast("int")), F.pmod(x, F.lit(12)).cast("int"))
+
+    def new_day(day: Column) -> Column:
+        months = (F.year(day) - 1600) * 12 + F.month(day) - 1
+        late = _let((F.datediff(day, start) - 12 * (months + 1)).cast("long"), lambda x: _let(moved(x, LATE_DAYS, LATE_A, LATE_B, "late"), of_late))
+        early = _let((12 * months + F.dayofmonth(day) - 1).cast("long"), lambda x: _let(moved(x, EARLY_DAYS, EARLY_A, EARLY_B, "early"), of_early))
+        return F.when(F.dayofmonth(day) > 12, late).otherwise(early)
+
+    def shown(x: Column) -> Column:
+        day = new_day(x["day"])
+        return F.when(F.year(x["day"]) >= 1, F.coalesce(*[F.when(x["f"] == f, F.date_format(day, f)) for f in ways]))
+
+    return _let(read, lambda x: F.when(x["day"].isNotNull(), shown(x)))
 
 
 def pseudonym_email(m: Column, key: str) -> Column:
@@ -276,6 +295,13 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", back: bool = Fal
     return three.withColumns({"found": F.col(all_), "clean": clean}).drop(values, kinds, whole, all_)
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's settings name; where none is set, a random one that holds as long as the session."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING)
+
+
 def pseudonymise_documents(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, n_found, kinds, changed, text of every document.
 

@@ -17,7 +17,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise_documents(read_table(spark, sf_dir, "documents"), key="tracelens")
+    return pii.pseudonymise_documents(read_table(spark, sf_dir, "documents"), key=pii.session_key(spark))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
