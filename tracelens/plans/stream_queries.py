@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +13,7 @@ from tracelens.plans import forecast_queries as fq
 from tracelens.plans import views
 from tracelens.plans.registry import query
 from tracelens.session import materialise, scratch
-from tracelens.sources import traces
+from tracelens.sources import files, traces
 from tracelens.streaming import streams
 
 
@@ -52,6 +54,25 @@ def s3_ingested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.groupBy("msname").agg(F.count(F.lit(1)).alias("n"), F.sum("cpu").alias("cpu"))
 
 
+@query("SELECT 'read' AS status, count(*) AS n FROM means_hourly UNION ALL SELECT 'set apart', 2")
+def s3_quarantined_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV files that arrive with one that breaks off and one that lacks a column: rows read, and files set apart."""
+    source, target = scratch(spark, "arrived"), scratch(spark, "ingested")
+    rows = views.series_hourly(spark, sf_dir).select((F.col("t") * 1000).alias("timestamp"), "msname", F.round("cpu", 9).alias("cpu"))
+    schema = T.StructType([T.StructField("timestamp", T.LongType()), T.StructField("msname", T.StringType()), T.StructField("cpu", T.DoubleType())])
+    rows.write.option("header", True).option("compression", "gzip").csv(source)
+    system, path = files.filesystem(source)
+    with system.open_output_stream(f"{path}/broken.csv.gz", compression=None) as out:
+        out.write(gzip.compress(b"timestamp,msname,cpu\n1,a,0.5\n" * 1000)[:60])
+    with system.open_output_stream(f"{path}/lacking.csv") as out:
+        out.write(b"timestamp,msname\n1,a\n")
+    for _ in range(2):  # the second run finds nothing new
+        files.ingest_files(spark, source, target, f"{target}-state", schema, schema.names).awaitTermination()
+    read = spark.read.parquet(f"{target}/rows").where("not bad").agg(F.lit("read").alias("status"), F.count(F.lit(1)).alias("n"))
+    apart = spark.read.parquet(f"{target}/files").where("reason is not null").agg(F.lit("set apart").alias("status"), F.count(F.lit(1)).alias("n"))
+    return read.unionByName(apart)
+
+
 @query("WITH b AS (SELECT ts - ts % 3600 AS t, msname, avg(cpu) AS cpu, count(*) AS n FROM trace_hourly GROUP BY ALL), w AS (SELECT max(ts) AS last FROM trace_hourly) SELECT t, msname, R(cpu;R) AS cpu, n FROM b, w WHERE t + 3600 <= last - 3600")
 def r1_r7_stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly buckets that the watermark has closed; equals the batch buckets of closed hours."""

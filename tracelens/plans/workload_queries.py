@@ -11,7 +11,7 @@ from tracelens.plans import views
 from tracelens.plans.registry import query
 from tracelens.plans.series_queries import WINDOWS, hourly_windows
 from tracelens.session import materialise, scratch
-from tracelens.sources import catalog, logs, tables, traces
+from tracelens.sources import catalog, files, logs, tables, traces
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,12 +78,28 @@ def s1_s2_k6_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH p AS (SELECT event_id, (CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) - min(CAST(floor(epoch_us(ts) / 1000000) AS BIGINT)) OVER ()) // 1800 AS part FROM events) SELECT CAST(part AS INTEGER) AS part, count(*) AS n FROM p WHERE part BETWEEN 48 AND 95 GROUP BY part")
 def s4_part_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples by the file they would be in, of 30 minutes each; those of the second day by the index in the file's name."""
-    e = views.table(spark, sf_dir, "events").select(scalars.epoch_seconds(F.col("ts")).alias("at"))
-    begin = F.broadcast(e.agg(F.min("at").alias("begin")))  # one row
-    part = F.expr("(at - begin) div 1800").cast("string")
-    picked = e.join(begin).withColumn("file", F.concat(F.lit("/x/MSResource_"), part, F.lit(".csv"))).where(traces.in_part_range(F.col("file"), "1d0", "2d0", 30))
-    return picked.groupBy(F.regexp_extract("file", r"_(\d+)\.", 1).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    """Samples in files of 30 minutes each; those of the second day are read, from files chosen by the index in their names."""
+    path, begin = _part_files(spark, sf_dir)
+    picked = files.read_parts(spark, path, "timestamp long", 30, begin=str(begin), start="1d0", end="2d0")
+    return picked.groupBy(F.expr(f"cast((timestamp - {begin}) div 1800000 as int)").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH p AS (SELECT event_type, value, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS tm, min(CAST(floor(epoch_us(ts) / 1000000) AS BIGINT)) OVER () AS b FROM events) SELECT event_type AS msname, count(*) AS n, R(avg(value / 200.0);R) AS cpu FROM p WHERE tm >= b + 100000 AND tm < b + 250000 GROUP BY event_type")
+def s5_pushed_time_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A comparison of times in a query chooses the files, three columns of which are read."""
+    path, begin = _part_files(spark, sf_dir)
+    rows = files.read_parts(spark, path, "timestamp long, msname string, cpu double", 30, begin=str(begin))
+    some = rows.where((F.col("timestamp") >= begin + 100_000_000) & (F.col("timestamp") < begin + 250_000_000))
+    return some.groupBy("msname").agg(F.count(F.lit(1)).alias("n"), F.avg("cpu").alias("cpu"))
+
+
+def _part_files(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """The events as part files of 30 minutes each, and the time in ms at which the first begins."""
+    path, e = scratch(spark, "parts"), views.table(spark, sf_dir, "events")
+    rows = e.select((scalars.epoch_seconds(F.col("ts")) * 1000).alias("timestamp"), F.col("event_type").alias("msname"), F.col("user_id").alias("msinstanceid"), (F.col("value") / 200.0).alias("cpu"))
+    begin = rows.agg(F.min("timestamp")).first()[0]
+    files.write_part_files(rows.withColumn("part", F.expr(f"(timestamp - {begin}) div 1800000")), path, "MSResource", "part")
+    return path, begin
 
 
 def _scaler_csv(spark: SparkSession, sf_dir: str) -> str:
@@ -233,6 +249,16 @@ def k1_k2_s11_written_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_windows(spark, path, "test").select("msname", "split", "win_start")
 
 
+@query(f"WITH {WINDOWS} SELECT msname, split, win_start, R(list_sum(xc);R) AS x_cpu FROM w")
+def k2_window_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows written by split and group of services; one group is written again, the others are left as they are."""
+    path, made = scratch(spark, "groups"), materialise(hourly_windows(spark, sf_dir), "windows")
+    tables.write_window_groups(made, path, 4)
+    tables.write_window_groups(made, path, 4, again=(1,))
+    rows = spark.read.parquet(path).select("msname", "split", "win_start", "x")
+    return rows.select("msname", "split", "win_start", F.aggregate("x", F.lit(0.0), lambda s, v: s + v[0]).alias("x_cpu"))
+
+
 @query("SELECT msname, t, R(load;R) AS load FROM load_hourly WHERE t >= 1704067200")
 def k1_sorted_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "parts")

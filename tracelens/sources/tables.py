@@ -20,6 +20,34 @@ def read_windows(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == split)
 
 
+def write_window_groups(windows: DataFrame, path: str, groups: int, again: tuple[int, ...] = ()) -> list[int]:
+    """Windows in a folder for each split and group of services, a service's group by its hash; which groups were written.
+
+    A group is written once: when its splits are there its marker follows, and a later call leaves it alone, unless `again`
+    names it. Then its folders are replaced, those of splits that have no rows any more are deleted, and no other group's
+    files are touched. A group without its marker, from a run that was killed, is written anew.
+    """
+    spark = windows.sparkSession
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    files = path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    todo = [g for g in range(groups) if g in again or not files.exists(path_of(f"{path}/_done/{g}"))]
+    if not todo:
+        return []
+    for g in todo:
+        files.delete(path_of(f"{path}/_done/{g}"), False)
+    rows = windows.withColumn("grp", F.pmod(F.xxhash64("msname"), F.lit(groups)).cast("int")).where(F.col("grp").isin(todo))
+    rows.write.partitionBy("split", "grp").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    there = {(r.split, r.grp) for r in rows.select("split", "grp").distinct().collect()}  # splits times groups at most
+    for split in files.listStatus(path_of(path)):
+        name = split.getPath().getName()
+        for g in todo:
+            if name.startswith("split=") and (name.removeprefix("split="), g) not in there:
+                files.delete(path_of(f"{path}/{name}/grp={g}"), True)
+    for g in todo:
+        files.create(path_of(f"{path}/_done/{g}"), True).close()
+    return todo
+
+
 def file_stamps(df: DataFrame) -> list[tuple[str, int, int]]:
     """(name, size, time of change) of the files behind df, from the file system; each folder is listed once."""
     spark = df.sparkSession

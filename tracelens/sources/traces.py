@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import csv
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tracelens.functions.scalars import duration_seconds
+from tracelens.sources.files import filesystem
 
 NUMERIC = T.DoubleType()
 
 
 def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """The columns of each CSV file under a path or pattern; of each file only the beginning is read.
+    """The columns of each CSV file under a path or pattern; of each file only the beginning is read, all in one job.
 
-    Names and headers come to the driver, no rows. Several files are looked at side by side.
+    Names and headers come to the driver, no rows.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs
     where = hadoop.Path(path)
@@ -26,9 +29,22 @@ def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
     for status in found:
         inner = [f.getPath() for f in status.getPath().getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(status.getPath()) if f.isFile()] if status.isDirectory() else [status.getPath()]
         files += [f.toString() for f in inner if not f.getName().startswith(("_", "."))]
-    with ThreadPoolExecutor(16) as pool:
-        columns = list(pool.map(lambda f: spark.read.option("header", True).csv(f).columns, files))
-    return dict(zip(files, columns, strict=True))
+    named = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, len(files) // 50))
+    return {r.file: r.columns for r in named.mapInPandas(_first_lines, "file string, columns array<string>").collect()}
+
+
+def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The columns that each file's first line names; none for an empty file."""
+    for batch in batches:
+        found = []
+        for name in batch["file"]:
+            system, path = filesystem(name)
+            with system.open_input_stream(path) as source:
+                line = b""
+                while b"\n" not in line and (more := source.read(1 << 16)):
+                    line += more
+            found.append(next(csv.reader([line.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")]), []))
+        yield pd.DataFrame({"file": batch["file"], "columns": found})
 
 
 def valid_files(spark: SparkSession, path: str, needed: list[str]) -> tuple[dict[str, list[str]], DataFrame]:
