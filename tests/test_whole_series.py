@@ -70,7 +70,7 @@ def test_linear_heads_equal_normal_equations(spark):
         y = [[float(x[:, 0].sum() + 0.1 * rng.normal())], [float(x[-1, 1] - x[0, 0] + 0.1 * rng.normal())]]
         rows.append(("s", "train" if i < 60 else "test", i, x.tolist(), y))
     df = spark.createDataFrame(rows, "msname string, split string, win_start long, x array<array<double>>, y array<array<double>>")
-    got = {(r.win_start, r.h): r.pred for r in forecast.linear_direct(df, 2, 4).collect()}
+    got = {(r.win_start, r.h): r.pred for r in forecast.linear_direct(df).collect()}
     flat = np.array([np.ravel(r[3]) for r in rows])
     train = flat[:60]
     spread = train.std(axis=0, ddof=1)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelens.functions.scalars import softmax_over
+from tracelens.operators.quantiles import quantiles
 from tracelens.session import materialise
 
 
@@ -40,6 +42,15 @@ def fit_ar1(df: DataFrame, value: str = "cpu") -> DataFrame:
     return fitted.withColumn("phi", phi).select("msname", "phi", (F.coalesce("_my", F.lit(0.0)) - F.col("phi") * F.coalesce("_mx", F.lit(0.0))).alias("drift"), "last", F.coalesce("last_d", F.lit(0.0)).alias("last_d"))
 
 
+def ar1_from(model: DataFrame, rows: DataFrame, origin: str = "test_start", value: str = "cpu") -> DataFrame:
+    """The model of `fit_ar1` with its series' end moved: to the last row before test (`test_start`), or left at the end of train."""
+    if origin == "train_end":
+        return model
+    before = rows.where("split <> 'test'").withColumn("_d", F.col(value) - F.lag(value).over(Window.partitionBy("msname").orderBy("pos")))
+    ends = before.groupBy("msname").agg(F.max_by(F.col(value), F.col("pos")).alias("last"), F.coalesce(F.max_by(F.col("_d"), F.col("pos")), F.lit(0.0)).alias("last_d"))
+    return model.drop("last", "last_d").join(ends, "msname")
+
+
 def ar1_forecast(model: DataFrame, horizon: int) -> DataFrame:
     """(msname, h, pred): d(h) = drift + phi d(h-1), summed onto the last value."""
     begin = F.struct(F.col("last").alias("y"), F.col("last_d").alias("d"))
@@ -87,24 +98,87 @@ def select_order(df: DataFrame, value: str = "cpu", lags: tuple[int, ...] = (0,
     return df.select("msname", "pos", value).groupBy("msname").applyInPandas(fit, "msname string, p int, d int, aic double")
 
 
-def linear_direct(windows: DataFrame, horizon: int, length: int, target: int = 0, ridge: float = 1e-3) -> DataFrame:
-    """(msname, split, win_start, h, pred, y): one ridge regression per horizon on the flat input, fitted on train windows.
+def average_matrix(length: int, kernel: int) -> np.ndarray:
+    """What a row of values is multiplied with to give its edge-padded moving average, kernel // 2 values in front."""
+    at = np.clip(np.arange(length)[:, None] + np.arange(kernel) - kernel // 2, 0, length - 1)
+    out = np.zeros((length, length))
+    np.add.at(out, (at, np.arange(length)[:, None]), 1 / kernel)
+    return out
+
+
+def _inputs(batch: pa.RecordBatch, kind: str, target: int, kernel: int) -> np.ndarray:
+    """A row for each window: all inputs (`flat`), or the target's trend and what is left of it (`trend_seasonal`)."""
+    rows = batch.column(batch.schema.get_field_index("x"))
+    x = rows.flatten().flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(rows[0]), -1)
+    if kind == "flat":
+        return x.reshape(batch.num_rows, -1)
+    trend = x[:, :, target] @ average_matrix(x.shape[1], kernel)
+    return np.hstack([trend, x[:, :, target] - trend])
+
 
-    The windows are written once, as each horizon reads them twice.
+def _outputs(batch: pa.RecordBatch, target: int) -> np.ndarray:
+    rows = batch.column(batch.schema.get_field_index("y"))
+    return rows.flatten().flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(rows[0]), -1)[:, :, target]
+
+
+def linear_heads(windows: DataFrame, target: int = 0, ridge: float = 1e-3, kind: str = "flat", kernel: int = 25) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, a column for each horizon, and intercepts) of ridge regressions on train windows, all horizons at once.
+
+    One pass: each task adds up the products of its inputs with each other and with all outputs, and these sums, a few
+    thousand numbers, are added by cell. Products are taken from the first window on, so that they don't cancel for values far
+    from zero. Inputs count by their standard deviation, constant ones not at all.
+    """
+    train = windows.where("split = 'train'").select("x", "y")
+    first = train.limit(1).toArrow()
+    if not first.num_rows:
+        raise ValueError("no train windows")
+    begin = first.combine_chunks().to_batches()[0]
+    pilot = np.concatenate([_inputs(begin, kind, target, kernel)[0], _outputs(begin, target)[0], [0.0]])
+    outputs = len(_outputs(begin, target)[0])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(pilot), len(pilot)))
+        for batch in batches:
+            if batch.num_rows:
+                rows = np.hstack([_inputs(batch, kind, target, kernel), _outputs(batch, target), np.ones((batch.num_rows, 1))]) - pilot
+                total += rows.T @ rows
+        i, j = np.triu_indices(len(pilot))
+        yield pa.record_batch([pa.array(i), pa.array(j), pa.array(total[i, j])], names=["i", "j", "v"])
+
+    sums = np.zeros((len(pilot), len(pilot)))
+    for r in train.mapInArrow(work, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        sums[r.i, r.j] = sums[r.j, r.i] = r.v
+    n, inputs = sums[-1, -1], len(pilot) - 1 - outputs
+    mean = sums[-1, :-1] / n
+    cross = sums[:-1, :-1] / n - np.outer(mean, mean)
+    spread = np.sqrt(np.maximum(np.diag(cross), 0) * n / max(n - 1, 1))
+    used = np.flatnonzero(spread[:inputs] > 1e-9)
+    weights = np.zeros((inputs, outputs))
+    for h in range(outputs):
+        if len(used) and spread[inputs + h] > 1e-12:
+            gram = cross[np.ix_(used, used)] / np.outer(spread[used], spread[used]) + ridge / spread[inputs + h] * np.eye(len(used))
+            weights[used, h] = np.linalg.solve(gram, cross[used, inputs + h] / spread[used]) / spread[used]
+    centre = mean + pilot[:-1]
+    return weights, centre[inputs:] - centre[:inputs] @ weights
+
+
+def linear_direct(windows: DataFrame, target: int = 0, ridge: float = 1e-3, kind: str = "flat", kernel: int = 25) -> DataFrame:
+    """(msname, split, win_start, h, pred, y): linear heads fitted on train windows; `kind` as in `linear_heads`.
+
+    The windows are written once, as they are read for fitting and for forecasting. All have the same shape.
     """
     windows = materialise(windows.select("msname", "split", "win_start", "x", "y"), "windows")
-    flat = windows.withColumn("_x", F.flatten("x"))
-    width = length * len(windows.select("x").first()["x"][0])
-    columns = [f"_x{i}" for i in range(width)]
-    wide = flat.select("msname", "split", "win_start", "y", *[F.element_at("_x", i + 1).alias(c) for i, c in enumerate(columns)])
-    ready = VectorAssembler(inputCols=columns, outputCol="_v").transform(wide).select("msname", "split", "win_start", "y", "_v")
-    out = None
-    for h in range(1, horizon + 1):
-        one = ready.withColumn("label", F.element_at(F.element_at("y", h), target + 1))
-        model = LinearRegression(featuresCol="_v", labelCol="label", predictionCol="pred", regParam=ridge, elasticNetParam=0.0, solver="normal").fit(one.where("split = 'train'"))
-        got = model.transform(one).select("msname", "split", "win_start", F.lit(h).alias("h"), "pred", F.col("label").alias("y"))
-        out = got if out is None else out.unionByName(got)
-    return out
+    weights, intercepts = linear_heads(windows, target, ridge, kind, kernel)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = _inputs(batch, kind, target, kernel) @ weights + intercepts
+                yield pa.record_batch([*[batch.column(i) for i in range(3)], pa.array(made.tolist()), pa.array(_outputs(batch, target).tolist())], names=["msname", "split", "win_start", "p", "q"])
+
+    made = windows.mapInArrow(work, "msname string, split string, win_start long, p array<double>, q array<double>")
+    each = made.select("msname", "split", "win_start", F.posexplode(F.arrays_zip("p", "q")).alias("h", "s"))
+    return each.select("msname", "split", "win_start", (F.col("h") + 1).alias("h"), F.col("s.p").alias("pred"), F.col("s.q").alias("y"))
 
 
 def empirical_quantiles(df: DataFrame, horizon: int, levels: tuple[float, float, float] = (0.10, 0.50, 0.95), value: str = "cpu", train: str = "split = 'train'") -> DataFrame:
@@ -114,8 +188,7 @@ def empirical_quantiles(df: DataFrame, horizon: int, levels: tuple[float, float,
     changes = rows.select("msname", F.array(*[F.struct(F.lit(h).alias("h"), (F.lead(value, h).over(w) - F.col(value)).alias("d")) for h in range(1, horizon + 1)]).alias("all"))
     steps = changes.select("msname", F.explode("all").alias("x"))
     flat = steps.select("msname", "x.h", "x.d").where("d is not null")
-    names = ("q_lo", "q50", "q_hi")
-    return flat.groupBy("msname", "h").agg(*[F.percentile("d", F.lit(q)).alias(n) for n, q in zip(names, levels, strict=True)])
+    return quantiles(flat, "d", dict(zip(("q_lo", "q50", "q_hi"), levels, strict=True)), ["msname", "h"])
 
 
 def quantile_forecast(df: DataFrame, changes: DataFrame, value: str = "cpu") -> DataFrame:

@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelens.functions.scalars import corr_guarded
+from tracelens.operators.quantiles import join_on, quantiles
 from tracelens.operators.rolling import full_mean
 
 
-def point_metrics(df: DataFrame, by: list[str], y: str = "y", pred: str = "pred", last: str | None = "last", guard: float = 0.0) -> DataFrame:
-    """MSE, MAE, RMSE, R2, MAPE (only |y| > 1e-12; 0 without such rows), direction hit rate, under- and over-prediction; rates in per cent."""
+def point_metrics(df: DataFrame, by: list[str], y: str = "y", pred: str = "pred", last: str | None = "last", guard: float = 0.0, trend: str | None = None) -> DataFrame:
+    """MSE, MAE, RMSE, R2, MAPE (only |y| > 1e-12; 0 without such rows), direction hit rate, under- and over-prediction; rates in per cent.
+
+    The direction foretold is that from `last` to the forecast or, if `trend` names the value before the last, that from there to `last`.
+    """
     e = F.col(pred) - F.col(y)
     total = F.var_pop(y) * F.count(y)
     aggs = [
@@ -29,7 +33,8 @@ def point_metrics(df: DataFrame, by: list[str], y: str = "y", pred: str = "pred"
         F.coalesce(F.max(F.when(e > 0, e)), F.lit(0.0)).alias("max_over"),
     ]
     if last:
-        aggs.append((100 * F.avg((F.signum(F.col(y) - F.col(last)) == F.signum(F.col(pred) - F.col(last))).cast("double"))).alias("mda"))
+        told = F.col(last) - F.col(trend) if trend else F.col(pred) - F.col(last)
+        aggs.append((100 * F.avg((F.signum(F.col(y) - F.col(last)) == F.signum(told)).cast("double"))).alias("mda"))
     return df.groupBy(*by).agg(*aggs)
 
 
@@ -50,6 +55,26 @@ def compare_naive(df: DataFrame, horizon: int) -> DataFrame:
     return both.withColumns({"mse_last_delta": delta("mse_last", "naive_mse_last"), "mae_last_delta": delta("mae_last", "naive_mae_last"), "mse_mean_delta": delta("mse_mean", "naive_mse_mean")})
 
 
+#: The metrics of `point_metrics`, and those of them that are per cent of something already.
+METRICS = ("mse", "mae", "rmse", "r2", "mape", "mda", "under_rate", "over_rate", "mean_under", "mean_over", "max_under", "max_over")
+IN_POINTS = ("mape", "mda", "under_rate", "over_rate")
+
+
+def compare_all(df: DataFrame, horizon: int, trend: str | None = "second_last") -> DataFrame:
+    """(metric, last_step, avg_steps, naive, delta): each metric at the last step, averaged over steps, and of persistence.
+
+    Persistence foretells the direction of its last change. The difference of the last step from it is in points for
+    metrics in per cent, else in per cent of the naive figure; null where that is about 0.
+    """
+    listed = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS])
+    steps = point_metrics(df, ["h"]).select("h", F.explode(listed).alias("x")).select("h", "x.*")
+    naive = point_metrics(df.where(F.col("h") == horizon), [], pred="last", trend=trend).select(F.explode(listed).alias("x")).select("x.metric", F.col("x.v").alias("naive"))
+    both = steps.groupBy("metric").agg(F.max(F.when(F.col("h") == horizon, F.col("v"))).alias("last_step"), F.avg("v").alias("avg_steps")).join(naive, "metric")
+    points = F.col("last_step") - F.col("naive")
+    share = F.when(F.abs("naive") >= 1e-12, 100 * points / F.when(F.abs("naive") >= 1e-12, F.abs("naive")))
+    return both.withColumn("delta", F.when(F.col("metric").isin(*IN_POINTS), points).otherwise(share))
+
+
 def persistence_diagnostics(df: DataFrame, by: list[str]) -> DataFrame:
     """How much of a forecast is persistence: correlations, R2 against it, per cent of rows that beat it, ratio of errors.
 
@@ -85,7 +110,7 @@ def spike_metrics(df: DataFrame, by: list[str], quantile: float = 0.95, threshol
     if threshold is not None:
         marked = df.withColumn("threshold", F.lit(float(threshold)))
     else:
-        marked = df.join(df.groupBy(*by).agg(F.percentile("y", F.lit(quantile)).alias("threshold")), by)
+        marked = join_on(df, quantiles(df, "y", {"threshold": quantile}, by), by)
     spike, miss = F.col("y") > F.col("threshold"), F.col("y") > F.col("upper")
     return marked.groupBy(*by).agg(
         F.max("threshold").alias("threshold"),

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelens.operators.quantiles import join_on, quantiles
+from tracelens.session import materialise
+
 
 def per_timestamp_means(df: DataFrame, time: str = "ts") -> DataFrame:
     """Mean over instances for each service and timestamp: the first level of every fleet figure, computed once."""
@@ -54,12 +57,14 @@ def service_extremes(means: DataFrame) -> DataFrame:
 def instance_stats(df: DataFrame, time: str = "ts", approximate: bool = False) -> DataFrame:
     """Per service: average distinct instances per timestamp, and distinct instances in all.
 
-    Both come from the distinct (service, time, instance) rows, which are made in one shuffle.
+    Both come from the distinct (service, time, instance) rows, counted by time and by instance, so that none is expanded.
     """
     if not approximate:
         seen = df.select("msname", time, "msinstanceid").distinct()
-        average = F.count("msinstanceid") / F.count_distinct(time)
-        return seen.groupBy("msname").agg(average.alias("avg_instances"), F.count_distinct("msinstanceid").alias("total_instances"))
+        times = seen.groupBy("msname", time).agg(F.count("msinstanceid").alias("n")).groupBy("msname").agg(F.avg("n").alias("avg_instances"))
+        instances = seen.where("msinstanceid is not null").groupBy("msname", "msinstanceid").agg(F.count(F.lit(1)).alias("n"))
+        total = instances.groupBy("msname").agg(F.count(F.lit(1)).alias("total_instances"))
+        return times.join(total, "msname", "left").fillna(0, ["total_instances"])
     distinct = F.approx_count_distinct
     per_time = df.groupBy("msname", time).agg(distinct("msinstanceid").alias("instances"))
     average = per_time.groupBy("msname").agg(F.avg("instances").alias("avg_instances"))
@@ -73,9 +78,12 @@ def fleet_summary(stats: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def summary(df: DataFrame, column: str, by: list[str], exact: bool = True) -> DataFrame:
-    """avg, p50, p95, min, max; the quantiles exact with linear interpolation, or approximate for groups too large to sort."""
-    q = (lambda p: F.percentile(column, F.lit(p))) if exact else (lambda p: F.percentile_approx(column, p))
-    return df.groupBy(*by).agg(F.avg(column).alias("avg"), q(0.5).alias("p50"), q(0.95).alias("p95"), F.min(column).alias("min"), F.max(column).alias("max"))
+    """avg, p50, p95, min, max; the quantiles exact with linear interpolation, or approximate. Groups may be of any size."""
+    plain = [F.avg(column).alias("avg"), F.min(column).alias("min"), F.max(column).alias("max")]
+    if not exact:
+        return df.groupBy(*by).agg(*plain, F.percentile_approx(column, 0.5).alias("p50"), F.percentile_approx(column, 0.95).alias("p95"))
+    kept = materialise(df.select(*by, column), "summary")
+    return join_on(kept.groupBy(*by).agg(*plain), quantiles(kept, column, {"p50": 0.5, "p95": 0.95}, by), by)
 
 
 def spread(df: DataFrame, column: str, by: list[str]) -> DataFrame:
@@ -83,13 +91,8 @@ def spread(df: DataFrame, column: str, by: list[str]) -> DataFrame:
 
 
 def higher_quantile(df: DataFrame, score: str, q: float, by: list[str]) -> DataFrame:
-    """The conservative quantile: of n sorted scores the one at ceil((n - 1) q), counted from 0.
-
-    That is the smallest score not below the interpolated quantile; both are aggregates, summed before the shuffle.
-    """
-    scores = df.where(F.col(score).isNotNull()).select(*by, F.col(score).alias("_score"))
-    ends = scores.groupBy(*by).agg(F.percentile("_score", F.lit(q)).alias("_at"))
-    return scores.join(ends, by).where(F.col("_score") >= F.col("_at")).groupBy(*by).agg(F.min("_score").alias("quantile"))
+    """The conservative quantile: of n sorted scores the one at ceil((n - 1) q), counted from 0. Groups may be of any size."""
+    return quantiles(df, score, {"quantile": q}, by, higher=True)
 
 
 def counter_rate(df: DataFrame, by: str, value: str = "value", time: str = "ts", series: tuple[str, ...] = ("series",)) -> DataFrame:

@@ -6,6 +6,8 @@ A series holds one row per time step, so a service's window is bounded by the le
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -104,6 +106,33 @@ def autocorrelation(df: DataFrame, lags: list[int], value: str = "load", time: s
     return sums.select("msname", "_v", F.explode(pairs).alias("x")).select("msname", F.col("x.lag").alias("lag"), F.try_divide(F.col("x.cov"), F.col("_v")).alias("acf"))
 
 
+def all_autocorrelations(df: DataFrame, most: int = 2880, value: str = "load", time: str = "t") -> DataFrame:
+    """(msname, lag, acf) for lags from 1 to `most`, or as many as the series allows: a Fourier transform of the padded series.
+
+    A series is one task, in n log n for all its lags. Series of one row, or that don't vary, have none; null values go.
+    """
+
+    def transform(rows: pd.DataFrame) -> pd.DataFrame:
+        v = rows.sort_values(time)[value].to_numpy(float)
+        n, c = len(v), v - v.mean()
+        variance = float(c @ c) / n
+        if n < 2 or variance < 1e-12:
+            return pd.DataFrame({"msname": [], "lag": [], "acf": []})
+        spectrum = np.fft.rfft(c, 1 << (2 * n - 1).bit_length())
+        lags = np.arange(1, min(most, n - 1) + 1)
+        sums = np.fft.irfft(spectrum * spectrum.conj())[lags]
+        return pd.DataFrame({"msname": rows["msname"].iloc[0], "lag": lags, "acf": sums / ((n - lags) * variance)})
+
+    return df.where(F.col(value).isNotNull()).select("msname", time, value).groupBy("msname").applyInPandas(transform, "msname string, lag int, acf double")
+
+
+def peak_autocorrelation(lags: DataFrame, low: int = 1, high: int | None = None) -> DataFrame:
+    """(msname, lag, acf): of each series the lag, from low to high, of the largest absolute value, the first of equal ones."""
+    some = lags.where((F.col("lag") >= low) & (F.lit(True) if high is None else F.col("lag") <= high))
+    best = some.groupBy("msname").agg(F.max_by(F.struct("lag", "acf"), F.struct(F.abs("acf").alias("a"), (-F.col("lag")).alias("l"))).alias("x"))
+    return best.select("msname", "x.lag", "x.acf")
+
+
 def day_over_day(df: DataFrame, value: str = "load", step: int = 3600) -> DataFrame:
     """(msname, mean, std, n): Pearson correlation of each day's profile with the next day's, over days."""
     days = df.select("msname", F.expr("t div 86400").alias("day"), F.expr(f"(t % 86400) div {step}").alias("slot"), F.col(value).alias("x"))

@@ -13,7 +13,7 @@ def windowize(df: DataFrame, length: int, horizon: int, stride: int, features: l
 
     Each series is gathered once, sorted by position, and sliced at every `stride`, so rows aren't repeated `length`
     times; splits are part of the key, so no window crosses one. Series shorter than length + horizon give none. With
-    `contiguous`, windows whose time steps aren't all that many seconds go. sid: the last feature at the last step as a
+    `contiguous`, windows whose time steps, through the last target, aren't all that many seconds go. sid: the last feature at the last step as a
     whole number, kept for compatibility.
     """
     row = F.struct("pos", "t", F.array(*[F.col(c).cast("double") for c in features]).alias("f"), F.array(*[F.col(c).cast("double") for c in targets]).alias("g"))
@@ -22,7 +22,9 @@ def windowize(df: DataFrame, length: int, horizon: int, stride: int, features: l
     cut = series.where(F.size("s") >= whole).select(*keys, "s", F.explode(F.sequence(F.lit(0), F.size("s") - whole, F.lit(stride))).alias("i"))
     cut = cut.select(*keys, F.slice("s", F.col("i") + 1, length).alias("a"), F.slice("s", F.col("i") + 1 + length, horizon).alias("b"))
     if contiguous:
-        cut = cut.where(F.element_at("a", -1)["t"] - F.element_at("a", 1)["t"] == contiguous * (length - 1))
+        times = F.transform(F.concat("a", "b"), lambda r: r["t"])
+        steps = F.zip_with(F.slice(times, 1, whole - 1), F.slice(times, 2, whole - 1), lambda p, q: q - p == contiguous)
+        cut = cut.where(F.forall(steps, lambda s: s))
     return cut.select(
         *keys,
         F.element_at("a", 1)["t"].alias("win_start"),

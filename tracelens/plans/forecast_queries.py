@@ -33,6 +33,13 @@ def m2_autoregression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.ar1_forecast(forecast.fit_ar1(split_series(spark, sf_dir).where("split = 'train'")), H)
 
 
+@query(f"WITH RECURSIVE {AR1}, b AS (SELECT msname, pos, cpu, cpu - lag(cpu) OVER (PARTITION BY msname ORDER BY pos) AS d FROM split_hourly WHERE split <> 'test'), n AS (SELECT msname, arg_max(cpu, pos) AS last, arg_max(d, pos) AS last_d FROM b GROUP BY msname), s AS (SELECT m.msname, phi, drift, 1 AS h, drift + phi * n.last_d AS dd, n.last + drift + phi * n.last_d AS pred FROM m JOIN n USING (msname) UNION ALL SELECT msname, phi, drift, h + 1, drift + phi * dd, pred + drift + phi * dd FROM s WHERE h < 5) SELECT msname, CAST(h AS INTEGER) AS h, R(pred;R) AS pred FROM s")
+def m2_from_test_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on train, forecast from the last row before test."""
+    rows = materialise(split_series(spark, sf_dir), "split")
+    return forecast.ar1_forecast(forecast.ar1_from(forecast.fit_ar1(rows.where("split = 'train'")), rows), H)
+
+
 @query("WITH o AS (SELECT s.msname, b.o * 25 AS origin FROM (SELECT msname, max(n) AS n FROM series_hourly GROUP BY msname) s CROSS JOIN range(1, 4000) b(o) WHERE b.o * 25 < s.n AND b.o * 25 >= 128), r AS (SELECT s.msname, o.origin, pos, cpu FROM series_hourly s JOIN o ON o.msname = s.msname AND s.pos < o.origin AND s.pos >= o.origin - 128), d AS (SELECT *, cpu - lag(cpu) OVER (PARTITION BY msname, origin ORDER BY pos) AS d FROM r), e AS (SELECT *, lag(d) OVER (PARTITION BY msname, origin ORDER BY pos) AS d1 FROM d), f AS (SELECT msname, origin, coalesce(covar_pop(d, d1) / nullif(var_pop(d1), 0), 0) AS phi, avg(d) AS my, avg(d1) AS mx FROM e WHERE d1 IS NOT NULL GROUP BY ALL), l AS (SELECT msname, origin, arg_max(cpu, pos) AS last, arg_max(d, pos) AS last_d FROM d GROUP BY ALL), g AS (SELECT msname, origin, phi, my - phi * mx AS drift, last, last_d, unnest(range(1, 6)) AS h FROM f JOIN l USING (msname, origin)) SELECT msname, CAST(origin AS BIGINT) AS origin, CAST(h AS INTEGER) AS h, R(list_reduce(list_prepend({'y': last, 'd': last_d}, list_transform(range(h), lambda k: {'y': last, 'd': last_d})), lambda s, k: {'y': s.y + drift + phi * s.d, 'd': drift + phi * s.d}).y;R) AS pred FROM g")
 def m2_rolling_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.ar1_rolling(views.series_hourly(spark, sf_dir), H)
@@ -57,7 +64,13 @@ def m3_order_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def m4_linear_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = forecast.linear_direct(hourly_windows(spark, sf_dir), H, L)
+    made = forecast.linear_direct(hourly_windows(spark, sf_dir))
+    return metrics.point_metrics(made.where("split = 'test'"), ["h"], last=None)
+
+
+@query()
+def m4_trend_seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = forecast.linear_direct(hourly_windows(spark, sf_dir), kind="trend_seasonal", kernel=7)
     return metrics.point_metrics(made.where("split = 'test'"), ["h"], last=None)
 
 
@@ -206,6 +219,16 @@ def e2_compare_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.compare_naive(views.forecast_log(spark, sf_dir).withColumn("h", 1 + F.col("pos") % 5), 5)
 
 
+PLAIN = POINT.replace("R(", "(").replace(";R)", ")")
+NAMES = ", ".join(metrics.METRICS)
+
+
+@query(f"WITH f AS (SELECT *, 1 + pos % 5 AS h FROM forecast_log), s AS (SELECT h, {PLAIN} FROM f GROUP BY h), u AS (SELECT h, metric, v FROM (UNPIVOT s ON {NAMES} INTO NAME metric VALUE v)), n0 AS (SELECT {PLAIN.replace('pred', 'last').replace('sign(last - last)', 'sign(last - second_last)')} FROM f WHERE h = 5), n AS (SELECT metric, v AS naive FROM (UNPIVOT n0 ON {NAMES} INTO NAME metric VALUE v)), b AS (SELECT metric, max(CASE WHEN h = 5 THEN v END) AS last_step, avg(v) AS avg_steps, any_value(naive) AS naive FROM u JOIN n USING (metric) GROUP BY metric) SELECT metric, R(last_step;R) AS last_step, R(avg_steps;R) AS avg_steps, R(naive;R) AS naive, R(CASE WHEN metric IN ('mape', 'mda', 'under_rate', 'over_rate') THEN last_step - naive WHEN abs(naive) >= 1e-12 THEN 100 * (last_step - naive) / abs(naive) END;R) AS delta FROM b", digits=6)
+def e1_e2_all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve metrics at the last step, over all steps, and of persistence, whose direction is that of its last change."""
+    return metrics.compare_all(views.forecast_log(spark, sf_dir).withColumn("h", 1 + F.col("pos") % 5), 5)
+
+
 CORR = "covar_pop({x}, {y}) / CASE WHEN stddev_pop({x}) * stddev_pop({y}) > 1e-12 THEN stddev_pop({x}) * stddev_pop({y}) END"
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelens.operators import profile, series, telemetry
+from tracelens.operators import profile, quantiles, series, telemetry
 from tracelens.operators.rolling import active_services
 from tracelens.plans import views
 from tracelens.plans.registry import query
+from tracelens.session import scratch
 
 
 @query("SELECT CAST(b.bin AS INTEGER) AS bin, count(x.bin2) AS n FROM range(20) b(bin) LEFT JOIN (SELECT CAST(least(floor(cpu * 20), 19) AS INTEGER) AS bin2 FROM (SELECT msname, ts, avg(cpu) AS cpu FROM trace_hourly WHERE cpu BETWEEN 0 AND 1 AND mem BETWEEN 0 AND 1 GROUP BY ALL)) x ON x.bin2 = b.bin GROUP BY b.bin")
@@ -79,6 +80,21 @@ def a17_percentile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.summary(views.trace_hourly(spark, sf_dir), "cpu", ["msname"])
 
 
+@query("WITH s AS (SELECT msname, cpu, percent_rank() OVER (PARTITION BY msname ORDER BY cpu) AS r FROM trace_hourly) SELECT msname, count(*) AS n, R(avg(cpu);R) AS mean, true AS distinct_close, true AS p50_close, true AS p95_close FROM s GROUP BY msname")
+def a11_a18_a5_folded_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each day, added day by day, folded: counts and means are exact, distinct instances within 5 per cent, quantiles within 1 per cent of rank."""
+    rows = views.trace_hourly(spark, sf_dir).withColumn("day", F.expr("ts div 86400"))
+    path, args = scratch(spark, "sketches"), ("day", ["msname"], "msinstanceid", "cpu")
+    middle = rows.agg(F.expr("(min(day) + max(day)) div 2")).first()[0]
+    quantiles.add_parts(rows.where(F.col("day") <= middle), path, *args)
+    quantiles.add_parts(rows, path, *args)  # the days that are there cost nothing
+    got = quantiles.estimates(quantiles.fold(spark.read.parquet(path), ["msname"]), ["msname"], {"p50": 0.5, "p95": 0.95})
+    at = lambda c, q: F.abs(F.avg((F.col("cpu") <= F.col(c)).cast("double")) - q) <= 0.01 + 1 / F.count(F.lit(1))
+    exact = rows.join(F.broadcast(got), "msname").groupBy("msname").agg(F.count_distinct("msinstanceid").alias("instances"), at("p50", 0.5).alias("p50_close"), at("p95", 0.95).alias("p95_close"))
+    near = F.abs(F.col("distinct") - F.col("instances")) <= 0.05 * F.col("instances")
+    return got.join(exact, "msname").select("msname", "n", "mean", near.alias("distinct_close"), "p50_close", "p95_close")
+
+
 @query("SELECT CAST(floor(greatest(0.0, least(1.0, cpu)) * 99) AS INTEGER) AS bin, count(*) AS n FROM trace_hourly WHERE cpu IS NOT NULL GROUP BY ALL")
 def a18_histogram_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.sketch(views.trace_hourly(spark, sf_dir), "cpu", 100)

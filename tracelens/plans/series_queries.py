@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tracelens.functions import scalars
 from tracelens.functions.scalars import epoch_seconds
-from tracelens.operators import dependence, rolling, series, signal, windows
+from tracelens.operators import approaches, dependence, rolling, series, signal, windows
 from tracelens.plans import views
 from tracelens.plans.registry import query
+from tracelens.session import scratch
 from tracelens.sources import catalog
 
 STATS = "SELECT msname, t, load, count(*) OVER w AS n_points, count(CASE WHEN load > 0 THEN 1 END) OVER w AS n_active, avg(load) OVER w AS avg_load, stddev_samp(load) OVER w AS std_load, min(load) OVER w AS min_load, max(load) OVER w AS max_load, min(t) OVER w AS win_start, max(t) OVER w AS win_end FROM load_hourly WINDOW w AS (PARTITION BY msname ORDER BY t ROWS BETWEEN 24 PRECEDING AND CURRENT ROW)"
@@ -97,6 +98,20 @@ def w6_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.autocorrelation(views.load_hourly(spark, sf_dir), [1, 24])
 
 
+ALL_LAGS = "c AS (SELECT msname, load - avg(load) OVER (PARTITION BY msname) AS c, row_number() OVER (PARTITION BY msname ORDER BY t) AS i, count(*) OVER (PARTITION BY msname) AS n FROM load_hourly), v AS (SELECT msname, avg(c * c) AS v FROM c GROUP BY msname), l AS (SELECT a.msname, b.i - a.i AS lag, sum(a.c * b.c) / max(a.n - b.i + a.i) AS cov FROM c a JOIN c b ON a.msname = b.msname AND b.i > a.i AND b.i - a.i <= 2880 GROUP BY a.msname, b.i - a.i), acf AS (SELECT msname, CAST(lag AS INTEGER) AS lag, cov / v AS acf FROM l JOIN v USING (msname) WHERE v >= 1e-12)"
+
+
+@query(f"WITH {ALL_LAGS} SELECT msname, lag, R(acf;R) AS acf FROM acf", digits=7)
+def w6_all_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling.all_autocorrelations(views.load_hourly(spark, sf_dir))
+
+
+@query(f"WITH {ALL_LAGS} SELECT msname, arg_max(lag, (abs(acf), -lag)) AS lag, R(arg_max(acf, (abs(acf), -lag));R) AS acf FROM acf WHERE lag BETWEEN 12 AND 168 GROUP BY msname", digits=7)
+def w6_peak_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest period between half a day and a week."""
+    return rolling.peak_autocorrelation(rolling.all_autocorrelations(views.load_hourly(spark, sf_dir)), 12, 168)
+
+
 @query("WITH d AS (SELECT msname, t // 86400 AS day, (t % 86400) // 3600 AS slot, load AS x FROM load_hourly), j AS (SELECT a.msname, a.day, covar_pop(a.x, b.x) / CASE WHEN stddev_pop(a.x) * stddev_pop(b.x) > 1e-12 THEN stddev_pop(a.x) * stddev_pop(b.x) END AS r FROM d a JOIN d b ON a.msname = b.msname AND a.day = b.day - 1 AND a.slot = b.slot GROUP BY ALL) SELECT msname, R(avg(r);R) AS mean, R(stddev_pop(r);R) AS std, count(r) AS n FROM j GROUP BY msname")
 def w7_day_over_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.day_over_day(views.load_hourly(spark, sf_dir))
@@ -140,6 +155,13 @@ def d4_d5_d6_d8_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("msname", "split", "win_start", total(windows.channel(F.col("x"), 0)).alias("x_cpu"), total(windows.channel(F.col("x"), 1)).alias("x_mem"), total(y).alias("y"), F.element_at("last", 1).alias("last"), F.element_at("second_last", 1).alias("second_last"), "sid")
 
 
+@query(f"WITH {WINDOWS.replace('SELECT msname, split, t[i + 1] AS win_start', 'SELECT msname, split, t, i, t[i + 1] AS win_start')} SELECT msname, split, win_start FROM w WHERE list_bool_and([t[i + k + 1] - t[i + k] = 3600 for k in range(1, {L + H})])")
+def d4_contiguous_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows without a gap, from the first input to the last target."""
+    rows = series.assign_split(views.series_hourly(spark, sf_dir))
+    return windows.windowize(rows, L, H, STRIDE, ["cpu", "mem"], ["cpu"], contiguous=3600).select("msname", "split", "win_start")
+
+
 @query(f"WITH {WINDOWS} SELECT msname, split, win_start, list_transform(y, lambda v: round_even(round(v, 9), 2)) AS y FROM w")
 def d7_quantised_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = hourly_windows(spark, sf_dir)
@@ -312,6 +334,26 @@ def g1_g2_wavelet_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 HAAR = "0.7071067811865476::DOUBLE"
 
 
+def _haar(c: str, sign: str) -> str:
+    raw = f"{c}[i]" if sign == "+" else "0.0::DOUBLE"
+    return f"CASE WHEN list_stddev_pop({c}) >= 1e-12 THEN {HAAR} * {c}[i] {sign} {HAAR} * {c}[i % {L} + 1] ELSE {raw} END"
+
+
+APPROACHES = {"none": "[[xc[i], xm[i]]", "smoothing": f"[[{_smooth('xc')}, {_smooth('xm')}]", "wavelet": "[[" + ", ".join(_haar(c, s) for c in ("xc", "xm") for s in "+-") + "]"}
+
+
+@query(f"WITH {WINDOWS} " + " UNION ALL ".join(f"SELECT '{name}' AS approach, msname, split, win_start, list_transform(flatten({x} for i in range(1, {L + 1})]), lambda v: round(v, 7) + 0.0::DOUBLE) AS x FROM w" for name, x in APPROACHES.items()))
+def x3_g2_approaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows prepared by each approach, kept under a key that holds its parameters."""
+    source, folder = views.table(spark, sf_dir, "events"), scratch(spark, "approaches")
+    made = None
+    for name, parameters in {"none": {}, "smoothing": {"width": 5}, "wavelet": {"level": 1, "wavelet": "haar"}}.items():
+        one = approaches.prepared(spark, folder, source, lambda: hourly_windows(spark, sf_dir), name, 2, **parameters)
+        one = one.select(F.lit(name).alias("approach"), "msname", "split", "win_start", F.transform(F.flatten("x"), lambda v: F.round(v, 7) + F.lit(0.0)).alias("x"))
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
 @query(f"WITH {WINDOWS} SELECT msname, split, win_start, list_concat([round({HAAR} * xc[i] + {HAAR} * xc[i % {L} + 1], 7) for i in range(1, {L + 1})], [round({HAAR} * xc[i] - {HAAR} * xc[i % {L} + 1], 7) + 0.0::DOUBLE for i in range(1, {L + 1})]) AS channels FROM w WHERE list_stddev_pop(xc) >= 1e-12")
 def g1_haar_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = signal.decompose(hourly_windows(spark, sf_dir).select("msname", "split", "win_start", "x"), level=1, wavelet="haar")

@@ -80,6 +80,21 @@ def r1_r7_stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(made).select(F.col("t").cast("long").alias("t"), "msname", "cpu", "n")
 
 
+@query("SELECT count(CASE WHEN pos < 12 THEN 1 END) AS dropped, count(CASE WHEN pos >= 24 AND t + 3600 <= last - 3600 THEN 1 END) AS buckets FROM (SELECT *, max(t) OVER () AS last FROM series_hourly)")
+def r7_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours that arrive when the watermark is far beyond them are dropped, and counted."""
+    rows = views.series_hourly(spark, sf_dir).select("msname", "pos", F.timestamp_seconds("t").alias("ts"), "cpu")
+    arrived, path, dropped = scratch(spark, "in"), scratch(spark, "out"), 0
+    for part in (rows.where("pos >= 24"), rows.where("pos < 12")):
+        part.drop("pos").write.mode("append").parquet(arrived)
+        source = spark.readStream.schema(part.drop("pos").schema).parquet(arrived)
+        made = streams.stream_buckets(source, "1 hour", "1 hour", {"cpu": F.avg("cpu")})
+        q = made.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        dropped += streams.late_rows(q)
+    return spark.read.parquet(path).agg(F.lit(dropped).cast("long").alias("dropped"), F.count(F.lit(1)).alias("buckets"))
+
+
 @query("SELECT p.msname, p.ts AS made, a.ts AS ts, R(p.v;R) AS pred, R(a.v;R) AS y FROM (SELECT msname, t AS ts, cpu AS v FROM means_hourly) p JOIN (SELECT msname, t AS ts, cpu AS v FROM means_hourly) a ON a.msname = p.msname AND a.ts = p.ts + 18000")
 def r3_matured_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.series_hourly(spark, sf_dir).select("msname", F.timestamp_seconds("t").alias("ts"), "cpu")

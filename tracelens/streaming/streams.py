@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from tracelens.operators.conformal import AdaptiveConfig, AdaptiveState
 
@@ -31,32 +32,39 @@ def stream_mature(predictions: DataFrame, actuals: DataFrame, horizon: str, dela
 
 
 class History(StatefulProcessor):
-    """The last `length` samples of each key; a row once it is full, and at every sample after."""
+    """The last `length` samples of each key; a row once it is full, and at every sample after.
 
-    length = 24
+    Samples are a list state to which new ones are appended; it is written anew only when it holds twice as many as are
+    needed. With `idle`, what a key has kept goes after as many milliseconds without a sample.
+    """
+
+    length, idle = 24, None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", "values array<double>")
+        self.kept = handle.getListState("kept", "value double", self.idle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        kept = list(self.kept.get()[0]) if self.kept.exists() else []
-        out = []
+        held = [v[0] for v in self.kept.get()] if self.kept.exists() else []
+        kept, out = held[-self.length :], []
         new = pd.concat(list(rows)).sort_values("ts")
         for ts, value in zip(new["ts"], new["value"], strict=True):
             kept = [*kept, float(value)][-self.length :]
             if len(kept) == self.length:
                 out.append((key[0], ts, list(kept)))
-        self.kept.update((kept,))
+        if len(held) + len(new) > 2 * self.length:
+            self.kept.put([(v,) for v in kept])
+        else:
+            self.kept.appendList([(float(v),) for v in new["value"]])
         yield pd.DataFrame(out, columns=["msname", "ts", "history"])
 
     def close(self) -> None:
         pass
 
 
-def stream_history(df: DataFrame, length: int = 24) -> DataFrame:
-    """df: msname, ts long, value double. Out: msname, ts, history."""
-    processor = type("HistoryOf", (History,), {"length": length})()
-    return df.groupBy("msname").transformWithStateInPandas(processor, "msname string, ts long, history array<double>", "Append", "None")
+def stream_history(df: DataFrame, length: int = 24, idle: int | None = None) -> DataFrame:
+    """df: msname, ts long, value double. Out: msname, ts, history. `idle`: milliseconds after which a key's state goes."""
+    processor = type("HistoryOf", (History,), {"length": length, "idle": idle})()
+    return df.groupBy("msname").transformWithStateInPandas(processor, "msname string, ts long, history array<double>", "Append", "ProcessingTime" if idle else "None")
 
 
 class Conformal(StatefulProcessor):
@@ -112,30 +120,61 @@ def stream_conformal(df: DataFrame, cfg: AdaptiveConfig = AdaptiveConfig(), hori
 
 
 class Stabiliser(StatefulProcessor):
-    """The recommendations of the last `seconds`, at most `most` of them; each row gets the largest unless it scales up."""
+    """The recommendations of the last `seconds`, at most `most` of them; each row gets the largest unless it scales up.
+
+    They are a list state, appended to, and written anew only when half of it is out of date.
+    """
 
-    seconds, most = 300, 200
+    seconds, most, idle = 300, 200, None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getValueState("recent", "times array<bigint>, wishes array<int>")
+        self.recent = handle.getListState("recent", "at bigint, wish int", self.idle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        recent = list(zip(*self.recent.get(), strict=True)) if self.recent.exists() else []
-        out = []
+        held = [(v[0], v[1]) for v in self.recent.get()] if self.recent.exists() else []
+        recent, new, out = held, [], []
         for r in pd.concat(list(rows)).sort_values("ts").itertuples(index=False):
-            recent = [(t, w) for t, w in [*recent, (int(r.ts), int(r.desired))] if t > r.ts - self.seconds][-self.most :]
+            new.append((int(r.ts), int(r.desired)))
+            recent = [(t, w) for t, w in [*recent, new[-1]] if t > r.ts - self.seconds][-self.most :]
             out.append((key[0], int(r.ts), int(r.desired) if r.desired > r.replicas else max(w for _, w in recent)))
-        self.recent.update(([t for t, _ in recent], [w for _, w in recent]))
+        if len(held) + len(new) > 2 * len(recent):
+            self.recent.put(recent)
+        else:
+            self.recent.appendList(new)
         yield pd.DataFrame(out, columns=["msname", "ts", "stable"])
 
     def close(self) -> None:
         pass
 
 
-def stream_stabilise(df: DataFrame, seconds: int = 300) -> DataFrame:
-    """df: msname, ts long, replicas, desired. Out: msname, ts, stable."""
-    processor = type("StabiliserOf", (Stabiliser,), {"seconds": seconds})()
-    return df.groupBy("msname").transformWithStateInPandas(processor, "msname string, ts long, stable int", "Append", "None")
+def stream_stabilise(df: DataFrame, seconds: int = 300, idle: int | None = None) -> DataFrame:
+    """df: msname, ts long, replicas, desired. Out: msname, ts, stable. `idle`: milliseconds after which a key's state goes."""
+    processor = type("StabiliserOf", (Stabiliser,), {"seconds": seconds, "idle": idle})()
+    return df.groupBy("msname").transformWithStateInPandas(processor, "msname string, ts long, stable int", "Append", "ProcessingTime" if idle else "None")
+
+
+class LateRows(StreamingQueryListener):
+    """Counts, for each query by its id, the rows that came after the watermark had passed them and were dropped.
+
+    Before an aggregation, rows of a task that share a group and a bucket count as one.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: Counter[str] = Counter()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.dropped[str(event.progress.id)] += sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """The rows that a query's run has dropped as late, from the progress of its batches (the last hundred by default)."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
 
 
 def stream_latest(df: DataFrame, columns: list[str], key: str = "msname", time: str = "ts") -> DataFrame:
