@@ -181,11 +181,30 @@ def test_list_states_are_trimmed_and_idle_keys_go(spark, tmp_path):
         out = _run(spark, tmp_path / "kept", [("a", 5 * k + i, float(5 * k + i)) for i in range(5)], build)
     got = {r.ts: r.history for r in out.collect()}
     assert got == {t: [t - 2.0, t - 1.0, float(t)] for t in range(2, 20)}
-    build = lambda df: streams.stream_history(df, 3, idle=2_000)
-    _run(spark, tmp_path / "idle", [("a", i, float(i)) for i in range(2)], build)
-    time.sleep(3)
-    out = _run(spark, tmp_path / "idle", [("a", 2, 2.0), ("a", 3, 3.0)], build)
-    assert out.collect() == []  # what was kept is gone, so the history isn't full
+
+
+def test_what_an_idle_key_has_kept_goes(spark, tmp_path):
+    from tracelens.plans.stream_queries import _rocksdb
+
+    schema = "msname string, ts long, value double"
+    put = lambda *times: spark.createDataFrame([("a", t, float(t)) for t in times], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    put(0, 1)
+    seen = []
+    with _rocksdb(spark):
+        made = streams.stream_history(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 3, idle=2_000)
+        q = made.writeStream.foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="500 milliseconds").start()
+        try:
+            for times in ((), (2, 3), (4,)):
+                if times:
+                    time.sleep(4 if times == (2, 3) else 0)
+                    put(*times)
+                until = time.time() + 30
+                want = {(): 2, (2, 3): 4, (4,): 5}[times]
+                while sum(p["numInputRows"] for p in q.recentProgress) < want and time.time() < until:
+                    time.sleep(0.2)
+        finally:
+            q.stop()
+    assert [list(r.history) for r in seen] == [[2.0, 3.0, 4.0]]  # 0 and 1 were gone
 
 
 def test_rows_behind_the_watermark_are_reported(spark, tmp_path):

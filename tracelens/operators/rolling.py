@@ -117,7 +117,7 @@ def all_autocorrelations(df: DataFrame, most: int = 2880, value: str = "load", t
         n, c = len(v), v - v.mean()
         variance = float(c @ c) / n
         if n < 2 or variance < 1e-12:
-            return pd.DataFrame({"msname": [], "lag": [], "acf": []})
+            return pd.DataFrame({"msname": pd.Series(dtype=object), "lag": pd.Series(dtype="int32"), "acf": pd.Series(dtype=float)})
         spectrum = np.fft.rfft(c, 1 << (2 * n - 1).bit_length())
         lags = np.arange(1, min(most, n - 1) + 1)
         sums = np.fft.irfft(spectrum * spectrum.conj())[lags]
