@@ -60,6 +60,31 @@ def test_license_templates_accept_variants(spark):
     assert [(m.label, m.start, m.end) for m in got[1].matches] == [("apache-2.0", 3, 11)]
 
 
+def test_each_common_notice_has_a_template(spark):
+    notices = {
+        "SPDX-License-Identifier: MIT": "spdx-mit",
+        "SPDX-License-Identifier: Apache-2.0": "spdx-apache-2.0",
+        "// SPDX-License-Identifier: GPL-2.0-only": "spdx-gpl-2.0",
+        "under the Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa-named-4.0",
+        "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International Public License": "cc-by-nc-sa-named-4.0",
+        "CC0: Creative Commons Zero 1.0 Universal, the public domain dedication": "cc0-1.0-notice",
+        "released under the BSD 3-Clause License": "bsd-3-clause-notice",
+        "released under the BSD license": "bsd-notice",
+        "distributed under the ISC License": "isc-notice",
+        "this is under the GNU\nGPL v3": "gpl-3.0-short",
+        "GNU GPL, version 2": "gpl-2.0-name",
+        "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION": "apache-2.0-text",
+        "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\nEveryone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.": "gpl-3.0-text",
+        "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc.\nEveryone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.": "lgpl-3.0-text",
+        "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions": "mpl-2.0-text",
+        "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software": "unlicense-text",
+    }
+    docs = spark.createDataFrame([(i, f"Some words. {text}, and more.") for i, text in enumerate(notices)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_documents(docs).collect()}
+    for i, label in enumerate(notices.values()):
+        assert label in got[i].labels.split(",") and got[i].score == 1.0, (label, got[i].labels)
+
+
 def test_automata_accept_what_their_patterns_match():
     """Each template as a regular expression over words; all starts and ends of random texts are tried."""
     rng = random.Random(9)

@@ -53,11 +53,33 @@ TEMPLATES = {
         " <<var;max=2>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
     ),
     "agpl-3.0": "under the <<beginOptional>>terms of the<<endOptional>> gnu affero general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3",
+    "apache-2.0-text": "apache license version 2.0 january 2004 <<var;max=5>> terms and conditions for use reproduction and distribution",
+    "gpl-3.0-text": "gnu general public license version 3 29 june 2007 <<var;max=16>> everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+    "gpl-2.0-text": "gnu general public license version 2 june 1991 <<var;max=24>> everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+    "lgpl-3.0-text": "gnu lesser general public license version 3 29 june 2007 <<var;max=16>> everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+    "lgpl-2.1-text": "gnu lesser general public license version 2.1 february 1999 <<var;max=24>> everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+    "agpl-3.0-text": "gnu affero general public license version 3 19 november 2007 <<var;max=16>> everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+    "mpl-2.0-text": "mozilla public license version 2.0 <<var;max=4>> definitions",
+    "unlicense-text": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
+    "gpl-3.0-name": "gnu gpl <<beginOptional>>version<<endOptional>> <<beginOptional>>v<<endOptional>> 3",
+    "gpl-3.0-short": "gnu gpl v3",
+    "gpl-2.0-name": "gnu gpl <<beginOptional>>version<<endOptional>> <<beginOptional>>v<<endOptional>> 2",
+    "gpl-2.0-short": "gnu gpl v2",
+    "bsd-2-clause-notice": "under the <<beginOptional>>terms of the<<endOptional>> <<beginOptional>>simplified<<endOptional>> bsd 2 clause license",
+    "bsd-3-clause-notice": "under the <<beginOptional>>terms of the<<endOptional>> <<beginOptional>>new<<endOptional>> bsd 3 clause license",
+    "bsd-notice": "under the <<beginOptional>>terms of the<<endOptional>> bsd license",
+    "isc-notice": "under the <<beginOptional>>terms of the<<endOptional>> isc license",
+    "cc-by-sa-named-4.0": "creative commons attribution sharealike 4.0 <<beginOptional>>international<<endOptional>> <<beginOptional>>public<<endOptional>> license",
+    "cc-by-nc-named-4.0": "creative commons attribution noncommercial 4.0 <<beginOptional>>international<<endOptional>> <<beginOptional>>public<<endOptional>> license",
+    "cc-by-nc-sa-named-4.0": "creative commons attribution noncommercial sharealike 4.0 <<beginOptional>>international<<endOptional>> <<beginOptional>>public<<endOptional>> license",
+    "cc-by-nd-named-4.0": "creative commons attribution noderivatives 4.0 <<beginOptional>>international<<endOptional>> <<beginOptional>>public<<endOptional>> license",
+    "cc0-1.0-notice": "creative commons <<beginOptional>>cc0<<endOptional>> <<beginOptional>>zero<<endOptional>> 1.0 universal <<var;max=3>> public domain dedication",
+    **{f"spdx-{name}": f"spdx license identifier {name.replace('-', ' ')}" for name in ("mit", "apache-2.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "mpl-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "unlicense", "cc0-1.0", "cc-by-4.0", "cc-by-sa-4.0")},
     "mpl-2.0": "subject to the terms of the mozilla public license v 2.0 <<var;max=12>> if a copy of the mpl was not distributed with this file",
 }
 
 #: A text with none of these holds no part of a template.
-CUES = (b"license", b"licence", b"permission", b"redistribution")
+CUES = (b"license", b"licence", b"permission", b"redistribution", b"gpl", b"unencumbered", b"commons")
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 MARK = re.compile(r"<<(beginOptional|endOptional|var;max=(\d+))>>")
 
