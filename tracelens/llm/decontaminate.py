@@ -162,7 +162,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDO
     """The documents without any benchmark window, with all their columns, whatever their names.
 
     A document is known by doc_id and a hash of its text: equal texts share their verdict. Null and empty texts stay; so
-    do all documents if the benchmark is empty. An empty table gives no rows.
+    do all documents if the benchmark is empty. Repeated rows stay or go together; very long texts are searched whole. An
+    empty table gives no rows.
     """
     tagged = docs.select("text", F.col("doc_id").alias("_id"), text_tag().alias("_tag"))
     bad = find_hits(tagged, benchmark, ["_id", "_tag"], every=False, length=length)[0].select("_id", "_tag").distinct()

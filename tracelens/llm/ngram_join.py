@@ -459,7 +459,8 @@ def keep_one(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
 
     Rows are looked up among those that stay, so a large class is no bottleneck. Each row goes or stays by its own text: ids
     that are null come after all others, equal ids are told apart by a hash of the text, and of rows equal in both one stays.
-    Rows without words are equal only if they have an id.
+    Rows without words are equal only if they have an id. Very long texts are compared whole. An empty table gives no rows;
+    columns stay whatever their names.
     """
     sets, roots = set_classes(docs.select("doc_id", "text"), rule)
     worded = sets.where("n > 0").join(roots, F.col("fp") == F.col("node"), "left").withColumn("class", F.coalesce("root", "fp"))

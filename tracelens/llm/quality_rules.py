@@ -135,8 +135,8 @@ def base_failed() -> Column:
 def judge_documents(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, posterior of every document.
 
-    Null or empty text: no words, so it fails. Equal texts get equal verdicts. An empty table gives no rows; a null
-    doc_id stays null; other columns are not read.
+    Null or empty text: no words, so it fails. Equal texts get equal verdicts, and repeated rows are judged one by one. Very
+    long texts are judged whole. An empty table gives no rows; a null doc_id stays null; other columns are not read.
     """
     featured = materialise(with_features(docs.select("doc_id", "text")).drop("text"), "quality")
     good = posterior_good(fit_on(featured))
@@ -147,6 +147,9 @@ def judge_documents(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
 def keep_good(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
     """The documents that `judge_documents` keeps, with all their columns.
 
+    Null, empty and blank texts go. Very long texts are judged whole. Repeated rows stay or go together; ids may be null or
+    repeated, as each row is judged by its own text. An empty table gives no rows; columns stay whatever their names.
+
     Rows and features are written once: a filter over unwritten features would be pushed below them, which repeats them.
     """
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text").alias("text"))
