@@ -23,7 +23,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The zone whose wall clock logs are written in.
-ZONE = "Asia/Tehran"
+ZONE = "Asia/Kolkata"
 COUNTS = "counts AS (SELECT (day(ts) - 1) * 1440 + hour(ts) * 60 + minute(ts) AS minute, count(*) AS n FROM events WHERE event_id % 50 <> 0 GROUP BY ALL)"
 CURVE = f"{COUNTS}, filled AS (SELECT CAST(r.m AS BIGINT) AS minute, coalesce(n, 0) AS n FROM range(0, (SELECT max(minute) // 1440 + 1 FROM counts) * 1440) r(m) LEFT JOIN counts ON counts.minute = r.m), curve AS (SELECT minute, n::DOUBLE / max(n) OVER () AS load FROM filled)"
 

@@ -69,17 +69,17 @@ class FeatureSet:
 
 #: Name, features, targets, base table, join keys.
 _SETS = (
-    ("cpu", "cpu_utilization", "cpu_utilization", "msresource", "msname"),
-    ("cpu_mem", "cpu_utilization memory_utilization", "cpu_utilization", "msresource", "msname"),
-    ("node_cpu_mem", "cpu_utilization memory_utilization node_cpu_utilization node_memory_utilization", "cpu_utilization", "msresource", "nodeid"),
-    ("cpu_mem_mcr", "cpu_utilization memory_utilization providerrpc_mcr consumerrpc_mcr providermq_mcr consumermq_mcr http_mcr writemc_mcr readmc_mcr writedb_mcr readdb_mcr", "cpu_utilization", "msresource", "msname"),
-    ("threshold_analysis", "cpu_utilization providerrpc_rt providerrpc_mcr http_rt http_mcr providermq_rt providermq_mcr", "cpu_utilization", "msresource", "msname msinstanceid"),
-    ("cpu_mem_both", "cpu_utilization memory_utilization", "cpu_utilization memory_utilization", "msresource", "msname"),
-    ("cpu_mem_http_rpc", "cpu_utilization memory_utilization http_mcr providerrpc_mcr", "cpu_utilization memory_utilization", "msresource", "msname"),
-    ("mcr_http", "http_mcr", "http_mcr", "msrtmcre", "msname"),
-    ("cpu_mem_http_rpc_replicas", "cpu_utilization memory_utilization http_mcr providerrpc_mcr replicas", "cpu_utilization memory_utilization", "msresource", "msname"),
+    ("cpu", ("cpu_utilization",), ("cpu_utilization",), "msresource", ("msname",)),
+    ("cpu_mem", ("cpu_utilization", "memory_utilization"), ("cpu_utilization",), "msresource", ("msname",)),
+    ("node_cpu_mem", ("cpu_utilization", "memory_utilization", "node_cpu_utilization", "node_memory_utilization"), ("cpu_utilization",), "msresource", ("nodeid",)),
+    ("cpu_mem_mcr", ("cpu_utilization", "memory_utilization", "providerrpc_mcr", "consumerrpc_mcr", "providermq_mcr", "consumermq_mcr", "http_mcr", "writemc_mcr", "readmc_mcr", "writedb_mcr", "readdb_mcr"), ("cpu_utilization",), "msresource", ("msname",)),
+    ("threshold_analysis", ("cpu_utilization", "providerrpc_rt", "providerrpc_mcr", "http_rt", "http_mcr", "providermq_rt", "providermq_mcr"), ("cpu_utilization",), "msresource", ("msname", "msinstanceid")),
+    ("cpu_mem_both", ("cpu_utilization", "memory_utilization"), ("cpu_utilization", "memory_utilization"), "msresource", ("msname",)),
+    ("cpu_mem_http_rpc", ("cpu_utilization", "memory_utilization", "http_mcr", "providerrpc_mcr"), ("cpu_utilization", "memory_utilization"), "msresource", ("msname",)),
+    ("mcr_http", ("http_mcr",), ("http_mcr",), "msrtmcre", ("msname",)),
+    ("cpu_mem_http_rpc_replicas", ("cpu_utilization", "memory_utilization", "http_mcr", "providerrpc_mcr", "replicas"), ("cpu_utilization", "memory_utilization"), "msresource", ("msname",)),
 )
-FEATURE_SETS = {name: FeatureSet(name, tuple(features.split()), tuple(targets.split()), base, tuple(keys.split())) for name, features, targets, base, keys in _SETS}
+FEATURE_SETS = {name: FeatureSet(name, features, targets, base, keys) for name, features, targets, base, keys in _SETS}
 
 
 def feature_set(name: str) -> FeatureSet:
