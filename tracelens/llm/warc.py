@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelens.llm.common import materialise, scratch
+from tracelens.sources.files import filesystem
 
 #: Bytes after which a task begins another archive file.
 ARCHIVE_BYTES = 256 << 20
@@ -45,15 +46,6 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _filesystem(path: str):
-    """(pyarrow file system, path within it) of a path as Hadoop writes it."""
-    from pyarrow import fs
-
-    if path.startswith("file:") or "://" not in path:
-        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(path)
-
-
 def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))])
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -111,7 +103,7 @@ def write_archives(pages: DataFrame, *, page_id: str = "page_id", url: str = "ur
     folder = scratch(spark, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = _filesystem(folder)
+        files, root = filesystem(folder)
         files.create_dir(root, recursive=True)
         stem, out, name, at, n = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", None, "", 0, 0
         for batch in batches:
@@ -175,7 +167,7 @@ def read_records(index: DataFrame, payload: bool = True) -> DataFrame:
             offsets, lengths = (batch.column(i).to_numpy() for i in (1, 2))
             for i, j in coalesced(np.array(archives, object), offsets, lengths):
                 if archives[i] != name:
-                    files, path = _filesystem(archives[i])
+                    files, path = filesystem(archives[i])
                     name, source = archives[i], files.open_input_file(path)
                 data = source.read_at(int(max(offsets[i:j] + lengths[i:j]) - offsets[i]), int(offsets[i]))
                 out = []
