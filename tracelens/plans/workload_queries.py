@@ -172,12 +172,12 @@ def f1_f3_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", scalars.natural_key(F.col("name")).alias("key"), scalars.strip_hpa(F.col("name")).alias("plain"), scalars.strip_pod_suffix(F.col("name")).alias("stem"))
 
 
-@query("SELECT event_id, (epoch_ms(ts) // 60000) * 60000 AS minute, (CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) // 7200) * 7200 AS two_hours, strftime(ts + INTERVAL 210 MINUTE, '%Y-%m-%d %H:%M:%S') AS wall FROM events")
+@query("SELECT event_id, (epoch_ms(ts) // 60000) * 60000 AS minute, (CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) // 7200) * 7200 AS two_hours, strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') AS wall FROM events")
 def f4_f5_f6_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views.table(spark, sf_dir, "events")
     sec = scalars.epoch_seconds(F.col("ts"))
     ms = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
-    return e.select("event_id", scalars.floor_ms_to_minute(ms).alias("minute"), scalars.floor_to(sec, "2h").alias("two_hours"), scalars.epoch_to_wall(sec, "Asia/Tehran").alias("wall"))
+    return e.select("event_id", scalars.floor_ms_to_minute(ms).alias("minute"), scalars.floor_to(sec, "2h").alias("two_hours"), scalars.epoch_to_wall(sec, ZONE).alias("wall"))
 
 
 @query("SELECT event_id, R(round_even(value, 0);R) AS even, CAST(sign(value - 100) AS DOUBLE) AS sign, CAST(ceil(value / 7) AS BIGINT) AS up, R(value / nullif(user_id % 3, 0);R) AS safe FROM events")
