@@ -342,14 +342,14 @@ def _haar(c: str, sign: str) -> str:
 APPROACHES = {"none": "[[xc[i], xm[i]]", "smoothing": f"[[{_smooth('xc')}, {_smooth('xm')}]", "wavelet": "[[" + ", ".join(_haar(c, s) for c in ("xc", "xm") for s in "+-") + "]"}
 
 
-@query(f"WITH {WINDOWS} " + " UNION ALL ".join(f"SELECT '{name}' AS approach, msname, split, win_start, list_transform(flatten({x} for i in range(1, {L + 1})]), lambda v: round(v, 7) + 0.0::DOUBLE) AS x FROM w" for name, x in APPROACHES.items()))
+@query(f"WITH {WINDOWS} " + " UNION ALL ".join(f"SELECT '{name}' AS approach, msname, split, win_start, list_transform(flatten({x} for i in range(1, {L + 1})]), lambda v: round(v, 11) + 0.0::DOUBLE) AS x FROM w" for name, x in APPROACHES.items()))
 def x3_g2_approaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same windows prepared by each approach, kept under a key that holds its parameters."""
     source, folder = views.table(spark, sf_dir, "events"), scratch(spark, "approaches")
     made = None
     for name, parameters in {"none": {}, "smoothing": {"width": 5}, "wavelet": {"level": 1, "wavelet": "haar"}}.items():
         one = approaches.prepared(spark, folder, source, lambda: hourly_windows(spark, sf_dir), name, 2, **parameters)
-        one = one.select(F.lit(name).alias("approach"), "msname", "split", "win_start", F.transform(F.flatten("x"), lambda v: F.round(v, 7) + F.lit(0.0)).alias("x"))
+        one = one.select(F.lit(name).alias("approach"), "msname", "split", "win_start", F.transform(F.flatten("x"), lambda v: F.round(v, 11) + F.lit(0.0)).alias("x"))
         made = one if made is None else made.unionByName(one)
     return made
 
