@@ -61,6 +61,22 @@ def test_distance_correlation_far_from_zero(spark):
     assert max(got.values()) <= 1
 
 
+def test_distance_correlation_by_windows_equals_arrays(spark, monkeypatch):
+    """Long keys go through windows, short ones through arrays; null keys are a key, nulls and NaN are passed over."""
+    rng, rows, want = np.random.default_rng(4), [], {}
+    for k, n in ((None, 90), ("long", 130), ("short", 9), ("one", 1)):
+        x, y = rng.normal(size=n), rng.integers(0, 5, n).astype(float)
+        y += np.abs(x)
+        want[k] = brute_dcor(x, y) if n > 1 else 0.0
+        rows += [(k, "p", float(u), float(v)) for u, v in zip(x, y, strict=True)] + [(k, "p", math.nan, 1.0), (k, "p", 2.0, None)]
+    df = spark.createDataFrame(rows, "msname string, pair string, x double, y double")
+    for most in (500_000, 10):
+        monkeypatch.setattr(dependence, "SERIES", most)
+        got = dependence.distance_correlation(df, "x", "y", ["msname", "pair"])
+        assert {r.msname: r.dcor for r in got.collect()} == pytest.approx(want, abs=1e-9)
+    assert dependence.distance_correlation(df.limit(0), "x", "y").collect() == []
+
+
 def test_linear_heads_equal_normal_equations(spark):
     """Ridge regression on standardised inputs with an intercept, solved directly."""
     rng = np.random.default_rng(6)

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tracelens.functions.scalars import corr_guarded
+from tracelens.operators.quantiles import join_on
+from tracelens.session import materialise
 
 
 #: What is compared, now with later: utilisation with itself and with the call rate, both ways.
 INSTANCE_PAIRS = (("cpu", "cpu"), ("mem", "mem"), ("mcr", "cpu"), ("mcr", "mem"), ("cpu", "mcr"), ("mem", "mcr"))
 SERVICE_PAIRS = (("cpu", "cpu"), ("mem", "mem"), ("mcr", "cpu"), ("mcr", "mem"), ("replicas", "cpu"), ("replicas", "mem"))
 HORIZONS = (1, 2, 3, 4, 5)
+#: Rows of a series whose distance correlation one task takes in arrays.
+SERIES = 500_000
 
 
 def lagged_correlation(df: DataFrame, pairs: Sequence[tuple[str, str]], horizons: Sequence[int], keys: list[str], order: str = "t", extra: int = 10, fill: float | None = None) -> DataFrame:
@@ -66,18 +74,83 @@ def lagged_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], horizons: Sequ
 
 
 def distance_correlation(df: DataFrame, x: str, y: str, keys: Sequence[str] = ("msname",)) -> DataFrame:
-    """(keys, dcor) over all rows of each key, in time n log(n)^2; 0 for fewer than two rows or without variance.
+    """(keys, dcor) over all rows of each key, without pairs; 0 for fewer than two rows or without variance.
 
     dCov2 = mean(|dx| |dy|) - 2 mean_i(a_i b_i) + mean(a) mean(b), with a_i and b_i the mean distances of row i, which
-    running sums give in order of x or y. The mean over pairs is taken without pairs: rows are ranked by x and by y; at
-    each level, rows in the right half of a block of x ranks meet the sums of the left half's rows, below and above them in
-    y. A pair is on either side of exactly one block's middle. Values are taken from their key's mean first, as the sums
-    would cancel for values that are large beside their spread; the result is between 0 and 1.
+    running sums give in order of x or y. The mean over pairs is taken so: rows are ranked by x and by y; at each level, rows
+    in the right half of a block of x ranks meet the sums of the left half's rows, below and above them in y. A pair is on
+    either side of exactly one block's middle. Values are taken from their key's mean first, as the sums would cancel for
+    values that are large beside their spread; the result is between 0 and 1. Rows with a null or NaN on either side are
+    passed over; null keys are a key like any other.
+
+    A key of up to SERIES rows is one task's, in arrays; a longer one goes through windows, which spill.
     """
     keys = list(keys)
+    both = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = materialise(both.where("x is not null and y is not null and not isnan(x) and not isnan(y)"), "pairs")
+    key = F.struct(*keys)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    long = materialise(sizes.where(F.col("_n") > SERIES).select(key.alias("_long")), "long")
+    if long.isEmpty():
+        return _distance_in_arrays(rows, keys)
+    whole = _distance_in_arrays(rows.join(long, key == F.col("_long"), "left_anti"), keys)
+    return whole.unionByName(_distance_in_windows(rows.join(long, key == F.col("_long"), "left_semi"), keys))
+
+
+def _distance_in_arrays(rows: DataFrame, keys: list[str]) -> DataFrame:
+    def one(table: pa.Table) -> pa.Table:
+        value = _distance_of(table["x"].to_numpy(), table["y"].to_numpy())
+        return table.select(keys).slice(0, 1).append_column("dcor", pa.array([value], pa.float64()))
+
+    schema = StructType([*rows.select(*keys).schema.fields, StructField("dcor", DoubleType())])
+    return rows.groupBy(*keys).applyInArrow(one, schema)
+
+
+def _distance_of(x: np.ndarray, y: np.ndarray) -> float:
+    """The distance correlation of two arrays in n log n: blocks of x ranks are halved level by level, each kept in order of y."""
+    n = len(x)
+    if n < 2:
+        return 0.0
+    x, y = x - x.mean(), y - y.mean()
+    by_x = np.lexsort((y, x))
+    x, y = x[by_x], y[by_x]
+    order = np.lexsort((x, y))
+    place = np.arange(n)
+
+    def mean_distances(v: np.ndarray) -> np.ndarray:
+        return (v * (2 * place - n) + v.sum() - 2 * (np.cumsum(v) - v)) / n
+
+    a, b = mean_distances(x), np.empty(n)
+    b[order] = mean_distances(y[order])
+    upto = lambda v: np.concatenate(([0], np.cumsum(v)))
+    pairs = 0.0
+    for level in range(max(n - 1, 1).bit_length() - 1, -1, -1):
+        start = order >> (level + 1) << (level + 1)  # a block's rows take up its ranks' places
+        end = np.minimum(start + (2 << level), n)
+        left = (order >> level) % 2 == 0
+        right, u, v = ~left, x[order], y[order]
+        across = np.zeros(np.count_nonzero(right))
+        for weight, times in ((left, u * v), (left * u, -v), (left * v, -u), (left * u * v, 1.0)):
+            sums = upto(weight)
+            both = 2 * (sums[:-1] - sums[start]) - (sums[end] - sums[start])
+            across += (both * times)[right]
+        pairs += across.sum()
+        lefts = upto(left)
+        before = lefts[:-1] - lefts[start]
+        to = np.where(left, start + before, start + (lefts[end] - lefts[start]) + (place - start - before))
+        moved = np.empty_like(order)
+        moved[to] = order
+        order = moved
+    cov = 2 * pairs / n / n - 2 * (a * b).mean() + a.mean() * b.mean()
+    own = [max(2 * (v * v).mean() - 2 * (d * d).mean() + d.mean() ** 2, 0.0) for v, d in ((x, a), (y, b))]
+    spread = math.sqrt(own[0] * own[1])
+    return 0.0 if spread < 1e-12 else min(math.sqrt(max(cov, 0.0) / spread), 1.0)
+
+
+def _distance_in_windows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """As `distance_correlation`, for keys of at least two rows, in n log(n)^2 steps of running sums."""
     of = Window.partitionBy(*keys)
     up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
     rows = rows.withColumns({c: F.col(c) - F.avg(c).over(of) for c in ("x", "y")})
     by_x, by_y = of.orderBy("x", "y"), of.orderBy("y", "x")
     n = F.count(F.lit(1)).over(of)
@@ -102,7 +175,7 @@ def distance_correlation(df: DataFrame, x: str, y: str, keys: Sequence[str] = ("
         F.max("n").alias("n"), F.avg("a").alias("ra"), F.avg("b").alias("rb"), F.avg(F.col("a") * F.col("b")).alias("rab"), F.avg(F.col("a") * F.col("a")).alias("raa"), F.avg(F.col("b") * F.col("b")).alias("rbb"),
         (2 * F.var_pop("x")).alias("aa"), (2 * F.var_pop("y")).alias("bb"),
     )
-    m = m.join(pairs, keys, "left").withColumn("ab", 2 * F.coalesce("s", F.lit(0.0)) / F.col("n") / F.col("n"))
+    m = join_on(m, pairs, keys).withColumn("ab", 2 * F.col("s") / F.col("n") / F.col("n"))
     cov = F.greatest(F.col("ab") - 2 * F.col("rab") + F.col("ra") * F.col("rb"), F.lit(0.0))
     va, vb = F.col("aa") - 2 * F.col("raa") + F.col("ra") * F.col("ra"), F.col("bb") - 2 * F.col("rbb") + F.col("rb") * F.col("rb")
     spread = F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0)))

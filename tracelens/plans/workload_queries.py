@@ -164,10 +164,10 @@ def s9_f1_f11_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("SELECT name, list_aggregate(list_transform(regexp_extract_all(name, '[0-9]+|[^0-9]+'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(r, 12, '0') ELSE r END), 'string_agg', '') AS key, regexp_replace(name, '-hpa$', '') AS plain, array_to_string(string_split(name, '-')[:-3], '-') AS stem FROM (SELECT DISTINCT 'shard-' || CAST(user_id % 50 AS VARCHAR) || '-a' || CAST(user_id % 3 AS VARCHAR) || '-hpa' AS name FROM events)")
+@query("SELECT name, list_aggregate(list_transform(regexp_extract_all(name, '[0-9]+|[^0-9]+'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(r, 12, '0') ELSE r END), 'string_agg', '') AS key, regexp_replace(name, '-hpa$', '') AS plain, array_to_string(string_split(name, '-')[:-3], '-') AS stem FROM (SELECT DISTINCT 'shard-' || CAST(user_id AS VARCHAR) || '-a' || CAST(user_id % 3 AS VARCHAR) || '-hpa' AS name FROM events)")
 def f1_f3_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views.table(spark, sf_dir, "events")
-    name = F.concat(F.lit("shard-"), (F.col("user_id") % 50).cast("string"), F.lit("-a"), (F.col("user_id") % 3).cast("string"), F.lit("-hpa"))
+    name = F.concat(F.lit("shard-"), F.col("user_id").cast("string"), F.lit("-a"), (F.col("user_id") % 3).cast("string"), F.lit("-hpa"))
     rows = e.select(name.alias("name")).distinct()
     return rows.select("name", scalars.natural_key(F.col("name")).alias("key"), scalars.strip_hpa(F.col("name")).alias("plain"), scalars.strip_pod_suffix(F.col("name")).alias("stem"))
 
