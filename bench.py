@@ -1,4 +1,7 @@
-"""Runs headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line. With `--duckdb` it times their SQL twins there."""
+"""Runs headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line. With `--duckdb` it times their SQL twins there.
+
+`--grow N FOLDER` writes tables with N times the events to FOLDER, for BENCH_SF_DIR; BENCH_SKIP names queries to leave out.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,9 @@ import sys
 import time
 from statistics import median
 
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
 from tracelens.plans import all_queries, all_sql
 from tracelens.session import build_session
 
@@ -33,9 +39,9 @@ HEADLINE = (
 
 
 def timed(run) -> float:
-    """Median of three runs after one that warms up."""
+    """Median of $BENCH_RUNS runs, three by default, after one that warms up."""
     runs = []
-    for _ in range(4):
+    for _ in range(int(os.environ.get("BENCH_RUNS", "3")) + 1):
         began = time.perf_counter()
         run()
         runs.append(time.perf_counter() - began)
@@ -47,8 +53,26 @@ def duckdb_times(sf_dir: str, cpus: int) -> dict[str, float]:
 
     con = duckdb.connect(config={"threads": cpus})
     for table in ("customer", "supplier", "orders", "lineitem", "events"):
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
-    return {name: timed(lambda name=name: con.execute(all_sql()[name]).fetchall()) for name in HEADLINE}
+        path = f"{sf_dir}/{table}.parquet"
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    return {name: timed(lambda name=name: con.execute(all_sql()[name]).fetchall()) for name in chosen()}
+
+
+def chosen() -> list[str]:
+    return [name for name in HEADLINE if name not in os.environ.get("BENCH_SKIP", "").split(",")]
+
+
+def grow(spark: SparkSession, sf_dir: str, times: int, folder: str) -> None:
+    """The tables in `folder`, with `times` runs of the events, each some days after the one before."""
+    os.makedirs(folder)
+    for file in os.listdir(sf_dir):
+        if file != "events.parquet":
+            os.symlink(f"{sf_dir}/{file}", f"{folder}/{file}")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    span = events.agg(F.date_diff(F.max("ts"), F.min("ts")) + 1, F.max("event_id") + 1).first()
+    runs = events.join(spark.range(times).withColumnRenamed("id", "run"))
+    later = runs.withColumns({"ts": F.expr(f"ts + make_dt_interval(cast(run * {span[0]} as int))"), "event_id": F.expr(f"event_id + run * {span[1]}")})
+    later.select(events.columns).write.parquet(f"{folder}/events.parquet")
 
 
 def main() -> None:
@@ -58,8 +82,12 @@ def main() -> None:
         print(json.dumps(duckdb_times(sf_dir, cpus)))
         return
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus)
+    if "--grow" in sys.argv:
+        times, folder = sys.argv[sys.argv.index("--grow") + 1 :][:2]
+        grow(spark, sf_dir, int(times), folder)
+        return
     queries = all_queries()
-    took = {name: timed(lambda name=name: queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()) for name in HEADLINE}
+    took = {name: timed(lambda name=name: queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()) for name in chosen()}
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 
