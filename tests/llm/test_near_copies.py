@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_ngram_join import family
@@ -65,6 +66,72 @@ def test_parts_and_sketches_of_linked_sets_meet():
     assert linked > 100
 
 
+def near_copy_parts(families=6, copies=30, n=400):
+    """(part, fp, n, sketch): sets that are all linked to those of their family, in many parts with several of them each."""
+    rng, rows = np.random.default_rng(7), []
+    classes = ngram_join.size_classes(6000, STAGE)
+    for _ in range(families):
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        for _ in range(copies):
+            s = np.unique(np.concatenate([base[rng.permutation(len(base))[len(base) // 40 :]], rng.integers(0, 1 << 63, n // 80, dtype=np.uint64)]))
+            rows += [(int(p), ngram_join.fingerprint(s), len(s), ngram_join.sketch(s).tobytes()) for p in ngram_join.part_hashes(s, classes, STAGE).view(np.int64)]
+    rows = pd.DataFrame(rows, columns=["part", "fp", "n", "sketch"])
+    return rows[rows.groupby("part")["fp"].transform("size") > 1]
+
+
+def test_near_copies_make_a_link_each():
+    links = ngram_join.likely_links(near_copy_parts(), STAGE)
+    assert len(links) == 6 * 29 and links["a"].is_unique and links["b"].nunique() == 6
+    assert (links["b"] < links["a"]).all()
+
+
+def test_likely_links_connect_what_all_pairs_do():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64)) for _ in range(4)]
+    for i in range(60):  # each is like the one four before, not like the first ones
+        sets.append(np.unique(np.concatenate([sets[i][rng.permutation(len(sets[i]))[6:]], rng.integers(0, 1 << 63, 6, dtype=np.uint64)])))
+    rows = pd.DataFrame({"fp": rng.permutation(1000)[: len(sets)], "n": [len(s) for s in sets], "sketch": [ngram_join.sketch(s).tobytes() for s in sets]})
+    met = [rows.iloc[np.sort(rng.permutation(len(sets))[:k])].assign(part=p) for p, k in enumerate([2, 3, 5, 8, 12, 20, 33, *[3] * 10])]
+    known, pairs = ngram_join._Sketches(rows, STAGE), set()
+    for some in met:
+        a, b = (some.index.to_numpy()[x] for x in np.triu_indices(len(some), 1))
+        pairs |= {(x, y) for x, y, good in zip(rows["fp"][a], rows["fp"][b], known.may_link(a, b), strict=True) if good}
+
+    def classes(links):
+        root = {f: f for f in rows["fp"]}
+        for _ in rows["fp"]:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    links = ngram_join.likely_links(pd.concat(met), STAGE)
+    got = classes(list(zip(links["a"], links["b"], strict=True)))
+    assert got == classes(pairs) and 4 < len(set(got.values())) < len(sets)
+    assert len(links) == len(sets) - len(set(got.values()))
+
+
+def test_parts_of_near_copies_share_a_bucket(spark, monkeypatch):
+    """More buckets, as of a larger table, make few links more; a part is in one bucket, and many rows are dealt over several."""
+    rows = near_copy_parts()
+    met = spark.createDataFrame(rows[["part", "fp"]])
+    parts = met.groupBy("part").agg(F.count("*").alias("k"), F.min("fp").alias("low"))
+    low = rows.groupby("part")["fp"].min()
+
+    def dealt(buckets):
+        out = ngram_join.part_buckets(parts, buckets).toPandas()
+        assert out["part"].is_unique and set(out["part"]) == set(rows["part"])
+        return out.set_index("part")["bucket"]
+
+    def made(buckets):
+        return sum(len(ngram_join.likely_links(some, STAGE)) for _, some in rows.groupby(rows["part"].map(dealt(buckets))))
+
+    assert made(1) == 6 * 29
+    assert made(1000) < 2 * made(20) and made(1000) < len(rows) / 4
+    assert dealt(1000).groupby(low).nunique().max() == 1
+    monkeypatch.setattr(ngram_join, "LOW_ROWS", 200)
+    assert dealt(1000).groupby(low).nunique().max() > 1
+
+
 def test_each_row_is_judged_by_its_own_text(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [

@@ -7,7 +7,8 @@
    part holds about nine shingles, so unlike sets don't meet, however common their words, lines or passages are. At 0.8 it
    holds half as many, and parts of one or none are frequent; so some are spare: with e parts more, e + 1 parts are the
    same, and a set with at most e such weak parts leaves them out. Unlike sets that still meet are told apart by sketches:
-   the parities of their shingles in up to `BITS` cells differ in no more cells than the sets do in shingles.
+   the parities of their shingles in up to `BITS` cells differ in no more cells than the sets do in shingles. Parts with one
+   smallest set are told apart by one task, as like sets have many in common; it passes on a link from each set at most.
 3. Each group is taken up by one task, a large one in blocks (`tracelens.llm.spans`). There the sets are ordered by
    likeness and cut into small groups of which a matrix holds the token unions. A query's overlap with a group's union
    bounds its overlap with each member; only qualifying groups are opened and counted. Queries look only for sets not yet
@@ -50,8 +51,8 @@ class Rule:
 OP5, STAGE = Rule(3, 90), Rule(5, 80, 8)
 #: What one task holds of a group of sets, and members of a group in the token-group matrix.
 TOKEN_ROOM, MEMBERS = Room(128, 4 << 20), 32
-#: Cells of a sketch, rows of meeting sets in one task, and sets of a part that are compared each with each at once.
-BITS, MET_ROWS, FEW = 4096, 50_000, 32
+#: Cells of a sketch, rows of meeting sets in one task, of these such as have one smallest set, and sets of a part that are compared each with each at once.
+BITS, MET_ROWS, LOW_ROWS, FEW = 4096, 50_000, 12_500, 32
 #: What one task holds of the sets that meet in one part.
 PART_ROOM = Room(5_000, 4 << 20)
 #: Sets remembered by a task, parts packed or matched at once, shingles for which one bucket of parts is made, the most buckets and partitions; beyond
@@ -283,32 +284,48 @@ class _Sketches:
 
 
 def likely_links(rows: pd.DataFrame, rule: Rule) -> pd.DataFrame:
-    """(a, b) of sets that meet in a part of `rows` (part, fp, n, sketch) and may link; of large parts, links that span these."""
-    once = rows.drop_duplicates("fp")
+    """(a, b) from each set to the smallest of its class: sets that meet in a part of `rows` (part, fp, n, sketch) and may link, and whatever these connect."""
+    once = rows.drop_duplicates("fp").sort_values("fp")
     fps, known = once["fp"].to_numpy(), _Sketches(once, rule)
-    part, ids = rows["part"].to_numpy(), pd.Index(fps).get_indexer(rows["fp"].to_numpy())
+    part, ids = rows["part"].to_numpy(), np.searchsorted(fps, rows["fp"].to_numpy())
     order = np.lexsort((ids, part))
     part, ids = part[order], ids[order]
     head = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     size = np.diff(np.concatenate([head, [len(part)]]))
+    label = _joined(known, np.arange(len(fps)), np.repeat(ids[head], size), ids)
     firsts, seconds = [], []
-    for k in np.unique(size[size <= FEW]):
-        i, j = np.triu_indices(k, 1)
-        begin = head[size == k][:, None]
+    for k in np.unique(size[(size > 2) & (size <= FEW)]):  # sets that aren't connected by way of a part's first
+        i, j = np.triu_indices(k - 1, 1)
+        begin = head[size == k][:, None] + 1
         firsts.append(ids[begin + i].ravel())
         seconds.append(ids[begin + j].ravel())
-    found = []
     if firsts:
-        pairs = np.unique(np.concatenate(firsts) * len(fps) + np.concatenate(seconds))
-        a, b = pairs // len(fps), pairs % len(fps)
-        good = known.may_link(a, b)
-        found.append((a[good], b[good]))
+        label = _joined(known, label, np.concatenate(firsts), np.concatenate(seconds))
     for h, k in zip(head[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
         mine = ids[h : h + k]
-        to = _likely_classes(known, mine, np.arange(k))
-        found.append((mine[to != np.arange(k)], mine[to[to != np.arange(k)]]))
-    a, b = (np.concatenate([f[side] for f in found]) if found else np.zeros(0, np.int64) for side in (0, 1))
-    return pd.DataFrame({"a": fps[a], "b": fps[b]}).drop_duplicates()
+        label = _merged(label, mine, mine[_likely_classes(known, mine, label[mine])])
+    apart = label != np.arange(len(fps))
+    return pd.DataFrame({"a": fps[apart], "b": fps[label[apart]]})
+
+
+def _joined(known: _Sketches, label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`label` with the classes of sets a and b merged where these may link; sets of one class aren't compared."""
+    apart = label[a] != label[b]
+    pairs = np.unique(a[apart] * len(label) + b[apart])
+    a, b = pairs // len(label), pairs % len(label)
+    good = known.may_link(a, b)
+    return _merged(label, a[good], b[good])
+
+
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`label`, the smallest member of each one's class, with the classes of a and b merged."""
+    label = label.copy()
+    while (apart := label[a] != label[b]).any():
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
 
 
 def _likely_classes(known: _Sketches, ids: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -335,6 +352,17 @@ def _members(classes: np.ndarray) -> dict[int, np.ndarray]:
     return dict(zip(names.tolist(), np.split(order, first[1:]), strict=True))
 
 
+def part_buckets(parts: DataFrame, buckets: int) -> DataFrame:
+    """(part, bucket) of `parts` (part, k, low), k the sets of a part and low the smallest.
+
+    Those with one smallest set go to one bucket, so that sets which meet in many parts aren't linked anew in many buckets;
+    beyond LOW_ROWS they are dealt over several. A smallest set has no more parts here than itself, however many sets meet.
+    """
+    large = parts.groupBy("low").agg(F.ceil(F.sum("k") / LOW_ROWS).alias("pieces")).where("pieces > 1")
+    dealt = parts.join(large, "low", "left").withColumn("piece", F.pmod(F.xxhash64("part"), F.coalesce("pieces", F.lit(1))))
+    return dealt.select("part", F.pmod(F.xxhash64("low", "piece"), F.lit(buckets)).alias("bucket"))
+
+
 def meeting_links(docs: DataFrame, rule: Rule, shingles: int) -> DataFrame:
     """(a, b): links that connect all sets which may link.
 
@@ -346,9 +374,10 @@ def meeting_links(docs: DataFrame, rule: Rule, shingles: int) -> DataFrame:
         ends = met.groupBy("part").agg(F.min("fp").alias("low"))
         return met.join(ends, "part").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
     sketches = materialise(sketch_table(docs, rule).join(met.select("fp").distinct(), "fp", "left_semi"), "sketches")
-    hot = met.groupBy("part").count().where(F.col("count") > PART_ROOM.rows).select(F.col("part").alias("grp"))
-    buckets = 1 + met.count() // MET_ROWS
-    rows = met.join(hot, met["part"] == hot["grp"], "left_anti").join(sketches, "fp").withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)))
+    parts = materialise(met.groupBy("part").agg(F.count(F.lit(1)).alias("k"), F.min("fp").alias("low")), "parts")
+    hot = parts.where(F.col("k") > PART_ROOM.rows).select(F.col("part").alias("grp"))  # one row for over PART_ROOM.rows of `met`
+    dealt = part_buckets(parts.where(F.col("k") <= PART_ROOM.rows), 1 + met.count() // MET_ROWS)
+    rows = met.join(F.broadcast(hot), met["part"] == hot["grp"], "left_anti").join(dealt, "part").join(sketches, "fp")
     links = rows.groupBy("bucket").applyInPandas(lambda some: likely_links(some, rule), "a long, b long")
     if not hot.isEmpty():
         members = met.join(hot, met["part"] == hot["grp"]).select("grp", "fp", F.lit(BITS // 8).cast("long").alias("size"))
