@@ -153,3 +153,20 @@ def test_each_row_is_judged_by_its_own_text(spark):
     kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), STAGE).collect()
     got = Counter((r.doc_id, (r.text or "").lower().removesuffix(" end")) for r in kept)
     assert got == Counter([(1, a), (2, b), (3, c), (None, "only without ids " + c[: len(c) // 2]), (None, " "), (None, " "), (None, ""), (4, "")])
+
+
+def test_unlike_sets_of_many_parts_are_compared_once(monkeypatch):
+    """200 unlike sets that meet in 30 parts: all pairs in a few steps, a pair once for all parts, also where only some are held at once."""
+    rng = np.random.default_rng(11)
+    sets = [np.unique(rng.integers(0, 1 << 63, 80, dtype=np.uint64)) for _ in range(200)]
+    sets += [np.unique(np.concatenate([s[:-2], rng.integers(0, 1 << 63, 2, dtype=np.uint64)])) for s in sets[:5]]
+    fps = [ngram_join.fingerprint(s) for s in sets]
+    known = pd.DataFrame({"fp": fps, "n": [len(s) for s in sets], "sketch": [ngram_join.sketch(s).tobytes() for s in sets]})
+    met = pd.DataFrame({"part": np.repeat(np.arange(30), len(sets)), "fp": np.tile(fps, 30)})
+    compared, may_link = [], ngram_join._may_link
+    monkeypatch.setattr(ngram_join, "_may_link", lambda *a: compared.append(len(a[4])) or may_link(*a))
+    links = ngram_join.likely_links(met, STAGE, known)
+    assert len(compared) <= 4 and sum(compared) <= len(sets) * len(sets) // 2
+    monkeypatch.setattr(ngram_join, "PAIRS", 1000)
+    again = ngram_join.likely_links(met.merge(known, on="fp"), STAGE)
+    assert set(map(tuple, links.to_numpy())) == set(map(tuple, again.to_numpy())) == {(max(p), min(p)) for p in zip(fps[:5], fps[200:], strict=True)}

@@ -10,7 +10,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tracelens.llm import decontaminate, license_scan, pii
+from tracelens.llm import common, decontaminate, license_scan, oracle, pii
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -383,3 +383,33 @@ def test_pseudonyms_of_documents(documents, odd_docs, no_docs):
         was = {e for r in source for e in emails.findall(r.text or "")}
         assert not was & {e for r in rows for e in emails.findall(r.text or "")}
     assert pii.pseudonymise_documents(no_docs, "k").collect() == []
+
+
+def test_dropping_contaminated_documents_moves_no_text(spark, monkeypatch):
+    """Few documents to drop go to the texts, whatever Spark would broadcast by itself; many are joined by a shuffle, with the same rows left."""
+    leak = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, f"well {leak} indeed"), (2, "nothing to see here"), (None, leak.upper()), (3, None), (4, ""), (1, "another text with the same id"), (None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = decontaminate.drop_contaminated(docs, items)
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(decontaminate, "FEW_BAD", 0)
+        shuffled = decontaminate.drop_contaminated(docs, items)
+        assert "Exchange hashpartitioning" in shuffled._jdf.queryExecution().executedPlan().toString()
+        assert Counter(map(tuple, out.collect())) == Counter(map(tuple, shuffled.collect())) == Counter(rows[1:2] + rows[3:])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_words_are_those_of_the_sql(spark):
+    """Every character but the surrogates by itself and between letters; the word class isn't spelled as in the SQL, as that is slow."""
+    apart = [chr(c) for c in range(0x3000) if not 65 <= c < 91] + ["퟿", "", "￿", "\U00010000", "\U0010ffff"]
+    text = "".join(f"{c} a{c}b " for c in apart)
+    want = re.findall(oracle.ALNUM.strip("'"), text)
+    got = spark.createDataFrame([(text,), (None,), ("",)], "text string").select(common.words_of(F.col("text"), common.ALNUM_WORD)).collect()
+    assert got[0][0] == want and got[1][0] == got[2][0] == []
+    plain = text * 3 + "plain words and other ones " * 20_000
+    assert len(spark.createDataFrame([(plain,)], "text string").select(common.words_of(F.col("text"), common.ALNUM_WORD)).first()[0]) == 3 * len(want) + 100_000

@@ -15,8 +15,9 @@ __all__ = ["ALNUM_WORD", "BLANK_WORD", "ascii_lower", "in_chunks", "materialise"
 
 #: A word: a run without the six ASCII blanks.
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
-#: A word: a run of ASCII letters and digits and of everything beyond ASCII.
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word of a lower-cased text: a run of ASCII letters and digits and of everything beyond ASCII. As a class of what is left out
+#: the same takes Java about four times as long.
+ALNUM_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

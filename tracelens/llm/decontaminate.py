@@ -18,6 +18,8 @@ WINDOW = 10
 #: Windows, and bytes of their words, that are broadcast. Of a larger benchmark only the distinct prefix words are, up to as
 #: many bytes, and the windows meet the words that these let through in a shuffle.
 FEW_WINDOWS, FEW_BYTES = 200_000, 64 << 20
+#: Documents to drop, by id and hash, that are broadcast, so that no text is shuffled.
+FEW_BAD = 200_000
 #: Words of a stretch of text where words are shuffled.
 STRETCH = 1_000
 
@@ -166,7 +168,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDO
     empty table gives no rows.
     """
     tagged = docs.select("text", F.col("doc_id").alias("_id"), text_tag().alias("_tag"))
-    bad = find_hits(tagged, benchmark, ["_id", "_tag"], every=False, length=length)[0].select("_id", "_tag").distinct()
+    bad = materialise(find_hits(tagged, benchmark, ["_id", "_tag"], every=False, length=length)[0].select("_id", "_tag").distinct(), "bad")
+    bad = F.broadcast(bad) if bad.count() <= FEW_BAD else bad
     (own,) = spare_names(docs, "own")
     marked = docs.withColumn(own, text_tag())
     return marked.join(bad, marked["doc_id"].eqNullSafe(bad["_id"]) & (marked[own] == bad["_tag"]), "left_anti").select(*docs.columns)

@@ -51,8 +51,9 @@ class Rule:
 OP5, STAGE = Rule(3, 90), Rule(5, 80, 8)
 #: What one task holds of a group of sets, and members of a group in the token-group matrix.
 TOKEN_ROOM, MEMBERS = Room(128, 4 << 20), 32
-#: Cells of a sketch, rows of meeting sets in one task, of these such as have one smallest set, and sets of a part that are compared each with each at once.
-BITS, MET_ROWS, LOW_ROWS, FEW = 4096, 50_000, 12_500, 32
+#: Cells of a sketch, rows of meeting sets in one task, of these such as have one smallest set, sets of a part that are compared each with each at
+#: once, and pairs that are held for that.
+BITS, MET_ROWS, LOW_ROWS, FEW, PAIRS = 4096, 50_000, 12_500, 256, 500_000
 #: What one task holds of the sets that meet in one part.
 PART_ROOM = Room(5_000, 4 << 20)
 #: Sets remembered by a task, parts packed or matched at once, shingles for which one bucket of parts is made, the most buckets and partitions; beyond
@@ -283,9 +284,12 @@ class _Sketches:
         return _may_link(self.sketches, self.bits, self.row, self.n, a, b, self.rule)
 
 
-def likely_links(rows: pd.DataFrame, rule: Rule) -> pd.DataFrame:
-    """(a, b) from each set to the smallest of its class: sets that meet in a part of `rows` (part, fp, n, sketch) and may link, and whatever these connect."""
-    once = rows.drop_duplicates("fp").sort_values("fp")
+def likely_links(rows: pd.DataFrame, rule: Rule, sets: pd.DataFrame | None = None) -> pd.DataFrame:
+    """(a, b) from each set to the smallest of its class: sets that meet in a part of `rows` (part, fp) and may link, and whatever these connect.
+
+    `sets` has (fp, n, sketch) of each set; without it `rows` has them besides.
+    """
+    once = (rows if sets is None else sets).drop_duplicates("fp").sort_values("fp")
     fps, known = once["fp"].to_numpy(), _Sketches(once, rule)
     part, ids = rows["part"].to_numpy(), np.searchsorted(fps, rows["fp"].to_numpy())
     order = np.lexsort((ids, part))
@@ -293,14 +297,8 @@ def likely_links(rows: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     head = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     size = np.diff(np.concatenate([head, [len(part)]]))
     label = _joined(known, np.arange(len(fps)), np.repeat(ids[head], size), ids)
-    firsts, seconds = [], []
-    for k in np.unique(size[(size > 2) & (size <= FEW)]):  # sets that aren't connected by way of a part's first
-        i, j = np.triu_indices(k - 1, 1)
-        begin = head[size == k][:, None] + 1
-        firsts.append(ids[begin + i].ravel())
-        seconds.append(ids[begin + j].ravel())
-    if firsts:
-        label = _joined(known, label, np.concatenate(firsts), np.concatenate(seconds))
+    for a, b in _pairs(head, size):  # sets that aren't connected by way of a part's first
+        label = _joined(known, label, ids[a], ids[b])
     for h, k in zip(head[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
         mine = ids[h : h + k]
         label = _merged(label, mine, mine[_likely_classes(known, mine, label[mine])])
@@ -308,6 +306,23 @@ def likely_links(rows: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     return pd.DataFrame({"a": fps[apart], "b": fps[label[apart]]})
 
 
+def _pairs(head: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs in each run of up to FEW from `head` on, but for those with its first; PAIRS of them at once, or a run's more."""
+    firsts, seconds, held = [], [], 0
+    for k in np.unique(size[(size > 2) & (size <= FEW)]):
+        i, j = np.triu_indices(k - 1, 1)
+        begin, step = head[size == k][:, None] + 1, max(1, PAIRS // len(i))
+        for cut in range(0, len(begin), step):
+            firsts.append((begin[cut : cut + step] + i).ravel())
+            seconds.append((begin[cut : cut + step] + j).ravel())
+            held += len(firsts[-1])
+            if held >= PAIRS:
+                yield np.concatenate(firsts), np.concatenate(seconds)
+                firsts, seconds, held = [], [], 0
+    if held:
+        yield np.concatenate(firsts), np.concatenate(seconds)
+
+
 def _joined(known: _Sketches, label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """`label` with the classes of sets a and b merged where these may link; sets of one class aren't compared."""
     apart = label[a] != label[b]
@@ -377,8 +392,10 @@ def meeting_links(docs: DataFrame, rule: Rule, shingles: int) -> DataFrame:
     parts = materialise(met.groupBy("part").agg(F.count(F.lit(1)).alias("k"), F.min("fp").alias("low")), "parts")
     hot = parts.where(F.col("k") > PART_ROOM.rows).select(F.col("part").alias("grp"))  # one row for over PART_ROOM.rows of `met`
     dealt = part_buckets(parts.where(F.col("k") <= PART_ROOM.rows), 1 + met.count() // MET_ROWS)
-    rows = met.join(F.broadcast(hot), met["part"] == hot["grp"], "left_anti").join(dealt, "part").join(sketches, "fp")
-    links = rows.groupBy("bucket").applyInPandas(lambda some: likely_links(some, rule), "a long, b long")
+    rows = materialise(met.join(F.broadcast(hot), met["part"] == hot["grp"], "left_anti").join(dealt, "part").select("bucket", "part", "fp"), "dealt")
+    inside = rows.select(F.col("bucket").alias("of"), F.col("fp").alias("set")).distinct()
+    known = inside.join(sketches, F.col("set") == F.col("fp")).drop("set")  # a sketch goes once to a bucket, not with each part
+    links = rows.groupBy("bucket").cogroup(known.groupBy("of")).applyInPandas(lambda some, sets: likely_links(some, rule, sets), "a long, b long")
     if not hot.isEmpty():
         members = met.join(hot, met["part"] == hot["grp"]).select("grp", "fp", F.lit(BITS // 8).cast("long").alias("size"))
         compare = lambda some, classes: _likely_classes(_Sketches(some, rule), np.arange(len(some)), classes)
